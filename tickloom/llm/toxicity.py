@@ -32,10 +32,12 @@ from .common import fold, materialise
 
 #: Labelled rows that a fit takes at most, and entries that a lexicon has at most.
 FIT_DOCS, LEXICON = 20_000, 4_000
-#: A word start is learned from this share of the toxic texts on (and from so many), if its log odds reach this.
-LEAST_SHARE, LEAST_DOCS, LEAST_ODDS = 0.004, 8, 3.0
+#: A word or word start is learned if so many toxic texts hold it, its log odds reach this, and their product this.
+LEAST_DOCS, LEAST_ODDS, LEAST_EVIDENCE = 6, 1.5, 20.0
 #: Lengths of word starts that may stand for a family of words.
-STARTS = (3, 4, 5, 6)
+STARTS = (3, 4, 5, 6, 7, 8)
+#: Log odds that a text's clauses add up to at most.
+MOST_ODDS = 60.0
 THRESHOLD = 0.7
 
 CLAUSE = regex.compile(r"[.!?;:\n]+")
@@ -85,7 +87,7 @@ KINDS = 16
 
 @dataclass(frozen=True)
 class Model:
-    """lexicon: word or word start (with a star) to its log odds; weights: bias, one for each kind, lexicon mass, repeats."""
+    """lexicon: word or word start (with a star) to its log odds; weights: bias, one for each kind, summed and greatest log odds."""
 
     lexicon: dict[str, float]
     weights: np.ndarray
@@ -116,8 +118,8 @@ class Model:
         return found
 
     def features(self, text: str | None) -> np.ndarray:
-        """Matched clauses by kind (capped logarithmically), and the lexicon mass of the matches."""
-        out = np.zeros(KINDS + 1)
+        """Matched clauses by kind (logarithmically), the log odds of all together, and the greatest."""
+        out = np.zeros(KINDS + 2)
         if text and (hit := self.may_match(text)):
             for clause in CLAUSE.split(hit):
                 words = WORD.findall(clause)
@@ -133,7 +135,10 @@ class Model:
                     mark = int(MARK[best[2]]) | (int(MARK[state]) & 1)
                     out[(0 if best[0] else 8) + mark] += 1
                     out[KINDS] += best[1]
-        return np.log1p(out)
+                    out[KINDS + 1] = max(out[KINDS + 1], best[1])
+        out[:KINDS] = np.log1p(out[:KINDS])
+        out[KINDS] = min(out[KINDS], MOST_ODDS) / 4
+        return out
 
     def may_match(self, text: str) -> str | None:
         low = text.lower()
@@ -190,14 +195,15 @@ def fit(sample: DataFrame) -> Model:
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     if not n_bad or not n_good:
         rate = (n_bad + 1) / (n_bad + n_good + 2) if n_bad + n_good else 0.05
-        return Model({}, np.concatenate([[np.log(rate / (1 - rate))], np.zeros(KINDS + 1)]))
+        return Model({}, np.concatenate([[np.log(rate / (1 - rate))], np.zeros(KINDS + 2)]))
     distinct = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
     terms = distinct.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    best = terms.where(F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * n_bad)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = best.orderBy(F.desc(F.col("bad") * F.col("odds")), "term").limit(LEXICON).collect()
+    best = terms.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).withColumn("evidence", F.col("bad") * odds)
+    best = best.where((F.col("odds") >= LEAST_ODDS) & (F.col("evidence") >= LEAST_EVIDENCE))
+    rows = best.orderBy(F.desc("evidence"), "term").limit(LEXICON).collect()
     lexicon = {r["term"]: float(r["odds"]) for r in rows}
-    model = Model(lexicon, np.zeros(KINDS + 2))
+    model = Model(lexicon, np.zeros(KINDS + 3))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +217,7 @@ def fit(sample: DataFrame) -> Model:
 
 
 #: What a kind of match weighs before anything is learned: plain and aimed more than negated or reported.
-_PRIOR = np.array([0.0, *[(2.0 if not k & 8 else 1.0) + 1.0 * (k & 1) - 0.5 * (k >> 1 & 1) - 0.5 * (k >> 2 & 1) for k in range(KINDS)], 0.5])
+_PRIOR = np.array([0.0, *[(0.5 if not k & 8 else 0.3) + 0.3 * (k & 1) - 0.2 * (k >> 1 & 1) - 0.2 * (k >> 2 & 1) for k in range(KINDS)], 0.5, 0.2])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, pull: float = 0.5, rounds: int = 50) -> np.ndarray:
