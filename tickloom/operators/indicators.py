@@ -149,15 +149,15 @@ def growth_curve(df: DataFrame, capital: float = 10000.0, by=("symbol",)) -> Dat
 
 
 def all_indicators(df: DataFrame, by=("symbol",)) -> DataFrame:
-    """The whole bundle; all recurrences in one pass, then the windows."""
+    """The whole bundle. The windows come first, because pandas groups keep to their partitioning but not the other way: one exchange."""
     f, s, g = 12, 26, 9
+    for p in (20, 50, 200):
+        df = sma(df, p, by=by)
+    out = stochastic(atr(bollinger(rsi(df, by=by), by=by), by=by), by=by)
     line = lambda d: _ema_of(f)(d) - _ema_of(s)(d)
     wanted = {f"ema_{p}": _ema_of(p) for p in EMAS} | {f"macd_{f}_{s}": line, f"macd_signal_{f}_{s}_{g}": lambda d: line(d).ewm(span=g, adjust=False).mean()}
-    out = recurrences(df, wanted, by)
-    out = _add(out, {f"macd_hist_{f}_{s}_{g}": F.col(f"macd_{f}_{s}") - F.col(f"macd_signal_{f}_{s}_{g}")})
-    for p in (20, 50, 200):
-        out = sma(out, p, by=by)
-    return stochastic(atr(bollinger(rsi(out, by=by), by=by), by=by), by=by)
+    out = recurrences(out, wanted, by)
+    return _add(out, {f"macd_hist_{f}_{s}_{g}": F.col(f"macd_{f}_{s}") - F.col(f"macd_signal_{f}_{s}_{g}")})
 
 
 #: Name -> (function, default parameters, columns by output role).
