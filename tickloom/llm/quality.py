@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, materialise, word_steps
+from .common import as_bytes, fresh, materialise, word_steps
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -89,10 +89,10 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > REPEAT_PERCENT * n_words)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``quality`` of the measures and ``base_failed``."""
-    out = docs.withColumn("quality", arrow_udf(_measure, MEASURES)(as_bytes(F.col(text))))
-    return out.withColumn("quality", F.col("quality").withField("base_failed", base_failed(F.col("quality.n_words"), F.col("quality.n_repeat_words"))))
+def measure(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
+    """``docs`` with a struct column ``into`` of the measures and ``base_failed``."""
+    out = docs.withColumn(into, arrow_udf(_measure, MEASURES)(as_bytes(F.col(text))))
+    return out.withColumn(into, F.col(into).withField("base_failed", base_failed(F.col(f"{into}.n_words"), F.col(f"{into}.n_repeat_words"))))
 
 
 def host_rates(measured: DataFrame, host: str = "host", failed: str = "base_failed") -> DataFrame:
@@ -130,10 +130,11 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass the base rule and whose host passes, with their own columns only."""
-    measured = measure(docs, text)
-    rates = measured.select(F.col(host).cast("string").alias("host"), F.col("quality.base_failed").alias("base_failed"))
+    into = fresh(docs, "quality")
+    measured = measure(docs, text, into)
+    rates = measured.select(F.col(host).cast("string").alias("host"), F.col(f"{into}.base_failed").alias("base_failed"))
     bad = materialise(host_rates(rates).where(~F.col("host_kept")).select(F.col("host").alias("of_host")))
-    good = measured.where(~F.col("quality.base_failed")).drop("quality")
+    good = measured.where(~F.col(f"{into}.base_failed")).drop(into)
     return good.join(bad, good[host].cast("string").eqNullSafe(bad["of_host"]), "left_anti")
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import product
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import fold, materialise
+from .common import fold, fresh, materialise
 
 #: Labelled rows that a fit takes at most, and entries that a lexicon has at most.
 FIT_DOCS, LEXICON = 20_000, 4_000
@@ -85,7 +86,7 @@ STEP, MARK = compose([_flag(AIM), _window(NEGATE, REACH), _flag(REPORT)])
 KINDS = 16
 
 
-@dataclass(frozen=True)
+@dataclass
 class Model:
     """lexicon: word or word start (with a star) to its log odds; weights: bias, one for each kind, summed and greatest log odds."""
 
@@ -142,25 +143,24 @@ class Model:
 
     def may_match(self, text: str) -> str | None:
         low = text.lower()
-        return low if self.pattern().search(low) else None
+        return low if self.pattern.search(low) else None
 
+    @cached_property
     def pattern(self):
-        found = _PATTERNS.get(id(self))
-        if found is None:
-            whole = [regex.escape(w) for w in [*self.lexicon, *THREAT] if not w.endswith("*")]
-            starts = [regex.escape(w[:-1]) for w in self.lexicon if w.endswith("*")]
-            parts = ["(?:" + "|".join(sorted(whole)) + r")(?![\p{L}\p{M}'])"] + (["(?:" + "|".join(sorted(starts)) + ")"] if starts else [])
-            found = _PATTERNS[id(self)] = regex.compile(r"(?<![\p{L}\p{M}'])(?:" + "|".join(parts) + ")")
-        return found
+        """Finds texts that may match at all."""
+        whole = [regex.escape(w) for w in [*self.lexicon, *THREAT] if not w.endswith("*")]
+        starts = [regex.escape(w[:-1]) for w in self.lexicon if w.endswith("*")]
+        parts = ["(?:" + "|".join(sorted(whole)) + r")(?![\p{L}\p{M}'])"] + (["(?:" + "|".join(sorted(starts)) + ")"] if starts else [])
+        return regex.compile(r"(?<![\p{L}\p{M}'])(?:" + "|".join(parts) + ")")
+
+    def __getstate__(self) -> dict:
+        return {"lexicon": self.lexicon, "weights": self.weights}
 
     def score(self, text: str | None) -> float:
         x = self.features(text)
         return float(1 / (1 + np.exp(-(self.weights[0] + x @ self.weights[1:]))))
 
 
-_PATTERNS: dict[int, object] = {}
-
-
 def _terms(text: str) -> set[str]:
     words = set(WORD.findall(text.lower()))
     return words | {w[:n] + "*" for w in words for n in STARTS if len(w) >= n}
@@ -253,4 +253,5 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with their own columns."""
     model = fit(labelled_sample(docs, labels, fold(F.col("doc_id"), 3) != 1))
-    return with_score(docs, model, into="_toxic_score").where(F.col("_toxic_score") < THRESHOLD).drop("_toxic_score")
+    into = fresh(docs, "toxic_score")
+    return with_score(docs, model, into=into).where(F.col(into) < THRESHOLD).drop(into)
