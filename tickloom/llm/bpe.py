@@ -17,6 +17,7 @@ import json
 import re
 import struct
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes
+from .common import as_bytes, word_steps
 
 #: Words that a worker remembers before it forgets those that it hasn't met lately; longer words are not remembered.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 900_000, 64
 #: Texts that are encoded together, so that the vectorised steps have many words.
 BATCH = 1024
 #: Longer pieces are merged one at a time with a heap.
@@ -79,6 +80,39 @@ class _Lookup:
         return out
 
 
+class _Store:
+    """Ids of the words that a worker has met, by the word's hash."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.start, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        slots = len(self.start) - 1 + np.arange(len(keys))
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")
+        self.keys, self.slots = both[order], np.concatenate([self.slots, slots])[order]
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+
+    def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and where each word's begin (with the end)."""
+        begin, sizes = self.start[slots], self.start[slots + 1] - self.start[slots]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(begin - bounds[:-1], sizes) + np.arange(int(bounds[-1]))], bounds
+
+
 class WordBpe:
     """A byte-level BPE with word ends, read from a tokenizers file. A piece is the UTF-8 of one pre-token."""
 
@@ -112,6 +146,7 @@ class WordBpe:
         self._build_trie(vocab)
         self.words: dict[str, dict[bytes, bytes]] = {"ids": {}, "text": {}, "tokens": {}}
         self.met: dict[str, set[bytes]] = {"ids": set(), "text": set()}
+        self.store = _Store()
         self.ends_sentence = np.array([bool(re.search(r"[.!?]+</w>$", t)) for t in self.text_of])
         self.id_text = [b"%d" % i for i in range(size)]
         self.token_text = [t.encode() for t in self.text_of]
@@ -332,6 +367,27 @@ class WordBpe:
             out.append((joined.count(b" ") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(text).hexdigest()))
         return out
 
+    def encode_steps(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of a binary column: (first row, end row, ids of all its texts, where each text begins).
+
+        Words are looked up by their 64-bit hash, side by side; only new ones become Python objects.
+        """
+        for row, end, words in word_steps(column, fold_case=False):
+            types, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+            slot = self.store.find(types)
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                if len(self.store.keys) + len(new) > CACHE_WORDS:
+                    self.store.forget()
+                    new = np.arange(len(types))
+                raw, begin = words.data.tobytes(), words.starts[at[new]]
+                texts = [raw[a:b] for a, b in zip(begin.tolist(), (begin + words.lengths[at[new]]).tolist(), strict=True)]
+                found = self.learn(texts)
+                self.store.add(types[new], [found[t] for t in texts])
+                slot = self.store.find(types)
+            ids, bounds = self.store.ids(slot[which])
+            yield row, end, ids, bounds[words.first]
+
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: this vocabulary names no decoder."""
         return " ".join(self.text_of[i] for i in ids)

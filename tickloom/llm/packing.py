@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BATCH, WordBpe, tokenizer_path
+from .bpe import WordBpe, tokenizer_path
 from .common import as_bytes
 
 LIMIT = 4096
@@ -173,12 +173,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_BINARY)
 
         for batch in batches:
-            texts = batch.column(1)
-            for i in range(0, len(texts), BATCH):
-                for key, ids in zip(batch.column(0).slice(i, BATCH).to_pylist(), bpe.encode_bytes(texts.slice(i, BATCH).to_pylist()), strict=True):
-                    rows += packer.add(key, ids + end)
-            if len(rows) > 20_000:
-                yield out()
+            keys = batch.column(0).to_pylist()
+            for row, stop, ids, bounds in bpe.encode_steps(batch.column(1)):
+                raw, at = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+                for key, a, b in zip(keys[row:stop], at[:-1], at[1:], strict=True):
+                    rows += packer.add(key, raw[a:b] + end)
+                if len(rows) > 20_000:
+                    yield out()
         rows += packer.flush(last=True)
         yield out()
 
