@@ -40,6 +40,8 @@ STARTS = (3, 4, 5, 6, 7, 8)
 #: Log odds that a text's clauses add up to at most.
 MOST_ODDS = 60.0
 THRESHOLD = 0.7
+#: Words that a worker remembers before it starts anew.
+REMEMBERED = 400_000
 
 CLAUSE = regex.compile(r"[.!?;:\n]+")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}']*")
@@ -142,16 +144,21 @@ class Model:
         return out
 
     def may_match(self, text: str) -> str | None:
+        """The text in lower case if it holds an insult or a threat at all. Words that were met are remembered."""
         low = text.lower()
-        return low if self.pattern.search(low) else None
+        words = set(WORD.findall(low))
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            if len(known) > REMEMBERED:
+                known.clear()
+                new = list(words)
+            known.update((w, self.odds(w) > 0 or w in THREAT) for w in new)
+        return low if any(map(known.__getitem__, words)) else None
 
     @cached_property
-    def pattern(self):
-        """Finds texts that may match at all."""
-        whole = [regex.escape(w) for w in [*self.lexicon, *THREAT] if not w.endswith("*")]
-        starts = [regex.escape(w[:-1]) for w in self.lexicon if w.endswith("*")]
-        parts = ["(?:" + "|".join(sorted(whole)) + r")(?![\p{L}\p{M}'])"] + (["(?:" + "|".join(sorted(starts)) + ")"] if starts else [])
-        return regex.compile(r"(?<![\p{L}\p{M}'])(?:" + "|".join(parts) + ")")
+    def known(self) -> dict[str, bool]:
+        return {}
 
     def __getstate__(self) -> dict:
         return {"lexicon": self.lexicon, "weights": self.weights}
