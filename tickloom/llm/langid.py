@@ -43,9 +43,11 @@ def _grams(word: str, size: int) -> list[str]:
 def training_sample(docs: DataFrame, where) -> DataFrame:
     """(text, lang) of the sample. First ids alone are ranked, then the few chosen are sent to the texts."""
     rows = docs.where(where).where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
-    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.join(F.broadcast(top), "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIT_DOCS)
+    top = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # A hash that only about twice the wanted rows of a language pass, so that no language is ranked whole.
+    passes = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) < 2.0 * FIT_DOCS / F.col("n")
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    chosen = rows.join(F.broadcast(top), "lang").where(passes).withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIT_DOCS)
     chosen = materialise(chosen.select("doc_id", "lang").distinct())
     return materialise(docs.where("text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text"))
 
