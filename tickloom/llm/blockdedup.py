@@ -21,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, materialise
 
 #: Characters in a block.
 BLOCK = 8192
+#: Rows of about 100 bytes that may be broadcast.
+FEW = 1 << 18
 #: Text is normalised by replacing each run of white space by one space.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -116,7 +118,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns; of rows that agree in id and text one stays."""
     found = groups(docs, doc_id, text)
-    drop = materialise(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sum")))
+    drop = few(materialise(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sum")).distinct()), FEW)
     rest = docs.join(drop, (docs[doc_id].eqNullSafe(drop["_gone"])) & (F.sha2(normalise(docs[text]), 256) == drop["_sum"]), "left_anti")
     again = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():

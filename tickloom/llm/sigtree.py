@@ -13,9 +13,10 @@ What meets in a task is found in three exact steps, so that work follows the lin
 2. Linked sets share at least k of their smallest hashes, so a class without k shared ones links with nothing.
    Postings for this are packed per bucket of the hash; a hash with a million documents is one run of numbers.
 3. What is left meets twice. First by min-hash, in tiles of bounded size: this joins nearly all near copies
-   into components. Then, for completeness, by every hash of the prefix that two different components share;
-   blocks with the same members are one, and large blocks fall into pairs of tiles. Pairs inside one component
-   are never compared, so a group of copies costs about one comparison a member and not a square.
+   into components. Then, for completeness, sets that lie to three quarters in sets of other components meet in
+   families: sets that share a hash of their prefix, over two components, are of one family. A family is one
+   tile, or all pairs of tiles if it is larger, so each set travels once for each tile and not for each hash.
+   Pairs inside one component are never compared, so a group of copies costs about one comparison a member.
 
 Python memory is bounded by a bucket of postings or two tiles of sets. Nothing but a fixed bitmap of 8 MB
 and emptiness tests reaches the driver.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import MULTIPLIERS, Words, as_bytes, materialise, mix, word_steps
+from .common import MULTIPLIERS, Words, as_bytes, few, materialise, mix, word_steps
 from .components import components
 
 SHINGLE = 5
@@ -46,6 +47,8 @@ EXTRA_PERCENT = 15
 TILE, FANOUT = 1024, 8
 #: Bits of the bitmap that keeps sets without a chance from being shuffled.
 SIEVE_BITS = 1 << 26
+#: Rows of 16 bytes that may be broadcast.
+FEW = 1 << 20
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +97,6 @@ def _least_kept(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def _guaranteed(n: np.ndarray, percent: int) -> np.ndarray:
-    """Smallest hashes that a set of n shares for sure with a linked set, in prefixes longer by ``_extra``."""
-    return _extra(_least_kept(n, percent))
-
-
 def _extra(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, n * EXTRA_PERCENT // 100)
 
@@ -116,9 +114,9 @@ def _pack(hashes: np.ndarray, doc: np.ndarray, table: np.ndarray, buckets: int)
     bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((doc, bucket))
     hashes, doc, bucket = hashes[order], doc[order], bucket[order]
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+    edge = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)] if len(bucket) else []
     rows: list[tuple] = []
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)], strict=True):
+    for a, b in zip(edge, edge[1:], strict=False):
         own, counts = np.unique(doc[a:b], return_counts=True)
         rows.append((int(bucket[a]), table[own].tobytes(), counts.astype(np.int32).tobytes(), hashes[a:b].tobytes()))
     columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -133,11 +131,11 @@ def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _buckets(spark) -> int:
-    return 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _survivors(texts: DataFrame, percent: int) -> DataFrame:
-    """Keys of classes that share enough of their smallest hashes to have a link."""
+def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Keys of classes that share enough of their smallest hashes to have a link. sizes: (k1, n)."""
     buckets = _buckets(texts.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,25 +146,27 @@ def _survivors(texts: DataFrame, percent: int) -> DataFrame:
                 size = np.minimum(n, n - _least_kept(n, percent) + _extra(n)) * (n > 0)
                 at = _take(first, size)
                 k1, _ = _class_keys(keys, first)
-                yield _pack(keys[at], np.repeat(np.arange(len(n)), size), np.stack([k1.view(np.int64), n], axis=1), buckets)
+                yield _pack(keys[at], np.repeat(np.arange(len(n)), size), k1.view(np.int64)[:, None], buckets)
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, doc = _unpack(table, 2)
-        order = np.lexsort((doc[:, 0], hashes))
+        hashes, doc = _unpack(table, 1)
+        doc = doc[:, 0]
+        order = np.lexsort((doc, hashes))
         hashes, doc = hashes[order], doc[order]
-        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:, 0] != doc[:-1, 0])])
+        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])])
         hashes, doc = hashes[new], doc[new]
         same = hashes[1:] == hashes[:-1]
         shared = np.zeros(len(hashes), dtype=bool)
         shared[1:] |= same
         shared[:-1] |= same
-        k, i, c = np.unique(doc[shared, 0], return_index=True, return_counts=True)
-        return pa.table({"k1": k, "n": doc[shared, 1][i] if len(k) else np.empty(0, np.int64), "c": c.astype(np.int64)})
+        k, c = np.unique(doc[shared], return_counts=True)
+        return pa.table({"k1": k, "c": c.astype(np.int64)})
 
-    found = texts.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, "k1 long, n long, c long")
+    found = texts.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, "k1 long, c long")
     kept = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     enough = F.greatest(F.lit(1).cast("long"), F.floor(kept * EXTRA_PERCENT / F.lit(100)))
-    return materialise(found.groupBy("k1").agg(F.max("n").alias("n"), F.sum("c").alias("c")).where(F.col("c") >= enough).select("k1"))
+    found = found.groupBy("k1").agg(F.sum("c").alias("c")).join(sizes.groupBy("k1").agg(F.max("n").alias("n")), "k1")
+    return materialise(found.where(F.col("c") >= enough).select("k1"))
 
 
 def _sieve(keys: DataFrame) -> np.ndarray:
@@ -343,11 +343,37 @@ def _near(sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartitionByRange(n, "low", "k1").sortWithinPartitions("low", "k1").mapInArrow(run, "a long, b long")
 
 
+def _covered(named: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Keys of sets of which so much lies in sets of other components that they can link with one of these."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            if len(n):
+                table = np.stack([batch.column(0).to_numpy(), n, batch.column(3).to_numpy()], axis=1)
+                yield _pack(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n), table, buckets)
+
+    def count(table: pa.Table) -> pa.Table:
+        hashes, doc = _unpack(table, 3)
+        order = np.argsort(hashes, kind="stable")
+        hashes, doc = hashes[order], doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        mixed = np.minimum.reduceat(doc[:, 2], begin) != np.maximum.reduceat(doc[:, 2], begin)
+        keep = np.repeat(mixed, np.diff([*begin, len(hashes)]))
+        k, i, c = np.unique(doc[keep, 0], return_index=True, return_counts=True)
+        return pa.table({"k1": k, "n": doc[keep, 1][i] if len(k) else np.empty(0, np.int64), "c": c.astype(np.int64)})
+
+    found = named.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, "k1 long, n long, c long")
+    return materialise(found.groupBy("k1").agg(F.max("n").alias("n"), F.sum("c").alias("c")).where(100 * F.col("c") >= percent * F.col("n")).select("k1"))
+
+
 def _rest(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     """All further links that join different components (``names``: node, component)."""
     buckets = _buckets(sets.sparkSession)
+    # Names are a few bytes a set. While they are few they go to the sets; beyond that Spark shuffles both.
+    names = few(names, FEW)
     named = sets.join(names, sets["k1"] == names["node"], "left").select("k1", "n", "shingles", F.coalesce("component", "k1").alias("component"))
-    named = materialise(named)
+    named = named.join(few(_covered(named, percent, buckets), FEW), "k1", "left_semi")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,12 +390,15 @@ def _rest(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         size = np.diff([*begin, len(hashes)])
         mixed = (np.minimum.reduceat(doc[:, 2], begin) != np.maximum.reduceat(doc[:, 2], begin)) if len(hashes) else np.empty(0, bool)
-        name = np.add.reduceat(mix(doc[:, 0].astype(np.uint64)), begin).view(np.int64) if len(hashes) else np.empty(0, np.int64)
+        least = np.minimum.reduceat(doc[:, 0], begin) if len(hashes) else np.empty(0, np.int64)
         keep = np.repeat(mixed, size)
-        rows = np.unique(np.stack([np.repeat(name, size)[keep], doc[keep, 0], np.repeat(size, size)[keep]], axis=1), axis=0)
-        return pa.table({"block": rows[:, 0], "k1": rows[:, 1], "size": rows[:, 2]})
+        rows = np.unique(np.stack([doc[keep, 0], np.repeat(least, size)[keep]], axis=1), axis=0)
+        return pa.table({"a": rows[:, 0], "b": rows[:, 1]})
 
-    members = named.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(blocks, "block long, k1 long, size long").distinct()
+    stars = named.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(blocks, "a long, b long").distinct()
+    families = components(stars)
+    sizes = materialise(families.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    members = families.join(few(sizes, FEW), "component").select(F.col("component").alias("block"), F.col("node").alias("k1"), "size")
     tiles = F.ceil(F.col("size") / TILE)
     members = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("k1"), F.col("tiles")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
@@ -388,7 +417,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(doc_id).alias("doc_id"), arrow_udf(_class_of, "n long, k1 long, k2 long")(as_bytes(F.col(text))).alias("c")).select("doc_id", "c.*")
     own = materialise(own)
     classes = own.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"))
-    sets = _sets(texts, _survivors(texts, percent))
+    sets = _sets(texts, _survivors(texts, own.where("n > 0").select("k1", "n"), percent))
     first = materialise(_near(sets, percent))
     second = materialise(_rest(sets, components(first), percent))
     names = components(first.union(second))
@@ -405,7 +434,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` of which the id is the smallest of its component, with their own columns; of equal rows one."""
     found = link_components(docs, doc_id, text, percent)
-    gone = materialise(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    gone = few(materialise(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()), FEW)
     rest = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
     again = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rest if again.isEmpty() else rest.dropDuplicates([doc_id])
