@@ -134,6 +134,33 @@ def _buckets(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_DEALT = "target int, keys binary, counts binary"
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, targets: int) -> pa.Table:
+    """Counts of one bucket, packed by where their keys are summed up: a row for each target and not for each key."""
+    target = (mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(targets)).astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    keys, counts, target = keys[order].astype(np.int64), counts[order].astype(np.int64), target[order]
+    own, first = np.unique(target, return_index=True)
+    edge = [*first.tolist(), len(target)]
+    pieces = list(zip(edge, edge[1:], strict=False))
+    return pa.table({"target": pa.array(own, pa.int32()), "keys": pa.array([keys[a:b].tobytes() for a, b in pieces], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in pieces], pa.binary())})
+
+
+def _summed(dealt: DataFrame) -> DataFrame:
+    """(k1, c): the packed counts added up."""
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
+        k, which = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(k), np.int64)
+        np.add.at(total, which, np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64))
+        return pa.table({"k1": k, "c": total})
+
+    return dealt.groupBy("target").applyInArrow(add, "k1 long, c long")
+
+
 def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Keys of classes that share enough of their smallest hashes to have a link. sizes: (k1, n)."""
     buckets = _buckets(texts.sparkSession)
@@ -160,12 +187,12 @@ def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
         shared[1:] |= same
         shared[:-1] |= same
         k, c = np.unique(doc[shared], return_counts=True)
-        return pa.table({"k1": k, "c": c.astype(np.int64)})
+        return _dealt(k, c, buckets)
 
-    found = texts.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, "k1 long, c long")
+    found = _summed(texts.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, _DEALT))
     kept = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     enough = F.greatest(F.lit(1).cast("long"), F.floor(kept * EXTRA_PERCENT / F.lit(100)))
-    found = found.groupBy("k1").agg(F.sum("c").alias("c")).join(sizes.groupBy("k1").agg(F.max("n").alias("n")), "k1")
+    found = found.join(sizes.groupBy("k1").agg(F.max("n").alias("n")), "k1")
     return materialise(found.where(F.col("c") >= enough).select("k1"))
 
 
@@ -360,11 +387,11 @@ def _covered(named: DataFrame, percent: int, buckets: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         mixed = np.minimum.reduceat(doc[:, 2], begin) != np.maximum.reduceat(doc[:, 2], begin)
         keep = np.repeat(mixed, np.diff([*begin, len(hashes)]))
-        k, i, c = np.unique(doc[keep, 0], return_index=True, return_counts=True)
-        return pa.table({"k1": k, "n": doc[keep, 1][i] if len(k) else np.empty(0, np.int64), "c": c.astype(np.int64)})
+        k, c = np.unique(doc[keep, 0], return_counts=True)
+        return _dealt(k, c, buckets)
 
-    found = named.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, "k1 long, n long, c long")
-    return materialise(found.groupBy("k1").agg(F.max("n").alias("n"), F.sum("c").alias("c")).where(100 * F.col("c") >= percent * F.col("n")).select("k1"))
+    found = _summed(named.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, _DEALT))
+    return materialise(found.join(named.select("k1", "n"), "k1").where(100 * F.col("c") >= percent * F.col("n")).select("k1"))
 
 
 def _rest(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
