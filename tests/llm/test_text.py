@@ -360,6 +360,28 @@ def test_lm(docs, rows, empty, monkeypatch):
     assert lm.held_out_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [lm.FILTER_BITS, 1 << 17, 0])
+def test_lm_holds_all_pairs(docs, rows, monkeypatch, bits):
+    """Those seen once too, in the filter, or beyond its size in the table; only errors of a small filter may raise a score."""
+    monkeypatch.setattr(lm, "FILTER_BITS", bits)
+    tokens = [(i, [*words(t, lower=True), b" "], zlib.crc32(str(i).encode()) % 7 == 2) for i, t, *_ in rows]
+    c = Counter(w for _, ws, held in tokens if not held for w in ws)
+    pairs = Counter(p for _, ws, held in tokens if not held for p in zip([b" ", *ws], ws, strict=False))
+    assert sum(n == 1 for n in pairs.values()) > 100
+    total = sum(c.values()) + len(c) + 1
+
+    def middle(n):
+        return (1.5 * 2 ** (n.bit_length() - 1) - 0.5 if n > 1 else n) if n else 0
+
+    def score(ws):
+        return sum(math.log10(lm.LAMBDA * min(1, middle(pairs[a, b]) / max(1, middle(c[a]))) + (1 - lm.LAMBDA) * (middle(c[b]) + 1) / total) for a, b in zip([b" ", *ws], ws, strict=False))
+
+    expected = {i: score(ws) for i, ws, _ in tokens}
+    got = {r.doc_id: r.score for r in lm.held_out_scores(docs).collect()}
+    off = [abs(got[i] - e) / abs(e) for i, e in expected.items()]
+    assert len(got) == len(expected) and (sum(off) / len(off) < 0.01 if bits else max(off) < 1e-9), (sum(off) / len(off), max(off))
+
+
 def test_bloom_counts_never_fall_short(spark):
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(1, 1 << 63, 5000, dtype=np.uint64), rng.integers(1, 3000, 5000)

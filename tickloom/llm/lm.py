@@ -1,13 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-An n-gram that occurs c times is put into the filter once for each level 1 .. 1 + log2(c), together with the
+An n-gram that occurs c times is put into the filter once for each level up to 1 + log2(c), together with the
 level's number. Reading probes level after level until one is missing; the last one found gives the count
-back within a factor of two. The filter has ``FILTER_BITS`` bits whatever the corpus holds, so its size is known
-before it is broadcast; it holds word pairs and single words.
+back within a factor of two. The filter takes ``ENTRY_BITS`` bits for each entry counted, and ``FILTER_BITS`` at
+most, as it is broadcast; it holds word pairs and single words.
 
 Counts cover every training token: tasks count packed 64-bit hashes of words and of pairs of words, and Spark
-adds the counts up by bucket. From the counts, and not from a cap, follows the least count of the pairs that go
-in: the smallest for which the filter stays at most half full, at every size of the corpus.
+adds the counts up by bucket. Every word and pair is in the model, those seen once too. Where all entries don't
+fit the filter, it holds those of level ``least`` or above, and the levels below stay in a table, bucket by
+bucket: each step of texts asks the table for the n-grams that the filter doesn't know, once each, and is scored
+when the answers are back.
 
 Probability of a word after another: LAMBDA times the pair's share of the first word's count, plus the rest
 times the word's own smoothed share; both from probed counts.
@@ -21,17 +23,19 @@ Defined results: a null text counts as empty and has one token, its end; with no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import MULTIPLIERS, Words, as_bytes, fold, materialise, mix, word_steps
 
-FILTER_BITS = 1 << 28
+#: Most and fewest bits of the filter, and bits for each entry in between (three in ten are set, three in a hundred probes err).
+FILTER_BITS, FEWEST_BITS, ENTRY_BITS = 1 << 29, 1 << 22, 8
 #: The filter is built in so many segments; all probes of an n-gram fall into one.
 SEGMENTS = 256
 PROBES = 3
@@ -103,7 +107,7 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def pair_counts(training: DataFrame) -> DataFrame:
-    """(bucket, pairs, counts): pairs of tokens that occur twice or more, packed by segment of the filter."""
+    """(bucket, pairs, counts): all pairs of tokens, packed by segment of the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -127,10 +131,9 @@ def pair_counts(training: DataFrame) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         entries = np.frombuffer(b"".join(table["entries"].to_pylist()), np.uint64)
         keys, counts = _merge(entries >> np.uint64(24), (entries & np.uint64((1 << 24) - 1)).astype(np.int64))
-        keep = counts > 1
         bucket = table["bucket"][0].as_py()
         keys = keys | np.uint64(bucket << 40)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": pa.array([keys[keep].tobytes()], pa.binary()), "counts": pa.array([counts[keep].tobytes()], pa.binary())})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     return training.mapInArrow(run, "bucket int, entries binary").groupBy("bucket").applyInArrow(add, "bucket int, pairs binary, counts binary")
 
@@ -140,40 +143,38 @@ def filter_keys(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(16)
 
 
-def probe_places(keys: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
-    """Bit of a probe inside the key's segment."""
+def probe_places(keys: np.ndarray, level: np.ndarray | int, probe: int, segment: int) -> np.ndarray:
+    """Bit of a probe inside the key's segment of so many bits."""
     salted = mix(keys + np.asarray(level, np.uint64) * MULTIPLIERS[14] + np.uint64(probe) * MULTIPLIERS[15])
-    return (salted % np.uint64(FILTER_BITS // SEGMENTS)).astype(np.int64)
+    return (salted % np.uint64(segment)).astype(np.int64)
 
 
 class BloomCounts:
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits  # packed, segment after segment
+    def __init__(self, bits: np.ndarray, least: int = 1) -> None:
+        self.bits, self.least = bits, least  # packed, segment after segment
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """Highest level below the first that is missing; 0 for an unknown n-gram."""
+        """Highest level below the first that is missing; 0 for an n-gram that isn't in the filter."""
         out, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        base = (keys >> np.uint64(40)).astype(np.int64) * (FILTER_BITS // SEGMENTS)
-        for level in range(1, LEVELS):
+        segment = 8 * len(self.bits) // SEGMENTS
+        base = (keys >> np.uint64(40)).astype(np.int64) * segment
+        for level in range(self.least, LEVELS):
             for probe in range(PROBES):
-                place = base[at] + probe_places(keys[at], level, probe)
+                place = base[at] + probe_places(keys[at], level, probe, segment)
                 at = at[((self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)]
             if not len(at):
                 break
             out[at] = level
         return out
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        level = self.level(keys)
-        # the middle of the counts of a level: 1, 2.5, 6, 12 ...
-        return np.where(level > 0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0) - 0.5), 0.0)
 
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level: 1, 2.5, 6, 12 ..."""
+    return np.where(level > 0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0) - 0.5), 0.0)
 
-def build_filter(words: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter's bits, built segment by segment on the workers, and the least count of pairs in it."""
-    spark = words.sparkSession
-    level = F.floor(F.log2(F.col("c").cast("double"))).cast("long") + 1
-    fixed = words.agg(F.sum(level)).first()[0] or 0
+
+def build_segments(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, bits, keys, levels): the filter, built segment by segment on the workers, and the n-grams below its least level, which is the second result."""
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
@@ -182,40 +183,52 @@ def build_filter(words: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, int]:
                 total += np.bincount(levels_of(np.frombuffer(counts, np.int64)), minlength=LEVELS)[:LEVELS]
         yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS)), pa.array(total)], names=["level", "n"])
 
-    rows = pairs.select("counts").mapInArrow(histogram, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    of_pairs = pairs.select("counts").mapInArrow(histogram, "level long, n long")
+    of_words = words.groupBy(F.length(F.bin("c")).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     by_level = np.zeros(LEVELS, np.int64)
-    for r in rows:
+    for r in of_pairs.union(of_words).groupBy("level").agg(F.sum("n").alias("n")).collect():
         by_level[r["level"]] = r["n"]
-    entries = np.cumsum((by_level * np.arange(LEVELS))[::-1])[::-1]  # filter entries of pairs of a level or above
-    room = int(0.69 * FILTER_BITS / PROBES) - fixed
-    least = next((lv for lv in range(2, LEVELS) if entries[lv] <= room), LEVELS - 1)
-    segment = FILTER_BITS // SEGMENTS
+    # entries[lv]: an n-gram of level l >= lv takes l - lv + 1
+    entries = np.cumsum(np.cumsum(by_level[::-1]))[::-1]
+    least = next((lv for lv in range(1, LEVELS) if entries[lv] * ENTRY_BITS <= FILTER_BITS), LEVELS - 1)
+    segment = 8 * -(-max(FEWEST_BITS, int(entries[least]) * ENTRY_BITS) // (8 * SEGMENTS))
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
         bits = np.zeros(segment, np.uint8)
-
-        def put(keys: np.ndarray, levels: np.ndarray) -> None:
-            for lv in range(1, LEVELS):
-                keys, levels = keys[levels >= lv], levels[levels >= lv]
-                if not len(keys):
-                    break
-                for probe in range(PROBES):
-                    bits[probe_places(keys, lv, probe)] = 1
-
         bucket = (left if left.num_rows else right)["bucket"][0].as_py()
-        for keys, counts in zip(left["pairs"].to_pylist(), left["counts"].to_pylist(), strict=True):
-            levels = levels_of(np.frombuffer(counts, np.int64))
-            put(np.frombuffer(keys, np.uint64)[levels >= least], levels[levels >= least])
-        own = right["word"].to_numpy().view(np.uint64)
-        put(filter_keys(own), levels_of(right["c"].to_numpy()))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        keys = np.concatenate([*(np.frombuffer(x, np.uint64) for x in left["pairs"].to_pylist()), filter_keys(right["word"].to_numpy().view(np.uint64))])
+        levels = levels_of(np.concatenate([*(np.frombuffer(x, np.int64) for x in left["counts"].to_pylist()), right["c"].to_numpy()]))
+        below = levels < least
+        rest, rest_levels = keys[below], levels[below].astype(np.uint8)
+        order = np.argsort(rest)
+        keys, levels = keys[~below], levels[~below]
+        for lv in range(least, LEVELS):
+            keys, levels = keys[levels >= lv], levels[levels >= lv]
+            if not len(keys):
+                break
+            for probe in range(PROBES):
+                bits[probe_places(keys, lv, probe, segment)] = 1
+        columns = [np.packbits(bits, bitorder="little"), rest[order], rest_levels[order]]
+        return pa.table({"bucket": pa.array([bucket], pa.int32())} | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("bits", "keys", "levels"), columns, strict=True)})
 
     byte = F.shiftrightunsigned("word", 56).cast("int").alias("bucket")
     both = pairs.groupBy("bucket").cogroup(words.select(byte, "word", "c").groupBy("bucket"))
-    out = np.zeros((SEGMENTS, segment // 8), np.uint8)
-    for row in both.applyInArrow(build, "bucket int, bits binary").toArrow().to_pylist():
-        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1), int(least)
+    return materialise(both.applyInArrow(build, "bucket int, bits binary, keys binary, levels binary")), int(least)
+
+
+def bits_of(built: DataFrame) -> np.ndarray:
+    """The filter's bits; a segment without n-grams is empty."""
+    rows = {row["bucket"]: np.frombuffer(row["bits"], np.uint8) for row in built.select("bucket", "bits").toArrow().to_pylist()}
+    out = np.zeros((SEGMENTS, len(next(iter(rows.values()))) if rows else FEWEST_BITS // SEGMENTS // 8), np.uint8)
+    for bucket, bits in rows.items():
+        out[bucket] = bits
+    return out.reshape(-1)
+
+
+def build_filter(words: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter's bits and the least level in it."""
+    built, least = build_segments(words, pairs)
+    return bits_of(built), least
 
 
 def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +238,8 @@ def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: s
     words = materialise(word_counts(texts))
     sums = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = int(sums["n"] or 0), int(sums["v"])
-    bits, _ = build_filter(words, materialise(pair_counts(texts)))
+    built, least = build_segments(words, materialise(pair_counts(texts)))
+    bits = bits_of(built)
     hot = words.orderBy(F.desc("c"), "word").limit(HOT)
     hot = materialise(hot)
     table = hot.toArrow()
@@ -234,16 +248,47 @@ def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: s
     shared = spark.sparkContext.broadcast((bits.tobytes(), hot_keys[order].tobytes(), table["c"].to_numpy()[order].tobytes()))
     total = n_train + n_types + 1
 
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def model() -> tuple[BloomCounts, np.ndarray, np.ndarray]:
         raw_bits, raw_keys, raw_counts = shared.value
-        bloom = BloomCounts(np.frombuffer(raw_bits, np.uint8))
-        keys, counts = np.frombuffer(raw_keys, np.uint64), np.frombuffer(raw_counts, np.int64)
+        return BloomCounts(np.frombuffer(raw_bits, np.uint8), least), np.frombuffer(raw_keys, np.uint64), np.frombuffer(raw_counts, np.int64)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bloom, keys, counts = model()
         for column in columns:
-            parts = [_score(words, bloom, keys, counts, total) for _, _, words in word_steps(column)]
+            parts = [_score(words, bloom.level, keys, counts, total) for _, _, words in word_steps(column)]
             yield pa.concat_arrays(parts) if parts else _score_type([])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), arrow_udf(run, _SCORE)(as_bytes(F.col(text))).alias("s"))
-    rows = materialise(rows.select("doc_id", "row", "s.*"))
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        bloom, keys, counts = model()
+        back = sorted((r["bucket"], r["levels"]) for r in right.to_pylist())
+        answers = np.frombuffer(b"".join(x for _, x in back), np.uint8)
+        ids, numbers, texts = (left[c].combine_chunks().flatten() for c in ("ids", "rows", "texts"))
+        parts = []
+        for _, _, words in word_steps(texts):
+            need, found = _unknown(words, bloom)[0], answers
+            if len(need) != len(found):
+                raise ValueError(f"{len(found)} answers for {len(need)} n-grams")
+
+            def level(x: np.ndarray, need: np.ndarray = need, found: np.ndarray = found) -> np.ndarray:
+                out = bloom.level(x)
+                miss = np.flatnonzero(out == 0)
+                out[miss] = found[np.searchsorted(need, x[miss])]
+                return out
+
+            parts.append(_score(words, level, keys, counts, total))
+        scores = pa.concat_arrays(parts) if parts else _score_type([])
+        return pa.Table.from_arrays([ids, numbers, *scores.flatten()], names=["doc_id", "row", *_NAMES])
+
+    numbered = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), as_bytes(F.col(text)).alias("text"))
+    if least == 1:
+        rows = materialise(numbered.select("doc_id", "row", arrow_udf(run, _SCORE)("text").alias("s")).select("doc_id", "row", "s.*"))
+    else:
+        id_type = numbered.schema["doc_id"].dataType.simpleString()
+        asked = materialise(_asks(numbered, id_type, lambda: model()[0]))
+        wanted = asked.where("bucket >= 0").select("bucket", "step", "keys")
+        answers = wanted.groupBy("bucket").cogroup(built.select("bucket", F.col("keys").alias("known"), "levels").groupBy("bucket")).applyInArrow(_answer, "step long, bucket int, levels binary")
+        held = asked.where("bucket < 0").select("step", "ids", "rows", "texts")
+        rows = materialise(held.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, f"doc_id {id_type}, row long, {_SCORE}"))
     cold = rows.select("row", F.explode(F.arrays_zip("cold", "cold_n")).alias("w")).select("row", F.col("w.cold").alias("word"), F.col("w.cold_n").alias("times"))
     rest = words.join(hot.select("word"), "word", "left_anti")
     found = cold.join(rest, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
@@ -265,14 +310,55 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1])
 
 
-def _score(words: Words, bloom: BloomCounts, keys: np.ndarray, counts: np.ndarray, total: int) -> pa.Array:
+def _unknown(words: Words, bloom: BloomCounts) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a step that the filter doesn't know, sorted, and where those of each bucket begin."""
+    tokens, first = tokens_of(words)
+    need = np.unique(filter_keys(np.concatenate([tokens, pairs_of(tokens, first)])))
+    need = need[bloom.level(need) == 0]
+    return need, np.searchsorted(need >> np.uint64(40), np.arange(SEGMENTS + 1, dtype=np.uint64))
+
+
+def _asks(numbered: DataFrame, id_type: str, bloom_of: Callable[[], BloomCounts]) -> DataFrame:
+    """(step, bucket, keys, ids, rows, texts): for each step its texts (bucket -1), and by bucket the n-grams to ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom, step = bloom_of(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for row, end, words in word_steps(batch.column(2)):
+                need, edges = _unknown(words, bloom)
+                own = [pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), batch.column(i).slice(row, end - row)) for i in range(3)]
+                ask = [(b, need[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges.tolist(), edges.tolist()[1:], strict=False)) if i < j]
+                names = ["step", "bucket", "keys", "ids", "rows", "texts"]
+                yield pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), *own], names=names)
+                n = len(ask)
+                yield pa.RecordBatch.from_arrays([pa.array([step] * n, pa.int64()), pa.array([b for b, _ in ask], pa.int32()), pa.array([x for _, x in ask], pa.binary()), *(pa.nulls(n, x.type) for x in own)], names=names)
+                step += 1
+
+    return numbered.mapInArrow(run, f"step long, bucket int, keys binary, ids array<{id_type}>, rows array<long>, texts array<binary>")
+
+
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Levels of the n-grams that steps ask a bucket for, 0 for those never seen."""
+    known, levels = (np.frombuffer(right[c][0].as_py() if right.num_rows else b"", t) for c, t in (("known", np.uint64), ("levels", np.uint8)))
+    out = []
+    for asked in left["keys"].to_pylist():
+        need = np.frombuffer(asked, np.uint64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, need), len(known) - 1)
+            out.append(np.where(known[at] == need, levels[at], 0).astype(np.uint8).tobytes())
+        else:
+            out.append(bytes(len(need)))
+    return pa.table({"step": left["step"], "bucket": left["bucket"], "levels": pa.array(out, pa.binary())})
+
+
+def _score(words: Words, level: Callable[[np.ndarray], np.ndarray], keys: np.ndarray, counts: np.ndarray, total: int) -> pa.Array:
     tokens, first = tokens_of(words)
     types, which = np.unique(tokens, return_inverse=True)
     at = np.minimum(np.searchsorted(keys, types), max(0, len(keys) - 1))
     is_hot = keys[at] == types if len(keys) else np.zeros(len(types), dtype=bool)
     exact = np.where(is_hot, counts[at] if len(keys) else 0, 0)
     # the model
-    own = bloom.count(filter_keys(types))
+    own = count_of(level(filter_keys(types)))
     single = (own + 1) / total
     pair = pairs_of(tokens, first)
     before = np.empty_like(which)
@@ -281,8 +367,8 @@ def _score(words: Words, bloom: BloomCounts, keys: np.ndarray, counts: np.ndarra
     before[first[:-1]] = end
     context = own[before]
     both = np.zeros(len(tokens))
-    maybe = np.flatnonzero((context >= 2) & (own[which] >= 2))
-    both[maybe] = bloom.count(filter_keys(pair[maybe]))
+    maybe = np.flatnonzero((context > 0) & (own[which] > 0))
+    both[maybe] = count_of(level(filter_keys(pair[maybe])))
     share = np.minimum(1.0, both / np.maximum(1.0, context))
     log_p = np.log10(LAMBDA * share + (1 - LAMBDA) * single[which])
     # what is left for the join: words that aren't hot, once for each text
