@@ -187,6 +187,20 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_inside_lines_and_over_lines(spark):
+    around = " ".join(f"w{i}" for i in range(60))
+    bsd = licenses.TEMPLATES["bsd-3-clause"]
+    texts = {
+        "This project is released under the MIT License.": ("mit", 1.0, 1), f"{around} released under the MIT license. {around}": ("mit", 1.0, 1),
+        f"{around}\n" + bsd.replace(" with or", "\n with or").replace(" that", "\nthat") + f"\n{around}": ("bsd-3-clause", 1.0, 1),
+        f"Released under the MIT License.\n{around} Licensed under CC BY-NC 4.0. {around}": ("cc-by-nc-4.0", 1.0, 2),
+        f"{around} released under the MIT\n{around}": ("mit", 0.857143, 1), f"{around} released under\nfoo MIT license {around}": (None, 0.0, 0),
+        "Released under the MIT License.\nother": ("mit", 1.0, 2), f"{around} released under\nReleased under the MIT License.\nthe MIT license {around}": ("mit", 1.0, 1), "": (None, 0.0, 0),
+    }
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.license, r.dice, r.n_passages) for r in sorted(out, key=lambda r: r.doc_id)] == list(texts.values())
+
+
 # 5
 
 

@@ -4,6 +4,11 @@ Each line of a text, and the text as a whole, is a candidate passage. A passage
 reach a coefficient t with a template of ``b`` only if t / (2 - t) <= a / b <= (2 - t) / t, so every passage
 meets only the templates inside these bounds, and passages outside all bounds are never split into bigrams.
 
+Notices inside a line or wrapped over lines are found by windows of words, over the text without its matching
+lines. The window of the greatest coefficient begins and ends with a bigram of the template, so for each template
+all windows between two of its bigrams, of up to b (2 - t) / t bigrams, are compared where the text holds the
+b t / (2 - t) distinct ones that a match needs. A template found so counts as one passage more.
+
 Only DataFrame functions are used, without a shuffle: templates are a literal of the plan (their number is that
 of the list given), and the best passage of a document is found inside its row.
 
@@ -70,7 +75,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     # Cheap exact test first: a passage that shares a bigram holds one of the templates' words.
     has = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(first_words) + r")(?![\p{L}\p{N}])" if first_words else "(?!)"
     seen = F.filter(seen, lambda p: p.rlike(has))
-    grams = F.filter(F.transform(F.transform(seen, words_of), bigrams_of), lambda g: (F.size(g) >= low) & (F.size(g) <= high) & F.arrays_overlap(g, all_grams))
+    split = F.transform(F.transform(seen, lambda p: F.struct(p.alias("p"), words_of(p).alias("w"))), lambda s: F.struct(s.p.alias("p"), bigrams_of(s.w).alias("g")))
+    grams = F.filter(split, lambda s: (F.size(s.g) >= low) & (F.size(s.g) <= high) & F.arrays_overlap(s.g, all_grams))
 
     def best(g: Column) -> Column:
         found = []
@@ -80,9 +86,43 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
             found.append(F.struct((F.when(inside, 2.0 * common / (F.size(g) + len(own))).otherwise(0.0)).alias("dice"), F.lit(name).alias("license")))
         return F.reduce(F.array(*found), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda a, x: F.when(x.dice > a.dice, x).otherwise(a)) if found else F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license"))
 
-    hits = F.filter(F.transform(grams, best), lambda h: h.dice >= match)
+    def window(at: Column, own: list[str]) -> Column:
+        """Greatest coefficient of the windows that begin and end at places ``at`` (place, bigram) of a template's bigrams."""
+        reach = int(len(own) * ratio)
+
+        def from_place(s: Column, k: Column) -> Column:
+            ahead = F.filter(F.slice(at, k + 1, F.lit(reach)), lambda e: e.i < s.i + reach)
+
+            def dice(e: Column, j: Column) -> Column:
+                common = F.size(F.array_distinct(F.transform(F.slice(ahead, F.lit(1), j + 1), lambda x: x.g)))
+                size = F.size(F.array_distinct(F.slice(F.col("pairs"), s.i + 1, e.i - s.i + 1)))
+                return 2.0 * common / (size + len(own))
+
+            return F.array_max(F.transform(ahead, dice))
+
+        return F.array_max(F.transform(at, from_place))
+
+    hits = F.filter(F.transform(grams, lambda s: F.struct(best(s.g).alias("h"), s.p.alias("p"))), lambda h: h.h.dice >= match)
     top = F.reduce("hits", F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda a, x: F.when((x.dice > a.dice) | ((x.dice == a.dice) & (x["license"] < a["license"])), x).otherwise(a))
-    out = docs.select(F.col(doc_id).alias("doc_id"), hits.alias("hits"))
+    out = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), hits.alias("found"))
+    # A matching line gives way to a mark, so that its neighbours don't meet.
+    left = F.when(F.exists("found", lambda h: h.p == F.col("body")), F.lit("")).when(F.size("found") == 0, F.col("body"))
+    left = left.otherwise(F.array_join(F.transform(F.split("body", "\n"), lambda p: F.when(F.exists("found", lambda h: h.p == p), F.lit("\n0\n")).otherwise(p)), "\n"))
+    out = out.select("doc_id", F.transform("found", lambda h: h.h).alias("lines"), left.alias("left"))
+    out = out.select("doc_id", "lines", F.when(F.col("left").rlike(has), words_of(F.col("left"))).otherwise(F.array().cast("array<string>")).alias("words"))
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words"), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    out = out.select("doc_id", "lines", pairs.alias("pairs"))
+    places = F.filter(F.transform("pairs", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x.g.isin(sorted({g for _, gs in known for g in gs})))
+    out = out.select("doc_id", "lines", "pairs", places.alias("places"))
+
+    def embedded(name: str, own: list[str]) -> Column:
+        at = F.filter("places", lambda x: x.g.isin(own))
+        enough = F.size(F.array_distinct(F.transform(at, lambda x: x.g))) >= len(own) / ratio
+        value = F.when(enough, F.transform(F.array(at), lambda q: window(q, own))[0])
+        return F.struct(F.coalesce(value, F.lit(0.0)).alias("dice"), F.lit(name).alias("license"))
+
+    inside = F.when(F.size("places") >= low, F.filter(F.array(*[embedded(*k) for k in known]), lambda h: h.dice >= match)) if known else F.lit(None)
+    out = out.select("doc_id", (F.concat("lines", F.coalesce(inside, F.slice("lines", 1, 0))) if known else F.col("lines")).alias("hits"))
     out = out.select("doc_id", top.alias("top"), F.size("hits").cast("long").alias("n_passages"))
     return out.select("doc_id", F.when(F.col("n_passages") > 0, F.col("top.license")).alias("license"), F.round("top.dice", 6).alias("dice"), "n_passages")
 
