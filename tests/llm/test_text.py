@@ -129,10 +129,44 @@ def test_no_labels(spark, docs, empty):
 
 
 def test_grammar_names_kinds():
-    model = toxicity.Model({"nitwit": 5.0}, np.zeros(toxicity.KINDS + 3))
+    model = toxicity.Model({"nitwit": 5.0, "grokka*": 3.0, "grokkafine": -1.0, "dim": 0.8, "bulb": 0.9}, pairs={"dim bulb": 4.0})
     kinds = lambda text: {k for k in range(toxicity.KINDS) if model.features(text)[k]}
     assert kinds("a nitwit") == {0} and kinds("you nitwit") == {1} and kinds("not a nitwit") == {2} and kinds("she said nitwit") == {4}
-    assert kinds("i will kill you") == {9} and kinds("nothing. here") == set() and kinds(None) == set()
+    assert kinds("i will kill you") == {9} and kinds("nothing. here") == set() and kinds(None) == set() and kinds("he kills time") == set()
+    assert kinds("kills you") == {9} and kinds("she wrote i will not hurt them") == {15} and kinds("dim bulb") == {0} and kinds("bulb big dim") == {0} and kinds("bulb") == set()
+    assert kinds("grokkaxyz") == {0} and kinds("grokkafine") == set()
+    long = "nitwit " + "w " * 200 + "nitwit"
+    assert model.features(long)[0] == pytest.approx(math.log(3))  # two clauses, though no mark ends them
+
+
+def test_composed_machine_against_enumeration():
+    """Every clause of up to five classes, and many longer ones: the machine finds what the definitions say."""
+    import itertools
+
+    slur, half, intend, hurt, aim, negate, report = range(1, 8)
+
+    def matches(tokens):
+        out, aimed = [], aim in tokens
+        for i, c in enumerate(tokens):
+            insult = c == slur or (c == half and half in tokens[max(0, i - 2) : i])
+            threat = (c == hurt and intend in tokens[max(0, i - toxicity.REACH) : i]) or (c == aim and hurt in tokens[max(0, i - toxicity.REACH) : i])
+            if insult or threat:
+                out.append((8 * (not insult) + aimed + 2 * (negate in tokens[max(0, i - toxicity.REACH) : i]) + 4 * (report in tokens[:i]), float(i)))
+        return out
+
+    rng = random.Random(4)
+    clauses = [c for n in range(6) for c in itertools.product(range(8), repeat=n)] + [[rng.randrange(8) for _ in range(rng.randrange(6, 30))] for _ in range(3000)]
+    for c in clauses:
+        assert toxicity.read_clause([(x, float(i)) for i, x in enumerate(c)]) == matches(list(c)), c
+
+
+def test_fit_settles_on_separable_rows():
+    x = np.zeros((4000, toxicity.KINDS + toxicity.EXTRAS))
+    y = (np.arange(4000) % 9 == 0).astype(float)
+    x[y == 1, toxicity.KINDS :] = np.random.default_rng(3).uniform(2, 7, (int(y.sum()), 3))
+    w = toxicity.logistic(x, y, np.ones(4000))
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert p[y == 1].min() > 0.7 and p[y == 0].max() < 0.1
 
 
 # 3
