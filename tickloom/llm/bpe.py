@@ -4,9 +4,10 @@ For each word a greedy longest match proposes tokens. A proposal is the exact en
 pair of neighbours is compatible, that is, encodes to itself; a vectorised check tests all pairs of a batch
 at once and remembers them. Only words with a failing pair are merged exactly, rank by rank.
 
-Words repeat, so each worker keeps a bounded table of the words it has met; a full table is emptied.
+Words repeat, so each worker keeps a bounded table of the words it has met; a full table is emptied. Pieces of more
+than ``LONG_PIECE`` bytes are merged exactly at once, as a failing piece would be: their ids are the same either way.
 Defined results: a null text counts as empty and has no tokens; very long texts are taken whole; repeated
-rows are encoded each; an empty table gives an empty one.
+rows are encoded each; an empty table gives an empty one; columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, word_steps
+from .common import as_bytes, give_back, word_steps
 
 #: Words that a worker remembers before it forgets those that it hasn't met lately; longer words are not remembered.
-CACHE_WORDS, CACHE_BYTES = 900_000, 64
+CACHE_WORDS, CACHE_BYTES = 600_000, 64
+#: Bytes of text between two additions to the table of hashes.
+STORE_STEP = 2 << 20
 #: Texts that are encoded together, so that the vectorised steps have many words.
 BATCH = 1024
 #: Longer pieces are merged one at a time with a heap.
@@ -370,9 +373,10 @@ class WordBpe:
     def encode_steps(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of a binary column: (first row, end row, ids of all its texts, where each text begins).
 
-        Words are looked up by their 64-bit hash, side by side; only new ones become Python objects.
+        Words are looked up by their 64-bit hash, side by side; only new ones become Python objects. The hash
+        is trusted: two different words of a worker's table share it once in some 40 million tables.
         """
-        for row, end, words in word_steps(column, fold_case=False):
+        for row, end, words in word_steps(column, fold_case=False, limit=STORE_STEP):
             types, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
             slot = self.store.find(types)
             new = np.flatnonzero(slot < 0)
@@ -439,6 +443,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", toke
         bpe, out = WordBpe.load(path), []
         for i in range(0, len(column), BATCH):
             out += bpe.digests(column.slice(i, BATCH).to_pylist())
+        give_back()
         parts = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.string()), pa.array(parts[2], pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 

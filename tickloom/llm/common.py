@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it (a fresh local one where it names none, as in tests)."""
+    """The folder that all executors share, as the session names it. Only a session on one machine may go without: it gets a fresh local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
@@ -127,6 +131,22 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> W
     return Words(data, offsets, starts, lengths, doc, first, hashes)
 
 
+@cache
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the allocator hold in reserve: Python workers live on after a batch and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of a binary column of about ``limit`` bytes: (first row, end row, bytes, offsets from 0)."""
     column = column.cast(pa.large_binary())
@@ -143,6 +163,7 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
         row = end
 
 
-def word_steps(column: pa.Array, fold_case: bool = True) -> Iterator[tuple[int, int, Words]]:
-    for row, end, data, offsets in steps(column):
+def word_steps(column: pa.Array, fold_case: bool = True, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, Words]]:
+    for row, end, data, offsets in steps(column, limit):
         yield row, end, words_of(data, offsets, fold_case)
+    give_back()
