@@ -509,6 +509,25 @@ def test_plan_is_optimal():
         assert cost == best[-1]
 
 
+# rows that no id names
+
+SAME_IDS = [(1, "a b c d e f g"), (1, "x b c d e f h"), (2, "a b  c d e f g"), (3, "a b c d e f g"), (3, "one more text with words"), (4, ""), (4, " "), (None, "e e e"), (None, "f f f"), (None, "E e e"), (None, "f f  f"), (5, "f f f")]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeated_and_null_ids(spark, kind):
+    table = spark.createDataFrame(SAME_IDS, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).withColumns({c: F.lit("clash") for c in (*EXTRA, "g_id", "g_sum", "_sum", "_class", "node", "n")})
+    order = lambda rows: sorted((str(r.doc_id), " ".join(r.text.split()).lower()) for r in rows)
+    near = order(sigtree.keep_one(table).collect())
+    assert near == sorted([("1", "a b c d e f g"), ("1", "x b c d e f h"), ("3", "one more text with words"), ("4", ""), ("4", ""), ("None", "e e e"), ("5", "f f f")])
+    first = order(blockdedup.keep_first(table).collect())
+    assert first == sorted([("1", "a b c d e f g"), ("1", "x b c d e f h"), ("3", "one more text with words"), ("4", ""), ("4", ""), ("None", "e e e"), ("None", "e e e"), ("5", "f f f")])
+    assert sigtree.keep_one(table).columns == table.columns == blockdedup.keep_first(table).columns
+    pieces = packing.pack(table).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in table.collect()} and sum(p.start == 0 for p in pieces) == table.count()
+    assert packing.pack(table.limit(0)).count() == 0
+
+
 # all
 
 
@@ -517,22 +536,44 @@ def test_every_operator_has_a_query():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, DATA).collect()
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+def brute_pipeline(docs, labels):
+    """(id, text) of what the stages before packing keep of a table, row by row."""
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
     toxic = {r.doc_id for r in toxicity.held_out_scores(docs, labels).where("predicted = 1").collect()}
     rows = [r for r in rows if r[0] not in toxic]
     rows = [r for r in rows if (m := brute_quality(r[1])) and not (m[0] < 20 or 100 * m[4] > 30 * m[0])]
-    first = {}
-    for i, t, *_ in rows:
-        k = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
-        first[k] = min(first.get(k, i), i)
-    rows = [r for r in rows if r[0] in set(first.values())]
-    keep = {c for _, _, c in brute_components(rows)}
-    rows = [r for r in rows if r[0] in keep]
+    kept, seen = [], set()
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        k = re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")
+        if k not in seen:
+            seen.add(k)
+            kept.append(r)
+    keep = {c for _, _, c in brute_components(kept)}
+    return [r for r in kept if r[0] in keep]
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, DATA).collect()
+    rows = brute_pipeline(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet"))
     assert {p.doc_id for p in out} == {r[0] for r in rows}
     check_packing(out, rows)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, docs, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; and a table without rows."""
+    import corpus_pipeline
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, table in (("odd", docs), ("none", empty)):
+        held = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            held = stage(spark, held, str(tmp_path))
+            assert held.columns == docs.columns
+            held.write.parquet(f"{tmp_path}/{name}-{_}")
+            held = spark.read.parquet(f"{tmp_path}/{name}-{_}")
+        out = corpus_pipeline.STAGES[-1][1](spark, held, str(tmp_path)).collect()
+        rows = brute_pipeline(table, labels) if name == "odd" else []
+        assert {p.doc_id for p in out} == {r[0] for r in rows}

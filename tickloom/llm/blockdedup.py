@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, materialise
+from .common import few, fresh, materialise
 
 #: Characters in a block.
 BLOCK = 8192
@@ -108,7 +108,10 @@ def _pair(named: DataFrame, bucket) -> DataFrame:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = BLOCK, bucket=bucket_of) -> DataFrame:
-    """One row per document: the id that stays of its group, the group's size, and whether this row's id is that one."""
+    """One row per document: the id that stays of its group, the group's size, and whether this row's id is that one.
+
+    Rows of a group that have the same id, or no id at all, share the verdict; ``keep_first`` lets one of them stay.
+    """
     rows = materialise(identities(docs, doc_id, text, size, bucket))
     key = ["n_chars", "bucket", "place"]
     kept = materialise(rows.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -116,14 +119,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; of rows that agree in id and text one stays."""
+    """One row of each group of equal texts, with its own columns: that of the smallest id, null ids last, whatever ids repeat."""
     found = groups(docs, doc_id, text)
-    drop = few(materialise(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sum")).distinct()), FEW)
-    rest = docs.join(drop, (docs[doc_id].eqNullSafe(drop["_gone"])) & (F.sha2(normalise(docs[text]), 256) == drop["_sum"]), "left_anti")
-    again = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
-        return rest
-    return rest.dropDuplicates([doc_id, text])
+    g_id, g_sum, total = (fresh(docs, x) for x in ("g_id", "g_sum", "_sum"))
+    drop = few(materialise(found.where("not kept").select(F.col("doc_id").alias(g_id), F.col("text_sha256").alias(g_sum)).distinct()), FEW)
+    tagged = docs.withColumn(total, F.sha2(normalise(F.col(text)), 256))
+    rest = tagged.join(drop, F.col(doc_id).eqNullSafe(F.col(g_id)) & (F.col(total) == F.col(g_sum)), "left_anti")
+    again = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return (rest if again.isEmpty() else rest.dropDuplicates([doc_id, total])).drop(total)
 
 
 ORACLE_SQL = """

@@ -11,7 +11,8 @@ the end of a partition can be short, and that end falls apart into powers of two
 
 Nothing is shuffled: a lost task is run again from its input partition with the same result.
 Defined results: a null text is an empty document (just its end token); repeated rows and equal ids are
-documents each; an empty table gives no pieces; further columns are not read.
+documents each; ids may be null and of any type; an empty table gives no pieces; further columns are not read.
+Words are known by a 64-bit hash of their bytes.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ BUFFER = 1 << 20
 #: Smallest power of two that a plan uses on purpose.
 LEAST_POWER = 256
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_BINARY = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NUMBERS = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def plan(cuts: np.ndarray, costs: np.ndarray, limit: int = LIMIT) -> list[int]:
@@ -166,21 +167,24 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int
         bpe, end = WordBpe.load(path), np.array([end_id], "<u4").tobytes()
         packer = _Packer(bpe, TaskContext.get().partitionId() << 40, limit)
         rows: list[tuple] = []
+        id_type = pa.int64()
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * len(_BINARY)
+            columns = list(zip(*rows, strict=True)) or [()] * (1 + len(_NUMBERS))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_BINARY)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", *_NUMBERS.names])
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
+            id_type, keys = batch.column(0).type, batch.column(0).to_pylist()
             for row, stop, ids, bounds in bpe.encode_steps(batch.column(1)):
                 raw, at = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
                 for key, a, b in zip(keys[row:stop], at[:-1], at[1:], strict=True):
                     rows += packer.add(key, raw[a:b] + end)
                 if len(rows) > 20_000:
                     yield out()
-        rows += packer.flush(last=True)
-        yield out()
+        if packer.docs or rows:
+            rows += packer.flush(last=True)
+            yield out()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(F.col(text)).alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), as_bytes(F.col(text)).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")

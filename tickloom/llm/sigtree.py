@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import MULTIPLIERS, Words, as_bytes, few, materialise, mix, word_steps
+from .common import MULTIPLIERS, Words, as_bytes, few, fresh, materialise, mix, word_steps
 from .components import components
 
 SHINGLE = 5
@@ -438,8 +438,8 @@ def _rest(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("block", "left", "right").applyInArrow(run, "a long, b long")
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) for each row of ``docs``."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """doc_id, class (k1, k2, n), node (a number for its component, null without shingles) and the component's smallest id, for each row."""
     texts = docs.select(as_bytes(F.col(text)).alias("text"))
     own = docs.select(F.col(doc_id).alias("doc_id"), arrow_udf(_class_of, "n long, k1 long, k2 long")(as_bytes(F.col(text))).alias("c")).select("doc_id", "c.*")
     own = materialise(own)
@@ -452,19 +452,35 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialise(classes)
     linked = classes.where("component IS NOT NULL")
     lowest = linked.groupBy("component").agg(F.min("least").alias("lowest"))
-    reached = linked.join(lowest, "component").select("k1", "k2", "n", F.col("lowest").alias("component_id"))
-    alone = classes.where("component IS NULL").select("k1", "k2", "n", F.col("least").alias("component_id"))
-    joined = own.join(materialise(reached.union(alone)), ["k1", "k2", "n"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    reached = linked.join(lowest, "component").select("k1", "k2", "n", F.col("component").alias("node"), F.col("lowest").alias("least"))
+    alone = classes.where("component IS NULL").select("k1", "k2", "n", F.col("k1").alias("node"), "least")
+    return own.join(materialise(reached.union(alone)), ["k1", "k2", "n"], "left").select("doc_id", "k1", "k2", "n", "node", "least")
+
+
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) for each row of ``docs``."""
+    return _labelled(docs, doc_id, text, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` of which the id is the smallest of its component, with their own columns; of equal rows one."""
-    found = link_components(docs, doc_id, text, percent)
-    gone = few(materialise(found.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()), FEW)
-    rest = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
-    again = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rest if again.isEmpty() else rest.dropDuplicates([doc_id])
+    """One row of each component of ``docs``, with its own columns: that of the smallest id, null ids last, whatever ids repeat.
+
+    Rows without words are linked with nothing, so all of them stay.
+    """
+    rows = materialise(_labelled(docs, doc_id, text, percent))
+    linked = rows.where("n > 0").withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "n"))
+    chosen = linked.groupBy("node").agg(F.min("key").alias("chosen"))
+    g_id, g1, g2, gn = (fresh(docs, x) for x in ("g_id", "g1", "g2", "gn"))
+    gone = linked.join(chosen, "node").where("key <> chosen").select(F.col("doc_id").alias(g_id), F.col("k1").alias(g1), F.col("k2").alias(g2), F.col("n").alias(gn)).distinct()
+    gone = few(materialise(gone), FEW)
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        return docs.join(gone, docs[doc_id].eqNullSafe(gone[g_id]), "left_anti")
+    # Ids repeat, so an id doesn't name a row: its class is needed too, and of rows equal in both one stays.
+    c, twin = fresh(docs, "_class"), fresh(docs, "_twin")
+    tagged = docs.withColumn(c, arrow_udf(_class_of, "n long, k1 long, k2 long")(as_bytes(F.col(text))))
+    tagged = tagged.withColumn(twin, F.when(F.col(f"{c}.n") == 0, F.monotonically_increasing_id()))
+    same = F.col(doc_id).eqNullSafe(F.col(g_id)) & (F.col(f"{c}.k1") == F.col(g1)) & (F.col(f"{c}.k2") == F.col(g2)) & (F.col(f"{c}.n") == F.col(gn))
+    return tagged.join(gone, same, "left_anti").dropDuplicates([doc_id, c, twin]).drop(c, twin)
 
 
 ORACLE_SQL = """
