@@ -1,19 +1,18 @@
 """Licence scan: Dice coefficient over word bigrams between normalised text and licence templates.
 
-Each line of a text, and the text as a whole, is a candidate passage. A passage with ``a`` distinct bigrams can
-reach a coefficient t with a template of ``b`` only if t / (2 - t) <= a / b <= (2 - t) / t, so every passage
-meets only the templates inside these bounds, and passages outside all bounds are never split into bigrams.
+A passage is a window of a text: as many words as a template has, from any word on that begins one of its bigrams (fewer
+at the end of the text). So a notice is found on a line of its own, inside a line, wrapped over lines, or as the body of
+a whole licence. Its coefficient with the template is 2 c / (a + b), for a and b distinct bigrams and c common ones.
 
-Notices inside a line or wrapped over lines are found by windows of words, over the text without its matching
-lines. The window of the greatest coefficient begins and ends with a bigram of the template, so for each template
-all windows between two of its bigrams, of up to b (2 - t) / t bigrams, are compared where the text holds the
-b t / (2 - t) distinct ones that a match needs. A template found so counts as one passage more.
+Size bounds prune templates before any window is built: a coefficient of t needs t / (2 - t) <= a / b <= (2 - t) / t,
+and therefore c >= b t / (2 - t), so a text that holds fewer of the template's distinct bigrams has no such window.
 
 Only DataFrame functions are used, without a shuffle: templates are a literal of the plan (their number is that
 of the list given), and the best passage of a document is found inside its row.
 
-Defined results: null and empty texts match nothing; of equal coefficients the template with the smaller name
-wins; repeated rows are scanned each; an empty table gives an empty one; further columns are not read.
+Defined results: null and empty texts match nothing; of equal coefficients the template with the smaller name wins, and
+inside one template the earliest window; very long texts are read whole; repeated rows are scanned each; an empty table
+gives an empty one; columns besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,122 +22,123 @@ from pyspark.sql import functions as F
 
 #: Least coefficient that counts as a match.
 MATCH = 0.75
-#: Short notices by which texts name their licence.
+#: Fixed texts: notices by which texts name their licence, and bodies of short licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed
+under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License.""",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-3-clause-body": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-body": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE
+OR PERFORMANCE OF THIS SOFTWARE.""",
     "mit": "Released under the MIT License.",
+    "mit-body": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
 def words_of(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots; other marks separate."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\.", " ")
-    return F.filter(F.split(F.trim(plain), " +"), lambda w: w != "")
+    """Lower-case words of letters and digits; all else separates."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def _py_bigrams(text: str) -> list[str]:
+def words_in(text: str) -> list[str]:
+    """The same for a template."""
     import regex
 
-    words = regex.sub(r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\.", " ", text.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return regex.findall(r"[\p{L}\p{N}]+", text.lower())
 
 
-def bigrams_of(words: Column) -> Column:
-    """Of an array that is a value already (a column or a lambda's variable), as it is read for every word."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+def bigrams(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, match: float = MATCH) -> DataFrame:
-    """One row per document: the best licence (null if none reaches ``match``), its coefficient, and how many passages match."""
-    known = [(name, _py_bigrams(body)) for name, body in sorted((templates or TEMPLATES).items())]
-    known = [(name, grams) for name, grams in known if grams]
-    ratio = (2 - match) / match
-    least, most = (min(len(g) for _, g in known), max(len(g) for _, g in known)) if known else (0, -1)
-    low, high = least / ratio, most * ratio
-    # A passage of n bigrams has n + 1 words at least and, as repeated ones count once, maybe more: only
-    # lower bounds may use the characters (two per bigram and one). Words are counted before any is joined.
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(body, "\n")
-    passages = F.array_distinct(F.when(F.size(lines) > 1, F.concat(lines, F.array(body))).otherwise(lines))
-    all_grams = F.array(*[F.lit(g) for g in sorted({g for _, gs in known for g in gs})]) if known else F.array().cast("array<string>")
-    first_words = sorted({g.split(" ")[0] for _, gs in known for g in gs})
-    seen = F.filter(passages, lambda p: (F.char_length(p) > 2 * low))
-    # Cheap exact test first: a passage that shares a bigram holds one of the templates' words.
-    has = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(first_words) + r")(?![\p{L}\p{N}])" if first_words else "(?!)"
-    seen = F.filter(seen, lambda p: p.rlike(has))
-    split = F.transform(F.transform(seen, lambda p: F.struct(p.alias("p"), words_of(p).alias("w"))), lambda s: F.struct(s.p.alias("p"), bigrams_of(s.w).alias("g")))
-    grams = F.filter(split, lambda s: (F.size(s.g) >= low) & (F.size(s.g) <= high) & F.arrays_overlap(s.g, all_grams))
-
-    def best(g: Column) -> Column:
-        found = []
-        for name, own in known:
-            inside = (F.size(g) >= len(own) / ratio) & (F.size(g) <= len(own) * ratio)
-            common = F.size(F.array_intersect(g, F.array(*[F.lit(x) for x in own])))
-            found.append(F.struct((F.when(inside, 2.0 * common / (F.size(g) + len(own))).otherwise(0.0)).alias("dice"), F.lit(name).alias("license")))
-        return F.reduce(F.array(*found), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda a, x: F.when(x.dice > a.dice, x).otherwise(a)) if found else F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license"))
-
-    def window(at: Column, own: list[str]) -> Column:
-        """Greatest coefficient of the windows that begin and end at places ``at`` (place, bigram) of a template's bigrams."""
-        reach = int(len(own) * ratio)
-
-        def from_place(s: Column, k: Column) -> Column:
-            ahead = F.filter(F.slice(at, k + 1, F.lit(reach)), lambda e: e.i < s.i + reach)
-
-            def dice(e: Column, j: Column) -> Column:
-                common = F.size(F.array_distinct(F.transform(F.slice(ahead, F.lit(1), j + 1), lambda x: x.g)))
-                size = F.size(F.array_distinct(F.slice(F.col("pairs"), s.i + 1, e.i - s.i + 1)))
-                return 2.0 * common / (size + len(own))
-
-            return F.array_max(F.transform(ahead, dice))
-
-        return F.array_max(F.transform(at, from_place))
-
-    hits = F.filter(F.transform(grams, lambda s: F.struct(best(s.g).alias("h"), s.p.alias("p"))), lambda h: h.h.dice >= match)
-    top = F.reduce("hits", F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda a, x: F.when((x.dice > a.dice) | ((x.dice == a.dice) & (x["license"] < a["license"])), x).otherwise(a))
-    out = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), hits.alias("found"))
-    # A matching line gives way to a mark, so that its neighbours don't meet.
-    left = F.when(F.exists("found", lambda h: h.p == F.col("body")), F.lit("")).when(F.size("found") == 0, F.col("body"))
-    left = left.otherwise(F.array_join(F.transform(F.split("body", "\n"), lambda p: F.when(F.exists("found", lambda h: h.p == p), F.lit("\n0\n")).otherwise(p)), "\n"))
-    out = out.select("doc_id", F.transform("found", lambda h: h.h).alias("lines"), left.alias("left"))
-    out = out.select("doc_id", "lines", F.when(F.col("left").rlike(has), words_of(F.col("left"))).otherwise(F.array().cast("array<string>")).alias("words"))
-    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words"), F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    out = out.select("doc_id", "lines", pairs.alias("pairs"))
-    places = F.filter(F.transform("pairs", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x.g.isin(sorted({g for _, gs in known for g in gs})))
-    out = out.select("doc_id", "lines", "pairs", places.alias("places"))
-
-    def embedded(name: str, own: list[str]) -> Column:
-        at = F.filter("places", lambda x: x.g.isin(own))
-        enough = F.size(F.array_distinct(F.transform(at, lambda x: x.g))) >= len(own) / ratio
-        value = F.when(enough, F.transform(F.array(at), lambda q: window(q, own))[0])
-        return F.struct(F.coalesce(value, F.lit(0.0)).alias("dice"), F.lit(name).alias("license"))
-
-    inside = F.when(F.size("places") >= low, F.filter(F.array(*[embedded(*k) for k in known]), lambda h: h.dice >= match)) if known else F.lit(None)
-    out = out.select("doc_id", (F.concat("lines", F.coalesce(inside, F.slice("lines", 1, 0))) if known else F.col("lines")).alias("hits"))
-    out = out.select("doc_id", top.alias("top"), F.size("hits").cast("long").alias("n_passages"))
-    return out.select("doc_id", F.when(F.col("n_passages") > 0, F.col("top.license")).alias("license"), F.round("top.dice", 6).alias("dice"), "n_passages")
+    """One row per document: the best licence (null if none reaches ``match``), its coefficient, the first word of its passage, and how many licences match."""
+    known = {name: bigrams(words_in(body)) for name, body in sorted((templates or TEMPLATES).items())}
+    known = {name: grams for name, grams in known.items() if grams}
+    all_grams = sorted({g for grams in known.values() for g in grams})
+    first_words = sorted({g.split(" ")[0] for g in all_grams})
+    least = match / (2 - match)
+    out = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    # Places of the templates' bigrams: first those of their first words, so that few bigrams are put together.
+    at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s.w.isin(first_words))
+    out = out.select("doc_id", "words", at.alias("at"))
+    pairs = F.transform("at", lambda s: F.struct(s.i.alias("i"), F.concat_ws(" ", s.w, F.get("words", s.i + 1)).alias("g")))
+    out = out.select("doc_id", "words", F.filter(pairs, lambda p: p.g.isin(all_grams)).alias("places"))
+
+    def window(own: Column, grams: list[str]) -> Column:
+        """The greatest coefficient of the windows from the places ``own`` on, and where the first such window begins."""
+        reach, size = len(grams), len(set(grams))
+
+        def passage(s: Column, k: Column) -> Column:
+            common = F.size(F.array_distinct(F.transform(F.filter(F.slice(own, k + 1, F.lit(reach)), lambda e: e.i < s.i + reach), lambda e: e.g)))
+            n = F.least(F.lit(reach), F.size("words") - 1 - s.i)
+            inside = F.zip_with(F.slice("words", s.i + 1, n), F.slice("words", s.i + 2, n), lambda a, b: F.concat_ws(" ", a, b))
+            return F.struct((2.0 * common / (F.size(F.array_distinct(inside)) + size)).alias("dice"), (-s.i).alias("before"))
+
+        return F.array_max(F.transform(own, passage))
+
+    def best(name: str, grams: list[str]) -> Column:
+        own = F.filter("places", lambda p: p.g.isin(sorted(set(grams))))
+        enough = F.size(F.array_distinct(F.transform(own, lambda p: p.g))) >= least * len(set(grams))
+        found = F.when(enough, F.transform(F.array(own), lambda q: window(q, grams))[0])
+        return F.struct(found.dice.alias("dice"), (-found.before).alias("first_word"), F.lit(name).alias("license"))
+
+    hits = F.filter(F.array(*[best(*k) for k in known.items()]), lambda h: h.dice >= match) if known else F.array().cast("array<struct<dice:double,first_word:int,license:string>>")
+    # Without as many places as the smallest template needs there is nothing to compare.
+    fewest = min((least * len(set(g)) for g in known.values()), default=1)
+    out = out.select("doc_id", F.when(F.size("places") >= fewest, hits).alias("hits"))
+    top = F.reduce("hits", F.element_at("hits", 1), lambda a, x: F.when(x.dice > a.dice, x).otherwise(a))
+    top = F.when(F.size("hits") > 0, top)
+    out = out.select("doc_id", top.alias("top"), F.greatest(F.size("hits"), F.lit(0)).cast("long").alias("n_licenses"))
+    return out.select("doc_id", F.col("top.license").alias("license"), F.coalesce(F.round("top.dice", 6), F.lit(0.0)).alias("dice"), F.col("top.first_word").cast("long").alias("first_word"), "n_licenses")
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{name}', {[g for g in _py_bigrams(body)]!r})" for name, body in sorted(TEMPLATES.items()))
+    values = ", ".join(f"('{name}', {len(grams)}, {sorted(set(grams))!r})" for name, grams in ((n, bigrams(words_in(b))) for n, b in sorted(TEMPLATES.items())))
     return f"""
-WITH t(name, own) AS (VALUES {values}),
-p AS (SELECT doc_id, unnest(list_distinct(list_append(string_split(coalesce(text, ''), chr(10)), coalesce(text, '')))) AS p FROM documents),
-w AS (SELECT doc_id, p, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '[.]+( |$)', ' ', 'g'), '(^| )[.]+', ' ', 'g'), ' +'), lambda x: x <> '') AS w
-  FROM p WHERE regexp_matches(lower(p), 'licens|permi|waive|redistrib|extent')),
-g AS (SELECT doc_id, p, list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w),
-s AS (SELECT doc_id, p, name, 2.0 * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM g, t),
-b AS (SELECT doc_id, p, max(dice) AS dice, arg_max(name, (dice, -ascii(name))) AS name FROM s GROUP BY ALL HAVING max(dice) >= {MATCH}),
-h AS (SELECT doc_id, arg_max(name, dice) AS license, max(dice) AS dice, count(*) AS n_passages FROM b GROUP BY doc_id)
-SELECT d.doc_id, license, round(coalesce(dice, 0), 6) AS dice, coalesce(n_passages, 0)::BIGINT AS n_passages FROM documents d LEFT JOIN h USING (doc_id)
+WITH t(name, reach, own) AS (VALUES {values}),
+og AS (SELECT name, reach, len(own) AS b, unnest(own) AS g FROM t),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+p AS (SELECT doc_id, i, og.g, name, reach, b FROM g JOIN og USING (g)),
+-- counts of all bigrams and of the template's in each window
+n AS (SELECT p.doc_id, p.name, p.i, any_value(p.b) AS b, count(DISTINCT x.g) AS a FROM p JOIN g x ON x.doc_id = p.doc_id AND x.i >= p.i AND x.i < p.i + p.reach GROUP BY ALL),
+c AS (SELECT p.doc_id, p.name, p.i, count(DISTINCT x.g) AS c FROM p JOIN p x ON x.doc_id = p.doc_id AND x.name = p.name AND x.i >= p.i AND x.i < p.i + p.reach GROUP BY ALL),
+s AS (SELECT doc_id, name, i, 2.0::DOUBLE * c / (a + b) AS dice FROM n JOIN c USING (doc_id, name, i)),
+m AS (SELECT doc_id, name, max(dice) AS dice FROM s GROUP BY ALL HAVING max(dice) >= {MATCH}),
+f AS (SELECT doc_id, name, m.dice, min(i) AS first_word FROM m JOIN s USING (doc_id, name) WHERE s.dice = m.dice GROUP BY ALL),
+h AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_licenses FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1)
+SELECT d.doc_id, name AS license, round(coalesce(dice, 0), 6) AS dice, first_word, coalesce(n_licenses, 0)::BIGINT AS n_licenses FROM documents d LEFT JOIN h USING (doc_id)
 """
 
 
