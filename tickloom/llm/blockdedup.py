@@ -1,19 +1,22 @@
 """Exact deduplication by deterministic block naming.
 
-A normalised text is cut into blocks of a fixed size. Each block gets an integer name, then neighbouring
-names are paired and the pairs are named, again and again, until a text has one name left. Names stand for
-contents one to one, so equal names (of texts with equally many characters) mean equal texts.
-
-Naming a set of contents: a bucket number (64 bits, from the content) and, inside the bucket, the place of
-the content among its sorted distinct contents. Nearly every bucket holds one content, whose place is 0, so
-only buckets with several contents ever need the sorted list; ``naming`` finds those by grouping the contents
-themselves, each of which crosses the network once per input partition that holds it. No hash is trusted.
-
-Only DataFrame functions are used. Copies that fill a bucket are merged before the shuffle, and the join of
-identities to their groups is one that Spark splits where a group is large.
-
-Defined results: a null text counts as empty, empty texts are equal; ids may repeat (the smallest stays, and
-of rows equal in id and text ``keep_first`` lets one stay); an empty table gives an empty one; a null id sorts last.
+A normalised text is cut into blocks of a fixed size. Distinct blocks are sorted and their places in that order are
+their integer names. Then neighbouring names are paired, distinct pairs are sorted and named in the same way, again
+and again, until a text has one name left. Names stand for contents one to one, so equal names (of texts with equally
+many characters) mean equal texts, and no hash is trusted.
+
+Whole blocks are not sorted as they are, which would move every text several times more: they are sorted by a pair of
+integers that stands for the content one to one, the 64-bit hash and the place of the content among the sorted
+contents of that hash. Nearly every hash has one content, whose place is 0. ``shared_buckets`` proves that by grouping
+the contents themselves, each of which crosses the network once per input partition that holds it. From then on only
+integers move.
+
+Only DataFrame functions are used. Copies are merged before each shuffle, so a block that a third of all texts hold
+is one row a task, and the joins of names to places are ones that Spark splits where a name is frequent.
+
+Defined results: a null text counts as empty, empty texts are equal; ids may repeat or be null (the smallest stays, null
+ids last; of rows that agree in id and text ``keep_first`` lets one stay); very long texts are cut into as many blocks
+as they need; an empty table gives an empty one; ``keep_first`` passes all other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import few, fresh, materialise
 
-#: Characters in a block.
-BLOCK = 8192
+#: Characters in a block; most texts have several.
+BLOCK = 512
 #: Rows of about 100 bytes that may be broadcast.
 FEW = 1 << 18
 #: Text is normalised by replacing each run of white space by one space.
@@ -44,67 +47,57 @@ def bucket_of(*content: Column) -> Column:
     return F.xxhash64(*content)
 
 
-def shared_buckets(contents: DataFrame, keys: list[str]) -> DataFrame:
+def shared_buckets(blocks: DataFrame) -> DataFrame:
     """Buckets that hold two or more contents, with these sorted: (bucket, contents)."""
-    distinct = contents.groupBy("bucket", *keys).agg(F.lit(1).alias("one"))
-    several = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    several = materialise(several)
+    distinct = blocks.groupBy("bucket", "block").agg(F.lit(1).alias("one"))
+    several = materialise(distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
     if several.isEmpty():
         return several.select("bucket", F.lit(None).cast("array<string>").alias("contents"))
-    content = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
-    again = contents.join(several, "bucket", "left_semi").select("bucket", content.alias("content"))
-    return materialise(again.groupBy("bucket").agg(F.sort_array(F.collect_set("content")).alias("contents")))
+    again = blocks.join(several, "bucket", "left_semi")
+    return materialise(again.groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("contents")))
 
 
-def _place(content: str) -> Column:
-    return F.coalesce(F.array_position("contents", F.col(content)) - 1, F.lit(0))
+def integers(contents: DataFrame, *keys: str) -> DataFrame:
+    """(keys, name): distinct contents, sorted, with their places in the order as integer names (rising, not without gaps)."""
+    return materialise(contents.select(*keys).distinct().orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
 
 
 def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = BLOCK, bucket=bucket_of) -> DataFrame:
-    """``docs`` as (row columns id, text_sha256, n_chars, bucket, place): the last three together are the identity of the text."""
+    """``docs`` as (doc_id, text_sha256, n_chars, name): the last two together are the identity of the text."""
     base = docs.select(F.col(doc_id).alias("doc_id"), normalise(F.col(text)).alias("body"))
     base = base.select("doc_id", F.sha2("body", 256).alias("text_sha256"), F.char_length("body").alias("n_chars"), blocks_of(F.col("body"), size).alias("blocks"))
     blocks = base.select(F.explode("blocks").alias("block")).select(bucket(F.col("block")).alias("bucket"), "block")
-    shared = shared_buckets(blocks, ["block"])
+    shared = shared_buckets(blocks)
     if shared.isEmpty():
         named = base.select("doc_id", "text_sha256", "n_chars", F.transform("blocks", lambda b: F.struct(bucket(b).alias("bucket"), F.lit(0).alias("place"))).alias("names"))
     else:
         rows = materialise(base.withColumn("row", F.monotonically_increasing_id()))
         cells = rows.select("row", F.posexplode("blocks").alias("at", "block")).select("row", "at", "block", bucket(F.col("block")).alias("bucket"))
-        cells = cells.join(shared, "bucket", "left").select("row", F.struct("at", "bucket", _place("block").cast("int").alias("place")).alias("cell"))
+        place = F.coalesce(F.array_position("contents", F.col("block")) - 1, F.lit(0)).cast("int")
+        cells = cells.join(shared, "bucket", "left").select("row", F.struct("at", "bucket", place.alias("place")).alias("cell"))
         lists = cells.groupBy("row").agg(F.transform(F.sort_array(F.collect_list("cell")), lambda c: F.struct(c.bucket.alias("bucket"), c.place.alias("place"))).alias("names"))
         named = rows.drop("blocks").join(lists, "row").drop("row")
-    # From here on the rows are small: a name for each block.
-    named = materialise(named)
-    longest = named.agg(F.max(F.size("names"))).first()[0] or 1
-    while longest > 1:
-        named = _pair(named, bucket)
-        longest = (longest + 1) // 2
-    return named.select("doc_id", "text_sha256", "n_chars", F.col("names")[0].bucket.alias("bucket"), F.col("names")[0].place.alias("place"))
-
-
-def _pair(named: DataFrame, bucket) -> DataFrame:
-    """Names of neighbouring names; an odd one at the end is paired with nothing (place -1)."""
-    none = F.struct(F.lit(0).cast("long").alias("bucket"), F.lit(-1).alias("place"))
-    twos = named.withColumn(
-        "pairs",
-        F.when(F.size("names") > 1, F.transform(F.sequence(F.lit(0), F.size("names") - 1, F.lit(2)), lambda i: F.struct(F.get("names", i).alias("a"), F.coalesce(F.get("names", i + 1), none).alias("b")))),
-    )
-    flat = twos.where(F.col("pairs").isNotNull()).select(F.explode("pairs").alias("p"))
-    keys = ["a_bucket", "a_place", "b_bucket", "b_place"]
-    flat = flat.select(F.col("p.a.bucket").alias(keys[0]), F.col("p.a.place").alias(keys[1]), F.col("p.b.bucket").alias(keys[2]), F.col("p.b.place").alias(keys[3]))
-    flat = flat.withColumn("bucket", bucket(*[F.col(k) for k in keys]))
-    shared = shared_buckets(flat, keys)
-    if shared.isEmpty():
-        name = F.transform("pairs", lambda p: F.struct(bucket(p.a.bucket, p.a.place, p.b.bucket, p.b.place).alias("bucket"), F.lit(0).alias("place")))
-        return twos.withColumn("names", F.coalesce(name, F.col("names"))).drop("pairs")
-    rows = materialise(twos.withColumn("row", F.monotonically_increasing_id()))
-    cells = rows.where(F.col("pairs").isNotNull()).select("row", F.posexplode("pairs").alias("at", "p"))
-    cells = cells.select("row", "at", F.struct(F.col("p.a.bucket").alias(keys[0]), F.col("p.a.place").alias(keys[1]), F.col("p.b.bucket").alias(keys[2]), F.col("p.b.place").alias(keys[3])).alias("content"))
-    cells = cells.withColumn("bucket", bucket(*[F.col(f"content.{k}") for k in keys])).join(shared, "bucket", "left")
-    cells = cells.select("row", F.struct("at", "bucket", _place("content").cast("int").alias("place")).alias("cell"))
-    lists = cells.groupBy("row").agg(F.transform(F.sort_array(F.collect_list("cell")), lambda c: F.struct(c.bucket.alias("bucket"), c.place.alias("place"))).alias("new"))
-    return materialise(rows.join(lists, "row", "left").withColumn("names", F.coalesce("new", "names")).drop("row", "pairs", "new"))
+    # From here on the rows are small: two integers for each block.
+    named = materialise(named.withColumn("row", F.monotonically_increasing_id()))
+    cells = named.select("row", F.size("names").alias("left"), F.posexplode("names").alias("at", "c")).select("row", "left", "at", "c.bucket", "c.place")
+    cells = cells.join(integers(cells, "bucket", "place"), ["bucket", "place"]).select("row", "left", "at", "name")
+    done, more = _split(cells)
+    while not more.isEmpty():
+        half = F.shiftright("at", 1)
+        side = lambda k: F.max(F.when(F.col("at") % 2 == k, F.col("name")))
+        # An odd name at the end is paired with nothing, which no name is.
+        pairs = more.groupBy("row", half.alias("at")).agg(F.max("left").alias("left"), side(0).alias("first"), F.coalesce(side(1), F.lit(-1)).alias("second"))
+        pairs = materialise(pairs.withColumn("left", F.shiftright(F.col("left") + 1, 1)))
+        cells = pairs.join(integers(pairs, "first", "second"), ["first", "second"]).select("row", "left", "at", "name")
+        ended, more = _split(cells)
+        done = done.unionByName(ended)
+    return named.drop("names").join(done, "row").drop("row")
+
+
+def _split(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that have one name left, and the cells of the others."""
+    cells = materialise(cells)
+    return cells.where(F.col("left") == 1).select("row", "name"), cells.where(F.col("left") > 1)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = BLOCK, bucket=bucket_of) -> DataFrame:
@@ -113,7 +106,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: in
     Rows of a group that have the same id, or no id at all, share the verdict; ``keep_first`` lets one of them stay.
     """
     rows = materialise(identities(docs, doc_id, text, size, bucket))
-    key = ["n_chars", "bucket", "place"]
+    key = ["n_chars", "name"]
     kept = materialise(rows.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return rows.join(kept, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
