@@ -5,11 +5,11 @@ level's number. Reading probes level after level until one is missing; the last
 back within a factor of two. The filter takes ``ENTRY_BITS`` bits for each entry counted, and ``FILTER_BITS`` at
 most, as it is broadcast; it holds word pairs and single words.
 
-Counts cover every training token: tasks count packed 64-bit hashes of words and of pairs of words, and Spark
-adds the counts up by bucket. Every word and pair is in the model, those seen once too. Where all entries don't
-fit the filter, it holds those of level ``least`` or above, and the levels below stay in a table, bucket by
-bucket: each step of texts asks the table for the n-grams that the filter doesn't know, once each, and is scored
-when the answers are back.
+Counts cover every training token: tasks count hashes of words and of pairs of words, and Spark adds the counts up,
+a row for each n-gram, so no task holds more than it can spill. Every word and pair is in the model, those seen once
+too. Where all entries don't fit the filter, it holds those of level ``least`` or above, and the levels below stay in
+a table: each step of texts asks the table for the n-grams that the filter doesn't know, once each, and is scored when
+the answers are back. Both ways give the same counts, but for the filter's errors.
 
 Probability of a word after another: LAMBDA times the pair's share of the first word's count, plus the rest
 times the word's own smoothed share; both from probed counts.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import MULTIPLIERS, Words, as_bytes, fold, materialise, mix, word_steps
+from .common import MULTIPLIERS, Words, as_bytes, fold, give_back, materialise, mix, word_steps
 
 #: Most and fewest bits of the filter, and bits for each entry in between (three in ten are set, three in a hundred probes err).
 FILTER_BITS, FEWEST_BITS, ENTRY_BITS = 1 << 29, 1 << 22, 8
@@ -73,20 +73,13 @@ def pairs_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return pair_hash(before, tokens)
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
-
-
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """1 + floor(log2(count))."""
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, c): hash and exact count of every token."""
+def _counted(training: DataFrame, keys_of: Callable[[Words], np.ndarray], name: str) -> DataFrame:
+    """(name, c): how often each key occurs. A task merges what it gathers before it hands it on; Spark adds up the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -94,48 +87,27 @@ def word_counts(training: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=[name, "c"])
 
         for batch in batches:
             for _, _, words in word_steps(batch.column(0)):
-                held.append(tokens_of(words)[0])
+                held.append(keys_of(words))
                 if sum(map(len, held)) > GATHER:
                     yield out()
         yield out()
+        give_back()
 
-    return training.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
+    return training.mapInArrow(run, f"{name} long, c long").groupBy(name).agg(F.sum("c").alias("c"))
 
-def pair_counts(training: DataFrame) -> DataFrame:
-    """(bucket, pairs, counts): all pairs of tokens, packed by segment of the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            held.clear()
-            edges = np.searchsorted(keys >> np.uint64(56), np.arange(SEGMENTS + 1, dtype=np.uint64)).tolist()
-            # The top byte is the bucket; 40 further bits and a 24-bit count make an entry.
-            packed = ((keys >> np.uint64(16)) << np.uint64(24)) | np.minimum(counts, (1 << 24) - 1).astype(np.uint64)
-            rows = [(b, packed[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "entries"])
-
-        for batch in batches:
-            for _, _, words in word_steps(batch.column(0)):
-                held.append(pairs_of(*tokens_of(words)))
-                if sum(map(len, held)) > GATHER:
-                    yield out()
-        yield out()
+def word_counts(training: DataFrame) -> DataFrame:
+    """(word, c): hash and exact count of every token."""
+    return _counted(training, lambda words: tokens_of(words)[0], "word")
 
-    def add(table: pa.Table) -> pa.Table:
-        entries = np.frombuffer(b"".join(table["entries"].to_pylist()), np.uint64)
-        keys, counts = _merge(entries >> np.uint64(24), (entries & np.uint64((1 << 24) - 1)).astype(np.int64))
-        bucket = table["bucket"][0].as_py()
-        keys = keys | np.uint64(bucket << 40)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
-    return training.mapInArrow(run, "bucket int, entries binary").groupBy("bucket").applyInArrow(add, "bucket int, pairs binary, counts binary")
+def pair_counts(training: DataFrame) -> DataFrame:
+    """(key, c): filter key and count of every pair of tokens."""
+    return _counted(training, lambda words: filter_keys(pairs_of(*tokens_of(words))), "key")
 
 
 def filter_keys(hashes: np.ndarray) -> np.ndarray:
@@ -173,62 +145,39 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1.0) - 0.5), 0.0)
 
 
-def build_segments(words: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
-    """(bucket, bits, keys, levels): the filter, built segment by segment on the workers, and the n-grams below its least level, which is the second result."""
+def leveled(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, level): all n-grams of the model by their filter keys."""
+    both = words.select(F.shiftrightunsigned("word", 16).alias("key"), "c").unionByName(pairs)
+    return both.select("key", F.length(F.bin("c")).cast("byte").alias("level"))
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS, np.int64)
-        for batch in batches:
-            for counts in batch.column(0).to_pylist():
-                total += np.bincount(levels_of(np.frombuffer(counts, np.int64)), minlength=LEVELS)[:LEVELS]
-        yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS)), pa.array(total)], names=["level", "n"])
-
-    of_pairs = pairs.select("counts").mapInArrow(histogram, "level long, n long")
-    of_words = words.groupBy(F.length(F.bin("c")).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    by_level = np.zeros(LEVELS, np.int64)
-    for r in of_pairs.union(of_words).groupBy("level").agg(F.sum("n").alias("n")).collect():
+
+def build_filter(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter's bits and the least level in it. Segments are built on the workers, from at most FILTER_BITS / ENTRY_BITS entries in all."""
+    by_level = np.zeros(LEVELS + 1, np.int64)
+    for r in grams.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect():
         by_level[r["level"]] = r["n"]
     # entries[lv]: an n-gram of level l >= lv takes l - lv + 1
     entries = np.cumsum(np.cumsum(by_level[::-1]))[::-1]
     least = next((lv for lv in range(1, LEVELS) if entries[lv] * ENTRY_BITS <= FILTER_BITS), LEVELS - 1)
     segment = 8 * -(-max(FEWEST_BITS, int(entries[least]) * ENTRY_BITS) // (8 * SEGMENTS))
 
-    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+    def build(table: pa.Table) -> pa.Table:
         bits = np.zeros(segment, np.uint8)
-        bucket = (left if left.num_rows else right)["bucket"][0].as_py()
-        keys = np.concatenate([*(np.frombuffer(x, np.uint64) for x in left["pairs"].to_pylist()), filter_keys(right["word"].to_numpy().view(np.uint64))])
-        levels = levels_of(np.concatenate([*(np.frombuffer(x, np.int64) for x in left["counts"].to_pylist()), right["c"].to_numpy()]))
-        below = levels < least
-        rest, rest_levels = keys[below], levels[below].astype(np.uint8)
-        order = np.argsort(rest)
-        keys, levels = keys[~below], levels[~below]
+        keys, levels = table["key"].to_numpy().view(np.uint64), table["level"].to_numpy().astype(np.int64)
         for lv in range(least, LEVELS):
             keys, levels = keys[levels >= lv], levels[levels >= lv]
             if not len(keys):
                 break
             for probe in range(PROBES):
                 bits[probe_places(keys, lv, probe, segment)] = 1
-        columns = [np.packbits(bits, bitorder="little"), rest[order], rest_levels[order]]
-        return pa.table({"bucket": pa.array([bucket], pa.int32())} | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("bits", "keys", "levels"), columns, strict=True)})
-
-    byte = F.shiftrightunsigned("word", 56).cast("int").alias("bucket")
-    both = pairs.groupBy("bucket").cogroup(words.select(byte, "word", "c").groupBy("bucket"))
-    return materialise(both.applyInArrow(build, "bucket int, bits binary, keys binary, levels binary")), int(least)
-
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-def bits_of(built: DataFrame) -> np.ndarray:
-    """The filter's bits; a segment without n-grams is empty."""
-    rows = {row["bucket"]: np.frombuffer(row["bits"], np.uint8) for row in built.select("bucket", "bits").toArrow().to_pylist()}
-    out = np.zeros((SEGMENTS, len(next(iter(rows.values()))) if rows else FEWEST_BITS // SEGMENTS // 8), np.uint8)
-    for bucket, bits in rows.items():
-        out[bucket] = bits
-    return out.reshape(-1)
-
-
-def build_filter(words: DataFrame, pairs: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter's bits and the least level in it."""
-    built, least = build_segments(words, pairs)
-    return bits_of(built), least
+    inside = grams.where(F.col("level") >= least).select(F.shiftright("key", 40).cast("int").alias("bucket"), "key", "level")
+    out = np.zeros((SEGMENTS, segment // 8), np.uint8)
+    for batch in inside.groupBy("bucket").applyInArrow(build, "bucket int, bits binary").toArrow().to_batches():
+        for bucket, bits in zip(batch.column(0), batch.column(1), strict=True):
+            out[bucket.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.reshape(-1), int(least)
 
 
 def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,8 +187,8 @@ def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: s
     words = materialise(word_counts(texts))
     sums = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, n_types = int(sums["n"] or 0), int(sums["v"])
-    built, least = build_segments(words, materialise(pair_counts(texts)))
-    bits = bits_of(built)
+    grams = materialise(leveled(words, pair_counts(texts)))
+    bits, least = build_filter(grams)
     hot = words.orderBy(F.desc("c"), "word").limit(HOT)
     hot = materialise(hot)
     table = hot.toArrow()
@@ -260,22 +209,19 @@ def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: s
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         bloom, keys, counts = model()
-        back = sorted((r["bucket"], r["levels"]) for r in right.to_pylist())
-        answers = np.frombuffer(b"".join(x for _, x in back), np.uint8)
-        ids, numbers, texts = (left[c].combine_chunks().flatten() for c in ("ids", "rows", "texts"))
-        parts = []
-        for _, _, words in word_steps(texts):
-            need, found = _unknown(words, bloom)[0], answers
-            if len(need) != len(found):
-                raise ValueError(f"{len(found)} answers for {len(need)} n-grams")
-
-            def level(x: np.ndarray, need: np.ndarray = need, found: np.ndarray = found) -> np.ndarray:
-                out = bloom.level(x)
+        order = np.argsort(right["key"].to_numpy())
+        known, levels = right["key"].to_numpy()[order].view(np.uint64), right["level"].to_numpy()[order]
+
+        def level(x: np.ndarray) -> np.ndarray:
+            out = bloom.level(x)
+            if len(known):
                 miss = np.flatnonzero(out == 0)
-                out[miss] = found[np.searchsorted(need, x[miss])]
-                return out
+                at = np.minimum(np.searchsorted(known, x[miss]), len(known) - 1)
+                out[miss] = np.where(known[at] == x[miss], levels[at], 0)
+            return out
 
-            parts.append(_score(words, level, keys, counts, total))
+        ids, numbers, texts = (left[c].combine_chunks().flatten() for c in ("ids", "rows", "texts"))
+        parts = [_score(words, level, keys, counts, total) for _, _, words in word_steps(texts)]
         scores = pa.concat_arrays(parts) if parts else _score_type([])
         return pa.Table.from_arrays([ids, numbers, *scores.flatten()], names=["doc_id", "row", *_NAMES])
 
@@ -285,9 +231,9 @@ def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: s
     else:
         id_type = numbered.schema["doc_id"].dataType.simpleString()
         asked = materialise(_asks(numbered, id_type, lambda: model()[0]))
-        wanted = asked.where("bucket >= 0").select("bucket", "step", "keys")
-        answers = wanted.groupBy("bucket").cogroup(built.select("bucket", F.col("keys").alias("known"), "levels").groupBy("bucket")).applyInArrow(_answer, "step long, bucket int, levels binary")
-        held = asked.where("bucket < 0").select("step", "ids", "rows", "texts")
+        wanted = asked.where("keys IS NOT NULL").select("step", F.explode("keys").alias("key"))
+        answers = wanted.join(grams.where(F.col("level") < least), "key").select("step", "key", "level")
+        held = asked.where("keys IS NULL").select("step", "ids", "rows", "texts")
         rows = materialise(held.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, f"doc_id {id_type}, row long, {_SCORE}"))
     cold = rows.select("row", F.explode(F.arrays_zip("cold", "cold_n")).alias("w")).select("row", F.col("w.cold").alias("word"), F.col("w.cold_n").alias("times"))
     rest = words.join(hot.select("word"), "word", "left_anti")
@@ -310,45 +256,24 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1])
 
 
-def _unknown(words: Words, bloom: BloomCounts) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a step that the filter doesn't know, sorted, and where those of each bucket begin."""
-    tokens, first = tokens_of(words)
-    need = np.unique(filter_keys(np.concatenate([tokens, pairs_of(tokens, first)])))
-    need = need[bloom.level(need) == 0]
-    return need, np.searchsorted(need >> np.uint64(40), np.arange(SEGMENTS + 1, dtype=np.uint64))
-
-
 def _asks(numbered: DataFrame, id_type: str, bloom_of: Callable[[], BloomCounts]) -> DataFrame:
-    """(step, bucket, keys, ids, rows, texts): for each step its texts (bucket -1), and by bucket the n-grams to ask for."""
+    """(step, keys, ids, rows, texts): for each step a row with its texts, and one with the n-grams that the filter doesn't know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, step = bloom_of(), TaskContext.get().partitionId() << 32
         for batch in batches:
             for row, end, words in word_steps(batch.column(2)):
-                need, edges = _unknown(words, bloom)
+                tokens, first = tokens_of(words)
+                need = np.unique(filter_keys(np.concatenate([tokens, pairs_of(tokens, first)])))
+                need = need[bloom.level(need) == 0]
                 own = [pa.ListArray.from_arrays(pa.array([0, end - row], pa.int32()), batch.column(i).slice(row, end - row)) for i in range(3)]
-                ask = [(b, need[i:j].tobytes()) for b, (i, j) in enumerate(zip(edges.tolist(), edges.tolist()[1:], strict=False)) if i < j]
-                names = ["step", "bucket", "keys", "ids", "rows", "texts"]
-                yield pa.RecordBatch.from_arrays([pa.array([step], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), *own], names=names)
-                n = len(ask)
-                yield pa.RecordBatch.from_arrays([pa.array([step] * n, pa.int64()), pa.array([b for b, _ in ask], pa.int32()), pa.array([x for _, x in ask], pa.binary()), *(pa.nulls(n, x.type) for x in own)], names=names)
+                ask = pa.ListArray.from_arrays(pa.array([0, len(need)], pa.int32()), pa.array(need.view(np.int64)))
+                names, at = ["step", "keys", "ids", "rows", "texts"], pa.array([step], pa.int64())
+                yield pa.RecordBatch.from_arrays([at, pa.nulls(1, ask.type), *own], names=names)
+                yield pa.RecordBatch.from_arrays([at, ask, *(pa.nulls(1, x.type) for x in own)], names=names)
                 step += 1
 
-    return numbered.mapInArrow(run, f"step long, bucket int, keys binary, ids array<{id_type}>, rows array<long>, texts array<binary>")
-
-
-def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Levels of the n-grams that steps ask a bucket for, 0 for those never seen."""
-    known, levels = (np.frombuffer(right[c][0].as_py() if right.num_rows else b"", t) for c, t in (("known", np.uint64), ("levels", np.uint8)))
-    out = []
-    for asked in left["keys"].to_pylist():
-        need = np.frombuffer(asked, np.uint64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, need), len(known) - 1)
-            out.append(np.where(known[at] == need, levels[at], 0).astype(np.uint8).tobytes())
-        else:
-            out.append(bytes(len(need)))
-    return pa.table({"step": left["step"], "bucket": left["bucket"], "levels": pa.array(out, pa.binary())})
+    return numbered.mapInArrow(run, f"step long, keys array<long>, ids array<{id_type}>, rows array<long>, texts array<binary>")
 
 
 def _score(words: Words, level: Callable[[np.ndarray], np.ndarray], keys: np.ndarray, counts: np.ndarray, total: int) -> pa.Array:
