@@ -31,7 +31,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from functools import lru_cache
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ from .common import fold, fresh, give_back, materialise
 FIT_DOCS = 20_000
 #: A slur is learned if so many toxic texts hold it, its log odds reach this, and their product this.
 LEAST_DOCS, LEAST_ODDS, LEAST_EVIDENCE = 6, 1.5, 20.0
-#: Log odds from which a word is half a slur.
-HALF_ODDS = 0.5
+#: Log odds from which a word is half a slur, and what they times the toxic texts must reach.
+HALF_ODDS, HALF_EVIDENCE = 0.7, 8.0
 #: Lengths of word starts that may stand for a family of words, and letters that a short end has at most.
 STARTS, SHORT_END = (3, 4, 5, 6, 7, 8), 4
 #: Words in a clause.
@@ -56,7 +57,7 @@ THRESHOLD = 0.7
 #: Terms that a task counts before it hands them on.
 GATHER = 200_000
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 CLAUSE = regex.compile(r"[.!?;:\n]+")
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}']*")
@@ -163,9 +164,10 @@ class Model:
 
     def __post_init__(self) -> None:
         self.known: dict[str, tuple[int, float]] = {}
+        self.dull: set[str] = set()  # words that no match begins or ends with
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "dull": set()}
 
     def odds(self, word: str) -> float:
         """Of the strongest entry that the word falls under, unless the word itself is an entry."""
@@ -173,7 +175,7 @@ class Model:
         return own if own is not None else max((self.lexicon[e] for e in word_entries(word)[1:] if e in self.lexicon), default=0.0)
 
     def token(self, word: str) -> tuple[int, float]:
-        """Class and weight of a word; words that were met are remembered."""
+        """Class and weight of a word; those of words in texts that may match are remembered."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= REMEMBERED:
@@ -211,9 +213,7 @@ class Model:
         if not text:
             return out
         low = text.lower()
-        distinct = set(WORD.findall(low))
-        classes = {self.token(w)[0] for w in distinct}
-        if not (SLUR in classes or HURT in classes or HALF in classes):
+        if not self.may_match(set(WORD.findall(low))):
             return out
         n_words, total, best = 0, 0.0, 0.0
         for clause in CLAUSE.split(low):
@@ -230,13 +230,31 @@ class Model:
         out[KINDS:] = np.log1p(total), best / 4, np.log1p(100 * total / (n_words + 20))
         return out
 
+    def may_match(self, words: set[str]) -> bool:
+        """Whether the words hold a slur, half a slur or a verb of harm. Words that can't matter are remembered."""
+        if len(self.dull) >= REMEMBERED:
+            self.dull.clear()
+        matter = False
+        for word in words - self.dull:
+            if self.token(word)[0] in (SLUR, HALF, HURT):
+                matter = True
+            else:
+                self.known.pop(word, None)
+                self.dull.add(word)
+        return matter
+
     def score(self, text: str | None) -> float:
         z = self.weights[0] + self.features(text) @ self.weights[1:]
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def _terms(text: str) -> set[str]:
-    return {e for w in set(WORD.findall(text.lower())) for e in word_entries(w)}
+    return set(chain.from_iterable(map(_entries, set(WORD.findall(text.lower())))))
+
+
+@lru_cache(maxsize=50_000)
+def _entries(word: str) -> tuple[str, ...]:
+    return tuple(word_entries(word))
 
 
 def _half_pairs(text: str, model: Model) -> set[str]:
@@ -256,8 +274,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where=None) -> DataFrame
     return materialise(texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
 
 
-def _holding(texts: DataFrame, terms_of) -> DataFrame:
-    """(term, n): how many of the texts hold each term. A task hands its counts on whenever it has many."""
+def _holding(texts: DataFrame, terms_of, only=None) -> DataFrame:
+    """(term, n): how many of the texts hold each term, of all or of ``only``. A task hands its counts on whenever it has many."""
+    only = None if only is None else frozenset(only)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -269,7 +288,7 @@ def _holding(texts: DataFrame, terms_of) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(terms_of(text.as_py()))
+                held.update(terms_of(text.as_py()) if only is None else terms_of(text.as_py()) & only)
                 if len(held) > GATHER:
                     yield out()
         yield out()
@@ -281,7 +300,7 @@ def _holding(texts: DataFrame, terms_of) -> DataFrame:
 def _log_odds(sample: DataFrame, terms_of, n_bad: int, n_good: int) -> dict[str, tuple[int, int, float]]:
     """Term to toxic texts, other texts, and log odds, for terms of ``LEAST_DOCS`` toxic texts or more. Others are looked for in the other texts at no time."""
     bad = {r["term"]: r["n"] for r in _holding(sample.where("toxic = 1").select("text"), terms_of).where(F.col("n") >= LEAST_DOCS).collect()}
-    good = {r["term"]: r["n"] for r in _holding(sample.where("toxic = 0").select("text"), lambda text: bad.keys() & terms_of(text)).collect()} if bad else {}
+    good = {r["term"]: r["n"] for r in _holding(sample.where("toxic = 0").select("text"), terms_of, bad.keys()).collect()} if bad else {}
     return {t: (b, g := good.get(t, 0), math.log((b + 0.5) / (n_bad + 1)) - math.log((g + 0.5) / (n_good + 1))) for t, b in bad.items()}
 
 
@@ -300,7 +319,7 @@ def fit(sample: DataFrame) -> Model:
     slurs = {t: odds for t, (bad, _, odds) in found.items() if _is_slur(bad, odds)}
     # A whole word that many texts hold stays with lower odds too: as half a slur, or to speak against a family.
     whole = {t: (good, odds) for t, (_, good, odds) in found.items() if t not in slurs and t[-1] not in "*+"}
-    half = {t: odds for t, (good, odds) in whole.items() if odds >= HALF_ODDS or (good >= LEAST_DOCS and any(e in slurs for e in word_entries(t)))}
+    half = {t: odds for t, (good, odds) in whole.items() if (odds >= HALF_ODDS and found[t][0] * odds >= HALF_EVIDENCE) or (good >= LEAST_DOCS and any(e in slurs for e in word_entries(t)))}
     model = Model(slurs | half)
     pairs = _log_odds(sample, lambda text: _half_pairs(text, model), n_bad, n_good)
     model = Model(model.lexicon, pairs={t: odds for t, (bad, _, odds) in pairs.items() if _is_slur(bad, odds)})
