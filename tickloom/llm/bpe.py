@@ -19,7 +19,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from .common import as_bytes, give_back, word_steps
 
 #: Words that a worker remembers before it forgets those that it hasn't met lately; longer words are not remembered.
 CACHE_WORDS, CACHE_BYTES = 600_000, 64
-#: Bytes of text between two additions to the table of hashes.
-STORE_STEP = 2 << 20
+#: Words in the table of hashes, and bytes of text between two additions to it.
+STORE_WORDS, STORE_STEP = 400_000, 1 << 20
 #: Texts that are encoded together, so that the vectorised steps have many words.
 BATCH = 1024
 #: Longer pieces are merged one at a time with a heap.
@@ -84,47 +84,61 @@ class _Lookup:
 
 
 class _Store:
-    """Ids of the words that a worker has met, by the word's hash."""
+    """Ids of the words that a worker has met, by the word's hash. New words go to a small sorted list that now and then joins the large one."""
+
+    RECENT = 1 << 15
 
     def __init__(self) -> None:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.start, self.flat = np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.old = self.new = (np.empty(0, np.uint64), np.empty(0, np.int32))
+        self.start, self.flat = np.zeros(1, np.int64), [np.empty(0, np.uint32)]
+
+    def __len__(self) -> int:
+        return len(self.old[0]) + len(self.new[0])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.slots[at], -1)
+        out = np.full(len(keys), -1, np.int64)
+        for own, slots in (self.old, self.new):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[at] == keys
+                out[hit] = slots[at[hit]]
+        return out
 
     def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        slots = len(self.start) - 1 + np.arange(len(keys))
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        self.keys, self.slots = both[order], np.concatenate([self.slots, slots])[order]
+        slots = (len(self.start) - 1 + np.arange(len(keys))).astype(np.int32)
+        self.new = self._joined(self.new, (keys, slots))
+        if len(self.new[0]) > self.RECENT:
+            self.old, self.new = self._joined(self.old, self.new), (np.empty(0, np.uint64), np.empty(0, np.int32))
         sizes = np.array([len(x) // 4 for x in ids], np.int64)
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        self.flat.append(np.frombuffer(b"".join(ids), "<u4"))
+
+    @staticmethod
+    def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
 
     def ids(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row, and where each word's begin (with the end)."""
+        if len(self.flat) > 1:
+            self.flat = [np.concatenate(self.flat)]
         begin, sizes = self.start[slots], self.start[slots + 1] - self.start[slots]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[np.repeat(begin - bounds[:-1], sizes) + np.arange(int(bounds[-1]))], bounds
+        return self.flat[0][np.repeat(begin - bounds[:-1], sizes) + np.arange(int(bounds[-1]))], bounds
 
 
 class WordBpe:
     """A byte-level BPE with word ends, read from a tokenizers file. A piece is the UTF-8 of one pre-token."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -157,7 +171,16 @@ class WordBpe:
     @staticmethod
     @cache
     def load(path: str) -> WordBpe:
-        return WordBpe(path)
+        out = WordBpe(path)
+        give_back()
+        return out
+
+    @cached_property
+    def library(self):
+        """The library's tokenizer, for words that its normaliser may change."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _build_trie(self, vocab: dict[str, int]) -> None:
         """Tokens by their bytes. Left out are those that merging their own bytes doesn't give."""
@@ -381,7 +404,7 @@ class WordBpe:
             slot = self.store.find(types)
             new = np.flatnonzero(slot < 0)
             if len(new):
-                if len(self.store.keys) + len(new) > CACHE_WORDS:
+                if len(self.store) + len(new) > STORE_WORDS:
                     self.store.forget()
                     new = np.arange(len(types))
                 raw, begin = words.data.tobytes(), words.starts[at[new]]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of words that are hashed at once.
+HASH_BYTES = 1 << 17
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -120,14 +122,20 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> W
     lengths = np.flatnonzero(stop) + 1 - starts
     doc = np.searchsorted(offsets, starts, side="right") - 1
     first = np.searchsorted(starts, offsets)
-    if len(starts):
-        place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        value = (_BYTE if fold_case else _BYTE_CASED)[data[solid]] * _POWER[place & 4095]
-        if int(lengths.max()) > 4096:
-            value = mix(value + (place >> 12).astype(np.uint64) * _FAR)
-        hashes = mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
-    else:
-        hashes = np.empty(0, np.uint64)
+    hashes = np.empty(len(starts), np.uint64)
+    table, letters = _BYTE if fold_case else _BYTE_CASED, data[solid]
+    stops = np.cumsum(lengths)
+    at = 0
+    while at < len(starts):  # some thousand words at a time, so that the arrays stay small
+        begin_byte = int(stops[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(stops, begin_byte + HASH_BYTES, side="right")))
+        own = lengths[at:end]
+        place = np.arange(int(own.sum()), dtype=np.int64) - np.repeat(np.cumsum(own) - own, own)
+        value = table[letters[begin_byte : int(stops[end - 1])]] * _POWER[place & 4095]
+        far = np.flatnonzero(place > 4095)  # only there, so that a word's hash doesn't depend on its neighbours
+        value[far] = mix(value[far] + (place[far] >> 12).astype(np.uint64) * _FAR)
+        hashes[at:end] = mix(np.add.reduceat(value, np.cumsum(own) - own) + own.astype(np.uint64))
+        at = end
     return Words(data, offsets, starts, lengths, doc, first, hashes)
 
 

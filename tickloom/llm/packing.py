@@ -37,7 +37,7 @@ WINDOW_COST, SENTENCE_COST, INSIDE_COST = 32, 8, 48
 #: Farthest apart that two places to cut may lie inside a sentence.
 SPACING = 64
 #: Tokens that are planned together.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 #: Smallest power of two that a plan uses on purpose.
 LEAST_POWER = 256
 
