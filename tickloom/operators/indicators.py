@@ -1,8 +1,11 @@
 """Technical indicators over each symbol's bars (I operators).
 
 Rolling indicators are windows over one partitioning and order, so a chain of them sorts once. A window of N
-gives null until it holds N values. The exponential averages are a recurrence and run per symbol in pandas,
-all of them in one pass.
+gives null until it holds N values. The exponential averages are a recurrence and run per symbol in one pass over
+Arrow tables, which keep NaN and null apart; only the prices that they read become arrays.
+
+``by`` names a series; by default it is the symbol, and the timeframe too where the table has one. A column that is
+there already is kept, so its name tells all that it depends on: a price other than the close is part of it.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +22,21 @@ from pyspark.sql import types as T
 EMAS = (8, 13, 21, 55, 89, 144, 169)
 
 
+def series_of(df: DataFrame) -> tuple[str, ...]:
+    """The columns that tell series apart."""
+    return ("symbol", "timeframe") if "timeframe" in df.columns else ("symbol",)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the table doesn't have."""
+    out = []
+    for name in names:
+        while name in df.columns or name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def over(by: Iterable[str] = ("symbol",)) -> Window:
     return Window.partitionBy(*by).orderBy("date")
 
@@ -27,157 +47,217 @@ def full(agg: Callable, x: Column | str, n: int, by: Iterable[str] = ("symbol",)
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
+def running(df: DataFrame, flags: dict[str, Column], by) -> tuple[DataFrame, Callable[[str, int], Column], list[str]]:
+    """Counts of flags in the last n rows in constant time for each row, for any n: the table with running totals, a
+    function (flag, n) that gives null until there are n rows, and the helper columns to drop."""
+    row, *totals = fresh(df, "_row", *[f"_total_{k}" for k in flags])
+    w, of = over(by), dict(zip(flags, totals, strict=True))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({row: F.row_number().over(w)} | {of[k]: F.sum(F.coalesce(flag.cast("int"), F.lit(0))).over(whole) for k, flag in flags.items()})
+
+    def last(flag: str, n: int) -> Column:
+        return F.when(F.col(row) >= n, F.col(of[flag]) - F.coalesce(F.lag(of[flag], n).over(w), F.lit(0)))
+
+    return out, last, [row, *totals]
+
+
 def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Columns that aren't there yet."""
     return df.withColumns({k: v for k, v in columns.items() if k not in df.columns})
 
 
-def sma(df: DataFrame, p: int = 20, price: str = "close", by=("symbol",)) -> DataFrame:
-    return _add(df, {f"sma_{p}": full(F.avg, price, p, by)})
+def named(name: str, price: str) -> str:
+    return name if price == "close" else f"{name}_{price}"
 
 
-def recurrences(df: DataFrame, wanted: dict[str, Callable[[pd.DataFrame], pd.Series]], by=("symbol",)) -> DataFrame:
-    """Per symbol and in date order, columns from functions of the symbol's frame; all in one Arrow round trip."""
+def sma(df: DataFrame, p: int = 20, price: str = "close", by=None) -> DataFrame:
+    return _add(df, {named(f"sma_{p}", price): full(F.avg, price, p, by or series_of(df))})
+
+
+def recurrences(df: DataFrame, wanted: dict[str, tuple[str, Callable[[pd.Series], pd.Series]]], by=None) -> DataFrame:
+    """Per series and in date order, columns from functions of a price; all in one Arrow round trip. wanted: name to (price, function)."""
     wanted = {k: f for k, f in wanted.items() if k not in df.columns}
     if not wanted:
         return df
     schema = T.StructType([*df.schema.fields, *[T.StructField(k, T.DoubleType()) for k in wanted]])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date", kind="stable")
-        for k, f in wanted.items():
-            frame[k] = f(frame)
-        return frame
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("date", "ascending")]))
+        prices = {price: table[price].to_pandas() for price, _ in wanted.values()}
+        for name, (price, f) in wanted.items():
+            table = table.append_column(name, pa.array(f(prices[price]), pa.float64(), from_pandas=True))
+        return table
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return df.groupBy(*(by or series_of(df))).applyInArrow(run, schema)
 
 
-def _ema_of(p: int, price: str = "close", adjust: bool = False) -> Callable[[pd.DataFrame], pd.Series]:
-    return lambda frame: frame[price].ewm(span=p, adjust=adjust).mean()
+def _ema_of(p: int, adjust: bool = False) -> Callable[[pd.Series], pd.Series]:
+    return lambda price: price.ewm(span=p, adjust=adjust).mean()
 
 
-def ema(df: DataFrame, periods: Iterable[int] = (20,), price: str = "close", by=("symbol",)) -> DataFrame:
+def ema(df: DataFrame, periods: Iterable[int] = (20,), price: str = "close", by=None) -> DataFrame:
     """Alpha 2/(p+1), from the first bar on."""
-    return recurrences(df, {f"ema_{p}": _ema_of(p, price) for p in periods}, by)
+    return recurrences(df, {named(f"ema_{p}", price): (price, _ema_of(p)) for p in periods}, by)
 
 
-def ema_adjusted(df: DataFrame, spans: Iterable[int] = EMAS, by=("symbol",)) -> DataFrame:
+def ema_adjusted(df: DataFrame, spans: Iterable[int] = EMAS, by=None) -> DataFrame:
     """Normalised weights; with the fast and slow differences of the 13/21 and 55/89 pairs."""
-    out = recurrences(df, {f"ema_adj_{p}": _ema_of(p, adjust=True) for p in spans}, by)
+    out = recurrences(df, {f"ema_adj_{p}": ("close", _ema_of(p, adjust=True)) for p in spans}, by)
     pairs = {"macd_fast": (13, 21), "macd_slow": (55, 89)}
     return _add(out, {k: F.col(f"ema_adj_{a}") - F.col(f"ema_adj_{b}") for k, (a, b) in pairs.items() if {a, b} <= set(spans)})
 
 
-def macd(df: DataFrame, f: int = 12, s: int = 26, g: int = 9, by=("symbol",)) -> DataFrame:
-    line, signal = f"macd_{f}_{s}", f"macd_signal_{f}_{s}_{g}"
-    out = recurrences(df, {line: lambda d: _ema_of(f)(d) - _ema_of(s)(d), signal: lambda d: (_ema_of(f)(d) - _ema_of(s)(d)).ewm(span=g, adjust=False).mean()}, by)
-    return _add(out, {f"macd_hist_{f}_{s}_{g}": F.col(line) - F.col(signal)})
+def _macd_lines(f: int, s: int, g: int) -> dict[str, tuple[str, Callable[[pd.Series], pd.Series]]]:
+    line = lambda price: _ema_of(f)(price) - _ema_of(s)(price)
+    return {f"macd_{f}_{s}": ("close", line), f"macd_signal_{f}_{s}_{g}": ("close", lambda price: line(price).ewm(span=g, adjust=False).mean())}
 
 
-def rsi(df: DataFrame, p: int = 14, by=("symbol",)) -> DataFrame:
-    """Simple means of gains and losses; a loss of 0 gives 100, or NaN if the gain is 0 too."""
-    w = over(by)
-    d = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
-    out = df.withColumn("_gain", F.greatest(d, F.lit(0.0))).withColumn("_loss", F.greatest(-d, F.lit(0.0)))
-    out = out.withColumn("_g", full(F.avg, "_gain", p, by)).withColumn("_l", full(F.avg, "_loss", p, by))
-    value = F.when(F.col("_l") > 0, 100 - 100 / (1 + F.col("_g") / F.when(F.col("_l") > 0, F.col("_l")))).when(F.col("_g") > 0, 100.0).when(F.col("_g") == 0, F.lit(float("nan")))
-    return _add(out, {f"rsi_{p}": value}).drop("_gain", "_loss", "_g", "_l")
+def _macd_hist(df: DataFrame, f: int, s: int, g: int) -> DataFrame:
+    return _add(df, {f"macd_hist_{f}_{s}_{g}": F.col(f"macd_{f}_{s}") - F.col(f"macd_signal_{f}_{s}_{g}")})
 
 
-def bollinger(df: DataFrame, p: int = 20, k: float = 2.0, by=("symbol",)) -> DataFrame:
+def macd(df: DataFrame, f: int = 12, s: int = 26, g: int = 9, by=None) -> DataFrame:
+    return _macd_hist(recurrences(df, _macd_lines(f, s, g), by), f, s, g)
+
+
+def rsi(df: DataFrame, p: int = 14, by=None) -> DataFrame:
+    """Simple means of gains and losses; a loss of 0 gives 100, or NaN if the gain is 0 too."""
+    if f"rsi_{p}" in df.columns:
+        return df
+    by = by or series_of(df)
+    d = F.coalesce(F.col("close") - F.lag("close").over(over(by)), F.lit(0.0))
+    up, down, g, lo = fresh(df, "_gain", "_loss", "_g", "_l")
+    out = df.withColumns({up: F.greatest(d, F.lit(0.0)), down: F.greatest(-d, F.lit(0.0))})
+    out = out.withColumns({g: full(F.avg, up, p, by), lo: full(F.avg, down, p, by)})
+    loss = F.when(F.col(lo) > 0, F.col(lo))
+    value = F.when(F.col(lo) > 0, 100 - 100 / (1 + F.col(g) / loss)).when(F.col(g) > 0, 100.0).when(F.col(g) == 0, F.lit(float("nan")))
+    return out.withColumn(f"rsi_{p}", value).drop(up, down, g, lo)
+
+
+def bollinger(df: DataFrame, p: int = 20, k: float = 2.0, by=None) -> DataFrame:
+    by = by or series_of(df)
     mid, dev, name = full(F.avg, "close", p, by), full(F.stddev_samp, "close", p, by), f"{p}_{k:g}"
     return _add(df, {f"bb_middle_{name}": mid, f"bb_upper_{name}": mid + k * dev, f"bb_lower_{name}": mid - k * dev})
 
 
-def atr(df: DataFrame, p: int = 14, by=("symbol",)) -> DataFrame:
+def atr(df: DataFrame, p: int = 14, by=None) -> DataFrame:
+    if f"atr_{p}" in df.columns:
+        return df
+    by, (tr,) = by or series_of(df), fresh(df, "_tr")
     before = F.lag("close").over(over(by))
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-    return _add(df.withColumn("_tr", true_range), {f"atr_{p}": full(F.avg, "_tr", p, by)}).drop("_tr")
+    return df.withColumn(tr, true_range).withColumn(f"atr_{p}", full(F.avg, tr, p, by)).drop(tr)
 
 
-def stochastic(df: DataFrame, k: int = 14, d: int = 3, by=("symbol",)) -> DataFrame:
-    low, high = full(F.min, "low", k, by), full(F.max, "high", k, by)
-    out = df.withColumn("_lo", low).withColumn("_hi", high)
-    span = F.col("_hi") - F.col("_lo")
-    value = F.when(span > 0, 100 * (F.col("close") - F.col("_lo")) / F.when(span > 0, span)).when(span == 0, F.lit(float("nan")))
+def stochastic(df: DataFrame, k: int = 14, d: int = 3, by=None) -> DataFrame:
+    by, (lo, hi) = by or series_of(df), fresh(df, "_lo", "_hi")
+    out = df.withColumns({lo: full(F.min, "low", k, by), hi: full(F.max, "high", k, by)})
+    span = F.col(hi) - F.col(lo)
+    value = F.when(span > 0, 100 * (F.col("close") - F.col(lo)) / F.when(span > 0, span)).when(span == 0, F.lit(float("nan")))
     out = _add(out, {f"stoch_k_{k}_{d}": value})
-    return _add(out, {f"stoch_d_{k}_{d}": full(F.avg, f"stoch_k_{k}_{d}", d, by)}).drop("_lo", "_hi")
+    return _add(out, {f"stoch_d_{k}_{d}": full(F.avg, f"stoch_k_{k}_{d}", d, by)}).drop(lo, hi)
 
 
-def prior_volume_mean(df: DataFrame, n: int = 20, by=("symbol",)) -> DataFrame:
+def prior_volume_mean(df: DataFrame, n: int = 20, by=None) -> DataFrame:
     """Mean of the n volumes before this one."""
-    return _add(df, {f"volume_mean_{n}": full(F.avg, "volume", n, by, shift=1)})
+    return _add(df, {f"volume_mean_{n}": full(F.avg, "volume", n, by or series_of(df), shift=1)})
 
 
-def rolling_high_close(df: DataFrame, n: int = 20, by=("symbol",)) -> DataFrame:
-    return _add(df, {f"close_max_{n}": full(F.max, "close", n, by)})
+def rolling_high_close(df: DataFrame, n: int = 20, by=None) -> DataFrame:
+    return _add(df, {f"close_max_{n}": full(F.max, "close", n, by or series_of(df))})
 
 
-def density_area(df: DataFrame, window: int = 30, bins: int = 20, by=("symbol",)) -> DataFrame:
+def density_area(df: DataFrame, window: int = 30, bins: int = 20, by=None) -> DataFrame:
     """Histogram of the ``window`` closes before: edges of its first fullest bin, and of the fullest to the right of that."""
-    w = over(by).rowsBetween(-window, -1)
-    out = df.withColumn("_c", F.when(F.count("close").over(w) == window, F.collect_list("close").over(w)))
-    flat = F.array_max("_c") == F.array_min("_c")
-    out = out.withColumn("_lo", F.when(flat, F.array_min("_c") - 0.5).otherwise(F.array_min("_c"))).withColumn("_hi", F.when(flat, F.array_max("_c") + 0.5).otherwise(F.array_max("_c")))
-    out = out.withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins)
-    place = F.transform("_c", lambda x: F.least(F.lit(bins - 1), F.floor((x - F.col("_lo")) / F.col("_w")).cast("int")))
-    out = out.withColumn("_b", place)
-    out = out.withColumn("_n", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.size(F.filter("_b", lambda b: b == i))))
-    out = out.withColumn("_m", F.array_position("_n", F.array_max("_n")).cast("int") - 1)
-    right = F.slice("_n", F.col("_m") + 2, F.lit(bins))
-    out = out.withColumn("_s", F.when(F.col("_m") == bins - 1, F.col("_m")).otherwise(F.col("_m") + F.array_position(right, F.array_max(right)).cast("int")))
-    edge = lambda c, plus: F.col("_lo") + F.col("_w") * (F.col(c) + plus)
-    return _add(out, {"area_main_low": edge("_m", 0), "area_main_high": edge("_m", 1), "area_second_low": edge("_s", 0), "area_second_high": edge("_s", 1)}).drop("_c", "_lo", "_hi", "_w", "_b", "_n", "_m", "_s")
+    w = over(by or series_of(df)).rowsBetween(-window, -1)
+    c, lo, hi, width, b, n, m, second = fresh(df, "_c", "_lo", "_hi", "_w", "_b", "_n", "_m", "_s")
+    out = df.withColumn(c, F.when(F.count("close").over(w) == window, F.collect_list("close").over(w)))
+    flat = F.array_max(c) == F.array_min(c)
+    out = out.withColumns({lo: F.when(flat, F.array_min(c) - 0.5).otherwise(F.array_min(c)), hi: F.when(flat, F.array_max(c) + 0.5).otherwise(F.array_max(c))})
+    out = out.withColumn(width, (F.col(hi) - F.col(lo)) / bins)
+    place = F.transform(c, lambda x: F.least(F.lit(bins - 1), F.floor((x - F.col(lo)) / F.col(width)).cast("int")))
+    out = out.withColumn(b, place)
+    out = out.withColumn(n, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.size(F.filter(b, lambda x: x == i))))
+    out = out.withColumn(m, F.array_position(n, F.array_max(n)).cast("int") - 1)
+    right = F.slice(n, F.col(m) + 2, F.lit(bins))
+    out = out.withColumn(second, F.when(F.col(m) == bins - 1, F.col(m)).otherwise(F.col(m) + F.array_position(right, F.array_max(right)).cast("int")))
+    edge = lambda col, plus: F.col(lo) + F.col(width) * (F.col(col) + plus)
+    out = _add(out, {"area_main_low": edge(m, 0), "area_main_high": edge(m, 1), "area_second_low": edge(second, 0), "area_second_high": edge(second, 1)})
+    return out.drop(c, lo, hi, width, b, n, m, second)
 
 
 #: Ratios of the levels.
 FIB = (0.236, 0.382, 0.5, 0.618, 0.786, 1.236, 1.382)
 
 
-def fib_levels(df: DataFrame, window: int = 30, by=("symbol",)) -> DataFrame:
+def fib_levels(df: DataFrame, window: int = 30, by=None) -> DataFrame:
+    by = by or series_of(df)
     low, high = full(F.min, "low", window, by, shift=1), full(F.max, "high", window, by, shift=1)
     return _add(df, {f"fib_{str(r).replace('.', '_')}": low + r * (high - low) for r in FIB})
 
 
-def pct_change(df: DataFrame, col: str = "close", periods: int = 1, by=("symbol",)) -> DataFrame:
-    return _add(df, {f"pct_change_{periods}": F.try_divide(F.col(col), F.lag(col, periods).over(over(by))) - 1})
+def pct_change(df: DataFrame, col: str = "close", periods: int = 1, by=None) -> DataFrame:
+    before = F.lag(col, periods).over(over(by or series_of(df)))
+    return _add(df, {named(f"pct_change_{periods}", col): F.try_divide(F.col(col), before) - 1})
 
 
-def growth_curve(df: DataFrame, capital: float = 10000.0, by=("symbol",)) -> DataFrame:
-    first = F.first("close").over(over(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def growth_curve(df: DataFrame, capital: float = 10000.0, by=None) -> DataFrame:
+    first = F.first("close").over(over(by or series_of(df)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return _add(df, {"growth": capital * F.try_divide(F.col("close"), first)})
 
 
-def all_indicators(df: DataFrame, by=("symbol",)) -> DataFrame:
-    """The whole bundle. The windows come first, because pandas groups keep to their partitioning but not the other way: one exchange."""
+def all_indicators(df: DataFrame, by=None) -> DataFrame:
+    """The whole bundle. The windows come first, because groups keep to their partitioning but not the other way: one exchange."""
     f, s, g = 12, 26, 9
+    by = by or series_of(df)
     for p in (20, 50, 200):
         df = sma(df, p, by=by)
     out = stochastic(atr(bollinger(rsi(df, by=by), by=by), by=by), by=by)
-    line = lambda d: _ema_of(f)(d) - _ema_of(s)(d)
-    wanted = {f"ema_{p}": _ema_of(p) for p in EMAS} | {f"macd_{f}_{s}": line, f"macd_signal_{f}_{s}_{g}": lambda d: line(d).ewm(span=g, adjust=False).mean()}
-    out = recurrences(out, wanted, by)
-    return _add(out, {f"macd_hist_{f}_{s}_{g}": F.col(f"macd_{f}_{s}") - F.col(f"macd_signal_{f}_{s}_{g}")})
+    out = recurrences(out, {f"ema_{p}": ("close", _ema_of(p)) for p in EMAS} | _macd_lines(f, s, g), by)
+    return _macd_hist(out, f, s, g)
+
+
+def _macd_columns(p: dict) -> dict[str, str]:
+    line = f"macd_{p['fast']}_{p['slow']}"
+    return {"value": line, "macd": line, "signal": f"macd_signal_{p['fast']}_{p['slow']}_{p['signal']}", "hist": f"macd_hist_{p['fast']}_{p['slow']}_{p['signal']}"}
+
+
+def _band_columns(p: dict) -> dict[str, str]:
+    names = {k: f"bb_{k}_{p['period']}_{p['std_dev']:g}" for k in ("middle", "upper", "lower")}
+    return {"value": names["middle"]} | names
+
+
+def _stoch_columns(p: dict) -> dict[str, str]:
+    return {"value": f"stoch_k_{p['k']}_{p['d']}", "k": f"stoch_k_{p['k']}_{p['d']}", "d": f"stoch_d_{p['k']}_{p['d']}"}
 
 
-#: Name -> (function, default parameters, columns by output role).
+#: Name -> (function of table, parameters and series, default parameters, columns by output role).
 REGISTRY: dict[str, tuple[Callable, dict, Callable[[dict], dict[str, str]]]] = {
-    "rsi": (lambda df, p: rsi(df, p["period"]), {"period": 14}, lambda p: {"value": f"rsi_{p['period']}"}),
-    "sma": (lambda df, p: sma(df, p["period"]), {"period": 20}, lambda p: {"value": f"sma_{p['period']}"}),
-    "ema": (lambda df, p: ema(df, [p["period"]]), {"period": 20}, lambda p: {"value": f"ema_{p['period']}"}),
-    "macd": (lambda df, p: macd(df, p["fast"], p["slow"], p["signal"]), {"fast": 12, "slow": 26, "signal": 9}, lambda p: {"value": f"macd_{p['fast']}_{p['slow']}", "macd": f"macd_{p['fast']}_{p['slow']}", "signal": f"macd_signal_{p['fast']}_{p['slow']}_{p['signal']}", "hist": f"macd_hist_{p['fast']}_{p['slow']}_{p['signal']}"}),
-    "bollinger": (lambda df, p: bollinger(df, p["period"], p["std_dev"]), {"period": 20, "std_dev": 2.0}, lambda p: {"value": f"bb_middle_{p['period']}_{p['std_dev']:g}"} | {k: f"bb_{k}_{p['period']}_{p['std_dev']:g}" for k in ("middle", "upper", "lower")}),
-    "atr": (lambda df, p: atr(df, p["period"]), {"period": 14}, lambda p: {"value": f"atr_{p['period']}"}),
-    "stochastic": (lambda df, p: stochastic(df, p["k"], p["d"]), {"k": 14, "d": 3}, lambda p: {"value": f"stoch_k_{p['k']}_{p['d']}", "k": f"stoch_k_{p['k']}_{p['d']}", "d": f"stoch_d_{p['k']}_{p['d']}"}),
+    "rsi": (lambda df, p, by: rsi(df, p["period"], by), {"period": 14}, lambda p: {"value": f"rsi_{p['period']}"}),
+    "sma": (lambda df, p, by: sma(df, p["period"], by=by), {"period": 20}, lambda p: {"value": f"sma_{p['period']}"}),
+    "ema": (lambda df, p, by: ema(df, [p["period"]], by=by), {"period": 20}, lambda p: {"value": f"ema_{p['period']}"}),
+    "macd": (lambda df, p, by: macd(df, p["fast"], p["slow"], p["signal"], by), {"fast": 12, "slow": 26, "signal": 9}, _macd_columns),
+    "bollinger": (lambda df, p, by: bollinger(df, p["period"], p["std_dev"], by), {"period": 20, "std_dev": 2.0}, _band_columns),
+    "atr": (lambda df, p, by: atr(df, p["period"], by), {"period": 14}, lambda p: {"value": f"atr_{p['period']}"}),
+    "stochastic": (lambda df, p, by: stochastic(df, p["k"], p["d"], by), {"k": 14, "d": 3}, _stoch_columns),
 }
+#: Other spellings of parameters and outputs.
+SPELLINGS = {"fast_period": "fast", "slow_period": "slow", "signal_period": "signal", "k_period": "k", "d_period": "d", "histogram": "hist", "default": "value"}
 ALIASES = {"bb": "bollinger", "bollinger_bands": "bollinger", "stoch": "stochastic"}
 
 
-def indicator(name: str, params: dict | None = None, output: str | None = None) -> tuple[str, Callable[[DataFrame], DataFrame]]:
-    """The column of an indicator and the step that adds it; an unknown name is an error."""
+def indicator(name: str, params: dict | None = None, output: str | None = None, by=None) -> tuple[str, Callable[[DataFrame], DataFrame]]:
+    """The column of an indicator and the step that adds it; an unknown name or output is an error."""
     key = ALIASES.get(name.lower(), name.lower())
     if key not in REGISTRY:
         raise ValueError(f"unknown indicator {name}")
     step, defaults, columns = REGISTRY[key]
-    merged = defaults | (params or {})
-    return columns(merged)[output or "value"], lambda df: step(df, merged)
+    given = {SPELLINGS.get(k, k): v for k, v in (params or {}).items()}
+    if given.keys() - defaults.keys():
+        raise ValueError(f"{name} has no parameter {sorted(given.keys() - defaults.keys())}")
+    merged, role = defaults | given, (output or "value").lower()
+    role = SPELLINGS.get(role, role)
+    found = columns(merged)
+    if role not in found:
+        raise ValueError(f"{name} has no output {output}")
+    return found[role], lambda df: step(df, merged, by or series_of(df))

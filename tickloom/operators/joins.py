@@ -9,19 +9,27 @@ from pyspark.sql import functions as F
 
 
 def asof_state(base: DataFrame, higher: DataFrame, cols: Iterable[str], by=("symbol",)) -> DataFrame:
-    """The latest state at or before each base bar. Both sides are stacked and the last value is carried on, so no range join grows."""
+    """The latest state at or before each base bar. Both sides are stacked and the last value is carried on, so no range join grows.
+
+    A column that both sides have is that of ``higher``.
+    """
     cols, keys = list(cols), [*by, "date"]
-    kept = [c for c in base.columns if c not in keys]
-    left = base.select(*keys, F.struct(*kept).alias("_base"), F.lit(None).cast(higher.select(F.struct(*cols)).schema[0].dataType).alias("_state"), F.lit(1).alias("_side"))
+    kept = [c for c in base.columns if c not in keys and c not in cols]
+    state_type = higher.select(F.struct(*cols).alias("s")).schema["s"].dataType
+    if kept:
+        left = base.select(*keys, F.struct(*kept).alias("_base"), F.lit(None).cast(state_type).alias("_state"), F.lit(1).alias("_side"))
+    else:
+        left = base.select(*keys, F.struct(F.lit(0).alias("_none")).alias("_base"), F.lit(None).cast(state_type).alias("_state"), F.lit(1).alias("_side"))
     right = higher.select(*keys, F.lit(None).cast(left.schema["_base"].dataType).alias("_base"), F.struct(*cols).alias("_state"), F.lit(0).alias("_side"))
     w = Window.partitionBy(*by).orderBy("date", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = left.unionByName(right).withColumn("_state", F.last("_state", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*keys, "_base.*", *[F.col(f"_state.{c}").alias(c) for c in cols])
+    both = left.unionByName(right).withColumn("_state", F.last("_state", ignorenulls=True).over(w)).where("_side = 1")
+    return both.select(*keys, *[F.col(f"_base.`{c}`").alias(c) for c in kept], *[F.col(f"_state.`{c}`").alias(c) for c in cols])
 
 
 def asof_event(base: DataFrame, higher: DataFrame, col: str, default: str | None = None, by=("symbol",)) -> DataFrame:
     """An event only on its own date, else the default."""
     events = higher.groupBy(*by, "date").agg(F.max(col).alias(col))
+    base = base.drop(col)
     return base.join(events, [*by, "date"], "left").withColumn(col, F.coalesce(col, F.lit(default)) if default is not None else F.col(col))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .indicators import over
+from .indicators import fresh, over, series_of
 
 #: C11: the direction that a pattern speaks for; a doji speaks for none. Both spellings of the engulfing ones.
 DIRECTION = {
@@ -17,15 +17,15 @@ ALIASES = {"bullish_engulfing": "engulfing_bullish", "bearish_engulfing": "engul
 NAMES = ("engulfing_bullish", "engulfing_bearish", "hammer", "shooting_star", "doji", "morning_star", "evening_star", "green_candle", "red_candle")
 
 
-def _parts(by, doji: float, causal: bool) -> dict[str, Column]:
+def _parts(by, doji: float, causal: bool, body1: str) -> dict[str, Column]:
     w = over(by)
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     o1, c1, o2, c2 = F.lag("open", 1).over(w), F.lag("close", 1).over(w), F.lag("open", 2).over(w), F.lag("close", 2).over(w)
     body, span = F.abs(c - o), h - low
     upper, lower = h - F.greatest(o, c), F.least(o, c) - low
     # Star patterns compare with the mean body of the bar before: over the whole series, or only up to here.
-    mean = F.avg("_body1").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if causal else Window.partitionBy(*by))
-    small = F.col("_body1") <= 0.5 * mean
+    mean = F.avg(body1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if causal else Window.partitionBy(*by))
+    small = F.col(body1) <= 0.5 * mean
     middle = (o2 + c2) / 2
     return {
         "engulfing_bullish": (c1 < o1) & (c > o) & (o < c1) & (c > o1),
@@ -40,14 +40,15 @@ def _parts(by, doji: float, causal: bool) -> dict[str, Column]:
     }
 
 
-def patterns(df: DataFrame, names=NAMES, by=("symbol",), threshold: float = 0.1, causal: bool = False) -> DataFrame:
+def patterns(df: DataFrame, names=NAMES, by=None, threshold: float = 0.1, causal: bool = False) -> DataFrame:
     """The named patterns; columns that are there already stay."""
-    known = _parts(by, threshold, causal)
+    by, (body1,) = by or series_of(df), fresh(df, "_body1")
+    known = _parts(by, threshold, causal, body1)
     wanted = {n: known[ALIASES.get(n, n)] for n in names if n not in df.columns}
     if any(n.endswith("_star") and n != "shooting_star" for n in wanted):
         w = over(by)
-        df = df.withColumn("_body1", F.abs(F.lag("close").over(w) - F.lag("open").over(w)))
-    return df.withColumns(wanted).drop("_body1") if wanted else df
+        df = df.withColumn(body1, F.abs(F.lag("close").over(w) - F.lag("open").over(w)))
+    return df.withColumns(wanted).drop(body1) if wanted else df
 
 
 def pattern(df: DataFrame, name: str, **options) -> DataFrame:
@@ -61,13 +62,13 @@ def doji(df: DataFrame, threshold: float = 0.1) -> DataFrame:
     return patterns(df, ("doji",), threshold=threshold)
 
 
-def all_patterns(df: DataFrame, by=("symbol",)) -> DataFrame:
+def all_patterns(df: DataFrame, by=None) -> DataFrame:
     return patterns(df, NAMES, by)
 
 
-def engulfing_legacy(df: DataFrame, side: str, by=("symbol",)) -> DataFrame:
+def engulfing_legacy(df: DataFrame, side: str, by=None) -> DataFrame:
     """Engulfing without the colour of the bar before."""
-    w = over(by)
+    w = over(by or series_of(df))
     o1, c1, o, c = F.lag("open").over(w), F.lag("close").over(w), F.col("open"), F.col("close")
     rule = (c > o) & (o < c1) & (c > o1) if side == "bullish" else (c < o) & (o > c1) & (c < o1)
     return df.withColumn(f"engulfing_legacy_{side}", rule)
