@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .indicators import ema, full
+from .indicators import ema, fresh, running
 from .strategies import OBSERVE, OTHER_DAYS, _ema4, velocity_status
 
 BY = ("symbol", "interval")
@@ -15,41 +15,32 @@ BY = ("symbol", "interval")
 TOLERANCE, OTHER_TOLERANCE = {1: 0.002, 3: 0.02, 5: 0.05, 8: 0.07, 13: 0.1}, 0.02
 
 
-def _ready(df: DataFrame) -> DataFrame:
-    return ema(df, (8, 13, 144, 169), by=BY)
-
-
 def _velocity(df: DataFrame) -> DataFrame:
     # The status is a rule of the row, so any frame with the averages will do.
-    return velocity_status(_ready(df), "velocity")
+    return velocity_status(ema(df, (8, 13, 144, 169), by=BY), "velocity")
 
 
-def velocity_alert(df: DataFrame) -> DataFrame:
-    """L1"""
-    return _velocity(df).select(*BY, "date", F.lit("velocity_alert").alias("alert_type"), F.col("velocity").alias("signal"))
+def _momentum(df: DataFrame) -> tuple[DataFrame, Column]:
+    """L2's kind, as a column over the table with what it reads."""
+    out = df
+    flags = {"bad": F.col("velocity") != "velocity_maintained", "good": F.col("velocity") == "velocity_maintained"}
+    out, last, helpers = running(out, flags, BY)
 
-
-def momentum_alert(df: DataFrame) -> DataFrame:
-    """L2: no cooldown, looser rules than the strategy's."""
-    out = _velocity(df)
-    out = out.withColumns({"_bad": (F.col("velocity") != "velocity_maintained").cast("int"), "_good": (F.col("velocity") == "velocity_maintained").cast("int")})
-
-    def counted(c: str) -> Column:
-        value: Column = full(F.sum, c, OTHER_DAYS, BY)
+    def counted(flag: str) -> Column:
+        value = last(flag, OTHER_DAYS)
         for length in sorted(set(OBSERVE.values())):
-            value = F.when(F.col("interval").isin([k for k, v in OBSERVE.items() if v == length]), full(F.sum, c, length, BY)).otherwise(value)
+            value = F.when(F.col("interval").isin([k for k, v in OBSERVE.items() if v == length]), last(flag, length)).otherwise(value)
         return value
 
-    out = out.withColumns({"_nb": counted("_bad"), "_ng": counted("_good")})
+    bad, good = fresh(out, "_nb", "_ng")
+    out = out.withColumns({bad: counted("bad"), good: counted("good")}).drop(*helpers)
     short_min, short_max, _, long_max = _ema4()
-    more = F.col("_nb") > F.col("_ng")
-    kind = F.when((long_max <= short_max) & (F.col("open") < F.col("close")) & more, "accelerated").when((F.col("close") < short_min) & (F.col("_ng") < F.col("_nb")), "decelerated")
-    return out.withColumn("signal", kind).where("signal IS NOT NULL").select(*BY, "date", F.lit("momentum_alert").alias("alert_type"), "signal")
+    more = F.col(bad) > F.col(good)
+    return out, F.when((long_max <= short_max) & (F.col("open") < F.col("close")) & more, "accelerated").when((F.col("close") < short_min) & more, "decelerated")
 
 
-def ema_touch_alert(df: DataFrame) -> DataFrame:
-    """L3"""
-    out = _ready(df)
+def _touch() -> Column:
+    """L3's kind, null without a touch."""
     short_min, short_max, long_min, long_max = _ema4()
     t: Column = F.lit(OTHER_TOLERANCE)
     for k, v in TOLERANCE.items():
@@ -57,15 +48,43 @@ def ema_touch_alert(df: DataFrame) -> DataFrame:
     low, high = F.coalesce(long_min, F.col("ema_13")) * (1 - t), F.coalesce(long_max, F.col("ema_13")) * (1 + t)
     touch = F.col("low").between(low, high) | F.col("ema_13").between(low, high) | F.col("ema_8").between(low, high)
     kind = F.when((short_min > long_max) & (F.least("close", "open") > long_min), "support").when((short_max < long_max) & (F.col("close") < long_max), "resistance").otherwise("neutral")
-    return out.where(touch).select(*BY, "date", F.lit("ema_touch").alias("alert_type"), kind.alias("signal"))
+    return F.when(touch, kind)
+
+
+def _alerts(out: DataFrame, kind: str, signal: Column) -> DataFrame:
+    return out.select(*BY, "date", F.lit(kind).alias("alert_type"), signal.alias("signal")).where("signal IS NOT NULL")
+
+
+def velocity_alert(df: DataFrame) -> DataFrame:
+    """L1"""
+    return _alerts(_velocity(df), "velocity_alert", F.col("velocity"))
+
+
+def momentum_alert(df: DataFrame) -> DataFrame:
+    """L2: no cooldown, looser rules than the strategy's."""
+    out, kind = _momentum(_velocity(df))
+    return _alerts(out, "momentum_alert", kind)
+
+
+def ema_touch_alert(df: DataFrame) -> DataFrame:
+    """L3"""
+    return _alerts(ema(df, (8, 13, 144, 169), by=BY), "ema_touch", _touch())
 
 
 def all_alerts(df: DataFrame, days: int = 5 * 365) -> DataFrame:
-    """L4: the three kinds, for the last ``days`` of each interval."""
-    bars = _ready(df)
-    out = velocity_alert(bars).unionByName(momentum_alert(bars)).unionByName(ema_touch_alert(bars))
-    last = out.groupBy("interval").agg(F.max("date").alias("_last"))
-    return out.join(F.broadcast(last), "interval").where(F.col("date") >= F.date_sub("_last", days)).drop("_last").orderBy("symbol", "interval", "date", "alert_type")
+    """L4: the three kinds, for the last ``days`` of each interval. One pass over each series finds all three."""
+    out, momentum = _momentum(_velocity(df))
+    kinds = {"velocity_alert": F.col("velocity"), "momentum_alert": momentum, "ema_touch": _touch()}
+    found = F.filter(F.array(*[F.struct(F.lit(k).alias("alert_type"), signal.alias("signal")) for k, signal in kinds.items()]), lambda x: x["signal"].isNotNull())
+    rows = out.select(*BY, "date", F.inline(found))
+    # Every bar has a velocity, so the last date of the alerts is that of the bars: no second pass.
+    return _since(rows, df.groupBy("interval").agg(F.date_sub(F.max("date"), days).alias("from")))
+
+
+def _since(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """Rows from each interval's date on. start: (interval, from), one row for each interval; Spark sends it to the tasks if it is small."""
+    start = start.select(F.col("interval").alias("_interval"), F.col("from").alias("_from"))
+    return rows.join(start, (rows["interval"] == F.col("_interval")) & (rows["date"] >= F.col("_from"))).drop("_interval", "_from")
 
 
 def signal_counts(alerts: DataFrame, weight: bool = True) -> DataFrame:
@@ -73,12 +92,11 @@ def signal_counts(alerts: DataFrame, weight: bool = True) -> DataFrame:
     names = ("accelerated", "decelerated", "support", "resistance", "velocity_maintained", "velocity_weak", "velocity_loss")
     out = alerts.groupBy(*BY).agg(*[F.count_if(F.col("signal") == n).alias(n) for n in names])
     places = alerts.select("interval").distinct().withColumn("w", F.dense_rank().over(Window.orderBy("interval")))  # a handful of intervals
-    return out.join(F.broadcast(places), "interval")
+    return out.join(places, "interval")
 
 
 def _on_last_date(alerts: DataFrame) -> DataFrame:
-    last = alerts.groupBy("interval").agg(F.max("date").alias("_last"))
-    return alerts.join(F.broadcast(last), "interval").where(F.col("date") == F.col("_last")).drop("_last")
+    return _since(alerts, alerts.groupBy("interval").agg(F.max("date").alias("from")))
 
 
 def _micro(alerts: DataFrame) -> DataFrame:

@@ -2,52 +2,53 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TRADE = "run_id string, symbol string, trade_no long, entry_date date, entry_price double, exit_date date, exit_price double, shares double, reason string, pnl double, pnl_pct double, holding_days long"
 EQUITY = "run_id string, symbol string, date date, equity double"
+_LEDGER = ("trade_no", "entry_date", "entry_price", "exit_date", "exit_price", "shares", "reason", "pnl", "pnl_pct", "holding_days")
 PARAMETERS = "run_id string, stop_loss double, take_profit double, trailing_stop double, max_days long, anchor string, anchor_offset double"
 
 
-def anchor_price(bar, anchor: str | None, offset: float) -> float | None:
+def anchor_price(bar: dict, anchor: str | None, offset: float | None) -> float | None:
     """B2: the stop below a price of the entry's bar."""
-    if not anchor or pd.isna(anchor):
+    if not anchor:
         return None
     return bar[anchor.rsplit("_", 1)[-1].lower()] * (1 - (offset or 0.0))
 
 
-def _walk(frame: pd.DataFrame, capital: float, commission: float, slippage: float) -> tuple[list[tuple], list[tuple]]:
-    """B1: one symbol under one parameter row, bar by bar: exit first, then entry, then the equity."""
-    frame = frame.sort_values("date", kind="stable")
-    p = frame.iloc[0]
-    on = lambda x: x is not None and not pd.isna(x) and x != 0
+def _walk(bars: list[dict], p: dict, capital: float, commission: float, slippage: float) -> tuple[list[tuple], list[float]]:
+    """B1: one symbol under one parameter row, bar by bar in date order: exit first, then entry, then the equity."""
     cash, shares, open_ = capital, 0.0, None
-    trades, equity = [], []
+    trades: list[tuple] = []
+    equity: list[float] = []
 
-    def close(bar, price: float, reason: str) -> None:
+    def close(bar: dict, price: float, reason: str) -> None:
         nonlocal cash, shares, open_
         cash += shares * price - commission
         pnl = price - open_["price"]
-        trades.append((p["run_id"], p["symbol"], len(trades) + 1, open_["date"], open_["price"], bar["date"], price, shares, reason, pnl, pnl / open_["price"] if open_["price"] else 0.0, (bar["date"] - open_["date"]).days))
+        trades.append((len(trades) + 1, open_["date"], open_["price"], bar["date"], price, shares, reason, pnl, pnl / open_["price"] if open_["price"] else 0.0, (bar["date"] - open_["date"]).days))
         shares, open_ = 0.0, None
 
-    rows = frame.to_dict("records")
-    for bar in rows:
+    for bar in bars:
         c = bar["close"]
         if open_:
             open_["peak"] = max(open_["peak"], c)
             reason = None
-            if on(p["stop_loss"]) and c <= open_["price"] * (1 - p["stop_loss"]):
+            if p["stop_loss"] and c <= open_["price"] * (1 - p["stop_loss"]):
                 reason = "stop_loss"
             elif open_["anchor"] is not None and c <= open_["anchor"]:
                 reason = "stop_loss_anchor"
-            elif on(p["take_profit"]) and c >= open_["price"] * (1 + p["take_profit"]):
+            elif p["take_profit"] and c >= open_["price"] * (1 + p["take_profit"]):
                 reason = "take_profit"
-            elif on(p["trailing_stop"]) and c <= open_["peak"] * (1 - p["trailing_stop"]):
+            elif p["trailing_stop"] and c <= open_["peak"] * (1 - p["trailing_stop"]):
                 reason = "trailing_stop"
-            elif on(p["max_days"]) and (bar["date"] - open_["date"]).days >= p["max_days"]:
+            elif p["max_days"] and (bar["date"] - open_["date"]).days >= p["max_days"]:
                 reason = "time_based"
             elif bar["exit_signal"] == "SELL":
                 reason = "signal"
@@ -58,27 +59,51 @@ def _walk(frame: pd.DataFrame, capital: float, commission: float, slippage: floa
             shares = (cash - commission) / price
             cash -= shares * price + commission
             open_ = {"date": bar["date"], "price": price, "peak": c, "anchor": anchor_price(bar, p["anchor"], p["anchor_offset"])}
-        equity.append((p["run_id"], p["symbol"], bar["date"], cash + shares * c))
+        equity.append(cash + shares * c)
     if open_:
-        close(rows[-1], rows[-1]["close"] * (1 - slippage), "end_of_data")
-        equity[-1] = (*equity[-1][:3], cash)
+        close(bars[-1], bars[-1]["close"] * (1 - slippage), "end_of_data")
+        equity[-1] = cash
     return trades, equity
 
 
-def backtest(signals: DataFrame, params: DataFrame, capital: float = 10000.0, commission: float = 0.0, slippage: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """B1: (trades, equity) of every symbol under every parameter row.
+#: Bars as the ledger reads them.
+_BARS = ("symbol", "date", "open", "high", "low", "close", "signal", "exit_signal")
+
+
+def walk(signals: DataFrame, params: DataFrame, capital: float = 10000.0, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+    """B1: trades (``kind`` trade) and equity (``kind`` equity) of every symbol under every parameter row, in one pass.
 
-    The path of a position depends on itself, so each (run, symbol) is walked in one group; a group holds the bars
-    of one symbol. ``params`` is the grid that the user lists, so it is sent to the bars.
+    The path of a position depends on itself, so each symbol is walked in one group, once for each parameter row; a
+    group holds the bars of one symbol, which cross the network once whatever the grid. ``params`` is the grid that
+    the user lists, so it travels with the code.
     """
-    columns = ["symbol", "date", "open", "high", "low", "close", "signal", "exit_signal"]
-    both = signals.select(*columns).crossJoin(F.broadcast(params)).groupBy("run_id", "symbol")
+    grid = [r.asDict() for r in params.collect()]  # listed by the user: a row a run
+    schema = T.StructType([T.StructField("kind", T.StringType()), *T.StructType.fromDDL(TRADE).fields, *T.StructType.fromDDL(EQUITY).fields[2:]])
+    arrow = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("date", "ascending")]))
+        bars, symbol = table.to_pylist(), table["symbol"][0].as_py()
+        dates, parts = table["date"].cast(pa.date32()), []
+        for p in grid:
+            trades, equity = _walk(bars, p, capital, commission, slippage)
+            n = len(equity)
+            columns = {"kind": pa.array(["equity"] * n), "run_id": pa.array([p["run_id"]] * n, pa.string()), "symbol": pa.array([symbol] * n, pa.string()), "date": dates, "equity": pa.array(equity, pa.float64())}
+            parts.append(pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow}, schema=arrow))
+            n, of = len(trades), list(zip(*trades, strict=True)) or [()] * len(_LEDGER)
+            columns = {"kind": pa.array(["trade"] * n, pa.string()), "run_id": pa.array([p["run_id"]] * n, pa.string()), "symbol": pa.array([symbol] * n, pa.string())}
+            columns |= {name: pa.array(values, arrow.field(name).type) for name, values in zip(_LEDGER, of, strict=True)}
+            parts.append(pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow}, schema=arrow))
+        return pa.concat_tables(parts) if parts else arrow.empty_table()
+
+    return signals.select(*_BARS).groupBy("symbol").applyInArrow(run, schema)
 
-    def part(k: int, schema: str) -> DataFrame:
-        names = [c.split()[0] for c in schema.split(", ")]
-        return both.applyInPandas(lambda frame: pd.DataFrame(_walk(frame, capital, commission, slippage)[k], columns=names), schema)
 
-    return part(0, TRADE), part(1, EQUITY)
+def backtest(signals: DataFrame, params: DataFrame, capital: float = 10000.0, commission: float = 0.0, slippage: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """B1: (trades, equity); who needs both writes ``walk`` once."""
+    both = walk(signals, params, capital, commission, slippage)
+    trades, equity = ([c.split()[0] for c in ddl.split(", ")] for ddl in (TRADE, EQUITY))
+    return both.where("kind = 'trade'").select(*trades), both.where("kind = 'equity'").select(*equity)
 
 
 def trade_facts(ledger: DataFrame) -> DataFrame:
@@ -96,11 +121,11 @@ def periods_per_year(bars: DataFrame) -> DataFrame:
 
 
 def trade_metrics(ledger: DataFrame, by=("run_id",)) -> DataFrame:
-    """B5"""
+    """Counts, means and factor of trades by profit a share; ``total_return`` is what all shares made together."""
     win, loss = F.col("pnl") > 0, F.col("pnl") < 0
     out = ledger.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trades"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses"), F.avg(F.when(win, F.col("pnl"))).alias("avg_win"), F.avg(F.when(loss, F.col("pnl"))).alias("avg_loss"),
-        F.coalesce(F.sum(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("_w"), F.coalesce(-F.sum(F.when(loss, F.col("pnl"))), F.lit(0.0)).alias("_l"),
+        F.sum(F.col("pnl") * F.col("shares")).alias("total_return"), F.coalesce(F.sum(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("_w"), F.coalesce(-F.sum(F.when(loss, F.col("pnl"))), F.lit(0.0)).alias("_l"),
     )
     factor = F.when(F.col("_l") > 0, F.col("_w") / F.when(F.col("_l") > 0, F.col("_l"))).when(F.col("_w") > 0, F.lit(float("inf"))).otherwise(0.0)
     return out.withColumns({"win_rate": F.try_divide("wins", "trades"), "avg_win": F.coalesce("avg_win", F.lit(0.0)), "avg_loss": F.coalesce("avg_loss", F.lit(0.0)), "profit_factor": factor}).drop("_w", "_l")
@@ -125,20 +150,46 @@ def position_history(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return days.withColumns({"unrealised": gain * F.col("shares"), "unrealised_pct": F.try_divide(gain, "entry_price"), "value": F.col("shares") * F.col("close"), "days_held": F.datediff("date", "entry_date")})
 
 
+def _log(pnl_pct: str) -> Column:
+    return F.log1p(F.greatest(F.col(pnl_pct), F.lit(-0.999999)))
+
+
+def running_log(trades: DataFrame, into: str = "log_sum") -> DataFrame:
+    """The sum of log returns up to each trade of its run, in order of exit, symbol and number.
+
+    No task sorts a whole run: sums by exit date are few, a window over these gives each date its offset, and inside a
+    date another window runs.
+    """
+    x, before, r2, d2 = "_x", "_before", "_run", "_day"
+    day = trades.groupBy("run_id", "exit_date").agg(F.sum(_log("pnl_pct")).alias(x))
+    w = Window.partitionBy("run_id").orderBy("exit_date").rowsBetween(Window.unboundedPreceding, -1)
+    day = day.select(F.col("run_id").alias(r2), F.col("exit_date").alias(d2), F.coalesce(F.sum(x).over(w), F.lit(0.0)).alias(before))
+    inside = Window.partitionBy("run_id", "exit_date").orderBy("symbol", "trade_no")
+    out = trades.withColumn(x, F.sum(_log("pnl_pct")).over(inside))
+    out = out.join(day, out["run_id"].eqNullSafe(day[r2]) & out["exit_date"].eqNullSafe(day[d2]))
+    return out.withColumn(into, F.col(x) + F.col(before)).drop(x, before, r2, d2)
+
+
 def report_metrics(trades: DataFrame, capital: float = 10000.0, instrument: str = "stock", risk_free: float = 0.03) -> DataFrame:
     """Win rate without zero trades, fall in percent of the running peak, Sharpe over the risk-free rate with 365 days, yearly return."""
     days = 365 if instrument == "crypto" else 252
-    w = Window.partitionBy("run_id").orderBy("exit_date", "symbol", "trade_no")
-    curve = trades.withColumn("_c", capital * F.exp(F.sum(F.log1p(F.greatest("pnl_pct", F.lit(-0.999999)))).over(w)))
-    curve = curve.withColumn("_d", 1 - F.col("_c") / F.greatest(F.lit(capital), F.max("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    out = curve.groupBy("run_id").agg(
-        F.try_divide(F.count_if(F.col("pnl") > 0), F.count_if(F.col("pnl") != 0)).alias("win_rate"), F.max("_d").alias("max_drawdown_pct"), F.avg("pnl_pct").alias("_m"), F.stddev_samp("pnl_pct").alias("_s"),
-        F.max(F.struct("exit_date", "symbol", "trade_no", "_c")).alias("_last"), F.datediff(F.max("exit_date"), F.min("entry_date")).alias("_span"),
+    curve = running_log(trades, "_s")
+    # The peak before each trade: of the days before (a row a day), and inside the day.
+    day = curve.groupBy("run_id", "exit_date").agg(F.max("_s").alias("_m"))
+    w = Window.partitionBy("run_id").orderBy("exit_date").rowsBetween(Window.unboundedPreceding, -1)
+    day = day.select(F.col("run_id").alias("_run"), F.col("exit_date").alias("_day"), F.max("_m").over(w).alias("_before"))
+    inside = Window.partitionBy("run_id", "exit_date").orderBy("symbol", "trade_no")
+    curve = curve.withColumn("_in", F.max("_s").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    curve = curve.join(day, curve["run_id"].eqNullSafe(day["_run"]) & curve["exit_date"].eqNullSafe(day["_day"]))
+    fall = 1 - F.exp(F.col("_s") - F.greatest(F.lit(0.0), F.col("_in"), F.col("_before")))
+    out = curve.withColumn("_d", fall).groupBy("run_id").agg(
+        F.try_divide(F.count_if(F.col("pnl") > 0), F.count_if(F.col("pnl") != 0)).alias("win_rate"), F.max("_d").alias("max_drawdown_pct"), F.avg("pnl_pct").alias("_m"), F.stddev_samp("pnl_pct").alias("_sd"),
+        F.sum(_log("pnl_pct")).alias("_total"), F.datediff(F.max("exit_date"), F.min("entry_date")).alias("_span"),
     )
-    final = F.col("_last._c")
+    final = capital * F.exp(F.col("_total"))
     yearly = F.when(F.col("_span") > 0, F.pow(final / capital, F.lit(float(days)) / F.when(F.col("_span") > 0, F.col("_span"))) - 1)
-    sharpe = F.when(F.col("_s") > 0, (F.col("_m") - risk_free / 365) / F.when(F.col("_s") > 0, F.col("_s")) * F.sqrt(F.lit(365.0))).otherwise(0.0)
-    return out.withColumns({"final": final, "yearly_return": yearly, "sharpe": sharpe}).drop("_m", "_s", "_last", "_span")
+    sharpe = F.when(F.col("_sd") > 0, (F.col("_m") - risk_free / 365) / F.when(F.col("_sd") > 0, F.col("_sd")) * F.sqrt(F.lit(365.0))).otherwise(0.0)
+    return out.withColumns({"final": final, "yearly_return": yearly, "sharpe": sharpe}).drop("_m", "_sd", "_total", "_span")
 
 
 def yearly_returns(trades: DataFrame) -> DataFrame:
@@ -153,22 +204,47 @@ def buy_hold(bars: DataFrame) -> DataFrame:
     return out.groupBy("symbol").agg(F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")).alias("ratio"), F.min("_f").alias("max_fall"))
 
 
+def numbered(trades: DataFrame, by: str = "run_id", into: str = "k") -> DataFrame:
+    """Trades numbered 1..n in each run by symbol and number; offsets come from counts by symbol, so no task sorts a whole run."""
+    counts = trades.groupBy(by, "symbol").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(by).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(by).alias("_run"), F.col("symbol").alias("_symbol"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "symbol").orderBy("trade_no"))
+    out = trades.withColumn(into, own)
+    out = out.join(counts, out[by].eqNullSafe(counts["_run"]) & out["symbol"].eqNullSafe(counts["_symbol"]))
+    return out.withColumn(into, F.col(into) + F.col("_before")).drop("_run", "_symbol", "_before")
+
+
+#: Places of a draw that one window walks.
+CHUNK = 4096
+
+
+def bootstrap_draws(trades: DataFrame, draws: int = 200, seed: int = 7, by: str = "run_id") -> DataFrame:
+    """(run, draw b, place, r): a draw picks a trade's number by a seeded hash, so any executor draws the same."""
+    listed = numbered(trades, by).select(by, F.col("pnl_pct").alias("r"), "k")
+    sizes = listed.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    spots = listed.select(by, "k").join(sizes, by).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    spots = spots.withColumn("pick", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.col("n")) + 1)
+    return spots.select(by, "b", F.col("k").alias("place"), F.col("pick").alias("k")).join(listed, [by, "k"]).select(by, "b", "place", "r")
+
+
 def bootstrap_ci(trades: DataFrame, draws: int = 200, seed: int = 7, by: str = "run_id") -> DataFrame:
     """Trades drawn with replacement, ``draws`` times: mean final sum, worst fall and the 5 and 95 percent points.
 
-    A draw picks a trade's number by a seeded hash, so any executor draws the same. Each draw is as long as the
-    run's list of trades; nothing but the draws themselves is multiplied.
+    Each draw is as long as the run's list of trades; it is walked in chunks of ``CHUNK`` places. A chunk is told by its
+    sum, its highest and lowest point and its worst fall, and chunks are put together in order: no window holds a whole draw.
     """
-    w = Window.partitionBy(by).orderBy("symbol", "trade_no")
-    listed = trades.select(by, F.col("pnl_pct").alias("r"), F.row_number().over(w).alias("k"))
-    sizes = listed.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    spots = listed.select(by, "k").join(sizes, by).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    spots = spots.withColumn("pick", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.col("n")).cast("int") + 1)
-    drawn = spots.select(by, "b", F.col("k").alias("place"), F.col("pick").alias("k")).join(listed, [by, "k"])
-    path = Window.partitionBy(by, "b").orderBy("place")
-    walk = drawn.withColumn("s", F.sum("r").over(path)).withColumn("fall", F.col("s") - F.greatest(F.lit(0.0), F.max("s").over(path)))
-    ends = walk.groupBy(by, "b").agg(F.max_by("s", "place").alias("final"), F.min("fall").alias("fall"))
-    return ends.groupBy(by).agg(F.avg("final").alias("mean_final"), F.min("fall").alias("worst_fall"), F.percentile("final", F.lit(0.05)).alias("p5"), F.percentile("final", F.lit(0.95)).alias("p95"))
+    drawn = bootstrap_draws(trades, draws, seed, by).withColumn("chunk", F.floor((F.col("place") - 1) / CHUNK))
+    path = Window.partitionBy(by, "b", "chunk").orderBy("place")
+    walk = drawn.withColumn("s", F.sum("r").over(path)).withColumn("peak", F.max("s").over(path)).withColumn("fall", F.col("s") - F.col("peak"))
+    parts = walk.groupBy(by, "b", "chunk").agg(F.sum("r").alias("sum"), F.max("s").alias("high"), F.min("s").alias("low"), F.min("fall").alias("fall"))
+    order = Window.partitionBy(by, "b").orderBy("chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0.0)))
+    parts = parts.withColumn("top", F.greatest(F.lit(0.0), F.max(F.col("base") + F.col("high")).over(before)))
+    parts = parts.withColumn("worst", F.least(F.col("fall"), F.col("base") + F.col("low") - F.col("top")))
+    ends = parts.groupBy(by, "b").agg(F.sum("sum").alias("final"), F.min("worst").alias("fall"))
+    return ends.groupBy(by).agg(F.avg("final").alias("mean_final"), F.least(F.lit(0.0), F.min("fall")).alias("worst_fall"), F.percentile("final", F.lit(0.05)).alias("p5"), F.percentile("final", F.lit(0.95)).alias("p95"))
 
 
 def grid_best(metrics: DataFrame) -> DataFrame:

@@ -83,8 +83,18 @@ def trading_days(spark: SparkSession, start: str, end: str, holidays: DataFrame
     return days.withColumns({"prev": F.lag("date").over(w), "next": F.lead("date").over(w)})
 
 
+def with_session(df: DataFrame, ts: str, holidays: DataFrame | None = None, into: str = "in_session", tz: str = "America/New_York") -> DataFrame:
+    """Whether a time lies in a session, holidays (date) left out. Holidays are a short list, which Spark sends to the rows."""
+    out = df.withColumn(into, F.coalesce(in_session(F.col(ts), tz), F.lit(False)))
+    if holidays is None:
+        return out
+    day = holidays.select(F.col("date").alias("_holiday")).distinct()
+    out = out.join(day, F.from_utc_timestamp(F.col(ts), tz).cast("date") == F.col("_holiday"), "left")
+    return out.withColumn(into, F.col(into) & F.col("_holiday").isNull()).drop("_holiday")
+
+
 def in_session(ts: Column, tz: str = "America/New_York") -> Column:
-    """09:30 to 16:00 of the exchange's time on a weekday; join ``trading_days`` for holidays."""
+    """09:30 to 16:00 of the exchange's time on a weekday; ``with_session`` knows holidays."""
     local = F.from_utc_timestamp(ts, tz)
     minute = F.hour(local) * 60 + F.minute(local)
     return F.dayofweek(local).between(2, 6) & (minute >= 570) & (minute < 960)

@@ -27,10 +27,10 @@ def resample_calendar(bars: DataFrame, n: int) -> DataFrame:
     return bars.groupBy("symbol", bucket_start("date", n).alias("bucket")).agg(*ohlcv_agg()).withColumnRenamed("bucket", "date")
 
 
-def resample_all(bars: DataFrame, ns: Iterable[int]) -> DataFrame:
-    """Several widths at once, with a column ``n``: one explode, one shuffle."""
+def resample_all(bars: DataFrame, ns: Iterable[int], also: tuple[str, ...] = ()) -> DataFrame:
+    """Several widths at once, with a column ``n``: one explode, one shuffle. also: further columns that tell series apart."""
     spread = bars.withColumn("n", F.explode(F.array(*[F.lit(n) for n in ns])))
-    return spread.groupBy("symbol", "n", bucket_start("date", F.col("n")).alias("bucket")).agg(*ohlcv_agg()).withColumnRenamed("bucket", "date")
+    return spread.groupBy("symbol", "n", *also, bucket_start("date", F.col("n")).alias("bucket")).agg(*ohlcv_agg()).withColumnRenamed("bucket", "date")
 
 
 def resample_rows(bars: DataFrame, n: int, after: str | None = None, by: str = "date") -> DataFrame:

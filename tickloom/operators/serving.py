@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +83,8 @@ def latest_quote(meta: DataFrame, bars: DataFrame, symbols: Iterable[str] | None
     return meta.join(last, "symbol")
 
 
-def history(bars: DataFrame, symbols: Iterable[str] | None = None, start: str | None = None, end: str | None = None, limit: int | None = None, newest_first: bool = True) -> DataFrame:
-    """Bars in a range, at most ``limit`` of each symbol from the chosen end."""
+def history(bars: DataFrame, symbols: Iterable[str] | None = None, start: str | None = None, end: str | None = None, limit: int | None = None, newest_first: bool = True, ordered: bool = False) -> DataFrame:
+    """Bars in a range, at most ``limit`` of each symbol from the chosen end; sorted on request only."""
     if symbols is not None:
         bars = bars.where(F.col("symbol").isin(list(symbols)))
     if start:
@@ -90,7 +92,8 @@ def history(bars: DataFrame, symbols: Iterable[str] | None = None, start: str |
     if end:
         bars = bars.where(F.col("date") <= F.lit(end).cast("date"))
     way = F.desc("date") if newest_first else F.asc("date")
-    return (top_n(bars, ["symbol"], [way], limit) if limit else bars).orderBy("symbol", way)
+    out = top_n(bars, ["symbol"], [way], limit) if limit else bars
+    return out.orderBy("symbol", way) if ordered else out
 
 
 def trailing_returns(bars: DataFrame, horizons: Iterable[int] = (1, 5, 21)) -> DataFrame:
@@ -144,11 +147,48 @@ def describe_returns(trades: DataFrame, col: str = "pnl_pct", by: Iterable[str]
     )
 
 
-def return_correlation(bars: DataFrame, as_of: str | Column, days: int = 30) -> DataFrame:
-    """A10: correlation of daily returns of each pair of symbols, in long form; the returns meet by date."""
+#: Symbols in one tile of the correlation.
+TILE = 256
+
+
+def return_correlation(bars: DataFrame, as_of: str | Column, days: int = 30, tile: int = TILE) -> DataFrame:
+    """A10: correlation of daily returns of each pair of symbols, in long form.
+
+    A symbol's returns are one array. Symbols are dealt to tiles, and a pair of tiles meets in one group: a symbol's
+    array travels once for each tile and not once for each day and partner, and no join multiplies rows by days.
+    """
     d = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
     moves = bars.where(F.col("date").between(F.date_sub(d, days), d)).withColumn("r", F.try_divide("close", before) - 1).where("r IS NOT NULL")
-    left, right = moves.select("date", F.col("symbol").alias("a"), F.col("r").alias("x")), moves.select("date", F.col("symbol").alias("b"), F.col("r").alias("y"))
-    both = left.join(right, "date").where("a < b").groupBy("a", "b")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.corr("x", "y")).alias("corr"))
+    lines = moves.groupBy("symbol").agg(F.collect_list(F.struct(F.unix_date("date").alias("day"), "r")).alias("moves"))
+    tiles = lines.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile)).cast("int").alias("tiles"))
+    lines = lines.crossJoin(F.broadcast(tiles)).withColumn("own", F.pmod(F.xxhash64("symbol"), "tiles").cast("int"))
+    lines = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = lines.select(F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "symbol", "moves")
+    return met.groupBy("left", "right").applyInArrow(_correlate, "a string, b string, n long, corr double")
+
+
+def _correlate(table: pa.Table) -> pa.Table:
+    """Pairs of a tile with itself, or between two tiles, over the days that both symbols have."""
+    left, right = table["left"][0].as_py(), table["right"][0].as_py()
+    names, own = table["symbol"].to_pylist(), table["own"].to_pylist()
+    moves = [{x["day"]: x["r"] for x in m} for m in table["moves"].to_pylist()]
+    days = sorted(set().union(*moves))
+    grid = np.array([[m.get(day, np.nan) for day in days] for m in moves])
+    has = ~np.isnan(grid)
+    x, one = np.where(has, grid, 0.0), has.astype(float)
+    a, b = np.triu_indices(len(names), 1)
+    keep = np.array([left == right or own[i] != own[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+    a, b = a[keep], b[keep]
+    n = (one @ one.T)[a, b]
+    seen = n > 0
+    a, b, n = a[seen], b[seen], n[seen]
+    sums, squares, both = x @ one.T, (x * x) @ one.T, x @ x.T
+    sx, sy, sxx, syy, sxy = sums[a, b], sums[b, a], squares[a, b], squares[b, a], both[a, b]
+    # Means are taken off first, so that small moves keep their digits.
+    var_x, var_y, cov = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
+    flat = (var_x <= 1e-12 * sxx) | (var_y <= 1e-12 * syy)
+    corr = np.divide(cov, np.sqrt(np.where(flat, 1.0, var_x * var_y)), out=np.full(len(n), np.nan), where=~flat)
+    first = [names[i] < names[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    pairs = [(names[i], names[j]) if f else (names[j], names[i]) for i, j, f in zip(a.tolist(), b.tolist(), first, strict=True)]
+    return pa.table({"a": pa.array([p for p, _ in pairs], pa.string()), "b": pa.array([q for _, q in pairs], pa.string()), "n": pa.array(n.astype(np.int64)), "corr": pa.array(corr, from_pandas=True)})

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .conditions import crosses
-from .indicators import ema, full, over, sma
+from .indicators import ema, fresh, over, running, series_of, sma
 from .resample import resample_all
 
 Strategy = Callable[[DataFrame], DataFrame]
-BY = ("symbol", "timeframe")
 SCORED = "symbol string, date date, signal string, price double, confidence double, setup_valid boolean, strategy_name string"
 
 
@@ -30,20 +29,17 @@ def run_universe(strategy: Strategy, df: DataFrame, timeframe: str = "1d") -> Da
     return run_strategy(df if "timeframe" in df.columns else df.withColumn("timeframe", F.lit(timeframe)), strategy)
 
 
-def _by(df: DataFrame) -> tuple[str, ...]:
-    return BY if "timeframe" in df.columns else BY[:1]
-
-
 def golden_cross(df: DataFrame, fast: int = 50, slow: int = 200, min_dates: int = 200) -> DataFrame:
     """Y2: symbols with too few dates go after the averages are made."""
-    by = _by(df)
+    by = series_of(df)
     out = sma(sma(df, fast, by=by), slow, by=by)
+    dates, up, down = fresh(out, "_dates", "_up", "_down")
     f, s = F.col(f"sma_{fast}"), F.col(f"sma_{slow}")
-    out = out.withColumn("_dates", F.count("date").over(Window.partitionBy(*by))).where(F.col("_dates") >= min_dates).drop("_dates")
+    out = out.withColumn(dates, F.count("date").over(Window.partitionBy(*by))).where(F.col(dates) >= min_dates).drop(dates)
     setup = F.coalesce(f > s, F.lit(False))
-    out = out.withColumns({"setup_valid": setup, "_up": F.coalesce(crosses(f, s, True, by), F.lit(False)), "_down": F.coalesce(crosses(f, s, False, by), F.lit(False))})
-    buy = F.col("setup_valid") & F.col("_up")
-    return out.withColumns({"signal": F.when(buy, "BUY").otherwise("HOLD"), "exit_signal": F.when(F.col("_down"), "SELL"), "stop_loss_price": F.when(buy, F.col("close") * 0.95)}).drop("_up", "_down")
+    out = out.withColumns({"setup_valid": setup, up: F.coalesce(crosses(f, s, True, by), F.lit(False)), down: F.coalesce(crosses(f, s, False, by), F.lit(False))})
+    buy = F.col("setup_valid") & F.col(up)
+    return out.withColumns({"signal": F.when(buy, "BUY").otherwise("HOLD"), "exit_signal": F.when(F.col(down), "SELL"), "stop_loss_price": F.col("close") * 0.95}).drop(up, down)
 
 
 def _ema4() -> tuple[Column, Column, Column, Column]:
@@ -53,7 +49,7 @@ def _ema4() -> tuple[Column, Column, Column, Column]:
 
 def velocity_status(df: DataFrame, into: str = "velocity") -> DataFrame:
     """The first status that fits."""
-    out = ema(df, (8, 13, 144, 169), by=_by(df))
+    out = ema(df, (8, 13, 144, 169), by=series_of(df))
     short_min, short_max, _, long_max = _ema4()
     c, o, e13, e169 = F.col("close"), F.col("open"), F.col("ema_13"), F.col("ema_169")
     kept = (c > o) & (c > short_max) & (c > long_max) & (short_min > long_max)
@@ -91,17 +87,17 @@ def momentum_signal(df: DataFrame, obs: int | None = None, cooldown: int = 30, m
     ``documented``: null if the same raw signal occurred in the ``cooldown`` bars before. ``observed``: only if each
     of those bars carries a raw signal, as null arithmetic has it.
     """
-    by = _by(df)
+    by = series_of(df)
     out = df if "velocity" in df.columns else velocity_status(df)
     short_min, short_max, long_min, long_max = _ema4()
-    bad = F.col("velocity").isin("velocity_loss", "velocity_weak", "velocity_negotiating").cast("int")
-    good = (F.col("velocity") == "velocity_maintained").cast("int")
-    out = out.withColumns({"_bad": bad, "_good": good})
-    count = lambda c: (lambda n: full(F.sum, c, n, by))
-    n_bad, n_good = (count(c)(obs) if obs else by_timeframe(out, count(c)) for c in ("_bad", "_good"))
-    out = out.withColumns({"_nb": n_bad, "_ng": n_good})
+    bad, good, n_bad, n_good, fast, slow = fresh(out, "_bad", "_good", "_nb", "_ng", "_a", "_d")
+    flags = {bad: F.col("velocity").isin("velocity_loss", "velocity_weak", "velocity_negotiating"), good: F.col("velocity") == "velocity_maintained"}
+    out, last, helpers = running(out, flags, by)
+    count = lambda c: (lambda n: last(c, n))
+    counts = [count(c)(obs) if obs else by_timeframe(out, count(c)) for c in (bad, good)]
+    out = out.withColumns(dict(zip((n_bad, n_good), counts, strict=True))).drop(*helpers)
     o, c = F.col("open"), F.col("close")
-    more = F.col("_nb") > F.col("_ng")
+    more = F.col(n_bad) > F.col(n_good)
     raw = F.when(more & (long_max <= short_max) & (short_max < o) & (o < c), "accelerated").when(more & (c < short_min) & (short_min <= long_min), "decelerated")
     out = out.withColumn("raw_momentum", raw)
     w = over(by).rowsBetween(-cooldown, -1)
@@ -109,19 +105,21 @@ def momentum_signal(df: DataFrame, obs: int | None = None, cooldown: int = 30, m
         same = lambda kind: (F.count("raw_momentum").over(w) == cooldown) & (F.sum((F.col("raw_momentum") == kind).cast("int")).over(w) > 0)
     else:
         same = lambda kind: F.coalesce(F.max((F.col("raw_momentum") == kind).cast("int")).over(w), F.lit(0)) > 0
-    out = out.withColumns({"_a": F.coalesce(same("accelerated"), F.lit(False)), "_d": F.coalesce(same("decelerated"), F.lit(False))})
-    kept = F.when((F.col("raw_momentum") == "accelerated") & ~F.col("_a"), "accelerated").when((F.col("raw_momentum") == "decelerated") & ~F.col("_d"), "decelerated")
-    return out.withColumn("momentum", kept).drop("_bad", "_good", "_nb", "_ng", "_a", "_d")
+    out = out.withColumns({fast: F.coalesce(same("accelerated"), F.lit(False)), slow: F.coalesce(same("decelerated"), F.lit(False))})
+    kept = F.when((F.col("raw_momentum") == "accelerated") & ~F.col(fast), "accelerated").when((F.col("raw_momentum") == "decelerated") & ~F.col(slow), "decelerated")
+    return out.withColumn("momentum", kept).drop(n_bad, n_good, fast, slow)
 
 
 def channel_strategy(df: DataFrame, stop_loss_pct: float | None = None, take_profit_pct: float | None = None) -> DataFrame:
     """Y6"""
-    by = _by(df)
-    out = momentum_signal(df).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    by = series_of(df)
+    out = momentum_signal(df)
+    (n,) = fresh(out, "_n")
+    out = out.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*by)))
     fast = F.coalesce(F.col("momentum") == "accelerated", F.lit(False))
-    out = out.withColumn("setup_valid", (F.col("_n") >= 169) & (fast | (F.col("velocity") == "velocity_maintained")))
+    out = out.withColumn("setup_valid", (F.col(n) >= 169) & (fast | (F.col("velocity") == "velocity_maintained")))
     buy = F.col("setup_valid") & fast & (F.col("open") < F.col("close"))
-    out = out.withColumns({"signal": F.when(buy, "BUY").otherwise("HOLD"), "exit_signal": F.when(F.col("velocity") == "velocity_loss", "SELL")}).drop("_n")
+    out = out.withColumns({"signal": F.when(buy, "BUY").otherwise("HOLD"), "exit_signal": F.when(F.col("velocity") == "velocity_loss", "SELL")}).drop(n)
     if stop_loss_pct:
         out = out.withColumn("stop_loss_price", F.when(buy, F.col("close") * (1 - stop_loss_pct)))
     if take_profit_pct:
@@ -142,24 +140,28 @@ def scan_window(df: DataFrame, scan_date: str | Column | None = None, days: int
     return df.where(F.col("date").between(F.date_sub(d, days), d))
 
 
-def score_multi_timeframe(bars: DataFrame, strategy: Strategy, scan_date: str | Column, timeframes: Iterable[int] = (1, 3, 5), name: str = "golden_cross") -> DataFrame:
+def score_multi_timeframe(bars: DataFrame, strategy: Strategy, scan_date: str | Column | DataFrame, timeframes: Iterable[int] = (1, 3, 5), name: str = "golden_cross") -> DataFrame:
     """Symbols with a BUY of the first timeframe on the scan date, scored by the BUYs of the others.
 
     All timeframes are stacked, so bars are shuffled once by symbol; the k-th timeframe weighs k and counts if a
-    BUY is among its five latest signals.
+    BUY is among its five latest signals. The scan date may be a table of one row, which is sent to the tasks.
     """
     ns = list(timeframes)
-    d = F.lit(scan_date).cast("date") if isinstance(scan_date, str) else scan_date
-    stacked = resample_all(bars.where(F.col("date") <= d), ns).withColumn("timeframe", F.concat(F.col("n").cast("string"), F.lit("d")))
+    d = F.col("scan_date")
+    if isinstance(scan_date, DataFrame):
+        dated = bars.crossJoin(F.broadcast(scan_date.select("scan_date")))
+    else:
+        dated = bars.withColumn("scan_date", F.lit(scan_date).cast("date"))
+    stacked = resample_all(dated.where(F.col("date") <= d), ns, ("scan_date",)).withColumn("timeframe", F.concat(F.col("n").cast("string"), F.lit("d")))
     signals = run_universe(strategy, stacked).where(F.col("signal").isin("BUY", "SELL"))
     place = F.row_number().over(Window.partitionBy("symbol", "n").orderBy(F.desc("date")))
     latest = signals.withColumn("_k", place).where(F.col("_k") <= 5)
     weight = F.element_at(F.create_map(*[x for i, n in enumerate(ns) for x in (F.lit(n), F.lit(i + 1))]), F.col("n"))
     first = (F.col("n") == ns[0]) & (F.col("date") == d)
     buys = latest.where((F.col("signal") == "BUY") & ((F.col("n") != ns[0]) | first))
-    best = buys.groupBy("symbol", "n").agg(F.max("date").alias("date"), F.max_by("setup_valid", "date").alias("setup_valid"), F.max_by("close", "date").alias("close"))
+    best = buys.groupBy("symbol", "n").agg(F.max("date").alias("date"), F.max("scan_date").alias("scan_date"), F.max_by("setup_valid", "date").alias("setup_valid"), F.max_by("close", "date").alias("close"))
     scored = best.groupBy("symbol").agg(
-        F.max(F.when(F.col("n") == ns[0], F.col("close"))).alias("price"), F.sum(weight).alias("score"), F.sum(weight * F.col("setup_valid").cast("int")).alias("setup")
+        F.max("scan_date").alias("scan_date"), F.max(F.when(F.col("n") == ns[0], F.col("close"))).alias("price"), F.sum(weight).alias("score"), F.sum(weight * F.col("setup_valid").cast("int")).alias("setup")
     )
     most = sum(range(1, len(ns) + 1))
     confidence = F.least(F.greatest(F.col("score") / most, F.lit(0.0)), F.lit(1.0))
@@ -193,11 +195,20 @@ def to_staging(scored: DataFrame, scan_date: str | None = None) -> DataFrame:
 
 
 def rank_picks(signals: DataFrame, top_k: int = 10, by_strategy: bool = True, unique_symbol: bool = True) -> DataFrame:
-    """Dense rank by confidence, the first ``top_k`` ranks, each symbol once, then places 1..n; ties by symbol."""
-    group = [F.col("strategy_name")] if by_strategy else [F.lit(1)]
-    out = signals.withColumn("dense_rank", F.dense_rank().over(Window.partitionBy(*group).orderBy(F.desc("confidence")))).where(F.col("dense_rank") <= top_k)
+    """Dense rank by confidence, the first ``top_k`` ranks, each symbol once, then places 1..n; ties by symbol.
+
+    A strategy's signals aren't sorted as a whole: its distinct confidences are ranked (few, after partial sums), and
+    only rows of the first ``top_k`` of them are placed.
+    """
+    group, g, c = fresh(signals, "_group", "_g", "_c")
+    out = signals.withColumn(group, F.col("strategy_name") if by_strategy else F.lit(""))
+    values = out.select(group, "confidence").distinct()
+    values = values.withColumn("dense_rank", F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc("confidence")))).where(F.col("dense_rank") <= top_k)
+    values = values.select(F.col(group).alias(g), F.col("confidence").alias(c), "dense_rank")
+    out = out.join(values, out[group].eqNullSafe(values[g]) & out["confidence"].eqNullSafe(values[c])).drop(g, c)
     if unique_symbol:
-        again = Window.partitionBy(*group, "symbol").orderBy(F.desc("confidence"), "strategy_name")
-        out = out.withColumn("_k", F.row_number().over(again)).where("_k = 1").drop("_k")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("confidence"), "symbol", "strategy_name"))
-    return out.withColumn("rank", place).withColumn("ranking_score", F.col("confidence"))
+        (k,) = fresh(out, "_k")
+        again = Window.partitionBy(group, "symbol").orderBy(F.desc("confidence"), "strategy_name")
+        out = out.withColumn(k, F.row_number().over(again)).where(F.col(k) == 1).drop(k)
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("confidence"), "symbol", "strategy_name"))
+    return out.withColumn("rank", place).withColumn("ranking_score", F.col("confidence")).drop(group)
