@@ -134,10 +134,10 @@ def test_costs_and_reentry(spark):
 
 
 def test_metrics_of_a_ledger(spark):
-    rows = [("r", p) for p in (2.0, -1.0, 0.0, 4.0)]
-    m = backtest.trade_metrics(spark.createDataFrame(rows, "run_id string, pnl double")).first()
-    assert (m.trades, m.wins, m.losses, m.win_rate, m.avg_win, m.avg_loss, m.profit_factor) == (4, 2, 1, 0.5, 3.0, -1.0, 6.0)
-    m = backtest.trade_metrics(spark.createDataFrame([("r", 1.0)], "run_id string, pnl double")).first()
+    rows = [("r", p, 10.0) for p in (2.0, -1.0, 0.0, 4.0)]
+    m = backtest.trade_metrics(spark.createDataFrame(rows, "run_id string, pnl double, shares double")).first()
+    assert (m.trades, m.wins, m.losses, m.win_rate, m.avg_win, m.avg_loss, m.profit_factor, m.total_return) == (4, 2, 1, 0.5, 3.0, -1.0, 6.0, 50.0)
+    m = backtest.trade_metrics(spark.createDataFrame([("r", 1.0, 1.0)], "run_id string, pnl double, shares double")).first()
     assert m.profit_factor == math.inf
 
 
@@ -213,3 +213,146 @@ def test_screener_sort_is_checked(spark):
 def test_all_indicators_exchange_once(spark):
     plan = indicators.all_indicators(linear(spark, ("A", 10), days=30))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") == 1
+
+
+def test_nan_and_null_stay_apart_in_the_bundle(spark):
+    flat = spark.createDataFrame([("A", DAY + dt.timedelta(i), 5.0, 5.0, 5.0, 5.0, 1.0) for i in range(20)], BARS)
+    out = indicators.all_indicators(flat).orderBy("date").collect()
+    assert out[0].rsi_14 is None and math.isnan(out[-1].rsi_14) and math.isnan(out[-1].stoch_k_14_3) and out[-1].ema_8 == 5
+
+
+def test_series_are_told_apart_where_timeframes_are_stacked(spark):
+    """A strategy over stacked timeframes gives what it gives on each alone."""
+    rows = []
+    for s in "AB":
+        for i in range(130):
+            c = 100 + 10 * math.sin(i / (7 if s == "A" else 11)) + i / 9
+            rows.append((s, DAY + dt.timedelta(i), c - 0.5 + i % 2, c + 2, c - 2, c, 100.0 + i % 13))
+    daily = spark.createDataFrame(rows, BARS)
+    parts = {"1d": daily, "5d": resample.resample_calendar(daily, 5).select(*daily.columns)}
+    stacked = parts["1d"].withColumn("timeframe", F.lit("1d")).unionByName(parts["5d"].withColumn("timeframe", F.lit("5d")))
+    sma = lambda n: {"indicator": "SMA", "params": {"period": n}}
+    leave = {"type": "CONDITIONAL_OR_FIXED", "conditions": [{"type": "INDICATOR_CROSS", "indicator": "rsi_14", "direction": "DOWN", "value": 60}]}
+    for setup in ({"type": "RSI_MOMENTUM", "min": 40}, {"type": "SMA_TREND", "fast": 5, "slow": 15}, {"type": "MACD_TREND"}, {"type": "INDICATOR_THRESHOLD", "indicator": "SMA", "params": {"period": 5}, "operator": ">", "indicator2": "sma_15"}):
+        for trigger in ({"type": "BREAKOUT"}, {"type": "REVERSAL", "reversal": "RSI_OVERSOLD"}, {"type": "EXPRESSION", "expression": {"op": "CROSS_ABOVE", "left": sma(3), "right": sma(8)}}):
+            run = conditions.compile_strategy({"components": {"setup": setup, "trigger": trigger, "exit": leave}})
+            names = ("symbol", "date", "setup_valid", "signal", "exit_signal")
+            both = run(stacked)
+            for name, alone in parts.items():
+                assert sorted(map(str, both.where(F.col("timeframe") == name).select(*names).collect())) == sorted(map(str, run(alone).select(*names).collect())), (setup, trigger, name)
+
+
+def test_strategy_documents_are_read_and_checked(spark):
+    document = {"strategy_name": "x", "components": {"trigger": {"type": "CANDLE_PATTERN", "pattern": "BULLISH_ENGULFING"}, "exit": {"type": "STOP_LOSS_PCT", "value": 0.04}}}
+    assert {r.signal for r in conditions.run_document(linear(spark, ("A", 10)), document).collect()} == {"HOLD"}
+    bad = [
+        lambda: conditions.apply_exit(linear(spark, ("A", 1)), {"type": "STOP_SOMETIMES"}), lambda: conditions.exit_parameters({"type": "CONDITIONAL_OR_FIXED", "conditions": [{"type": "STOP"}]}),
+        lambda: conditions.apply_trigger(linear(spark, ("A", 1)), {"type": "CANDLE_PATTERN", "pattern": "moon"}), lambda: conditions.apply_trigger(linear(spark, ("A", 1)), {"type": "PRICE_CROSSOVER"}),
+        lambda: conditions.apply_setup(linear(spark, ("A", 1)), {"type": "INDICATOR_THRESHOLD", "indicator": "RSI", "operator": "~", "value": 1}), lambda: conditions.apply_setup(linear(spark, ("A", 1)), {"type": "WEATHER"}),
+        lambda: conditions.run_document(linear(spark, ("A", 1)), {"components": {"setup": {"type": "NONE", "timeframe": "1w"}, "trigger": {"type": "BREAKOUT"}}}), lambda: indicators.indicator("RSI", {"length": 3}), lambda: indicators.indicator("RSI", None, "upper"),
+    ]
+    for f in bad:
+        with pytest.raises(ValueError):
+            f()
+    green = conditions.apply_trigger(linear(spark, ("A", 10)).withColumn("close", F.col("open") + 1), {"type": "CANDLE_PATTERN", "pattern": "green"})
+    assert {r.signal for r in green.collect()} == {"BUY"}
+
+
+@pytest.mark.parametrize(
+    ("rule", "closes", "reason"),
+    [
+        ({"type": "STOP_LOSS_PCT", "value": 0.05}, [100, 94, 90], "stop_loss"), ({"type": "TAKE_PROFIT_PCT", "value": 0.1}, [100, 111, 90], "take_profit"), ({"type": "TRAILING_STOP_PCT", "value": 0.05}, [100, 120, 110], "trailing_stop"),
+        ({"type": "TIME_BASED", "max_holding_days": 2}, [100, 101, 102], "time_based"), ({"type": "STOP_LOSS_ANCHOR", "anchor": "ENTRY_LOW", "offset_pct": 0.02}, [100, 97, 90], "stop_loss_anchor"),
+    ],
+)
+def test_rules_of_a_document_reach_the_ledger(spark, rule, closes, reason):
+    for component in (rule, {"type": "CONDITIONAL_OR_FIXED", "conditions": [rule, {"type": "INDICATOR_CROSS", "indicator": "RSI", "direction": "DOWN", "value": 70}]}):
+        (trade,), _ = ledger(spark, closes, conditions.exit_parameters(component))
+        assert trade.reason == reason
+
+
+def test_states_hold_on_and_events_do_not(spark):
+    """A 2-day setup holds until its next bar; a 2-day trigger fires on its own date only."""
+    b = linear(spark, ("A", 10), days=12)
+    document = {"timeframe": "1d", "components": {
+        "setup": {"type": "EXPRESSION", "timeframe": "4d", "expression": {"op": "GT", "left": {"price": "close"}, "right": {"const": 14}}},
+        "trigger": {"type": "EXPRESSION", "timeframe": "2d", "expression": {"op": "GT", "left": {"price": "close"}, "right": {"const": 0}}},
+    }}
+    out = conditions.run_document(b, document).orderBy("date").collect()
+    starts = {d: {r.date for r in resample.resample_calendar(b, d).collect()} for d in (2, 4)}
+    four = {r.date: r.close > 14 for r in resample.resample_calendar(b, 4).collect()}
+    for r in out:
+        seen = [d for d in four if d <= r.date]
+        assert r.setup_valid == (four[max(seen)] if seen else False)
+        assert r.signal == ("BUY" if r.date in starts[2] and r.setup_valid else "HOLD")
+
+
+def test_columns_of_the_user_survive(spark):
+    names = ("_gain", "_loss", "_g", "_l", "_tr", "_lo", "_hi", "_c", "_w", "_b", "_n", "_k", "_e0", "_t", "_a", "_level", "_body1", "_dates", "_up", "_row", "_total_bad", "_nb", "_ng", "_group")
+    b = linear(spark, ("A", 10), days=6).withColumns({c: F.lit(7) for c in names})
+    for f in (indicators.rsi, indicators.atr, indicators.stochastic, indicators.density_area, patterns.all_patterns, strategies.momentum_signal, lambda d: strategies.golden_cross(d, 2, 3, 1),
+              lambda d: conditions.compile_strategy({"components": {"trigger": {"type": "PRICE_CROSSOVER", "level": 12}, "exit": {"type": "EXPRESSION", "expression": {"op": "CROSS_ABOVE", "left": {"price": "close"}, "right": {"const": 12}}}}})(d)):
+        assert {tuple(r[c] for c in names) for r in f(b).collect()} == {(7,) * len(names)}
+    two = indicators.sma(indicators.sma(b, 2), 2, price="volume")
+    assert {"sma_2", "sma_2_volume"} <= set(two.columns)
+
+
+def test_bootstrap_against_its_own_draws(spark, monkeypatch):
+    """Chunks put together give what walking each draw from end to end gives."""
+    rows = [("r", s, k, round(0.1 * math.sin(37 * k + ord(s)), 6)) for s in "ABC" for k in range(1, 15)]
+    trades = spark.createDataFrame(rows, "run_id string, symbol string, trade_no long, pnl_pct double")
+    monkeypatch.setattr(backtest, "CHUNK", 5)
+    draws = {}
+    for r in backtest.bootstrap_draws(trades, 9).collect():
+        draws.setdefault(r.b, {})[r.place] = r.r
+    finals, worst = [], 0.0
+    for d in draws.values():
+        total = peak = 0.0
+        assert sorted(d) == list(range(1, 43))
+        for place in sorted(d):
+            total += d[place]
+            peak = max(peak, total)
+            worst = min(worst, total - peak)
+        finals.append(total)
+    out = backtest.bootstrap_ci(trades, 9).first()
+    assert len(draws) == 9 and out.mean_final == pytest.approx(sum(finals) / 9) and out.worst_fall == pytest.approx(worst)
+    assert [r.k for r in backtest.numbered(trades).orderBy("symbol", "trade_no").collect()] == list(range(1, 43))
+
+
+def test_correlation_in_tiles_is_the_same(spark):
+    rows = [(s, DAY + dt.timedelta(i), *[10 + math.sin(i * (k + 1)) + k] * 4, 1.0) for k, s in enumerate("ABCDEF") for i in range(25) if (i + k) % 5]
+    b = spark.createDataFrame(rows, BARS)
+    one, many = ({(r.a, r.b): (r.n, round(r.corr, 9)) for r in serving.return_correlation(b, str(DAY + dt.timedelta(24)), tile=n).collect()} for n in (99, 2))
+    assert one == many and len(one) == 15
+
+
+def test_all_alerts_is_one_pass(spark):
+    from tickloom.operators import alerts
+
+    b = linear(spark, ("A", 10), days=30).withColumn("interval", F.lit(1))
+    plan = alerts.all_alerts(b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_upsert_on_disk_writes_only_what_it_touches(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    sinks.upsert_table(spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 2, 1)], "k string, p int, v int"), path, ["k"], ["p"])
+    before = {f for f in os.listdir(f"{path}/p=2")}
+    for _ in range(2):
+        sinks.upsert_table(spark.createDataFrame([("b", 1, 5), ("d", 1, 6)], "k string, p int, v int"), path, ["k"], ["p"])
+        assert sorted((r.k, r.p, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1, 1), ("b", 1, 5), ("c", 2, 1), ("d", 1, 6)]
+    assert {f for f in os.listdir(f"{path}/p=2")} == before
+
+
+def test_staged_upsert_statement():
+    sql = sinks.merge_statement("t", "s", ["k"], ["k", "v"])
+    assert sql == "MERGE INTO t t USING s s ON t.k = s.k WHEN MATCHED THEN UPDATE SET t.v = s.v WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v)"
+
+
+def test_holidays_have_no_session(spark):
+    rows = [("2026-01-05 15:00:00",), ("2026-01-06 15:00:00",), (None,)]
+    holidays = spark.createDataFrame([(dt.date(2026, 1, 5),)], "date date")
+    out = bookkeeping.with_session(spark.createDataFrame(rows, "t string").select(F.col("t").cast("timestamp").alias("t")), "t", holidays).collect()
+    assert sorted((str(r.t), r.in_session) for r in out) == [("2026-01-05 15:00:00", False), ("2026-01-06 15:00:00", True), ("None", False)]

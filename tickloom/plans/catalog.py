@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,29 +10,7 @@ from ..sources import driver_tables as t
 from ..sources import readers, sinks
 from ..streaming import candles
 from . import sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if oracle:
-            ORACLES[name or f.__name__] = oracle
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
-
-
-def _r(*columns: str, digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
-
+from .registry import ORACLES, QUERIES, _r, query, rounded
 
 KEY = "symbol, date"
 OHLCV = "symbol, date, open, high, low, close, volume"
@@ -308,9 +284,23 @@ def pct_change(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", "date", F.round("pct_change_1", 6).alias("pct_change_1"), F.round("growth", 4).alias("growth"))
 
 
-@query()
+_BUNDLE = f"""WITH RECURSIVE {sql.bars("nation")}, {_RSI},
+q AS (SELECT symbol, date, close, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc, high, low FROM bars),
+w0 AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, {sql.rolling("min", "low", 14)} AS lo, {sql.rolling("max", "high", 14)} AS hi FROM q),
+w1 AS (SELECT *, CASE WHEN hi - lo > 0 THEN 100 * (close - lo) / (hi - lo) WHEN hi - lo = 0 THEN 'NaN'::DOUBLE END AS k FROM w0),
+roll AS (SELECT symbol, date, {", ".join(f"{sql.rolling('avg', 'close', n)} AS sma_{n}" for n in (20, 50, 200))}, {sql.rolling("stddev_samp", "close", 20)} AS sd, {sql.rolling("avg", "tr", 14)} AS atr_14, k AS stoch_k_14_3, {sql.rolling("avg", "k", 3)} AS stoch_d_14_3 FROM w1),
+{sql.ema("bars", (*indicators.EMAS, 12, 26))}, m AS (SELECT symbol, date, ema_12 - ema_26 AS line FROM e),
+{sql.ema("m", (9,), "s", "line")}
+SELECT symbol, date, {_r("open", "high", "low", "close", "volume", digits=4)}, {_r("sma_20", "sma_50", "rsi_14", digits=4)}, round(sma_200 + 1e-7, 4) AS sma_200, round(sma_20, 4) AS bb_middle_20_2, round(sma_20 + 2 * sd, 4) AS bb_upper_20_2,
+round(sma_20 - 2 * sd, 4) AS bb_lower_20_2, {_r("atr_14", "stoch_k_14_3", "stoch_d_14_3", *[f"ema_{p}" for p in indicators.EMAS], digits=4)}, round(s.line, 4) AS macd_12_26, round(s.ema_9, 4) AS macd_signal_12_26_9,
+round(s.line - s.ema_9, 4) AS macd_hist_12_26_9 FROM e JOIN roll USING (symbol, date) JOIN (SELECT symbol, date, rsi_14 FROM rsi) USING (symbol, date) JOIN s USING (symbol, date)"""
+
+
+@query(_BUNDLE)
 def all_indicators(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(indicators.all_indicators(t.bars(spark, d, "nation")), 4)
+    # A mean of 200 prices in cents may lie just between two roundings, so both sides are nudged.
+    out = indicators.all_indicators(t.bars(spark, d, "nation"))
+    return rounded(out.withColumn("sma_200", F.col("sma_200") + 1e-7), 4)
 
 
 # patterns and conditions
@@ -382,7 +372,10 @@ CONFIG = {"strategy_name": "dip", "components": {
 }}
 
 
-@query(f"WITH {sql.bars()}, {_RSI}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM rsi), x AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM s) SELECT {KEY}, coalesce(a > b, false) AS setup_valid, CASE WHEN coalesce(a > b, false) AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN rsi_14 < 70 AND r1 >= 70 THEN 'SELL' END AS exit_signal FROM x")
+ORACLES_JSON = f"WITH {sql.bars()}, {_RSI}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM rsi), x AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM s) SELECT {KEY}, coalesce(a > b, false) AS setup_valid, CASE WHEN coalesce(a > b, false) AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN rsi_14 < 70 AND r1 >= 70 THEN 'SELL' END AS exit_signal FROM x"
+
+
+@query(ORACLES_JSON)
 def json_strategy(spark: SparkSession, d: str) -> DataFrame:
     return conditions.compile_strategy(CONFIG)(t.bars(spark, d)).select("symbol", "date", "setup_valid", "signal", "exit_signal")
 
@@ -425,8 +418,7 @@ def channel_strategy(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str, by: str = "region") -> DataFrame:
     b = t.bars(spark, d, by)
-    last = strategies.last_signal_date(b, strategies.golden_cross).first()[0]  # one value
-    return strategies.score_multi_timeframe(b, strategies.golden_cross, F.lit(last).cast("date"))
+    return strategies.score_multi_timeframe(b, strategies.golden_cross, strategies.last_signal_date(b, strategies.golden_cross))
 
 
 def _score_sql(by: str) -> str:
@@ -500,7 +492,7 @@ def pick_detail(spark: SparkSession, d: str) -> DataFrame:
     return serving.pick_detail(p, t.symbol_metadata(spark, d), " 1 ", F.lit(p.where("symbol = '1'").agg(F.max("scan_date")).first()[0]))
 
 
-@query(f"WITH {_PICKS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars), p AS (SELECT picks.*, (SELECT count(*) FROM sbars s WHERE s.symbol = picks.symbol AND s.date <= picks.scan_date) AS pos FROM picks), lc AS (SELECT symbol, arg_max(close, date) AS c FROM sbars GROUP BY symbol) SELECT p.symbol, scan_date, round((a.close - price) / price, 6) AS return_1, round((b.close - price) / price, 6) AS return_5, round((c.close - price) / price, 6) AS return_21, round((lc.c - price) / price, 6) AS return_to_date, name, industry FROM p LEFT JOIN k a ON a.symbol = p.symbol AND a.k = pos + 1 LEFT JOIN k b ON b.symbol = p.symbol AND b.k = pos + 5 LEFT JOIN k c ON c.symbol = p.symbol AND c.k = pos + 21 JOIN lc ON lc.symbol = p.symbol LEFT JOIN meta ON meta.symbol = p.symbol")
+@query(f"WITH {_PICKS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars), p AS (SELECT picks.*, coalesce(z.k, 0) AS pos FROM picks ASOF LEFT JOIN k z ON z.symbol = picks.symbol AND picks.scan_date >= z.date), lc AS (SELECT symbol, arg_max(close, date) AS c FROM sbars GROUP BY symbol) SELECT p.symbol, scan_date, round((a.close - price) / price, 6) AS return_1, round((b.close - price) / price, 6) AS return_5, round((c.close - price) / price, 6) AS return_21, round((lc.c - price) / price, 6) AS return_to_date, name, industry FROM p LEFT JOIN k a ON a.symbol = p.symbol AND a.k = pos + 1 LEFT JOIN k b ON b.symbol = p.symbol AND b.k = pos + 5 LEFT JOIN k c ON c.symbol = p.symbol AND c.k = pos + 21 JOIN lc ON lc.symbol = p.symbol LEFT JOIN meta ON meta.symbol = p.symbol")
 def pick_forward_returns(spark: SparkSession, d: str) -> DataFrame:
     out = serving.pick_forward_returns(_picks(spark, d).select("symbol", "scan_date", "price"), t.symbol_metadata(spark, d), t.bars(spark, d, "supplier"))
     return rounded(out.drop("price"))
@@ -548,12 +540,47 @@ def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return backtest.backtest(signals, spark.createDataFrame(GRID, backtest.PARAMETERS))
 
 
-@query()
+def _value(x: object) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+_GRID = ", ".join("(" + ", ".join(_value(x) for x in row) + ")" for row in GRID)
+#: The ledger as a recursion over the bars: led has the state after each bar and the trade that it closed.
+_LED = f"""{sql.bars("nation")}, {_RSI}, sg AS (SELECT *, {sql.rolling("avg", "close", 20)} AS a, {sql.rolling("avg", "close", 50)} AS b FROM rsi),
+sx AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM sg),
+bar AS (SELECT symbol, date, open, high, low, close, coalesce(a > b, false) AND close > open AS buy, coalesce(rsi_14 < 70 AND r1 >= 70, false) AS leave, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn,
+count(*) OVER (PARTITION BY symbol) AS n FROM sx),
+grid(run_id, sl, tp, ts, md, anchor, off) AS (VALUES {_GRID}),
+led AS (SELECT grid.*, symbol, 0::BIGINT AS rn, 0::BIGINT AS n, NULL::DATE AS date, NULL::DOUBLE AS close, 10000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, false AS held, NULL::DOUBLE AS ep, NULL::DATE AS ed, NULL::DOUBLE AS peak, NULL::DOUBLE AS anc,
+NULL::VARCHAR AS reason, NULL::DOUBLE AS x_ep, NULL::DATE AS x_ed, NULL::DOUBLE AS x_shares FROM grid, (SELECT DISTINCT symbol FROM bar)
+UNION ALL SELECT run_id, sl, tp, ts, md, anchor, off, symbol, rn, n, date, close, CASE WHEN enter THEN 0.0 ELSE cash1 END, CASE WHEN enter THEN cash1 / close WHEN held1 THEN shares ELSE 0.0 END, enter OR held1,
+CASE WHEN enter THEN close ELSE ep END, CASE WHEN enter THEN date ELSE ed END, CASE WHEN enter THEN close ELSE top END,
+CASE WHEN enter THEN CASE anchor WHEN 'ENTRY_LOW' THEN low * (1 - off) WHEN 'ENTRY_HIGH' THEN high * (1 - off) WHEN 'ENTRY_OPEN' THEN open * (1 - off) WHEN 'ENTRY_CLOSE' THEN close * (1 - off) END ELSE anc END, why, ep, ed, shares FROM (
+SELECT *, held AND why IS NULL AS held1, NOT (held AND why IS NULL) AND buy AS enter, CASE WHEN why IS NULL THEN cash ELSE cash + shares * close END AS cash1 FROM (
+SELECT r.run_id, r.sl, r.tp, r.ts, r.md, r.anchor, r.off, bar.*, r.cash, r.shares, r.held, r.ep, r.ed, r.anc, greatest(r.peak, bar.close) AS top,
+CASE WHEN NOT r.held THEN NULL WHEN bar.close <= r.ep * (1 - r.sl) THEN 'stop_loss' WHEN bar.close <= r.anc THEN 'stop_loss_anchor' WHEN bar.close >= r.ep * (1 + r.tp) THEN 'take_profit'
+WHEN bar.close <= greatest(r.peak, bar.close) * (1 - r.ts) THEN 'trailing_stop' WHEN bar.date - r.ed >= r.md THEN 'time_based' WHEN bar.leave THEN 'signal' END AS why FROM led r JOIN bar ON bar.symbol = r.symbol AND bar.rn = r.rn + 1))),
+shut AS (SELECT run_id, symbol, x_ed AS entry_date, x_ep AS entry_price, date AS exit_date, close AS exit_price, x_shares AS shares, reason FROM led WHERE reason IS NOT NULL
+UNION ALL SELECT run_id, symbol, ed, ep, date, close, shares, 'end_of_data' FROM led WHERE held AND rn = n),
+ledger AS (SELECT run_id, symbol, row_number() OVER (PARTITION BY run_id, symbol ORDER BY exit_date, entry_date) AS trade_no, entry_date, entry_price, exit_date, exit_price, shares, reason, exit_price - entry_price AS pnl,
+(exit_price - entry_price) / entry_price AS pnl_pct, exit_date - entry_date AS holding_days FROM shut),
+eq AS (SELECT run_id, symbol, date, cash + shares * close AS equity FROM led WHERE rn > 0)"""
+
+
+@query(f"WITH RECURSIVE {_LED} SELECT run_id, symbol, trade_no, entry_date, round(entry_price, 4) AS entry_price, exit_date, round(exit_price, 4) AS exit_price, round(shares, 4) AS shares, reason, round(pnl, 4) AS pnl, round(pnl_pct, 4) AS pnl_pct, holding_days FROM ledger")
 def backtest_ledger(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_ledger(spark, d)[0], 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {_LED} SELECT run_id, symbol, date, round(equity, 4) AS equity FROM eq")
+def backtest_equity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_ledger(spark, d)[1], 4)
+
+
+@query(f"""WITH RECURSIVE {_LED}, a AS (SELECT run_id, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, avg(pnl) FILTER (pnl > 0) AS w, avg(pnl) FILTER (pnl < 0) AS l,
+coalesce(sum(pnl) FILTER (pnl > 0), 0) AS sw, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS sl, sum(pnl * shares) AS total FROM ledger GROUP BY run_id)
+SELECT run_id, trades, wins, losses, round(coalesce(w, 0), 4) AS avg_win, round(coalesce(l, 0), 4) AS avg_loss, round(total, 4) AS total_return, round(wins / trades, 4) AS win_rate,
+round(CASE WHEN sl > 0 THEN sw / sl WHEN sw > 0 THEN 'Infinity'::DOUBLE ELSE 0 END, 4) AS profit_factor FROM a""")
 def trade_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.trade_metrics(_ledger(spark, d)[0]), 4)
 
@@ -563,20 +590,35 @@ def drawdown_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.drawdown_sharpe(t.bars(spark, d, "nation").select("symbol", "date", F.col("close").alias("equity")), by=("symbol",)), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LED}, tot AS (SELECT run_id, date, sum(equity) AS equity FROM eq GROUP BY ALL), p AS (SELECT run_id, date, equity, max(equity) OVER w - equity AS f, equity / lag(equity) OVER w - 1 AS r FROM tot WINDOW w AS (PARTITION BY run_id ORDER BY date)),
+m AS (SELECT run_id, max(f) AS dd, CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) ELSE 0 END AS sharpe, arg_max(equity, date) AS fin FROM p GROUP BY run_id)
+SELECT (SELECT run_id FROM m ORDER BY sharpe DESC, run_id DESC LIMIT 1) AS best_sharpe, (SELECT run_id FROM m ORDER BY fin DESC, run_id DESC LIMIT 1) AS best_return, (SELECT run_id FROM m ORDER BY dd, run_id LIMIT 1) AS least_drawdown""")
 def grid_best(spark: SparkSession, d: str) -> DataFrame:
     equity = _ledger(spark, d)[1].groupBy("run_id", "date").agg(F.sum("equity").alias("equity"))
     return backtest.grid_best(backtest.drawdown_sharpe(equity, by=("run_id",)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LED}, c AS (SELECT *, 10000 * exp(sum(ln(1 + greatest(pnl_pct, -0.999999))) OVER w) AS c FROM ledger WINDOW w AS (PARTITION BY run_id ORDER BY exit_date, symbol, trade_no)),
+f AS (SELECT *, 1 - c / greatest(10000, max(c) OVER (PARTITION BY run_id ORDER BY exit_date, symbol, trade_no)) AS fall FROM c),
+rm AS (SELECT run_id, count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0) AS win_rate, max(fall) AS dd, avg(pnl_pct) AS m, stddev_samp(pnl_pct) AS s, exp(sum(ln(1 + greatest(pnl_pct, -0.999999)))) AS x, max(exit_date) - min(entry_date) AS span FROM f GROUP BY run_id)
+SELECT run_id, round(win_rate, 4) AS win_rate, round(dd, 4) AS max_drawdown_pct, round(10000 * x, 2) AS final, round(CASE WHEN span > 0 THEN pow(x, 252.0 / span) - 1 END, 4) AS yearly_return, round(CASE WHEN s > 0 THEN (m - 0.03 / 365) / s * sqrt(365) ELSE 0 END, 4) AS sharpe FROM rm""")
 def report_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.report_metrics(_ledger(spark, d)[0]), 4)
+    return rounded(backtest.report_metrics(_ledger(spark, d)[0]), 4).withColumn("final", F.round("final", 2))
+
+
+@query(f"WITH RECURSIVE {_LED} SELECT run_id, year(exit_date)::INT AS year, round(exp(sum(ln(1 + greatest(pnl_pct, -0.999999)))) - 1, 4) AS compounded, count(*) AS trades FROM ledger GROUP BY ALL")
+def yearly_returns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(backtest.yearly_returns(_ledger(spark, d)[0]), 4)
+
+
+@query(f"WITH RECURSIVE {_LED} SELECT run_id, reason, count(*) AS n, round(avg(pnl_pct), 6) AS mean, round(median(pnl_pct), 6) AS median, round(stddev_samp(pnl_pct), 6) AS std, round(min(pnl_pct), 6) AS least, round(max(pnl_pct), 6) AS greatest, round(quantile_cont(pnl_pct, 0.05), 6) AS p5, round(quantile_cont(pnl_pct, 0.95), 6) AS p95 FROM ledger GROUP BY ALL")
+def return_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(serving.describe_returns(backtest.trade_facts(_ledger(spark, d)[0]), by=("run_id", "reason")))
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.bootstrap_ci(_ledger(spark, d)[0], draws=50), 6)
+    return rounded(backtest.bootstrap_ci(_ledger(spark, d)[0]), 6)
 
 
 @query(f"WITH {sql.bars('supplier')}, p AS (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS f FROM bars) SELECT symbol, round(arg_max(close, date) / arg_min(close, date), 6) AS ratio, round(min(f), 6) AS max_fall FROM p GROUP BY symbol")
@@ -601,7 +643,7 @@ def periods_per_year(spark: SparkSession, d: str) -> DataFrame:
 
 # alerts
 
-INTERVALS = (1, 3, 5, 8)
+INTERVALS = (1, 3, 5, 8, 13, 21, 34)
 
 
 def _silver(spark: SparkSession, d: str) -> DataFrame:
@@ -615,13 +657,14 @@ a1 AS (SELECT symbol, interval, date, 'velocity_alert' AS alert_type, velocity A
 
 
 def _cnt(test: str) -> str:
-    arms = {1: 28, 3: 20, 5: 20, 8: 14}
-    return "CASE interval " + " ".join(f"WHEN {k} THEN {sql.rolling('sum', f'({test})::INT', n, 'symbol, interval')}" for k, n in arms.items()) + " END"
+    arms = {1: 28, 3: 20, 5: 20, 8: 14, 13: 14}
+    count = lambda n: sql.rolling("sum", f"({test})::INT", n, "symbol, interval")
+    return "CASE interval " + " ".join(f"WHEN {k} THEN {count(n)}" for k, n in arms.items()) + f" ELSE {count(7)} END"
 
 
 _MA = f"""cn AS (SELECT *, {_cnt("velocity <> 'velocity_maintained'")} AS nb, {_cnt("velocity = 'velocity_maintained'")} AS ng FROM vel),
 a2 AS (SELECT symbol, interval, date, 'momentum_alert' AS alert_type, CASE WHEN lmax <= smax AND open < close AND nb > ng THEN 'accelerated' WHEN close < smin AND ng < nb THEN 'decelerated' END AS signal FROM cn)"""
-_TA = """tl AS (SELECT *, lmin * (1 - tol) AS b0, lmax * (1 + tol) AS b1 FROM (SELECT *, CASE interval WHEN 1 THEN 0.002::DOUBLE WHEN 3 THEN 0.02::DOUBLE WHEN 5 THEN 0.05::DOUBLE WHEN 8 THEN 0.07::DOUBLE END AS tol FROM vel)),
+_TA = """tl AS (SELECT *, lmin * (1 - tol) AS b0, lmax * (1 + tol) AS b1 FROM (SELECT *, CASE interval WHEN 1 THEN 0.002::DOUBLE WHEN 3 THEN 0.02::DOUBLE WHEN 5 THEN 0.05::DOUBLE WHEN 8 THEN 0.07::DOUBLE WHEN 13 THEN 0.1::DOUBLE ELSE 0.02::DOUBLE END AS tol FROM vel)),
 a3 AS (SELECT symbol, interval, date, 'ema_touch' AS alert_type, CASE WHEN smin > lmax AND least(close, open) > lmin THEN 'support' WHEN smax < lmax AND close < lmax THEN 'resistance' ELSE 'neutral' END AS signal FROM tl WHERE low BETWEEN b0 AND b1 OR ema_13 BETWEEN b0 AND b1 OR ema_8 BETWEEN b0 AND b1)"""
 
 
@@ -672,7 +715,14 @@ def candidates_by_date(spark: SparkSession, d: str) -> DataFrame:
     return alerts.candidates_by_date(alerts.all_alerts(_silver(spark, d))).withColumn("symbols", F.concat_ws(",", "symbols"))
 
 
-@query()
+_SUP = f"""{_SIL}, {_TA}, tb AS (SELECT sil.symbol, sil.interval, sil.date, a3.signal AS touch, row_number() OVER (PARTITION BY sil.symbol, sil.interval ORDER BY sil.date) AS rn FROM sil LEFT JOIN a3 ON a3.symbol = sil.symbol AND a3.interval = sil.interval AND a3.date = sil.date),
+sup AS (SELECT symbol, interval, NULL::DATE AS date, NULL::VARCHAR AS touch, 0::BIGINT AS rn, false AS shown, -9::BIGINT AS s, -9::BIGINT AS r, -9::BIGINT AS n FROM (SELECT DISTINCT symbol, interval FROM tb)
+UNION ALL SELECT symbol, interval, date, touch, rn, shown, CASE WHEN shown AND touch = 'support' THEN rn ELSE s END, CASE WHEN shown AND touch = 'resistance' THEN rn ELSE r END, CASE WHEN shown AND touch = 'neutral' THEN rn ELSE n END FROM (
+SELECT tb.*, coalesce(tb.rn - CASE tb.touch WHEN 'support' THEN x.s WHEN 'resistance' THEN x.r WHEN 'neutral' THEN x.n END > 3, false) AS shown, x.s, x.r, x.n FROM sup x JOIN tb ON tb.symbol = x.symbol AND tb.interval = x.interval AND tb.rn = x.rn + 1)),
+cnt3 AS (SELECT *, count(*) FILTER (shown) OVER (PARTITION BY symbol, interval ORDER BY rn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS touch_count FROM sup WHERE rn > 0)"""
+
+
+@query(f"WITH RECURSIVE {_SUP} SELECT symbol, interval, date, touch, touch_count FROM cnt3 WHERE shown")
 def touch_alert_suppressed(spark: SparkSession, d: str) -> DataFrame:
     return alerts.touch_alert_suppressed(_silver(spark, d))
 
