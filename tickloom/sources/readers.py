@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resample import resample_all
-from ..schemas import BAR_COLUMNS, PRICES, struct
+from ..schemas import BAR_COLUMNS, CANDLE_EVENT, PRICES, struct
 
 STANDARD = ("symbol", *PRICES, "volume", "timestamp", "interval")
 TIMEFRAMES = {"1d": 1, "3d": 3, "5d": 5, "8d": 8, "13d": 13, "21d": 21, "34d": 34, "55d": 55}
@@ -20,13 +20,17 @@ INTERVALS = ("1m", "5m", "15m", "30m", "1h", "2h", "4h", "1d")
 SOURCES = ("polygon", "websocket", "rest", "replay")
 
 
-def read_bronze(spark: SparkSession, path: str, dates: Iterable[str] | None = None, columns: Iterable[str] = STANDARD) -> DataFrame:
-    """Bars under symbol=/date= folders, only the named columns, optionally only some session dates (pruned folders)."""
-    df = spark.read.parquet(path)
+def read_bronze(spark: SparkSession, path: str, dates: Iterable[str] | None = None, columns: Iterable[str] = STANDARD, schema: str | None = None) -> DataFrame:
+    """Bars under symbol=/date= folders, only the named columns, optionally only some session dates (pruned folders).
+
+    With a ``schema`` (DDL) no file is opened to find one, and a file of other types fails the read.
+    """
+    columns = list(columns)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    kind = dict(df.dtypes)["timestamp"]
+    kind = dict(df.dtypes).get("timestamp", "")
     if "timestamp" in columns and not kind.startswith("timestamp"):
         raise ValueError(f"timestamp is {kind}")
     if dates is not None:
@@ -46,15 +50,15 @@ def read_metadata_manifest(spark: SparkSession, path: str, root: str | None = No
     raise ValueError("a manifest has part_keys or metadata")
 
 
-def load_bars(df: DataFrame, symbols: Iterable[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Bars of symbols in [start, end]; both filters reach the files."""
+def load_bars(df: DataFrame, symbols: Iterable[str] | None = None, start: str | None = None, end: str | None = None, ordered: bool = False) -> DataFrame:
+    """Bars of symbols in [start, end]; both filters reach the files. They are sorted on request only, as that is a shuffle."""
     if symbols is not None:
         df = df.where(F.col("symbol").isin(list(symbols)))
     if start is not None:
         df = df.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         df = df.where(F.col("date") < F.date_add(F.lit(end).cast("date"), 1))
-    return df.orderBy("symbol", "date")
+    return df.orderBy("symbol", "date") if ordered else df
 
 
 def load_multi_timeframe(bars: DataFrame, timeframes: Iterable[str]) -> DataFrame:
@@ -74,7 +78,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     return reader.load()
 
 
-def read_candle_stream(spark: SparkSession, source: str, fmt: str = "parquet", schema: str = "", **options: str) -> DataFrame:
+def read_candle_stream(spark: SparkSession, source: str, fmt: str = "parquet", schema: str = CANDLE_EVENT, **options: str) -> DataFrame:
     """A stream of candle events from files, or from the JSON values of a Kafka topic."""
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").option("subscribe", source).options(**options).load()
@@ -126,7 +130,7 @@ def conforms(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def normalize_event(df: DataFrame) -> DataFrame:
-    """P5: short or long field names of vendor messages to the candle record."""
+    """P5: short or long field names of vendor messages to the candle record; a field under both names counts as the short one says, if it says anything."""
     names = {"symbol": ("sym", "symbol"), "open_price": ("o", "open"), "high_price": ("h", "high"), "low_price": ("l", "low"), "close_price": ("c", "close"), "volume": ("v", "volume"), "event_ms": ("e", "timestamp")}
     pick = {k: [F.col(c) for c in own if c in df.columns] for k, own in names.items()}
     return df.select(*[(F.coalesce(*cols) if cols else F.lit(None)).alias(k) for k, cols in pick.items()])

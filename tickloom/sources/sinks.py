@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import top_n
@@ -23,11 +24,55 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: list[str], order: str | None = None) -> None:
+    """K2 on disk: only the partitions that the new rows touch are read and written again.
+
+    The partition columns must follow from the keys, else a row that changes its partition leaves its old self behind.
+    """
+    spark = new.sparkSession
+    new = top_n(new, keys, [F.desc(order) if order else F.lit(1)], 1)
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException:  # there is no table yet
+        old = new.limit(0)
+    touched = old.join(new.select(*partition_by).distinct(), partition_by, "left_semi")
+    out = upsert(touched, new, keys, order).select(*new.columns)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
-    """K3"""
+    """K3: rows appended."""
     df.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode(mode).save()
 
 
+def merge_statement(table: str, staging: str, keys: list[str], columns: list[str]) -> str:
+    """The database's own upsert from a staging table."""
+    on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    put = ", ".join(f"t.{c} = s.{c}" for c in columns if c not in keys)
+    update = f"WHEN MATCHED THEN UPDATE SET {put} " if put else ""
+    return f"MERGE INTO {table} t USING {staging} s ON {on} {update}WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join('s.' + c for c in columns)})"
+
+
+def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], staging: str | None = None, order: str | None = None, **options: str) -> None:
+    """K3: Spark writes all executors' rows to a staging table, then the database merges it in one statement of its own."""
+    staging = staging or f"{table}_staging"
+    rows = top_n(df, keys, [F.desc(order) if order else F.lit(1)], 1)
+    write_jdbc(rows, url, staging, "overwrite", **options)
+    run_jdbc(df.sparkSession, url, merge_statement(table, staging, keys, df.columns), options.get("driver"))
+
+
+def run_jdbc(spark, url: str, statement: str, driver: str | None = None) -> None:
+    """One statement in the database."""
+    jvm = spark.sparkContext._jvm
+    if driver:
+        jvm.java.lang.Class.forName(driver)
+    connection = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.createStatement().executeUpdate(statement)
+    finally:
+        connection.close()
+
+
 def snapshot_bootstrap(raw: DataFrame, end: str | Column | None = None, days: int = 1825) -> DataFrame:
     """K4: the latest bar of each symbol and day, trimmed to ``days`` before the last date."""
     bars = raw.where(F.col("interval") == "1d").withColumn("date", F.to_date("timestamp"))

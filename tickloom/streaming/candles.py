@@ -6,13 +6,15 @@ backfills, on a table. On a stream rows later than the watermark are dropped (M1
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.serving import vwap_agg
 from ..sources.readers import valid_bars
-from ..sources.sinks import upsert, with_ttl
+from ..sources.sinks import upsert_table, with_ttl
 
 #: Levels of the cascade: window, the level below, and how late rows may be.
 LEVELS = {"1m": ("1 minute", None, "30 seconds"), "5m": ("5 minutes", "1m", "30 seconds"), "15m": ("15 minutes", "5m", "1 minute"), "30m": ("30 minutes", "15m", "1 minute"), "1h": ("1 hour", "15m", "2 minutes"), "2h": ("2 hours", "1h", "5 minutes"), "4h": ("4 hours", "2h", "10 minutes")}
@@ -25,16 +27,34 @@ def candles(events: DataFrame, width: str = "1 minute", delay: str = "30 seconds
     order = [c for c in order if c in rows.columns]
     if rows.isStreaming:
         rows = rows.withWatermark("event_time", delay)
-    out = rows.groupBy("symbol", F.window("event_time", width).alias("w")).agg(*_ohlc(F.struct(*order)), F.count(F.lit(1)).alias("trade_count"), vwap_agg().alias("vwap"))
-    return _named(out, name)
+    by = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    out = rows.groupBy("symbol", _window(rows, "event_time", width)).agg(*_ohlc(by), F.count(F.lit(1)).alias("trade_count"), vwap_agg().alias("vwap"))
+    return _named(out, name, width)
+
+
+def _seconds(width: str) -> int:
+    n, unit = width.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")]
+
+
+def _window(rows: DataFrame, at: str, width: str) -> Column:
+    """The window of a time, as ``w``: a stream needs Spark's own; on a table its start in microseconds is plain arithmetic, whose code stays small over many levels."""
+    if rows.isStreaming:
+        return F.window(at, width).alias("w")
+    micros = F.lit(1_000_000 * _seconds(width))
+    at = F.unix_micros(F.col(at).cast("timestamp"))
+    return (at - F.pmod(at, micros)).alias("w")
 
 
 def _ohlc(order: Column) -> list[Column]:
     return [F.min_by("open_price", order).alias("open_price"), F.max("high_price").alias("high_price"), F.min("low_price").alias("low_price"), F.max_by("close_price", order).alias("close_price"), F.sum("volume").alias("volume")]
 
 
-def _named(out: DataFrame, name: str) -> DataFrame:
-    return out.select("symbol", *PRICE, "volume", "trade_count", "vwap", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.lit(name).alias("interval_type"))
+def _named(out: DataFrame, name: str, width: str) -> DataFrame:
+    start, end = F.col("w.start"), F.col("w.end")
+    if not out.isStreaming:
+        start, end = F.timestamp_micros("w"), F.timestamp_micros(F.col("w") + 1_000_000 * _seconds(width))
+    return out.select("symbol", *PRICE, "volume", "trade_count", "vwap", start.alias("window_start"), end.alias("window_end"), F.lit(name).alias("interval_type"))
 
 
 def candles_1m(events: DataFrame) -> DataFrame:
@@ -46,8 +66,8 @@ def roll_up(lower: DataFrame, name: str, compat_end: bool = False) -> DataFrame:
     width, _, delay = LEVELS[name]
     at = "window_end" if compat_end else "window_start"
     rows = lower.withWatermark(at, delay) if lower.isStreaming else lower
-    out = rows.groupBy("symbol", F.window(at, width).alias("w")).agg(*_ohlc(F.col(at)), F.sum("trade_count").alias("trade_count"), vwap_agg("vwap").alias("vwap"))
-    return _named(out, name)
+    out = rows.groupBy("symbol", _window(rows, at, width)).agg(*_ohlc(F.col(at)), F.sum("trade_count").alias("trade_count"), vwap_agg("vwap").alias("vwap"))
+    return _named(out, name, width)
 
 
 def cascade(events: DataFrame, name: str) -> DataFrame:
@@ -63,7 +83,7 @@ def run_level(out: DataFrame, path: str, checkpoint: str, available_now: bool =
 
 
 def channel_signals(candles_15m: DataFrame, least: float = 0.3) -> DataFrame:
-    """M8: signals of the channel of the averages over 3 and 36 hours. On a stream use it inside ``foreachBatch`` over the last 36 hours."""
+    """M8: signals of the channel of the averages over 3 and 36 hours. ``stream_rule`` runs it on a stream."""
     seconds = F.unix_timestamp("window_start")
     w = Window.partitionBy("symbol").orderBy(seconds)
     # Rounded, so that an average of equal prices equals the price.
@@ -107,7 +127,7 @@ def price_alerts(candles: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def price_change_alerts(candles: DataFrame, percent: float = 5.0) -> DataFrame:
-    """Candles whose close moved by so many percent; on a stream inside ``foreachBatch``, as lag needs the candle before."""
+    """Candles whose close moved by so many percent against the candle before. ``stream_rule`` runs it on a stream."""
     before = F.lag("close_price").over(Window.partitionBy("symbol").orderBy("window_start"))
     move = F.when(before != 0, 100 * (F.col("close_price") - before) / F.when(before != 0, before))
     return candles.withColumn("change_pct", move).where(F.abs("change_pct") >= percent)
@@ -132,12 +152,41 @@ def route_candles(stream: DataFrame, root: str, checkpoint: str) -> DataStreamWr
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def stream_upsert(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: str | None = None) -> DataStreamWriter:
-    """Each micro-batch is upserted; versions of the table lie side by side and the newest is named by its batch."""
+def stream_upsert(stream: DataFrame, path: str, keys: list[str], checkpoint: str, order: str | None = None, partition_by: list[str] | None = None) -> DataStreamWriter:
+    """Each micro-batch is upserted into a table; only the partitions that it touches are written again.
+
+    Without ``partition_by`` the rows are dealt to ``BUCKETS`` partitions by a hash of the keys. A batch that is tried
+    again gives the same table.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        if partition_by:
+            upsert_table(batch, path, keys, partition_by, order)
+        else:
+            upsert_table(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")), path, keys, ["bucket"], order)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+#: Partitions of an upserted table that names none.
+BUCKETS = 64
+
+
+def stream_rule(stream: DataFrame, rule: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, back: str = "36 hours", keys: tuple[str, ...] = ("symbol", "window_start")) -> DataStreamWriter:
+    """A rule that looks back over earlier candles, on a stream of finished candles.
+
+    Each micro-batch is written to ``root/candles``; the rule sees the candles from ``back`` before the batch's first on,
+    and what it finds for the batch's own candles goes to ``root/found``. Both are written by batch number, so a batch
+    that is tried again replaces its own rows.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}") if epoch else batch.limit(0)
-        upsert(old, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        batch.write.mode("overwrite").parquet(f"{root}/candles/batch={epoch}")
+        mine = spark.read.schema(batch.schema).parquet(f"{root}/candles/batch={epoch}")
+        first = F.broadcast(mine.agg(F.min("window_start").alias("_first")))
+        seen = spark.read.schema(f"{batch.schema.toDDL()}, batch INT").parquet(f"{root}/candles").where(F.col("batch") <= epoch)
+        seen = seen.crossJoin(first).where(F.col("window_start") >= F.col("_first") - F.expr(f"INTERVAL {back}")).drop("_first", "batch")
+        rule(seen).join(mine.select(*keys), list(keys), "left_semi").write.mode("overwrite").parquet(f"{root}/found/batch={epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
