@@ -406,14 +406,71 @@ def test_language(docs, rows, empty):
     assert sum(r.lang_pred == truth[r.doc_id] for r in real) >= 0.95 * len(real) and len(out) == len(rows)
     assert {r.doc_id for r in out if r.lang_pred == "und"} == {9001, 9002, 9003, 9008} and all(0 <= r.score <= 1 for r in out)
     assert langid.held_out_predictions(empty).count() == 0
-    assert {r.lang_pred for r in langid.with_language(docs, langid.Model([], [], {})).select("language.lang").withColumnRenamed("lang", "lang_pred").collect()} == {"und"}
+    assert {r.lang_pred for r in langid.with_language(docs, langid.Model.of_rows([], [], {})).select("language.lang").withColumnRenamed("lang", "lang_pred").collect()} == {"und"}
 
 
 def test_language_backs_off():
-    model = langid.Model(["a", "b"], [("a", 0, "dog", 5), ("b", 0, "hund", 5), ("a", 3, "ing", 4), ("b", 3, "ung", 4)], {("a", 0): 5, ("b", 0): 5, ("a", 3): 4, ("b", 3): 4})
+    model = langid.Model.of_rows(["a", "b"], [("a", 0, "dog", 5), ("b", 0, "hund", 5), ("a", 3, "ing", 4), ("b", 3, "ung", 4)], {("a", 0): 5, ("b", 0): 5, ("a", 3): 4, ("b", 3): 4})
     assert model.predict("dog")[0] == "a" and model.predict("zwing")[0] == "a" and model.predict("zwung")[0] == "b" and model.predict("1 2") == ("und", 0.0)
 
 
+def test_language_against_brute_force(docs, rows):
+    """Counts, log frequencies and back-off by plain dictionaries, over the same training rows (fewer than the sample takes)."""
+    import regex
+
+    counts = defaultdict(Counter)  # (kind, language) -> gram -> n
+    languages = sorted({r[2] for r in rows if r[2]})
+    split = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    grams = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    learned = set()
+    for i, t, lang, _ in rows:
+        if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2 and (i, t, lang) not in learned:
+            for w in split(t):
+                counts[0, lang][w] += 1
+                for n in langid.SIZES:
+                    counts[n, lang].update(grams(w, n))
+    kept, total = {}, {}
+    for k in (0, *langid.SIZES):
+        every = Counter()
+        for lang in languages:
+            every.update(counts[k, lang])
+            total[k, lang] = sum(counts[k, lang].values())
+        kept[k] = {g for g, n in every.items() if n >= langid.LEAST}
+
+    def log(k, g, lang):
+        return math.log(counts[k, lang][g] + 0.5) - math.log(total[k, lang] + len(kept[k]) + 1)
+
+    def score(w, lang):
+        if w in kept[0]:
+            return log(0, w, lang)
+        for n in langid.SIZES:
+            hits = [g for g in grams(w, n) if g in kept[n]]
+            if hits:
+                return sum(log(n, g, lang) for g in hits) / len(hits)
+        return 0.0
+
+    got = {}
+    for r in langid.held_out_predictions(docs).collect():
+        got.setdefault(r.doc_id, r)
+    for i, t, *_ in rows[:60] + rows[-13:]:
+        ws = split(t)
+        if not ws:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        weight, c = min(1.0, langid.CERTAIN / len(ws)), Counter(ws)
+        z = [weight * sum(n * score(w, lang) for w, n in c.items()) for lang in languages]
+        p = [math.exp(x - max(z)) for x in z]
+        best = max(range(len(z)), key=lambda k: (z[k], -k))
+        assert got[i].lang_pred == languages[best] or abs(max(p) - sorted(p)[-2]) < 1e-3, i
+        assert got[i].score == pytest.approx(max(p) / sum(p), abs=2e-3), i
+
+
+def test_too_many_languages_is_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.held_out_predictions(docs)
+
+
 # 9
 
 
