@@ -18,8 +18,8 @@ What meets in a task is found in three exact steps, so that work follows the lin
    tile, or all pairs of tiles if it is larger, so each set travels once for each tile and not for each hash.
    Pairs inside one component are never compared, so a group of copies costs about one comparison a member.
 
-Python memory is bounded by a bucket of postings or two tiles of sets. Nothing but a fixed bitmap of 8 MB
-and emptiness tests reaches the driver.
+Python memory is bounded by a bucket of postings, of which there are the more the more hashes there are, or by two tiles
+of sets. Nothing but a fixed bitmap of 8 MB, sums and emptiness tests reaches the driver.
 
 Defined results: without words or text the set is empty, linked with nothing, and the component is the own id;
 repeated rows are equal sets, hence one component; an empty table gives an empty one; other columns are not read.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import MULTIPLIERS, Words, as_bytes, few, fresh, materialise, mix, word_steps
+from .common import MULTIPLIERS, Words, as_bytes, few, fresh, give_back, materialise, mix, word_steps
 from .components import components
 
 SHINGLE = 5
@@ -130,8 +130,14 @@ def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64), np.repeat(docs, counts, axis=0)
 
 
-def _buckets(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Hashes in a bucket of postings, about.
+BUCKET_HASHES = 1 << 20
+
+
+def _buckets(sizes: DataFrame) -> int:
+    """So many buckets that each holds about ``BUCKET_HASHES``, and one for each shuffle partition at least. sizes: column n."""
+    hashes = sizes.agg(F.sum("n")).first()[0] or 0
+    return max(1, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(hashes) // BUCKET_HASHES))
 
 
 _DEALT = "target int, keys binary, counts binary"
@@ -148,45 +154,78 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, targets: int) -> pa.Table:
     return pa.table({"target": pa.array(own, pa.int32()), "keys": pa.array([keys[a:b].tobytes() for a, b in pieces], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in pieces], pa.binary())})
 
 
+def _added(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed keys, each once, and the sums of their packed counts."""
+    k, which = np.unique(np.frombuffer(b"".join(keys.to_pylist()), np.int64), return_inverse=True)
+    return k, np.bincount(which, np.frombuffer(b"".join(counts.to_pylist()), np.int64), len(k)).astype(np.int64)
+
+
 def _summed(dealt: DataFrame) -> DataFrame:
     """(k1, c): the packed counts added up."""
 
     def add(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
-        k, which = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(k), np.int64)
-        np.add.at(total, which, np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64))
+        k, total = _added(table["keys"], table["counts"])
         return pa.table({"k1": k, "c": total})
 
     return dealt.groupBy("target").applyInArrow(add, "k1 long, c long")
 
 
 def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Keys of classes that share enough of their smallest hashes to have a link. sizes: (k1, n)."""
-    buckets = _buckets(texts.sparkSession)
+    """Keys of classes that share enough of their smallest hashes to have a link. sizes: (k1, n).
+
+    A hash that two classes of one step share is counted for them there, and one of them goes on to its bucket: a hash
+    that very many texts hold is one posting a step, and not one a text. A class that copies spread over steps may be
+    counted once a step, so counts may be too high but never too low.
+    """
+    buckets = _buckets(sizes)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in word_steps(batch.column(0)):
                 keys, first = shingle_sets(words)
                 n = np.diff(first)
-                size = np.minimum(n, n - _least_kept(n, percent) + _extra(n)) * (n > 0)
-                at = _take(first, size)
                 k1, _ = _class_keys(keys, first)
-                yield _pack(keys[at], np.repeat(np.arange(len(n)), size), k1.view(np.int64)[:, None], buckets)
+                once = np.zeros(len(n), dtype=bool)  # a class counts once in a step
+                once[np.unique(k1, return_index=True)[1]] = True
+                size = np.minimum(n, n - _least_kept(n, percent) + _extra(n)) * ((n > 0) & once)
+                at, doc = _take(first, size), np.repeat(np.arange(len(n)), size)
+                hashes = keys[at]
+                order = np.argsort(hashes, kind="stable")
+                hashes, doc = hashes[order], doc[order]
+                begin = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, bool)
+                here = np.diff(np.append(np.flatnonzero(begin), len(hashes)))
+                shared = np.repeat(here > 1, here)
+                table = np.stack([k1.view(np.int64), np.zeros(len(k1), np.int64)], axis=1)
+                table = np.concatenate([table, table + np.array([0, 1])])  # second half: counted already
+                keep = ~shared | begin
+                yield _pack(hashes[keep], doc[keep] + len(n) * shared[keep], table, buckets)
+                own, c = np.unique(k1.view(np.int64)[doc[shared]], return_counts=True)
+                if len(own):
+                    dealt = _dealt(own, c, buckets)
+                    columns = [pa.array(-1 - dealt["target"].to_numpy(), pa.int32()), dealt["keys"].combine_chunks(), dealt["counts"].combine_chunks(), pa.array([b""] * dealt.num_rows, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_POSTING)
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, doc = _unpack(table, 1)
-        doc = doc[:, 0]
-        order = np.lexsort((doc, hashes))
-        hashes, doc = hashes[order], doc[order]
+        bucket = table["bucket"][0].as_py()
+        if bucket < 0:  # counts that tasks made themselves, by their target
+            target, c = pa.array([-1 - bucket], pa.int32()), _added(table["docs"], table["counts"])
+            return pa.table({"target": target, "keys": pa.array([c[0].tobytes()], pa.binary()), "counts": pa.array([c[1].tobytes()], pa.binary())})
+        hashes, doc = _unpack(table, 2)
+        counted, doc = doc[:, 1] == 1, doc[:, 0]
+        # Of a hash and class the posting that is counted already comes first, and stands for the others.
+        order = np.lexsort((~counted, doc, hashes))
+        hashes, doc, counted = hashes[order], doc[order], counted[order]
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])])
-        hashes, doc = hashes[new], doc[new]
+        hashes, doc, counted = hashes[new], doc[new], counted[new]
         same = hashes[1:] == hashes[:-1]
         shared = np.zeros(len(hashes), dtype=bool)
         shared[1:] |= same
         shared[:-1] |= same
-        k, c = np.unique(doc[shared], return_counts=True)
+        # A counted posting has a partner that isn't here.
+        begin = np.flatnonzero(np.concatenate([[True], ~same]))
+        shared |= np.repeat(np.logical_or.reduceat(counted, begin), np.diff(np.append(begin, len(hashes))))
+        k, c = np.unique(doc[shared & ~counted], return_counts=True)
+        give_back()
         return _dealt(k, c, buckets)
 
     found = _summed(texts.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, _DEALT))
@@ -396,7 +435,7 @@ def _covered(named: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 def _rest(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     """All further links that join different components (``names``: node, component)."""
-    buckets = _buckets(sets.sparkSession)
+    buckets = _buckets(sets)
     # Names are a few bytes a set. While they are few they go to the sets; beyond that Spark shuffles both.
     names = few(names, FEW)
     named = sets.join(names, sets["k1"] == names["node"], "left").select("k1", "n", "shingles", F.coalesce("component", "k1").alias("component"))
