@@ -115,10 +115,15 @@ def filter_keys(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(16)
 
 
-def probe_places(keys: np.ndarray, level: np.ndarray | int, probe: int, segment: int) -> np.ndarray:
-    """Bit of a probe inside the key's segment of so many bits."""
-    salted = mix(keys + np.asarray(level, np.uint64) * MULTIPLIERS[14] + np.uint64(probe) * MULTIPLIERS[15])
-    return (salted % np.uint64(segment)).astype(np.int64)
+def spread(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key, from which all its probes come."""
+    return mix(keys), mix(keys + MULTIPLIERS[14]) | np.uint64(1)
+
+
+def probe_places(base: np.ndarray, stride: np.ndarray, level: int, probe: int, segment: int) -> np.ndarray:
+    """Bit of a probe inside the key's segment of so many bits (fewer than 2^32): double hashing."""
+    at = base + stride * np.uint64(PROBES * level + probe)
+    return (((at >> np.uint64(32)) * np.uint64(segment)) >> np.uint64(32)).astype(np.int64)
 
 
 class BloomCounts:
@@ -129,11 +134,13 @@ class BloomCounts:
         """Highest level below the first that is missing; 0 for an n-gram that isn't in the filter."""
         out, at = np.zeros(len(keys), np.int64), np.arange(len(keys))
         segment = 8 * len(self.bits) // SEGMENTS
-        base = (keys >> np.uint64(40)).astype(np.int64) * segment
+        first = (keys >> np.uint64(40)).astype(np.int64) * segment
+        base, stride = spread(keys)
         for level in range(self.least, LEVELS):
             for probe in range(PROBES):
-                place = base[at] + probe_places(keys[at], level, probe, segment)
-                at = at[((self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)]
+                place = first + probe_places(base, stride, level, probe, segment)
+                hit = ((self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+                at, first, base, stride = at[hit], first[hit], base[hit], stride[hit]
             if not len(at):
                 break
             out[at] = level
@@ -164,12 +171,14 @@ def build_filter(grams: DataFrame) -> tuple[np.ndarray, int]:
     def build(table: pa.Table) -> pa.Table:
         bits = np.zeros(segment, np.uint8)
         keys, levels = table["key"].to_numpy().view(np.uint64), table["level"].to_numpy().astype(np.int64)
+        base, stride = spread(keys)
         for lv in range(least, LEVELS):
-            keys, levels = keys[levels >= lv], levels[levels >= lv]
-            if not len(keys):
+            more = levels >= lv
+            base, stride, levels = base[more], stride[more], levels[more]
+            if not len(base):
                 break
             for probe in range(PROBES):
-                bits[probe_places(keys, lv, probe, segment)] = 1
+                bits[probe_places(base, stride, lv, probe, segment)] = 1
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     inside = grams.where(F.col("level") >= least).select(F.shiftright("key", 40).cast("int").alias("bucket"), "key", "level")
@@ -232,9 +241,9 @@ def scored(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: s
         id_type = numbered.schema["doc_id"].dataType.simpleString()
         asked = materialise(_asks(numbered, id_type, lambda: model()[0]))
         wanted = asked.where("keys IS NOT NULL").select("step", F.explode("keys").alias("key"))
-        answers = wanted.join(grams.where(F.col("level") < least), "key").select("step", "key", "level")
+        answers = wanted.join(grams.where(F.col("level") < least), "key").select(F.col("step").alias("of"), "key", "level")
         held = asked.where("keys IS NULL").select("step", "ids", "rows", "texts")
-        rows = materialise(held.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(finish, f"doc_id {id_type}, row long, {_SCORE}"))
+        rows = materialise(held.groupBy("step").cogroup(answers.groupBy("of")).applyInArrow(finish, f"doc_id {id_type}, row long, {_SCORE}"))
     cold = rows.select("row", F.explode(F.arrays_zip("cold", "cold_n")).alias("w")).select("row", F.col("w.cold").alias("word"), F.col("w.cold_n").alias("times"))
     rest = words.join(hot.select("word"), "word", "left_anti")
     found = cold.join(rest, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("times").alias("more_known"))
