@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import few, fresh, materialise
 
 #: Characters in a block; most texts have several.
-BLOCK = 512
+BLOCK = 1024
 #: Rows of about 100 bytes that may be broadcast.
 FEW = 1 << 18
-#: Text is normalised by replacing each run of white space by one space.
-SPACES = r"[\x20\x09-\x0D]+"
+#: Text is normalised by replacing each run of white space by one space; runs that are one space already are left.
+SPACES = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
 
 
 def normalise(text: Column) -> Column:
