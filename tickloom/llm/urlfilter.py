@@ -10,7 +10,8 @@ Of the plain rules that fit, the longest decides; if none fits, a URL that a blo
 any other is allowed. The rules travel with the task; their size is that of the rule lists given.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed by default;
-repeated rows are judged each; no row gives no row; further columns are not read.
+very long urls are read whole; repeated rows are judged each; of rules of equal length only one can fit; an empty table gives
+an empty one; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import as_bytes, steps
 #: (verdict, host and start of path); the longest that fits wins.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Globs that block a URL which no rule fits: advertising and tracking hosts, and feeds of ads by path.
-BLOCK_GLOBS = ("~.ads-~/*", "~.ads.~/*", "~track.~/*", "~tracker.~/*", "~.doubleclick.~/*", "*/adserver/*", "*/banner?ad*")
+BLOCK_GLOBS = ("~.ads-~/*", "~.ads.~/*", "~track.~/*", "~tracker.~/*", "~.doubleclick.~/*", "*/adserver/*")
 
 
 @dataclass(frozen=True)
