@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, fresh, materialise
+from .common import discard, few, fresh, materialise
 
 #: Characters in a block; most texts have several.
 BLOCK = 1024
@@ -88,8 +88,10 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
         # An odd name at the end is paired with nothing, which no name is.
         pairs = more.groupBy("row", half.alias("at")).agg(F.max("left").alias("left"), side(0).alias("first"), F.coalesce(side(1), F.lit(-1)).alias("second"))
         pairs = materialise(pairs.withColumn("left", F.shiftright(F.col("left") + 1, 1)))
-        cells = pairs.join(integers(pairs, "first", "second"), ["first", "second"]).select("row", "left", "at", "name")
+        numbers = integers(pairs, "first", "second")
+        cells = pairs.join(numbers, ["first", "second"]).select("row", "left", "at", "name")
         ended, more = _split(cells)
+        discard(pairs, numbers)
         done = done.unionByName(ended)
     return named.drop("names").join(done, "row").drop("row")
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,22 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+#: Where the tables of ``materialise`` lie.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more, as all that was made of them is written itself."""
+    for df in written:
+        if (path := _WRITTEN.pop(df, None)) is not None:
+            session = df.sparkSession._jsparkSession
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session.sessionState().newHadoopConf()).delete(where, True)
 
 
 def few(df: DataFrame, rows: int) -> DataFrame:

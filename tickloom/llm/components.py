@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,8 +23,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hook = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         for _ in range(2):
             then = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            hook = materialise(hook.join(then, "to").select("a", F.col("next").alias("to")))
-        names = materialise(names.join(hook, names["component"] == hook["a"], "left").select("node", F.coalesce("to", "component").alias("component")))
-        pairs = pairs.join(hook.withColumnRenamed("to", "x"), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+            before, hook = hook, materialise(hook.join(then, "to").select("a", F.col("next").alias("to")))
+            discard(before)
+        before, names = names, materialise(names.join(hook, names["component"] == hook["a"], "left").select("node", F.coalesce("to", "component").alias("component")))
+        old, pairs = pairs, pairs.join(hook.withColumnRenamed("to", "x"), "a").join(hook.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         pairs = materialise(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(before, old, hook)
     return names

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import MULTIPLIERS, Words, as_bytes, few, fresh, give_back, materialise, mix, word_steps
+from .common import MULTIPLIERS, Words, as_bytes, discard, few, fresh, give_back, materialise, mix, word_steps
 from .components import components
 
 SHINGLE = 5
@@ -487,6 +487,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFram
     first = materialise(_near(sets, percent))
     second = materialise(_rest(sets, components(first), percent))
     names = components(first.union(second))
+    discard(sets, first, second)
     classes = classes.join(names, classes["k1"] == names["node"], "left").select("k1", "k2", "n", "least", "component")
     classes = materialise(classes)
     linked = classes.where("component IS NOT NULL")
