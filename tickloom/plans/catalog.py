@@ -18,7 +18,9 @@ OHLCV = "symbol, date, open, high, low, close, volume"
 # snapshots, bookkeeping, cleaning
 
 
-@query(f"WITH {sql.RAW} SELECT CAST(timestamp AS DATE) AS date, symbol, open, high, low, close, volume FROM raw QUALIFY row_number() OVER (PARTITION BY symbol, CAST(timestamp AS DATE) ORDER BY timestamp DESC) = 1 AND CAST(timestamp AS DATE) >= (SELECT max(CAST(timestamp AS DATE)) FROM raw) - 1825")
+@query(f"""WITH {sql.RAW} SELECT CAST(timestamp AS DATE) AS date, symbol, open, high, low, close, volume FROM raw
+QUALIFY row_number() OVER (PARTITION BY symbol,
+CAST(timestamp AS DATE) ORDER BY timestamp DESC) = 1 AND CAST(timestamp AS DATE) >= (SELECT max(CAST(timestamp AS DATE)) FROM raw) - 1825""")
 def snapshot_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return sinks.snapshot_bootstrap(t.raw_ohlcv(spark, d))
 
@@ -45,7 +47,8 @@ def retain_years(spark: SparkSession, d: str) -> DataFrame:
     return sinks.retain_years(t.bars(spark, d), 2, "2001-06-30")
 
 
-@query(f"WITH {sql.RAW} SELECT symbol, CASE WHEN hour(timestamp) = 6 THEN 'late' ELSE 'day' END AS kind, CAST(timestamp AS DATE) AS date, CASE WHEN day(timestamp) % 7 = 0 AND hour(timestamp) = 0 THEN round(close + 1, 6) ELSE round(close, 6) END AS close FROM raw")
+@query(f"""WITH {sql.RAW} SELECT symbol, CASE WHEN hour(timestamp) = 6 THEN 'late' ELSE 'day' END AS kind, CAST(timestamp AS DATE) AS date, CASE
+WHEN day(timestamp) % 7 = 0 AND hour(timestamp) = 0 THEN round(close + 1, 6) ELSE round(close, 6) END AS close FROM raw""")
 def upsert_bars(spark: SparkSession, d: str) -> DataFrame:
     old = t.raw_ohlcv(spark, d).select("symbol", "timestamp", "interval", "close")
     new = old.where((F.dayofmonth("timestamp") % 7 == 0) & (F.hour("timestamp") == 0)).withColumn("close", F.col("close") + 1)
@@ -53,7 +56,8 @@ def upsert_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("symbol", F.when(F.hour("timestamp") == 6, "late").otherwise("day").alias("kind"), F.to_date("timestamp").alias("date"), "close"))
 
 
-@query(f"WITH {sql.WM} SELECT DISTINCT {OHLCV} FROM sbars JOIN (SELECT symbol, latest_date FROM wm WHERE is_current) w USING (symbol) WHERE true UNION SELECT {OHLCV} FROM sbars WHERE date <= DATE '2000-01-01'")
+@query(f"""WITH {sql.WM} SELECT DISTINCT {OHLCV} FROM sbars JOIN (SELECT symbol, latest_date FROM wm WHERE is_current) w USING (symbol) WHERE true UNION
+SELECT {OHLCV} FROM sbars WHERE date <= DATE '2000-01-01'""")
 def compact(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d, "supplier")
     old = b.where("date <= '2000-01-01'")
@@ -67,37 +71,47 @@ def archive_split(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.counts(sinks.archive_split(raw, raw.where("date < '1996-01-01'"), "2001-01-31")[1].where("date < add_months(date'2001-01-31', -37)"), ["symbol", "date"])
 
 
-@query(f"WITH {sql.RAW} SELECT count(*) AS old_rows, count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') AS archived, CASE WHEN count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') > 0 THEN count(*) ELSE 0 END AS deleted, CASE WHEN count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') = count(*) THEN 'success' WHEN count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') > 0 THEN 'partial_success' ELSE 'failed' END AS status FROM raw WHERE CAST(timestamp AS DATE) < DATE '2001-01-31' - INTERVAL 37 MONTHS")
+@query(f"""WITH {sql.RAW} SELECT count(*) AS old_rows, count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') AS archived, CASE
+WHEN count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') > 0 THEN count(*) ELSE 0 END AS deleted, CASE
+WHEN count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') = count(*) THEN 'success'
+WHEN count(*) FILTER (CAST(timestamp AS DATE) >= DATE '1996-01-01') > 0 THEN 'partial_success' ELSE 'failed' END AS status FROM raw
+WHERE CAST(timestamp AS DATE) < DATE '2001-01-31' - INTERVAL 37 MONTHS""")
 def archive_log(spark: SparkSession, d: str) -> DataFrame:
     raw = t.raw_ohlcv(spark, d).withColumn("date", F.to_date("timestamp"))
     return sinks.archive_split(raw, raw.where("date < '1996-01-01'"), "2001-01-31")[2]
 
 
-@query(f"WITH {sql.bars('supplier', 'sbars')}, f AS (SELECT symbol, date, CAST(volume AS BIGINT) AS size FROM sbars WHERE date < DATE '2001-01-01' - 365 AND CAST(symbol AS BIGINT) % 3 = 0) SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM f")
+@query(f"""WITH {sql.bars('supplier', 'sbars')}, f AS (SELECT symbol, date, CAST(volume AS BIGINT) AS size FROM sbars
+WHERE date < DATE '2001-01-01' - 365 AND CAST(symbol AS BIGINT) % 3 = 0) SELECT count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM f""")
 def vacuum_report(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d, "supplier")
     files = b.select("symbol", "date", F.col("volume").cast("long").alias("size"))
     return sinks.vacuum_report(sinks.vacuum_plan(files, b.where("cast(symbol as long) % 3 = 0"), 365, "2001-01-01"))
 
 
-@query(f"WITH {sql.WM} SELECT symbol, latest_date, records_count, is_current AND CAST(symbol AS BIGINT) % 5 <> 0 AS is_current FROM wm UNION ALL SELECT DISTINCT symbol, DATE '2001-12-31', 1, true FROM sbars WHERE CAST(symbol AS BIGINT) % 5 = 0")
+@query(f"""WITH {sql.WM} SELECT symbol, latest_date, records_count, is_current AND CAST(symbol AS BIGINT) % 5 <> 0 AS is_current FROM wm UNION ALL
+SELECT DISTINCT symbol, DATE '2001-12-31', 1, true FROM sbars WHERE CAST(symbol AS BIGINT) % 5 = 0""")
 def watermark_scd2(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.update_watermark(t.watermark(spark, d), t.bars(spark, d, "supplier").where("cast(symbol as long) % 5 = 0"), "2001-12-31")
 
 
-@query(f"WITH {sql.WM}, m AS (SELECT max(latest_date) AS x FROM wm WHERE is_current) SELECT CAST(g AS DATE) AS date FROM m, range(CAST(x + 1 AS TIMESTAMP), CAST(x + 61 AS TIMESTAMP), INTERVAL 1 DAY) r(g) WHERE dayofweek(g) BETWEEN 1 AND 5 ORDER BY 1 DESC LIMIT 30")
+@query(f"""WITH {sql.WM}, m AS (SELECT max(latest_date) AS x FROM wm WHERE is_current) SELECT CAST(g AS DATE) AS date FROM m, range(CAST(x + 1 AS TIMESTAMP),
+CAST(x + 61 AS TIMESTAMP), INTERVAL 1 DAY) r(g) WHERE dayofweek(g) BETWEEN 1 AND 5 ORDER BY 1 DESC LIMIT 30""")
 def missing_dates(spark: SparkSession, d: str) -> DataFrame:
     wm = t.watermark(spark, d)
     last = wm.where("is_current").agg(F.max("latest_date")).first()[0]
     return bookkeeping.missing_dates(wm, F.date_add(F.lit(last), 60), 17 if last else 16).where(F.col("date") <= F.date_add(F.lit(last), 60))
 
 
-@query(f"WITH {sql.META}, {sql.WM}, a AS (SELECT symbol FROM meta WHERE lower(active) = 'true') SELECT symbol, 'NO_WATERMARK' AS reason FROM a WHERE symbol NOT IN (SELECT symbol FROM wm WHERE is_current) UNION SELECT symbol, 'LIMITED_HISTORY' FROM a WHERE symbol IN (SELECT symbol FROM wm GROUP BY symbol HAVING count(*) = 1 AND max(records_count) <= 5)")
+@query(f"""WITH {sql.META}, {sql.WM}, a AS (SELECT symbol FROM meta WHERE lower(active) = 'true') SELECT symbol, 'NO_WATERMARK' AS reason FROM a
+WHERE symbol NOT IN (SELECT symbol FROM wm WHERE is_current) UNION SELECT symbol, 'LIMITED_HISTORY' FROM a WHERE symbol IN (SELECT symbol FROM wm
+GROUP BY symbol HAVING count(*) = 1 AND max(records_count) <= 5)""")
 def new_symbols(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.new_symbols(t.symbol_metadata(spark, d), t.watermark(spark, d))
 
 
-@query(f"WITH {sql.META}, {sql.bars('supplier', 'sbars')}, c AS (SELECT symbol, count(*) AS bars FROM sbars GROUP BY symbol) SELECT symbol, bars FROM meta LEFT JOIN c USING (symbol) WHERE lower(active) = 'true' AND coalesce(bars, 0) < 520")
+@query(f"""WITH {sql.META}, {sql.bars('supplier', 'sbars')}, c AS (SELECT symbol, count(*) AS bars FROM sbars GROUP BY symbol) SELECT symbol, bars FROM meta
+LEFT JOIN c USING (symbol) WHERE lower(active) = 'true' AND coalesce(bars, 0) < 520""")
 def needs_backfill(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.needs_backfill(t.symbol_metadata(spark, d), t.bars(spark, d, "supplier"), 520)
 
@@ -107,13 +121,15 @@ def active_symbols(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.active_symbols(t.symbol_metadata(spark, d), ["CS", "ETF"], 0, None, ["an", "1"])
 
 
-@query(f"WITH {sql.META}, {sql.bars('supplier', 'sbars')} SELECT symbol FROM meta WHERE coalesce(lower(active), 'true') = 'true' AND symbol IN (SELECT symbol FROM sbars WHERE date = (SELECT max(date) FROM sbars))")
+@query(f"""WITH {sql.META}, {sql.bars('supplier', 'sbars')} SELECT symbol FROM meta WHERE coalesce(lower(active), 'true') = 'true' AND symbol IN (SELECT symbol
+FROM sbars WHERE date = (SELECT max(date) FROM sbars))""")
 def scannable_symbols(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d, "supplier")
     return bookkeeping.scannable(t.symbol_metadata(spark, d), b, F.lit(b.agg(F.max("date")).first()[0]))
 
 
-@query(f"WITH {sql.bars()} SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS rows, count(DISTINCT symbol) AS symbols, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY 1")
+@query(f"""WITH {sql.bars()} SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS rows, count(DISTINCT symbol) AS symbols,
+min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY 1""")
 def distribution(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.distribution(t.bars(spark, d))
 
@@ -174,7 +190,9 @@ def resample_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows_sql(after: str = "") -> str:
-    return f"WITH {sql.bars('nation')}, p AS (SELECT *, CAST(floor((dense_rank() OVER (PARTITION BY symbol ORDER BY date) - 1) / 3) AS BIGINT) AS g FROM bars) SELECT symbol, min(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM p GROUP BY symbol, g {after}"
+    return f"""WITH {sql.bars('nation')}, p AS (SELECT *, CAST(floor((dense_rank() OVER (PARTITION BY symbol ORDER BY date) - 1) / 3) AS BIGINT) AS g FROM bars)
+SELECT symbol, min(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close,
+sum(volume) AS volume FROM p GROUP BY symbol, g {after}"""
 
 
 @query(_rows_sql())
@@ -192,7 +210,8 @@ def resample_incremental(spark: SparkSession, d: str) -> DataFrame:
 # indicators
 
 
-@query(f"WITH {sql.bars('supplier')}, x AS (SELECT {KEY}, {sql.rolling('avg', 'close', 20)} AS sma_20, {sql.rolling('avg', 'close', 50)} AS sma_50, {sql.rolling('avg', 'close', 200)} AS sma_200 FROM bars) SELECT {KEY}, {_r('sma_20', 'sma_50', 'sma_200')} FROM x")
+@query(f"""WITH {sql.bars('supplier')}, x AS (SELECT {KEY}, {sql.rolling('avg', 'close', 20)} AS sma_20, {sql.rolling('avg', 'close', 50)} AS sma_50,
+{sql.rolling('avg', 'close', 200)} AS sma_200 FROM bars) SELECT {KEY}, {_r('sma_20', 'sma_50', 'sma_200')} FROM x""")
 def sma(spark: SparkSession, d: str) -> DataFrame:
     out = t.bars(spark, d, "supplier")
     for p in (20, 50, 200):
@@ -233,22 +252,27 @@ def macd(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.macd(t.bars(spark, d)).select("symbol", "date", "macd_12_26", "macd_signal_12_26_9", "macd_hist_12_26_9"), 4)
 
 
-@query(f"WITH {sql.bars()}, x AS (SELECT {KEY}, {sql.rolling('avg', 'close', 20)} AS m, {sql.rolling('stddev_samp', 'close', 20)} AS s FROM bars) SELECT {KEY}, round(m, 4) AS bb_middle_20_2, round(m + 2 * s, 4) AS bb_upper_20_2, round(m - 2 * s, 4) AS bb_lower_20_2 FROM x")
+@query(f"""WITH {sql.bars()}, x AS (SELECT {KEY}, {sql.rolling('avg', 'close', 20)} AS m, {sql.rolling('stddev_samp', 'close', 20)} AS s FROM bars)
+SELECT {KEY}, round(m, 4) AS bb_middle_20_2, round(m + 2 * s, 4) AS bb_upper_20_2, round(m - 2 * s, 4) AS bb_lower_20_2 FROM x""")
 def bollinger(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.bollinger(t.bars(spark, d)).select("symbol", "date", "bb_middle_20_2", "bb_upper_20_2", "bb_lower_20_2"), 4)
 
 
-@query(f"WITH {sql.bars()}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM bars), x AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM p), y AS (SELECT {KEY}, {sql.rolling('avg', 'tr', 14)} AS atr_14 FROM x) SELECT {KEY}, {_r('atr_14')} FROM y")
+@query(f"""WITH {sql.bars()}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM bars), x AS (SELECT *, greatest(high - low,
+abs(high - pc), abs(low - pc)) AS tr FROM p), y AS (SELECT {KEY}, {sql.rolling('avg', 'tr', 14)} AS atr_14 FROM x) SELECT {KEY}, {_r('atr_14')} FROM y""")
 def atr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.atr(t.bars(spark, d)).select("symbol", "date", "atr_14"))
 
 
-@query(f"WITH {sql.bars()}, x AS (SELECT *, {sql.rolling('min', 'low', 14)} AS lo, {sql.rolling('max', 'high', 14)} AS hi FROM bars), y AS (SELECT *, CASE WHEN hi - lo > 0 THEN 100 * (close - lo) / (hi - lo) WHEN hi - lo = 0 THEN 'NaN'::DOUBLE END AS k FROM x), z AS (SELECT {KEY}, k AS stoch_k_14_3, {sql.rolling('avg', 'k', 3)} AS stoch_d_14_3 FROM y) SELECT {KEY}, {_r('stoch_k_14_3', 'stoch_d_14_3')} FROM z")
+@query(f"""WITH {sql.bars()}, x AS (SELECT *, {sql.rolling('min', 'low', 14)} AS lo, {sql.rolling('max', 'high', 14)} AS hi FROM bars), y AS (SELECT *, CASE
+WHEN hi - lo > 0 THEN 100 * (close - lo) / (hi - lo) WHEN hi - lo = 0 THEN 'NaN'::DOUBLE END AS k FROM x), z AS (SELECT {KEY}, k AS stoch_k_14_3,
+{sql.rolling('avg', 'k', 3)} AS stoch_d_14_3 FROM y) SELECT {KEY}, {_r('stoch_k_14_3', 'stoch_d_14_3')} FROM z""")
 def stochastic(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.stochastic(t.bars(spark, d)).select("symbol", "date", "stoch_k_14_3", "stoch_d_14_3"))
 
 
-@query(f"WITH {sql.bars()}, x AS (SELECT *, {sql.rolling('avg', 'volume', 20, shift=1)} AS m, {sql.rolling('max', 'close', 20)} AS close_max_20 FROM bars) SELECT {KEY}, round(m, 6) AS volume_mean_20, close_max_20, coalesce(volume >= 1.5 * m, false) AS setup_valid FROM x")
+@query(f"""WITH {sql.bars()}, x AS (SELECT *, {sql.rolling('avg', 'volume', 20, shift=1)} AS m, {sql.rolling('max', 'close', 20)} AS close_max_20 FROM bars)
+SELECT {KEY}, round(m, 6) AS volume_mean_20, close_max_20, coalesce(volume >= 1.5 * m, false) AS setup_valid FROM x""")
 def volume_trend(spark: SparkSession, d: str) -> DataFrame:
     out = conditions.apply_setup(t.bars(spark, d), {"type": "VOLUME_TREND", "multiplier": 1.5})
     return rounded(indicators.rolling_high_close(out).select("symbol", "date", "volume_mean_20", "close_max_20", "setup_valid"))
@@ -278,7 +302,8 @@ def fib_levels(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.fib_levels(t.bars(spark, d)).select("symbol", "date", *_FIB), 4)
 
 
-@query(f"WITH {sql.bars('nation')} SELECT {KEY}, round(close / lag(close) OVER w - 1, 6) AS pct_change_1, round(10000 * (close / first_value(close) OVER w), 4) AS growth FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)")
+@query(f"""WITH {sql.bars('nation')} SELECT {KEY}, round(close / lag(close) OVER w - 1, 6) AS pct_change_1, round(10000 * (close / first_value(close) OVER w),
+4) AS growth FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
 def pct_change(spark: SparkSession, d: str) -> DataFrame:
     out = indicators.growth_curve(indicators.pct_change(t.bars(spark, d, "nation")))
     return out.select("symbol", "date", F.round("pct_change_1", 6).alias("pct_change_1"), F.round("growth", 4).alias("growth"))
@@ -325,7 +350,9 @@ TREE = {"op": "AND", "children": [
 ]}
 
 
-@query(f"WITH {_PAT}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM q), x AS (SELECT *, lag(a) OVER (PARTITION BY symbol ORDER BY date) AS a1 FROM s) SELECT {KEY}, (a > b OR (body <= 0.3 * span AND dn >= 2 * body AND up <= 0.5 * body)) AND NOT close < 1000 AND (close > a AND c1 <= a1) AS fits FROM x")
+@query(f"""WITH {_PAT}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM q), x AS (SELECT *,
+lag(a) OVER (PARTITION BY symbol ORDER BY date) AS a1 FROM s) SELECT {KEY},
+(a > b OR (body <= 0.3 * span AND dn >= 2 * body AND up <= 0.5 * body)) AND NOT close < 1000 AND (close > a AND c1 <= a1) AS fits FROM x""")
 def expr_tree(spark: SparkSession, d: str) -> DataFrame:
     return conditions.evaluate(t.bars(spark, d), TREE, "fits").select("symbol", "date", "fits")
 
@@ -335,12 +362,14 @@ def indicator_threshold(spark: SparkSession, d: str) -> DataFrame:
     return conditions.apply_setup(t.bars(spark, d), {"type": "INDICATOR_THRESHOLD", "indicator": "rsi", "operator": ">", "value": 60}).select("symbol", "date", "setup_valid")
 
 
-@query(f"WITH {sql.bars()}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM bars) SELECT {KEY}, CASE WHEN close > 1500 AND pc <= 1500 THEN 'BUY' ELSE 'HOLD' END AS signal FROM p")
+@query(f"""WITH {sql.bars()}, p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM bars) SELECT {KEY}, CASE
+WHEN close > 1500 AND pc <= 1500 THEN 'BUY' ELSE 'HOLD' END AS signal FROM p""")
 def price_crossover(spark: SparkSession, d: str) -> DataFrame:
     return conditions.apply_trigger(t.bars(spark, d), {"type": "PRICE_CROSSOVER", "level": 1500, "direction": "ABOVE"}).select("symbol", "date", "signal")
 
 
-_GC = f"s AS (SELECT *, {sql.rolling('avg', 'close', 50)} AS f, {sql.rolling('avg', 'close', 200)} AS g, count(*) OVER (PARTITION BY symbol) AS n FROM bars), x AS (SELECT *, lag(f) OVER w AS f1, lag(g) OVER w AS g1 FROM s WHERE n >= 200 WINDOW w AS (PARTITION BY symbol ORDER BY date))"
+_GC = f"""s AS (SELECT *, {sql.rolling('avg', 'close', 50)} AS f, {sql.rolling('avg', 'close', 200)} AS g, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+x AS (SELECT *, lag(f) OVER w AS f1, lag(g) OVER w AS g1 FROM s WHERE n >= 200 WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
 
 
 @query(f"WITH {sql.bars()}, {_GC} SELECT {KEY}, CASE WHEN f < g AND f1 >= g1 THEN 'SELL' ELSE 'HOLD' END AS signal FROM x")
@@ -354,12 +383,14 @@ def breakout(spark: SparkSession, d: str) -> DataFrame:
     return conditions.apply_trigger(t.bars(spark, d), {"type": "BREAKOUT"}).select("symbol", "date", "signal")
 
 
-@query(f"WITH {sql.bars()}, {_RSI}, x AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM rsi) SELECT {KEY}, CASE WHEN rsi_14 > 30 AND r1 <= 30 AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal FROM x")
+@query(f"""WITH {sql.bars()}, {_RSI}, x AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM rsi) SELECT {KEY}, CASE
+WHEN rsi_14 > 30 AND r1 <= 30 AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal FROM x""")
 def reversal(spark: SparkSession, d: str) -> DataFrame:
     return conditions.apply_trigger(t.bars(spark, d), {"type": "REVERSAL", "reversal": "RSI_OVERSOLD"}).select("symbol", "date", "signal")
 
 
-@query(f"WITH {sql.bars()}, x AS (SELECT *, close > open AS buy, {sql.rolling('max', 'close', 20)} AS trailing_base FROM bars) SELECT {KEY}, round(CASE WHEN buy THEN close * 0.95 END, 6) AS stop_loss_price, round(CASE WHEN buy THEN close * 1.1 END, 6) AS take_profit_price, trailing_base FROM x")
+@query(f"""WITH {sql.bars()}, x AS (SELECT *, close > open AS buy, {sql.rolling('max', 'close', 20)} AS trailing_base FROM bars) SELECT {KEY}, round(CASE
+WHEN buy THEN close * 0.95 END, 6) AS stop_loss_price, round(CASE WHEN buy THEN close * 1.1 END, 6) AS take_profit_price, trailing_base FROM x""")
 def exit_prices(spark: SparkSession, d: str) -> DataFrame:
     out = conditions.apply_trigger(t.bars(spark, d), {"type": "CANDLE_PATTERN", "pattern": "green_candle"})
     return rounded(conditions.exit_prices(out).select("symbol", "date", "stop_loss_price", "take_profit_price", "trailing_base"))
@@ -372,7 +403,9 @@ CONFIG = {"strategy_name": "dip", "components": {
 }}
 
 
-ORACLES_JSON = f"WITH {sql.bars()}, {_RSI}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM rsi), x AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM s) SELECT {KEY}, coalesce(a > b, false) AS setup_valid, CASE WHEN coalesce(a > b, false) AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN rsi_14 < 70 AND r1 >= 70 THEN 'SELL' END AS exit_signal FROM x"
+ORACLES_JSON = f"""WITH {sql.bars()}, {_RSI}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM rsi), x AS (SELECT *,
+lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM s) SELECT {KEY}, coalesce(a > b, false) AS setup_valid, CASE WHEN coalesce(a > b,
+false) AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN rsi_14 < 70 AND r1 >= 70 THEN 'SELL' END AS exit_signal FROM x"""
 
 
 @query(ORACLES_JSON)
@@ -383,7 +416,8 @@ def json_strategy(spark: SparkSession, d: str) -> DataFrame:
 # strategies and the scan
 
 
-@query(f"WITH {sql.bars('supplier')}, {_GC} SELECT {KEY}, coalesce(f > g, false) AS setup_valid, CASE WHEN f > g AND f1 <= g1 THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN f < g AND f1 >= g1 THEN 'SELL' END AS exit_signal FROM x")
+@query(f"""WITH {sql.bars('supplier')}, {_GC} SELECT {KEY}, coalesce(f > g, false) AS setup_valid, CASE
+WHEN f > g AND f1 <= g1 THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN f < g AND f1 >= g1 THEN 'SELL' END AS exit_signal FROM x""")
 def golden_cross(spark: SparkSession, d: str) -> DataFrame:
     return strategies.golden_cross(t.bars(spark, d, "supplier")).select("symbol", "date", "setup_valid", "signal", "exit_signal")
 
@@ -411,7 +445,10 @@ def momentum_signal(spark: SparkSession, d: str) -> DataFrame:
     return strategies.momentum_signal(t.bars(spark, d)).select("symbol", "date", "raw_momentum", "momentum")
 
 
-@query(f"WITH RECURSIVE {_MOM}, s AS (SELECT *, count(*) OVER (PARTITION BY symbol) >= 169 AND (coalesce(momentum = 'accelerated', false) OR velocity = 'velocity_maintained') AS setup_valid FROM mom) SELECT {KEY}, setup_valid, CASE WHEN setup_valid AND coalesce(momentum = 'accelerated', false) AND open < close THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN velocity = 'velocity_loss' THEN 'SELL' END AS exit_signal FROM s")
+@query(f"""WITH RECURSIVE {_MOM}, s AS (SELECT *, count(*) OVER (PARTITION BY symbol) >= 169 AND (coalesce(momentum = 'accelerated',
+false) OR velocity = 'velocity_maintained') AS setup_valid FROM mom) SELECT {KEY}, setup_valid, CASE
+WHEN setup_valid AND coalesce(momentum = 'accelerated', false) AND open < close THEN 'BUY' ELSE 'HOLD' END AS signal, CASE
+WHEN velocity = 'velocity_loss' THEN 'SELL' END AS exit_signal FROM s""")
 def channel_strategy(spark: SparkSession, d: str) -> DataFrame:
     return strategies.channel_strategy(t.bars(spark, d)).select("symbol", "date", "setup_valid", "signal", "exit_signal")
 
@@ -435,7 +472,9 @@ def score_multi_tf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_scored(spark, d, "supplier"))
 
 
-@query(f"{_score_sql('region')}, r AS (SELECT *, dense_rank() OVER (ORDER BY confidence DESC) AS dense_rank FROM sc) SELECT symbol, date, signal, price, round(confidence::DOUBLE, 6) AS confidence, setup_valid, strategy_name, dense_rank::INT AS dense_rank, (row_number() OVER (ORDER BY confidence DESC, symbol))::INT AS rank FROM r WHERE dense_rank <= 10")
+@query(f"""{_score_sql('region')}, r AS (SELECT *, dense_rank() OVER (ORDER BY confidence DESC) AS dense_rank FROM sc) SELECT symbol, date, signal, price,
+round(confidence::DOUBLE, 6) AS confidence, setup_valid, strategy_name, dense_rank::INT AS dense_rank, (row_number() OVER (ORDER BY confidence DESC,
+symbol))::INT AS rank FROM r WHERE dense_rank <= 10""")
 def rank_picks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(strategies.rank_picks(_scored(spark, d)).drop("ranking_score"))
 
@@ -450,7 +489,9 @@ def asof_state(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof_state(b.select("symbol", "date", "close"), h, ["high_close"])
 
 
-@query(f"WITH {sql.bars()}, h AS ({sql.resampled(5)}) SELECT b.symbol, b.date, coalesce(CASE WHEN h.close > h.open THEN 'BUY' ELSE 'SELL' END, 'HOLD') AS signal FROM (SELECT symbol, date FROM bars) b LEFT JOIN h USING (symbol, date) WHERE h.symbol IS NOT NULL UNION ALL SELECT b.symbol, b.date, 'HOLD' FROM bars b ANTI JOIN h USING (symbol, date)")
+@query(f"""WITH {sql.bars()}, h AS ({sql.resampled(5)}) SELECT b.symbol, b.date, coalesce(CASE WHEN h.close > h.open THEN 'BUY' ELSE 'SELL' END,
+'HOLD') AS signal FROM (SELECT symbol, date FROM bars) b LEFT JOIN h USING (symbol, date) WHERE h.symbol IS NOT NULL UNION ALL SELECT b.symbol,
+b.date, 'HOLD' FROM bars b ANTI JOIN h USING (symbol, date)""")
 def asof_event(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d)
     h = resample.resample_calendar(b, 5).withColumn("signal", F.when(F.col("close") > F.col("open"), "BUY").otherwise("SELL"))
@@ -471,12 +512,14 @@ _PICKS = f"""{sql.bars('supplier', 'sbars')}, {sql.META},
 picks AS (SELECT symbol, scan_date, price, 'golden_cross' AS strategy_name, dense_rank() OVER (PARTITION BY m ORDER BY price DESC) AS rank, '{{"symbol":"' || symbol || '"}}' AS metadata FROM (SELECT symbol, date_trunc('month', date) AS m, min(date) AS scan_date, arg_min(close, date) AS price FROM sbars GROUP BY ALL))"""
 
 
-@query(f"WITH {sql.META}, {sql.WM} SELECT b.*, name, market, industry, type, active, marketcap FROM sbars b JOIN meta USING (symbol) WHERE lower(active) = 'true' AND date = (SELECT max(latest_date) FROM wm WHERE is_current) AND marketcap >= 0")
+@query(f"""WITH {sql.META}, {sql.WM} SELECT b.*, name, market, industry, type, active, marketcap FROM sbars b JOIN meta USING (symbol)
+WHERE lower(active) = 'true' AND date = (SELECT max(latest_date) FROM wm WHERE is_current) AND marketcap >= 0""")
 def screener(spark: SparkSession, d: str) -> DataFrame:
     return serving.screener(t.symbol_metadata(spark, d), t.bars(spark, d, "supplier"), t.watermark(spark, d), min_mc=0, limit=None)
 
 
-@query(f"WITH {_PICKS} SELECT symbol, scan_date, price, strategy_name, rank, metadata, name, market, industry, type, active, marketcap FROM picks LEFT JOIN meta USING (symbol) WHERE scan_date = (SELECT max(scan_date) FROM picks)")
+@query(f"""WITH {_PICKS} SELECT symbol, scan_date, price, strategy_name, rank, metadata, name, market, industry, type, active, marketcap FROM picks LEFT
+JOIN meta USING (symbol) WHERE scan_date = (SELECT max(scan_date) FROM picks)""")
 def picks_today(spark: SparkSession, d: str) -> DataFrame:
     return serving.picks_today(_picks(spark, d), t.symbol_metadata(spark, d))
 
@@ -486,19 +529,26 @@ def picks_today_metadata(spark: SparkSession, d: str) -> DataFrame:
     return serving.picks_today_metadata(_picks(spark, d), t.symbol_metadata(spark, d))
 
 
-@query(f"WITH {_PICKS} SELECT symbol, scan_date, price, strategy_name, rank, metadata, name, market, industry, type, active, marketcap FROM picks LEFT JOIN meta USING (symbol) WHERE symbol = '1' AND scan_date = (SELECT max(scan_date) FROM picks WHERE symbol = '1')")
+@query(f"""WITH {_PICKS} SELECT symbol, scan_date, price, strategy_name, rank, metadata, name, market, industry, type, active, marketcap FROM picks LEFT
+JOIN meta USING (symbol) WHERE symbol = '1' AND scan_date = (SELECT max(scan_date) FROM picks WHERE symbol = '1')""")
 def pick_detail(spark: SparkSession, d: str) -> DataFrame:
     p = _picks(spark, d)
     return serving.pick_detail(p, t.symbol_metadata(spark, d), " 1 ", F.lit(p.where("symbol = '1'").agg(F.max("scan_date")).first()[0]))
 
 
-@query(f"WITH {_PICKS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars), p AS (SELECT picks.*, coalesce(z.k, 0) AS pos FROM picks ASOF LEFT JOIN k z ON z.symbol = picks.symbol AND picks.scan_date >= z.date), lc AS (SELECT symbol, arg_max(close, date) AS c FROM sbars GROUP BY symbol) SELECT p.symbol, scan_date, round((a.close - price) / price, 6) AS return_1, round((b.close - price) / price, 6) AS return_5, round((c.close - price) / price, 6) AS return_21, round((lc.c - price) / price, 6) AS return_to_date, name, industry FROM p LEFT JOIN k a ON a.symbol = p.symbol AND a.k = pos + 1 LEFT JOIN k b ON b.symbol = p.symbol AND b.k = pos + 5 LEFT JOIN k c ON c.symbol = p.symbol AND c.k = pos + 21 JOIN lc ON lc.symbol = p.symbol LEFT JOIN meta ON meta.symbol = p.symbol")
+@query(f"""WITH {_PICKS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars), p AS (SELECT picks.*, coalesce(z.k, 0) AS pos
+FROM picks ASOF LEFT JOIN k z ON z.symbol = picks.symbol AND picks.scan_date >= z.date), lc AS (SELECT symbol, arg_max(close, date) AS c FROM sbars
+GROUP BY symbol) SELECT p.symbol, scan_date, round((a.close - price) / price, 6) AS return_1, round((b.close - price) / price, 6) AS return_5,
+round((c.close - price) / price, 6) AS return_21, round((lc.c - price) / price, 6) AS return_to_date, name, industry FROM p LEFT
+JOIN k a ON a.symbol = p.symbol AND a.k = pos + 1 LEFT JOIN k b ON b.symbol = p.symbol AND b.k = pos + 5 LEFT
+JOIN k c ON c.symbol = p.symbol AND c.k = pos + 21 JOIN lc ON lc.symbol = p.symbol LEFT JOIN meta ON meta.symbol = p.symbol""")
 def pick_forward_returns(spark: SparkSession, d: str) -> DataFrame:
     out = serving.pick_forward_returns(_picks(spark, d).select("symbol", "scan_date", "price"), t.symbol_metadata(spark, d), t.bars(spark, d, "supplier"))
     return rounded(out.drop("price"))
 
 
-@query(f"WITH {sql.META}, {sql.bars('supplier', 'sbars')} SELECT meta.*, date, open, high, low, close, volume FROM meta JOIN sbars USING (symbol) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1")
+@query(f"""WITH {sql.META}, {sql.bars('supplier', 'sbars')} SELECT meta.*, date, open, high, low, close, volume FROM meta JOIN sbars USING (symbol)
+QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""")
 def latest_quote(spark: SparkSession, d: str) -> DataFrame:
     return serving.latest_quote(t.symbol_metadata(spark, d), t.bars(spark, d, "supplier"))
 
@@ -508,24 +558,32 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return serving.history(t.bars(spark, d, "supplier"), None, "1998-01-01", "2000-12-31", 50)
 
 
-@query(f"WITH {sql.bars('supplier')}, r AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars), p AS (SELECT symbol, max(close) FILTER (k = 1) AS c, max(close) FILTER (k = 2) AS a, max(close) FILTER (k = 6) AS b, max(close) FILTER (k = 22) AS e FROM r GROUP BY symbol) SELECT symbol, c AS close, round((c - a) / a, 6) AS return_1, round((c - b) / b, 6) AS return_5, round((c - e) / e, 6) AS return_21 FROM p")
+@query(f"""WITH {sql.bars('supplier')}, r AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars),
+p AS (SELECT symbol, max(close) FILTER (k = 1) AS c, max(close) FILTER (k = 2) AS a, max(close) FILTER (k = 6) AS b, max(close) FILTER (k = 22) AS e
+FROM r GROUP BY symbol) SELECT symbol, c AS close, round((c - a) / a, 6) AS return_1, round((c - b) / b, 6) AS return_5, round((c - e) / e,
+6) AS return_21 FROM p""")
 def trailing_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serving.trailing_returns(t.bars(spark, d, "supplier")))
 
 
-@query(f"WITH {sql.bars('supplier')}, p AS (SELECT symbol, arg_max(close, date) AS now, arg_max(close, date) FILTER (date <= DATE '2001-06-30' - 90) AS past FROM bars WHERE date <= DATE '2001-06-30' GROUP BY symbol) SELECT symbol, now, past, round(100 * (now - past) / past, 6) AS growth_pct FROM p")
+@query(f"""WITH {sql.bars('supplier')}, p AS (SELECT symbol, arg_max(close, date) AS now, arg_max(close, date) FILTER (date <= DATE '2001-06-30' - 90) AS past
+FROM bars WHERE date <= DATE '2001-06-30' GROUP BY symbol) SELECT symbol, now, past, round(100 * (now - past) / past, 6) AS growth_pct FROM p""")
 def growth(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serving.growth(t.bars(spark, d, "supplier"), 90, "2001-06-30"))
 
 
-@query(f"WITH {sql.bars('nation')} SELECT 'YTD' AS period, {OHLCV} FROM bars WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-05-17' UNION ALL SELECT 'MTD', {OHLCV} FROM bars WHERE date BETWEEN DATE '2000-05-01' AND DATE '2000-05-17'")
+@query(f"""WITH {sql.bars('nation')} SELECT 'YTD' AS period, {OHLCV} FROM bars WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-05-17' UNION ALL
+SELECT 'MTD', {OHLCV} FROM bars WHERE date BETWEEN DATE '2000-05-01' AND DATE '2000-05-17'""")
 def period_range(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d, "nation")
     parts = [serving.period_range(b, p, "2000-05-17").select(F.lit(p).alias("period"), "symbol", "date", "open", "high", "low", "close", "volume") for p in ("YTD", "MTD")]
     return parts[0].unionByName(parts[1])
 
 
-@query(f"WITH {sql.bars('nation')}, r AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars WHERE date BETWEEN DATE '2000-03-31' - 90 AND DATE '2000-03-31') SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(CASE WHEN stddev_pop(x.r) > 0 AND stddev_pop(y.r) > 0 THEN corr(x.r, y.r) END, 6) AS corr FROM r x JOIN r y ON x.date = y.date AND x.symbol < y.symbol WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY ALL")
+@query(f"""WITH {sql.bars('nation')}, r AS (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars
+WHERE date BETWEEN DATE '2000-03-31' - 90 AND DATE '2000-03-31') SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, round(CASE
+WHEN stddev_pop(x.r) > 0 AND stddev_pop(y.r) > 0 THEN corr(x.r, y.r) END, 6) AS corr FROM r x JOIN r y ON x.date = y.date AND x.symbol < y.symbol
+WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY ALL""")
 def return_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serving.return_correlation(t.bars(spark, d, "nation"), "2000-03-31", 90))
 
@@ -567,7 +625,8 @@ ledger AS (SELECT run_id, symbol, row_number() OVER (PARTITION BY run_id, symbol
 eq AS (SELECT run_id, symbol, date, cash + shares * close AS equity FROM led WHERE rn > 0)"""
 
 
-@query(f"WITH RECURSIVE {_LED} SELECT run_id, symbol, trade_no, entry_date, round(entry_price, 4) AS entry_price, exit_date, round(exit_price, 4) AS exit_price, round(shares, 4) AS shares, reason, round(pnl, 4) AS pnl, round(pnl_pct, 4) AS pnl_pct, holding_days FROM ledger")
+@query(f"""WITH RECURSIVE {_LED} SELECT run_id, symbol, trade_no, entry_date, round(entry_price, 4) AS entry_price, exit_date, round(exit_price,
+4) AS exit_price, round(shares, 4) AS shares, reason, round(pnl, 4) AS pnl, round(pnl_pct, 4) AS pnl_pct, holding_days FROM ledger""")
 def backtest_ledger(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_ledger(spark, d)[0], 4)
 
@@ -585,7 +644,10 @@ def trade_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.trade_metrics(_ledger(spark, d)[0]), 4)
 
 
-@query(f"WITH {sql.bars('nation')}, p AS (SELECT symbol, date, close AS equity, max(close) OVER w - close AS f, close / lag(close) OVER w - 1 AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, round(max(f), 4) AS max_drawdown, round(max(f) / 10000, 4) AS max_drawdown_pct, round(CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) * sqrt(252) ELSE 0 END, 4) AS sharpe, round(arg_max(equity, date), 4) AS final_equity, round(arg_max(equity, date) - 10000, 4) AS total_return FROM p GROUP BY symbol")
+@query(f"""WITH {sql.bars('nation')}, p AS (SELECT symbol, date, close AS equity, max(close) OVER w - close AS f, close / lag(close) OVER w - 1 AS r
+FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, round(max(f), 4) AS max_drawdown, round(max(f) / 10000,
+4) AS max_drawdown_pct, round(CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) * sqrt(252) ELSE 0 END, 4) AS sharpe, round(arg_max(equity,
+date), 4) AS final_equity, round(arg_max(equity, date) - 10000, 4) AS total_return FROM p GROUP BY symbol""")
 def drawdown_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.drawdown_sharpe(t.bars(spark, d, "nation").select("symbol", "date", F.col("close").alias("equity")), by=("symbol",)), 4)
 
@@ -611,7 +673,9 @@ def yearly_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.yearly_returns(_ledger(spark, d)[0]), 4)
 
 
-@query(f"WITH RECURSIVE {_LED} SELECT run_id, reason, count(*) AS n, round(avg(pnl_pct), 6) AS mean, round(median(pnl_pct), 6) AS median, round(stddev_samp(pnl_pct), 6) AS std, round(min(pnl_pct), 6) AS least, round(max(pnl_pct), 6) AS greatest, round(quantile_cont(pnl_pct, 0.05), 6) AS p5, round(quantile_cont(pnl_pct, 0.95), 6) AS p95 FROM ledger GROUP BY ALL")
+@query(f"""WITH RECURSIVE {_LED} SELECT run_id, reason, count(*) AS n, round(avg(pnl_pct), 6) AS mean, round(median(pnl_pct), 6) AS median,
+round(stddev_samp(pnl_pct), 6) AS std, round(min(pnl_pct), 6) AS least, round(max(pnl_pct), 6) AS greatest, round(quantile_cont(pnl_pct, 0.05),
+6) AS p5, round(quantile_cont(pnl_pct, 0.95), 6) AS p95 FROM ledger GROUP BY ALL""")
 def return_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serving.describe_returns(backtest.trade_facts(_ledger(spark, d)[0]), by=("run_id", "reason")))
 
@@ -621,7 +685,8 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.bootstrap_ci(_ledger(spark, d)[0]), 6)
 
 
-@query(f"WITH {sql.bars('supplier')}, p AS (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS f FROM bars) SELECT symbol, round(arg_max(close, date) / arg_min(close, date), 6) AS ratio, round(min(f), 6) AS max_fall FROM p GROUP BY symbol")
+@query(f"""WITH {sql.bars('supplier')}, p AS (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS f FROM bars) SELECT symbol,
+round(arg_max(close, date) / arg_min(close, date), 6) AS ratio, round(min(f), 6) AS max_fall FROM p GROUP BY symbol""")
 def buy_hold(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.buy_hold(t.bars(spark, d, "supplier")))
 
@@ -629,14 +694,17 @@ def buy_hold(spark: SparkSession, d: str) -> DataFrame:
 _TRADES = "tr AS (SELECT symbol, date AS entry_date, close AS entry_price, date + 14 AS exit_date, 100 / close AS shares FROM bars WHERE day(date) = 1)"
 
 
-@query(f"WITH {sql.bars('nation')}, {_TRADES} SELECT tr.symbol, entry_date, exit_date, date, round((close - entry_price) * shares, 6) AS unrealised, round((close - entry_price) / entry_price, 6) AS unrealised_pct, round(shares * close, 6) AS value, (date - entry_date)::INT AS days_held FROM tr JOIN bars b ON b.symbol = tr.symbol AND date > entry_date AND date <= exit_date")
+@query(f"""WITH {sql.bars('nation')}, {_TRADES} SELECT tr.symbol, entry_date, exit_date, date, round((close - entry_price) * shares, 6) AS unrealised,
+round((close - entry_price) / entry_price, 6) AS unrealised_pct, round(shares * close, 6) AS value, (date - entry_date)::INT AS days_held FROM tr
+JOIN bars b ON b.symbol = tr.symbol AND date > entry_date AND date <= exit_date""")
 def position_history(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d, "nation")
     trades = b.where("day(date) = 1").select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"), F.date_add("date", 14).alias("exit_date"), (100 / F.col("close")).alias("shares"))
     return rounded(backtest.position_history(trades, b).select("symbol", "entry_date", "exit_date", "date", "unrealised", "unrealised_pct", "value", "days_held"))
 
 
-@query(f"WITH {sql.bars('supplier')}, g AS (SELECT symbol, date - lag(date) OVER (PARTITION BY symbol ORDER BY date) AS g FROM bars), m AS (SELECT symbol, median(g) AS m FROM g GROUP BY symbol) SELECT symbol, CASE WHEN m > 0 THEN greatest(1, CAST(round(252 / m) AS INTEGER)) ELSE 252 END AS periods FROM m")
+@query(f"""WITH {sql.bars('supplier')}, g AS (SELECT symbol, date - lag(date) OVER (PARTITION BY symbol ORDER BY date) AS g FROM bars), m AS (SELECT symbol,
+median(g) AS m FROM g GROUP BY symbol) SELECT symbol, CASE WHEN m > 0 THEN greatest(1, CAST(round(252 / m) AS INTEGER)) ELSE 252 END AS periods FROM m""")
 def periods_per_year(spark: SparkSession, d: str) -> DataFrame:
     return backtest.periods_per_year(t.bars(spark, d, "supplier"))
 
@@ -683,7 +751,8 @@ def ema_touch_alert(spark: SparkSession, d: str) -> DataFrame:
     return alerts.ema_touch_alert(_silver(spark, d))
 
 
-_ALL = f"{_SIL}, {_MA}, {_TA}, al AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 WHERE signal IS NOT NULL UNION ALL SELECT * FROM a3), la AS (SELECT * FROM al QUALIFY date >= max(date) OVER (PARTITION BY interval) - 1825)"
+_ALL = f"""{_SIL}, {_MA}, {_TA}, al AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 WHERE signal IS NOT NULL UNION ALL SELECT * FROM a3), la AS (SELECT *
+FROM al QUALIFY date >= max(date) OVER (PARTITION BY interval) - 1825)"""
 
 
 @query(f"WITH RECURSIVE {_ALL} SELECT * FROM la")
@@ -705,7 +774,8 @@ def candidates_micro(spark: SparkSession, d: str) -> DataFrame:
     return alerts.candidates_micro(_last_alerts(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
 
 
-@query(f"WITH RECURSIVE {_ALL}, {_LAST.format('interval >= 8')}, {_CNT} SELECT 'velocity_maintained' AS category, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM cw WHERE w * mai > 0 AND wea = 0 AND los = 0 HAVING count(*) > 0")
+@query(f"""WITH RECURSIVE {_ALL}, {_LAST.format('interval >= 8')}, {_CNT} SELECT 'velocity_maintained' AS category, string_agg(symbol,
+',' ORDER BY symbol) AS symbols FROM cw WHERE w * mai > 0 AND wea = 0 AND los = 0 HAVING count(*) > 0""")
 def candidates_macro(spark: SparkSession, d: str) -> DataFrame:
     return alerts.candidates_macro(_last_alerts(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
 
@@ -738,7 +808,8 @@ def _level_sql(name: str) -> str:
 
 
 def _level(name: str) -> None:
-    @query(f"WITH {_level_sql(name)} SELECT symbol, epoch_ms(ws) // 1000 AS start, o AS open_price, h AS high_price, l AS low_price, c AS close_price, v AS volume, n AS trade_count, round(vw + 1e-9, 6) AS vwap FROM c_{name}", name=f"candles_{name}")
+    @query(f"""WITH {_level_sql(name)} SELECT symbol, epoch_ms(ws) // 1000 AS start, o AS open_price, h AS high_price, l AS low_price, c AS close_price,
+v AS volume, n AS trade_count, round(vw + 1e-9, 6) AS vwap FROM c_{name}""", name=f"candles_{name}")
     def run(spark: SparkSession, d: str) -> DataFrame:
         out = candles.cascade(t.stream_events(spark, d), name)
         # A whole ratio may lie just between two roundings, so both sides are nudged.
@@ -764,7 +835,10 @@ def channel_signals_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("symbol", F.unix_timestamp("window_start").alias("start"), "signal", *nudged))
 
 
-@query(f"WITH {_level_sql('1h')}, k AS (SELECT event_type AS symbol, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)), cfg AS (SELECT symbol, i, CASE i % 2 WHEN 0 THEN '>' ELSE '<=' END AS op, 50.0 AS threshold FROM k WHERE i <> 3) SELECT 'a' || cfg.i AS alert_id, symbol, epoch_ms(ws) // 1000 AS start, c AS price FROM c_1h JOIN cfg USING (symbol) WHERE CASE op WHEN '>' THEN c > threshold ELSE c <= threshold END")
+@query(f"""WITH {_level_sql('1h')}, k AS (SELECT event_type AS symbol, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type
+FROM events)), cfg AS (SELECT symbol, i, CASE i % 2 WHEN 0 THEN '>' ELSE '<=' END AS op, 50.0 AS threshold FROM k WHERE i <> 3)
+SELECT 'a' || cfg.i AS alert_id, symbol, epoch_ms(ws) // 1000 AS start, c AS price FROM c_1h JOIN cfg USING (symbol) WHERE CASE op
+WHEN '>' THEN c > threshold ELSE c <= threshold END""")
 def price_alerts(spark: SparkSession, d: str) -> DataFrame:
     names = t.table(spark, d, "events").select("event_type").distinct()
     i = F.row_number().over(strategies.Window.orderBy("event_type"))
@@ -773,7 +847,8 @@ def price_alerts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("alert_id", "symbol", F.unix_timestamp("window_start").alias("start"), "price")
 
 
-@query(f"WITH {_level_sql('1h')}, p AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY ws) AS c1 FROM c_1h) SELECT symbol, epoch_ms(ws) // 1000 AS start, round(100 * (c - c1) / c1, 6) AS change_pct FROM p WHERE c1 <> 0 AND abs(100 * (c - c1) / c1) >= 5")
+@query(f"""WITH {_level_sql('1h')}, p AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY ws) AS c1 FROM c_1h) SELECT symbol, epoch_ms(ws) // 1000 AS start,
+round(100 * (c - c1) / c1, 6) AS change_pct FROM p WHERE c1 <> 0 AND abs(100 * (c - c1) / c1) >= 5""")
 def price_change_alerts(spark: SparkSession, d: str) -> DataFrame:
     out = candles.price_change_alerts(candles.cascade(t.stream_events(spark, d), "1h"))
     return rounded(out.select("symbol", F.unix_timestamp("window_start").alias("start"), "change_pct"))

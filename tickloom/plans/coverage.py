@@ -65,7 +65,8 @@ def vendor_metadata(spark: SparkSession, d: str) -> DataFrame:
     return readers.optional_filter(readers.tradable(readers.map_metadata(m)).where("market = 'ASIA'"), type="ETF").select("symbol", "name", "marketcap", "industry", "type")
 
 
-@query(f"WITH {sql.bars()} SELECT symbol, CAST(open AS DECIMAL(10,2)) AS open, CAST(high AS DECIMAL(10,2)) AS high, CAST(low AS DECIMAL(10,2)) AS low, CAST(close AS DECIMAL(10,2)) AS close, CAST(volume AS BIGINT) AS volume, epoch_ms(CAST(date AS TIMESTAMP)) // 1000 AS seconds FROM bars")
+@query(f"""WITH {sql.bars()} SELECT symbol, CAST(open AS DECIMAL(10,2)) AS open, CAST(high AS DECIMAL(10,2)) AS high, CAST(low AS DECIMAL(10,2)) AS low,
+CAST(close AS DECIMAL(10,2)) AS close, CAST(volume AS BIGINT) AS volume, epoch_ms(CAST(date AS TIMESTAMP)) // 1000 AS seconds FROM bars""")
 def vendor_bars(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d).select("symbol", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), (F.unix_timestamp(F.col("date").cast("timestamp")) * 1000).alias("t"))
     out = readers.from_vendor_bar(b)
@@ -75,7 +76,8 @@ def vendor_bars(spark: SparkSession, d: str) -> DataFrame:
 _UNIT = "CASE l_linenumber % 4 WHEN 0 THEN l_linenumber || ' Hours' WHEN 1 THEN l_linenumber || 'min' WHEN 2 THEN l_linenumber || 'minutes' ELSE l_linenumber || 'Day' END"
 
 
-@query(f"SELECT replace({_UNIT}, ' ', '') AS name, CASE l_linenumber % 4 WHEN 0 THEN l_linenumber || 'h' WHEN 3 THEN l_linenumber || 'd' ELSE l_linenumber || 'm' END AS interval, count(*) AS n FROM lineitem GROUP BY ALL")
+@query(f"""SELECT replace({_UNIT}, ' ', '') AS name, CASE l_linenumber % 4 WHEN 0 THEN l_linenumber || 'h'
+WHEN 3 THEN l_linenumber || 'd' ELSE l_linenumber || 'm' END AS interval, count(*) AS n FROM lineitem GROUP BY ALL""")
 def interval_names(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_linenumber").cast("string")
     unit = F.when(F.col("l_linenumber") % 4 == 0, "Hours").when(F.col("l_linenumber") % 4 == 1, "min").when(F.col("l_linenumber") % 4 == 2, "minutes").otherwise("Day")
@@ -103,14 +105,17 @@ def staging_cleared(spark: SparkSession, d: str) -> DataFrame:
     return sinks.clear_staging(t.bars(spark, d, "supplier").select("symbol", F.col("date").alias("scan_date"), "close"), "1997-03-03")
 
 
-@query(f"WITH {catalog._level_sql('1h')} SELECT symbol, '1m' AS interval_type, epoch_ms(ws) // 1000 AS start, epoch_ms(ws) // 1000 + 7 * 86400 AS expire_at FROM c_1m UNION ALL SELECT symbol, '1h', epoch_ms(ws) // 1000, epoch_ms(ws) // 1000 + 90 * 86400 FROM c_1h")
+@query(f"""WITH {catalog._level_sql('1h')} SELECT symbol, '1m' AS interval_type, epoch_ms(ws) // 1000 AS start, epoch_ms(ws) // 1000 + 7 * 86400 AS expire_at
+FROM c_1m UNION ALL SELECT symbol, '1h', epoch_ms(ws) // 1000, epoch_ms(ws) // 1000 + 90 * 86400 FROM c_1h""")
 def expiry(spark: SparkSession, d: str) -> DataFrame:
     e = t.stream_events(spark, d)
     both = candles.cascade(e, "1m").unionByName(candles.cascade(e, "1h"))
     return sinks.with_ttl(both).select("symbol", "interval_type", F.unix_timestamp("window_start").alias("start"), "expire_at")
 
 
-@query(f"WITH {sql.bars()}, r AS ({sql.resampled(5)}) SELECT '5d' AS interval, max(date) AS last_processed_date, count(*) AS record_count, 'completed' AS status, (SELECT count(*) FROM bars WHERE date > (SELECT max(date) FROM r WHERE date < DATE '1997-01-01')) AS left_to_read FROM r WHERE date < DATE '1997-01-01'")
+@query(f"""WITH {sql.bars()}, r AS ({sql.resampled(5)}) SELECT '5d' AS interval, max(date) AS last_processed_date, count(*) AS record_count,
+'completed' AS status, (SELECT count(*) FROM bars WHERE date > (SELECT max(date) FROM r WHERE date < DATE '1997-01-01')) AS left_to_read FROM r
+WHERE date < DATE '1997-01-01'""")
 def resample_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d)
     done = resample.resample_checkpoint(resample.resample_calendar(b, 5).where("date < '1997-01-01'"), "5d")
@@ -121,7 +126,10 @@ def resample_checkpoint(spark: SparkSession, d: str) -> DataFrame:
 # bookkeeping
 
 
-@query(f"WITH {sql.bars()}, hol AS (SELECT DISTINCT date FROM bars WHERE day(date) = 1), days AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5), c AS (SELECT CAST(g AS DATE) AS date FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01', INTERVAL 1 DAY) r(g) WHERE dayofweek(g) BETWEEN 1 AND 5 AND CAST(g AS DATE) NOT IN (SELECT date FROM hol)) SELECT date, lag(date) OVER (ORDER BY date) AS prev, lead(date) OVER (ORDER BY date) AS next FROM c")
+@query(f"""WITH {sql.bars()}, hol AS (SELECT DISTINCT date FROM bars WHERE day(date) = 1), days AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders
+WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5), c AS (SELECT CAST(g AS DATE) AS date FROM range(TIMESTAMP '1995-01-01', TIMESTAMP '1998-01-01',
+INTERVAL 1 DAY) r(g) WHERE dayofweek(g) BETWEEN 1 AND 5 AND CAST(g AS DATE) NOT IN (SELECT date FROM hol)) SELECT date,
+lag(date) OVER (ORDER BY date) AS prev, lead(date) OVER (ORDER BY date) AS next FROM c""")
 def trading_calendar(spark: SparkSession, d: str) -> DataFrame:
     """Weekdays but those first days of a month on which there are bars, as holidays."""
     return bookkeeping.trading_days(spark, "1995-01-01", "1997-12-31", t.bars(spark, d).where("day(date) = 1").select("date").distinct())
@@ -139,19 +147,24 @@ def archive_stats(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.archive_stats(t.bars(spark, d, "supplier").where("date < '1996-01-01'"))
 
 
-@query(f"WITH {sql.RAW} SELECT count(*) AS old_rows, count(*) AS archived, count(*) AS deleted, 'success' AS status, true AS consistent FROM raw WHERE CAST(timestamp AS DATE) < DATE '1998-12-31' - INTERVAL 37 MONTHS")
+@query(f"""WITH {sql.RAW} SELECT count(*) AS old_rows, count(*) AS archived, count(*) AS deleted, 'success' AS status, true AS consistent FROM raw
+WHERE CAST(timestamp AS DATE) < DATE '1998-12-31' - INTERVAL 37 MONTHS""")
 def retention_report(spark: SparkSession, d: str) -> DataFrame:
     raw = t.raw_ohlcv(spark, d).withColumn("date", F.to_date("timestamp"))
     return bookkeeping.retention_report(sinks.archive_split(raw, raw.limit(0), "1998-12-31")[2])
 
 
-@query(f"WITH {sql.bars('supplier')}, l AS (SELECT symbol, max(date) AS start FROM bars GROUP BY symbol), c AS (SELECT CAST(g AS DATE) AS date FROM range(TIMESTAMP '1992-01-01', TIMESTAMP '1999-01-01', INTERVAL 1 DAY) r(g) WHERE dayofweek(g) BETWEEN 1 AND 5) SELECT symbol, start, greatest(0, 500 - (SELECT count(*) FROM c WHERE date >= start AND date <= DATE '1998-12-31'))::INT AS days_left FROM l")
+@query(f"""WITH {sql.bars('supplier')}, l AS (SELECT symbol, max(date) AS start FROM bars GROUP BY symbol), c AS (SELECT CAST(g AS DATE) AS date
+FROM range(TIMESTAMP '1992-01-01', TIMESTAMP '1999-01-01', INTERVAL 1 DAY) r(g) WHERE dayofweek(g) BETWEEN 1 AND 5) SELECT symbol, start, greatest(0,
+500 - (SELECT count(*) FROM c WHERE date >= start AND date <= DATE '1998-12-31'))::INT AS days_left FROM l""")
 def days_to_complete(spark: SparkSession, d: str) -> DataFrame:
     calendar = bookkeeping.trading_days(spark, "1992-01-01", "1998-12-31")
     return bookkeeping.days_to_complete(t.bars(spark, d, "supplier"), 500, calendar, "1998-12-31")
 
 
-@query(f"WITH {sql.bars('nation')}, a AS (SELECT symbol, count(*) AS early FROM bars WHERE date < DATE '1993-01-01' AND symbol < 'J' GROUP BY symbol), b AS (SELECT symbol, count(*) AS late FROM bars WHERE date > DATE '1997-12-31' AND symbol > 'C' GROUP BY symbol) SELECT symbol, coalesce(early, 0) AS early, coalesce(late, 0) AS late FROM a FULL JOIN b USING (symbol)")
+@query(f"""WITH {sql.bars('nation')}, a AS (SELECT symbol, count(*) AS early FROM bars WHERE date < DATE '1993-01-01' AND symbol < 'J' GROUP BY symbol),
+b AS (SELECT symbol, count(*) AS late FROM bars WHERE date > DATE '1997-12-31' AND symbol > 'C' GROUP BY symbol) SELECT symbol, coalesce(early,
+0) AS early, coalesce(late, 0) AS late FROM a FULL JOIN b USING (symbol)""")
 def full_counts(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d, "nation")
     early = b.where("date < '1993-01-01' AND symbol < 'J'").groupBy("symbol").agg(F.count(F.lit(1)).alias("early"))
@@ -191,22 +204,28 @@ def setup_macd_trend(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.abs(F.col("macd_12_26") - F.col("macd_signal_12_26_9")) > 1e-9).select("symbol", "date", "setup_valid")
 
 
-@query(f"WITH {sql.bars()}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM bars), x AS (SELECT *, lag(a) OVER w AS a1, lag(b) OVER w AS b1 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT {KEY}, coalesce(a > b AND a1 <= b1, false) AS setup_valid FROM x")
+@query(f"""WITH {sql.bars()}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a, {sql.rolling('avg', 'close', 50)} AS b FROM bars), x AS (SELECT *,
+lag(a) OVER w AS a1, lag(b) OVER w AS b1 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT {KEY}, coalesce(a > b AND a1 <= b1,
+false) AS setup_valid FROM x""")
 def setup_threshold_cross(spark: SparkSession, d: str) -> DataFrame:
     return _setup(spark, d, {"type": "INDICATOR_THRESHOLD", "indicator": "SMA", "params": {"period": 20}, "operator": "CROSS_ABOVE", "indicator2": "sma_50"})
 
 
-@query(f"WITH {sql.bars()}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a FROM bars), x AS (SELECT *, lag(close) OVER w AS c1, lag(a) OVER w AS a1 FROM s WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT {KEY}, CASE WHEN close < a AND c1 >= a1 THEN 'SELL' ELSE 'HOLD' END AS signal FROM x")
+@query(f"""WITH {sql.bars()}, s AS (SELECT *, {sql.rolling('avg', 'close', 20)} AS a FROM bars), x AS (SELECT *, lag(close) OVER w AS c1, lag(a) OVER w AS a1
+FROM s WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT {KEY}, CASE WHEN close < a AND c1 >= a1 THEN 'SELL' ELSE 'HOLD' END AS signal FROM x""")
 def trigger_price_indicator(spark: SparkSession, d: str) -> DataFrame:
     return conditions.apply_trigger(t.bars(spark, d), {"type": "PRICE_CROSSOVER", "indicator": "sma_20", "direction": "BELOW"}).select("symbol", "date", "signal")
 
 
-@query(f"WITH {sql.bars()}, {catalog._RSI}, x AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM rsi) SELECT {KEY}, CASE WHEN rsi_14 < 70 AND r1 >= 70 AND close < open THEN 'SELL' ELSE 'HOLD' END AS signal FROM x")
+@query(f"""WITH {sql.bars()}, {catalog._RSI}, x AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM rsi) SELECT {KEY}, CASE
+WHEN rsi_14 < 70 AND r1 >= 70 AND close < open THEN 'SELL' ELSE 'HOLD' END AS signal FROM x""")
 def reversal_overbought(spark: SparkSession, d: str) -> DataFrame:
     return conditions.apply_trigger(t.bars(spark, d), {"type": "REVERSAL", "reversal": "RSI_OVERBOUGHT"}).select("symbol", "date", "signal")
 
 
-@query(f"WITH {sql.bars()}, {catalog._RSI} SELECT {KEY}, coalesce(NOT (rsi_14 > 50) OR close > open, false) AS setup_valid, CASE WHEN coalesce(NOT (rsi_14 > 50) OR close > open, false) AND rsi_14 <= 45 THEN 'SELL' ELSE 'HOLD' END AS signal, CASE WHEN coalesce(volume >= 50, false) THEN 'SELL' END AS exit_signal FROM rsi")
+@query(f"""WITH {sql.bars()}, {catalog._RSI} SELECT {KEY}, coalesce(NOT (rsi_14 > 50) OR close > open, false) AS setup_valid, CASE
+WHEN coalesce(NOT (rsi_14 > 50) OR close > open, false) AND rsi_14 <= 45 THEN 'SELL' ELSE 'HOLD' END AS signal, CASE WHEN coalesce(volume >= 50,
+false) THEN 'SELL' END AS exit_signal FROM rsi""")
 def expression_components(spark: SparkSession, d: str) -> DataFrame:
     rsi = {"indicator": "RSI"}
     setup = {"type": "EXPRESSION", "expression": {"op": "OR", "conditions": [{"op": "NOT", "condition": {"op": "GT", "left": rsi, "right": {"const": 50}}}, {"op": "PATTERN", "pattern": "GREEN_CANDLE"}]}}
@@ -265,7 +284,9 @@ def multi_timeframe_strategy(spark: SparkSession, d: str) -> DataFrame:
 _STACKED = "SELECT symbol, timeframe, date, f > g AS up FROM st"
 
 
-@query(f"WITH {sql.bars()}, stacked AS ({_MTF}), st AS (SELECT *, {sql.rolling('avg', 'close', 20, 'symbol, timeframe')} AS f, {sql.rolling('avg', 'close', 50, 'symbol, timeframe')} AS g FROM stacked) SELECT symbol, timeframe, date, coalesce(f > g, false) AS setup_valid, CASE WHEN coalesce(f > g, false) AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal FROM st")
+@query(f"""WITH {sql.bars()}, stacked AS ({_MTF}), st AS (SELECT *, {sql.rolling('avg', 'close', 20, 'symbol, timeframe')} AS f,
+{sql.rolling('avg', 'close', 50, 'symbol, timeframe')} AS g FROM stacked) SELECT symbol, timeframe, date, coalesce(f > g, false) AS setup_valid, CASE
+WHEN coalesce(f > g, false) AND close > open THEN 'BUY' ELSE 'HOLD' END AS signal FROM st""")
 def stacked_strategy(spark: SparkSession, d: str) -> DataFrame:
     """A document over stacked timeframes: each series by itself."""
     out = conditions.compile_strategy(DOCUMENT)(readers.load_multi_timeframe(t.bars(spark, d), ["1d", "3d", "8d"]))
@@ -296,7 +317,8 @@ def latest_buys(spark: SparkSession, d: str) -> DataFrame:
     return strategies.latest_buys(until).select("symbol", "date", "close")
 
 
-_BUYS = f"WITH {_CROSS}, b AS (SELECT symbol, date, 'BUY' AS signal, close AS price, (CASE day(date) % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 6 END) / 6.0 AS confidence, true AS setup_valid, 'y' || year(date) AS strategy_name FROM sig WHERE signal = 'BUY')"
+_BUYS = f"""WITH {_CROSS}, b AS (SELECT symbol, date, 'BUY' AS signal, close AS price, (CASE day(date) % 3 WHEN 0 THEN 1
+WHEN 1 THEN 3 ELSE 6 END) / 6.0 AS confidence, true AS setup_valid, 'y' || year(date) AS strategy_name FROM sig WHERE signal = 'BUY')"""
 
 
 def _buys(spark: SparkSession, d: str) -> DataFrame:
@@ -307,7 +329,8 @@ def _buys(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", "date", "signal", F.col("close").alias("price"), confidence.alias("confidence"), "setup_valid", F.concat(F.lit("y"), F.year("date")).alias("strategy_name"))
 
 
-@query(f"{_BUYS} SELECT date AS scan_date, symbol, strategy_name, signal, CAST(price AS DECIMAL(12,4)) AS price, CAST(confidence AS DECIMAL(5,4)) AS confidence, '{{\"setup_valid\":true,\"strategy_name\":\"' || strategy_name || '\"}}' AS metadata FROM b")
+@query(f"""{_BUYS} SELECT date AS scan_date, symbol, strategy_name, signal, CAST(price AS DECIMAL(12,4)) AS price,
+CAST(confidence AS DECIMAL(5,4)) AS confidence, '{{\"setup_valid\":true,\"strategy_name\":\"' || strategy_name || '\"}}' AS metadata FROM b""")
 def staging_rows(spark: SparkSession, d: str) -> DataFrame:
     return strategies.to_staging(_buys(spark, d).withColumn("setup_valid", F.lit(True)))
 
@@ -349,18 +372,23 @@ def collected_symbols(spark: SparkSession, d: str) -> DataFrame:
 # alerts and candles
 
 
-@query(f"WITH RECURSIVE {catalog._ALL}, {catalog._LAST.format('interval <= 5')}, {catalog._CNT} SELECT 'accumulating' AS category, string_agg(symbol, ',' ORDER BY symbol) AS symbols FROM (SELECT DISTINCT symbol FROM cw WHERE w * sup > 1 AND w * res < 1 AND sup >= 2 AND interval <= 3) HAVING count(*) > 0")
+@query(f"""WITH RECURSIVE {catalog._ALL}, {catalog._LAST.format('interval <= 5')}, {catalog._CNT} SELECT 'accumulating' AS category, string_agg(symbol,
+',' ORDER BY symbol) AS symbols FROM (SELECT DISTINCT symbol FROM cw
+WHERE w * sup > 1 AND w * res < 1 AND sup >= 2 AND interval <= 3) HAVING count(*) > 0""")
 def candidates_accumulating(spark: SparkSession, d: str) -> DataFrame:
     return alerts.candidates_accumulating(catalog._last_alerts(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
 
 
-@query(f"WITH RECURSIVE {catalog._ALL}, c AS (SELECT date, signal AS category, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM la GROUP BY ALL) SELECT * FROM c WHERE date = (SELECT max(date) FROM c)")
+@query(f"""WITH RECURSIVE {catalog._ALL}, c AS (SELECT date, signal AS category, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM la
+GROUP BY ALL) SELECT * FROM c WHERE date = (SELECT max(date) FROM c)""")
 def latest_candidates(spark: SparkSession, d: str) -> DataFrame:
     found = alerts.candidates_by_date(alerts.all_alerts(catalog._silver(spark, d)))
     return alerts.latest_candidates(found).withColumn("symbols", F.concat_ws(",", "symbols"))
 
 
-@query(f"WITH {catalog._level_sql('15m')} SELECT symbol, epoch_ms(ws) // 1000 AS start, CASE WHEN v > 20 THEN 'high' WHEN v > 15 THEN 'above_avg' WHEN v < 5 THEN 'low' ELSE 'normal' END AS volume_class, round(100 * (c - vw) / nullif(vw, 0) + 1e-9, 6) AS price_vs_vwap, round(100 * abs(c - o) / nullif(o, 0) + 1e-9, 6) AS channel_width FROM c_15m")
+@query(f"""WITH {catalog._level_sql('15m')} SELECT symbol, epoch_ms(ws) // 1000 AS start, CASE WHEN v > 20 THEN 'high' WHEN v > 15 THEN 'above_avg'
+WHEN v < 5 THEN 'low' ELSE 'normal' END AS volume_class, round(100 * (c - vw) / nullif(vw, 0) + 1e-9, 6) AS price_vs_vwap,
+round(100 * abs(c - o) / nullif(o, 0) + 1e-9, 6) AS channel_width FROM c_15m""")
 def signal_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Metadata of every quarter of an hour, with a tenth of the volume as the ratio and close and open as averages."""
     q = candles.cascade(t.stream_events(spark, d), "15m")
@@ -370,13 +398,16 @@ def signal_metadata(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("price_vs_vwap", "channel_width")}))
 
 
-@query(f"WITH {catalog._level_sql('1h')}, p AS (SELECT symbol, epoch_ms(ws) // 1000 AS start, lag(ws) OVER (PARTITION BY symbol ORDER BY ws) AS before, ws FROM c_1h) SELECT symbol, start FROM p WHERE before IS NULL OR ws > before + INTERVAL 90 MINUTES")
+@query(f"""WITH {catalog._level_sql('1h')}, p AS (SELECT symbol, epoch_ms(ws) // 1000 AS start, lag(ws) OVER (PARTITION BY symbol ORDER BY ws) AS before, ws
+FROM c_1h) SELECT symbol, start FROM p WHERE before IS NULL OR ws > before + INTERVAL 90 MINUTES""")
 def alerts_deduped(spark: SparkSession, d: str) -> DataFrame:
     q = candles.cascade(t.stream_events(spark, d), "1h")
     return candles.dedupe_alerts(q, "90 minutes", keys=("symbol",)).select("symbol", F.unix_timestamp("window_start").alias("start"))
 
 
-@query(f"WITH {sql.bars('nation')} SELECT {KEY}, {_r('close', digits=4)}, round(avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS v FROM bars QUALIFY count(*) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5")
+@query(f"""WITH {sql.bars('nation')} SELECT {KEY}, {_r('close', digits=4)},
+round(avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS v FROM bars
+QUALIFY count(*) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5""")
 def sma_of_volume(spark: SparkSession, d: str) -> DataFrame:
     """An average of another price has a name of its own."""
     out = indicators.sma(indicators.sma(t.bars(spark, d, "nation"), 5), 5, price="volume")
