@@ -348,7 +348,17 @@ def test_upsert_on_disk_writes_only_what_it_touches(spark, tmp_path):
 
 def test_staged_upsert_statement():
     sql = sinks.merge_statement("t", "s", ["k"], ["k", "v"])
-    assert sql == "MERGE INTO t t USING s s ON t.k = s.k WHEN MATCHED THEN UPDATE SET t.v = s.v WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v)"
+    assert sql == "MERGE INTO t t USING s s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v)"
+
+
+def test_staged_upsert_in_a_database(spark, tmp_path):
+    """Derby comes with Spark."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    frame = lambda *rows: spark.createDataFrame(list(rows), "K int, V int")
+    sinks.write_jdbc(frame((1, 1), (2, 1)), url, "BARS")
+    for _ in range(2):
+        sinks.upsert_jdbc(frame((2, 5), (3, 6)), url, "BARS", ["K"])
+        assert sorted(map(tuple, readers.read_jdbc(spark, url, "BARS").collect())) == [(1, 1), (2, 5), (3, 6)]
 
 
 def test_holidays_have_no_session(spark):

@@ -48,7 +48,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **opti
 def merge_statement(table: str, staging: str, keys: list[str], columns: list[str]) -> str:
     """The database's own upsert from a staging table."""
     on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
-    put = ", ".join(f"t.{c} = s.{c}" for c in columns if c not in keys)
+    put = ", ".join(f"{c} = s.{c}" for c in columns if c not in keys)
     update = f"WHEN MATCHED THEN UPDATE SET {put} " if put else ""
     return f"MERGE INTO {table} t USING {staging} s ON {on} {update}WHEN NOT MATCHED THEN INSERT ({', '.join(columns)}) VALUES ({', '.join('s.' + c for c in columns)})"
 
