@@ -341,6 +341,28 @@ def test_signature_trees_on_families(spark):
         sigtree.TILE = old
 
 
+def test_signature_trees_with_hot_shingles(spark, monkeypatch):
+    """A passage in all texts and copies of texts, in steps of a few texts each, so that most hashes are counted inside steps."""
+    from tickloom.llm import common
+
+    monkeypatch.setattr(sigtree, "word_steps", lambda column: common.word_steps(column, limit=3000))
+    rng = random.Random(9)
+    hot = [f"hot{i}" for i in range(25)]
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{rng.randrange(999)}" for _ in range(40)]
+        for k in range(8):
+            ws = list(base)
+            for _ in range(rng.randrange(4)):
+                ws[rng.randrange(40)] = f"e{rng.randrange(9999)}"
+            at = rng.choice([0, 40])
+            rows.append((family * 100 + k, " ".join(ws[:at] + hot + ws[at:])))
+    rows += [(5000 + i, rows[rng.randrange(len(rows))][1]) for i in range(40)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert Counter(map(tuple, sigtree.link_components(table).collect())) == brute_components(rows)
+
+
 def test_tree_links_all_that_links(spark):
     rng = np.random.default_rng(2)
     sets = []
