@@ -250,6 +250,8 @@ def test_strategy_documents_are_read_and_checked(spark):
         lambda: conditions.apply_trigger(linear(spark, ("A", 1)), {"type": "CANDLE_PATTERN", "pattern": "moon"}), lambda: conditions.apply_trigger(linear(spark, ("A", 1)), {"type": "PRICE_CROSSOVER"}),
         lambda: conditions.apply_setup(linear(spark, ("A", 1)), {"type": "INDICATOR_THRESHOLD", "indicator": "RSI", "operator": "~", "value": 1}), lambda: conditions.apply_setup(linear(spark, ("A", 1)), {"type": "WEATHER"}),
         lambda: conditions.run_document(linear(spark, ("A", 1)), {"components": {"setup": {"type": "NONE", "timeframe": "1w"}, "trigger": {"type": "BREAKOUT"}}}), lambda: indicators.indicator("RSI", {"length": 3}), lambda: indicators.indicator("RSI", None, "upper"),
+        lambda: conditions.exit_parameters({"type": "STOP_LOSS_PCT", "value": 5}), lambda: conditions.exit_parameters({"type": "STOP_LOSS_ANCHOR", "anchor": "ENTRY_LOW", "offset_pct": 1}),
+        lambda: conditions.apply_setup(linear(spark, ("A", 1)), {"type": "SMA_TREND", "fast": 50, "slow": 20}), lambda: conditions.apply_setup(linear(spark, ("A", 1)), {"type": "RSI_MOMENTUM", "max": 101}),
     ]
     for f in bad:
         with pytest.raises(ValueError):

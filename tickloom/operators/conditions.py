@@ -165,9 +165,13 @@ def apply_setup(df: DataFrame, component: dict, by=None) -> DataFrame:
     elif kind == "RSI_MOMENTUM":
         column, step = indicator("rsi", {"period": p.get("period", 14)}, by=by)
         low, high = p.get("min"), p.get("max")
+        _inside(low, 0, 100, "an RSI bound")
+        _inside(high, 0, 100, "an RSI bound")
         ok = F.lit(True) if low is None else F.col(column) >= low
         out = step(df).withColumn("setup_valid", ok if high is None else ok & (F.col(column) <= high))
     elif kind == "SMA_TREND":
+        if p.get("slow", 200) <= p.get("fast", 50):
+            raise ValueError("slow must be longer than fast")
         (fast, step1), (slow, step2) = (indicator("sma", {"period": p.get(k, n)}, by=by) for k, n in (("fast", 50), ("slow", 200)))
         up = F.col(fast) > F.col(slow) if p.get("direction", "ABOVE") == "ABOVE" else F.col(fast) < F.col(slow)
         out = step2(step1(df)).withColumn("setup_valid", up)
@@ -304,6 +308,11 @@ def apply_exit(df: DataFrame, component: dict, by=None) -> DataFrame:
     return df.withColumn("exit_signal", F.when(hit, "SELL")).drop(*helpers)
 
 
+def _inside(value: float | None, low: float, high: float, what: str) -> None:
+    if value is not None and not low <= value <= high:
+        raise ValueError(f"{what} lies in {low} to {high}, not {value}")
+
+
 def _first(leaf: dict, *keys: str, default=None):
     return next((leaf[k] for k in keys if leaf.get(k) is not None), default)
 
@@ -320,8 +329,11 @@ def exit_parameters(component: dict) -> dict:
             out["anchor"], out["anchor_offset"] = leaf.get("anchor") or "ENTRY_LOW", float(_first(leaf, "offset_pct", "offset", default=0.0))
             if out["anchor"] not in ANCHORS:
                 raise ValueError(f"unknown anchor {out['anchor']}")
+            if not 0 <= out["anchor_offset"] < 1:
+                raise ValueError("an anchor's offset lies in [0, 1)")
         elif key:
             share = _first(leaf, "value", "pct")
+            _inside(share, 0, 1, "a stop's share")
             out[key] = None if share is None else float(share)
     return out
 
