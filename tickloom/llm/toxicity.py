@@ -51,6 +51,7 @@ LEAST_DOCS, LEAST_ODDS, LEAST_EVIDENCE = 6, 1.5, 20.0
 HALF_ODDS, HALF_EVIDENCE = 0.7, 8.0
 #: Lengths of word starts that may stand for a family of words, and letters that a short end has at most.
 STARTS, SHORT_END = (3, 4, 5, 6, 7, 8), 4
+HEAD = min(STARTS)
 #: Words in a clause.
 CLAUSE_WORDS = 40
 THRESHOLD = 0.7
@@ -66,12 +67,14 @@ NEGATION = frozenset("not no never nobody nothing isn't don't nicht kein keine n
 REPORTED = frozenset("said says wrote writes claimed quoted called sagte sagt schrieb behauptete dit disait écrit dijo dice escribió".split())
 TARGET = frozenset("you your you're they them people du ihr dich euch sie tu vous toi ils tú usted ustedes vosotros ellos te os".split())
 INTENT = frozenset("will i'll we'll gonna going shall should must werde werden wirst soll vais allons veux voy vamos quiero".split())
+FUNCTION = NEGATION | REPORTED | TARGET | INTENT
 #: Starts of verbs of harm, with any ending of up to four letters.
 HARM = frozenset("kill hurt destroy burn shoot punch töte verletz tuer frapper matar golpear".split())
 HARM_END = 4
 
 CLASSES = 8
 OTHER, SLUR, HALF, INTEND, HURT, AIM, NEGATE, REPORT = range(CLASSES)
+PLAIN = (OTHER, 0.0)
 #: Tokens for which a negation or an intent holds, and in which a target must follow a verb of harm.
 REACH = 3
 #: Kinds of match: insult or threat, times aimed, negated, reported.
@@ -164,7 +167,8 @@ class Model:
 
     def __post_init__(self) -> None:
         self.known: dict[str, tuple[int, float]] = {}
-        self.dull: set[str] = set()  # words that no match begins or ends with
+        self.heads = {e[:HEAD] for e in (*HARM, *(e for e in self.lexicon if e[-1] in "*+"))}  # of words that may be of a family, or harm
+        self.dull: set[str] = set()  # runs between white space without a word that can match
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "dull": set()}
@@ -176,6 +180,8 @@ class Model:
 
     def token(self, word: str) -> tuple[int, float]:
         """Class and weight of a word; those of words in texts that may match are remembered."""
+        if word[:HEAD] not in self.heads and word not in self.lexicon and word not in FUNCTION:
+            return PLAIN
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= REMEMBERED:
@@ -194,7 +200,7 @@ class Model:
             elif is_harm(word):
                 found = (HURT, 2.0)
             else:
-                found = (HALF, odds) if odds >= HALF_ODDS else (OTHER, 0.0)
+                found = (HALF, odds) if odds >= HALF_ODDS else PLAIN
             self.known[word] = found
         return found
 
@@ -213,7 +219,7 @@ class Model:
         if not text:
             return out
         low = text.lower()
-        if not self.may_match(set(WORD.findall(low))):
+        if not self.may_match(low):
             return out
         n_words, total, best = 0, 0.0, 0.0
         for clause in CLAUSE.split(low):
@@ -230,17 +236,17 @@ class Model:
         out[KINDS:] = np.log1p(total), best / 4, np.log1p(100 * total / (n_words + 20))
         return out
 
-    def may_match(self, words: set[str]) -> bool:
-        """Whether the words hold a slur, half a slur or a verb of harm. Words that can't matter are remembered."""
+    def may_match(self, low: str) -> bool:
+        """Whether the text holds a slur, half a slur or a verb of harm. Runs between white space that hold none are remembered, so most texts are split and no more."""
         if len(self.dull) >= REMEMBERED:
             self.dull.clear()
         matter = False
-        for word in words - self.dull:
-            if self.token(word)[0] in (SLUR, HALF, HURT):
+        for run in set(low.split()) - self.dull:
+            bare = run.rstrip(".,;:!?")
+            if any(self.token(word)[0] in (SLUR, HALF, HURT) for word in ((bare,) if bare.isalpha() else WORD.findall(run))):
                 matter = True
             else:
-                self.known.pop(word, None)
-                self.dull.add(word)
+                self.dull.add(run)
         return matter
 
     def score(self, text: str | None) -> float:
