@@ -509,7 +509,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     """
     rows = materialise(_labelled(docs, doc_id, text, percent))
     linked = rows.where("n > 0").withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "n"))
-    chosen = linked.groupBy("node").agg(F.min("key").alias("chosen"))
+    chosen = materialise(linked.groupBy("node").agg(F.min("key").alias("chosen")))  # written, so that Spark can split the join where a component is large
     g_id, g1, g2, gn = (fresh(docs, x) for x in ("g_id", "g1", "g2", "gn"))
     gone = linked.join(chosen, "node").where("key <> chosen").select(F.col("doc_id").alias(g_id), F.col("k1").alias(g1), F.col("k2").alias(g2), F.col("n").alias(gn)).distinct()
     gone = few(materialise(gone), FEW)
