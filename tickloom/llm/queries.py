@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import blockdedup, bpe, langid, licenses, lm, packing, quality, sigtree, toxicity, urlfilter
+from . import blockdedup, bpe, langid, licenses, lm, packing, puquality, quality, shallot, sigtree, toxicity, urlfilter, whiten
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +53,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return puquality.held_out_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_host_quality, op2_toxicity, op3_bpe_round_trip, op4_license_scan, op5_block_dedup, op6_signature_trees,
-        op7_url_filter, op8_language, op9_bloom_lm, op10_packing,
+        op7_url_filter, op8_language, op9_bloom_lm, op10_packing, op11_shallot, op12_pu_quality, op13_whitening,
     )
 }
 
@@ -66,4 +79,5 @@ ORACLES = {
     "op5_block_dedup": blockdedup.ORACLE_SQL,
     "op6_signature_trees": sigtree.ORACLE_SQL,
     "op7_url_filter": urlfilter.ORACLE_SQL,
+    "op11_shallot": shallot.ORACLE_SQL,
 }
