@@ -5,7 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tickloom.schemas import CANDLE_EVENT
-from tickloom.streaming import candles
+from tickloom.sources import readers
+from tickloom.streaming import candles, state
 
 START = dt.datetime(2026, 1, 5, 10)
 
@@ -24,7 +25,7 @@ def closed(df):
 def test_cascade_equals_batch(spark, tmp_path):
     src = str(tmp_path / "events")
     events(spark).write.parquet(src)
-    stream = candles.read_candle_stream(spark, src, "parquet", CANDLE_EVENT) if hasattr(candles, "read_candle_stream") else spark.readStream.schema(CANDLE_EVENT).parquet(src)
+    stream = readers.read_candle_stream(spark, src)
     candles.run_level(candles.candles_1m(stream), str(tmp_path / "1m"), str(tmp_path / "c1")).start().awaitTermination()
     one = candles.candles_1m(spark.read.schema(CANDLE_EVENT).parquet(src))
     got = spark.read.parquet(str(tmp_path / "1m"))
@@ -55,6 +56,7 @@ def test_higher_levels_stream_from_level_to_level(spark, tmp_path):
 
 def test_rules_over_earlier_candles_on_a_stream(spark, tmp_path):
     """Two micro-batches find what the rule finds on the whole table."""
+    state.use_state_store(spark)
     whole = candles.cascade(events(spark, 2500), "15m").where(F.col("window_start") < F.lit(START + dt.timedelta(days=29)))
     whole = whole.withColumn("close_price", F.col("close_price") + F.hour("window_start") % 3 * 9)
     src = str(tmp_path / "in")
@@ -91,7 +93,66 @@ def test_route_and_upsert(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2
 
 
-def test_dedupe_alerts(spark):
-    rows = [("a", "S", START + dt.timedelta(minutes=m)) for m in (0, 3, 9)]
-    df = spark.createDataFrame(rows, "alert_id string, symbol string, window_start timestamp")
-    assert candles.dedupe_alerts(df).count() == 2
+ALERT = "alert_id string, symbol string, window_start timestamp, price double, note string"
+
+
+def _alerts(spark, minutes):
+    return spark.createDataFrame([(a, "S", START + dt.timedelta(seconds=60 * m + 0.000123), None if k % 3 else float(k), f"n{k}") for k, (a, m) in enumerate(minutes)], ALERT)
+
+
+def _shown(minutes, gap=5):
+    """One by one: shown if more than ``gap`` minutes after the last shown of its name."""
+    last, out = {}, []
+    for k, (a, m) in sorted(enumerate(minutes), key=lambda x: x[1][1]):
+        if a not in last or m > last[a] + gap:
+            last[a] = m
+            out.append(f"n{k}")
+    return sorted(out)
+
+
+def test_dedupe_alerts_on_a_table(spark):
+    assert candles.dedupe_alerts(_alerts(spark, [("a", 0), ("a", 3), ("a", 9)])).count() == 2
+    minutes = [("a", 4 * i) for i in range(15)] + [("b", m) for m in (0, 5, 6, 7, 11, 12, 40, 44, 46)] + [(None, 1), (None, 2)]
+    got = candles.dedupe_alerts(_alerts(spark, minutes))
+    assert sorted(r.note for r in got.collect()) == _shown(minutes) and got.schema == _alerts(spark, minutes).schema
+    assert len(_shown(minutes[:15])) == 8
+
+
+def test_dedupe_alerts_on_a_stream_is_the_table(spark, tmp_path):
+    """Rows out of order inside the delay, in five batches."""
+    state.use_state_store(spark)
+    minutes = [("a", 4 * i) for i in range(15)] + [("b", m) for m in (0, 6, 7, 12, 20, 33, 50)] + [("c", 1), ("a", 39), ("b", 58)]
+    table, src = _alerts(spark, minutes), str(tmp_path / "in")
+    shown = []
+    for k in range(5):
+        part = table.where((F.col("window_start") >= F.lit(START + dt.timedelta(minutes=12 * k))) & (F.col("window_start") < F.lit(START + dt.timedelta(minutes=12 * k + 12))))
+        part.orderBy(F.rand(k)).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ALERT).parquet(src)
+        out = candles.dedupe_alerts(stream, delay="12 minutes").writeStream.option("checkpointLocation", str(tmp_path / "k")).outputMode("append").trigger(availableNow=True)
+        out.format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+        shown.append(spark.read.schema(ALERT).parquet(str(tmp_path / "out")).count())
+    late = _alerts(spark, [("z", 900)])
+    late.write.mode("append").parquet(src)
+    stream = candles.dedupe_alerts(spark.readStream.schema(ALERT).parquet(src), delay="12 minutes")
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+    got = spark.read.schema(ALERT).parquet(str(tmp_path / "out"))
+    same = lambda df: sorted(map(str, df.where("alert_id <> 'z'").collect()))
+    assert same(got) == same(candles.dedupe_alerts(table)) and shown == sorted(shown)
+
+
+def test_ten_batches_read_no_more_than_the_look_back(spark, tmp_path):
+    """What a micro-batch sees stays flat while the history grows, and the rule finds what it finds on the whole table."""
+    state.use_state_store(spark)
+    hours = [(s, START + dt.timedelta(minutes=15 * i), float(100 + (i * 7 + ord(s)) % 23)) for i in range(400) for s in "AB"]
+    whole = spark.createDataFrame(hours, "symbol string, window_start timestamp, close_price double")
+    src, sizes = str(tmp_path / "in"), []
+    for k in range(10):
+        part = whole.where((F.col("window_start") >= F.lit(START + dt.timedelta(hours=10 * k))) & (F.col("window_start") < F.lit(START + dt.timedelta(hours=10 * k + 10))))
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(whole.schema).parquet(src)
+        candles.stream_rule(stream, candles.price_change_alerts, str(tmp_path / "r"), str(tmp_path / "k"), back="2 hours").start().awaitTermination()
+        sizes.append(spark.read.parquet(f"{tmp_path}/r/seen").count())
+    assert sizes == [80] + [2 * (40 + 8)] * 9
+    expected = candles.price_change_alerts(whole)
+    found = spark.read.parquet(f"{tmp_path}/r/found").select(*expected.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and expected.count() > 100

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .indicators import ema, fresh, running
+from .indicators import ema, fresh, over, running
 from .strategies import OBSERVE, OTHER_DAYS, _ema4, velocity_status
 
 BY = ("symbol", "interval")
@@ -87,10 +89,14 @@ def _since(rows: DataFrame, start: DataFrame) -> DataFrame:
     return rows.join(start, (rows["interval"] == F.col("_interval")) & (rows["date"] >= F.col("_from"))).drop("_interval", "_from")
 
 
-def signal_counts(alerts: DataFrame, weight: bool = True) -> DataFrame:
-    """A3: counts of each signal by symbol and interval, and the interval's place among those present."""
-    names = ("accelerated", "decelerated", "support", "resistance", "velocity_maintained", "velocity_weak", "velocity_loss")
-    out = alerts.groupBy(*BY).agg(*[F.count_if(F.col("signal") == n).alias(n) for n in names])
+_NAMES = ("accelerated", "decelerated", "support", "resistance", "neutral", "velocity_maintained", "velocity_weak", "velocity_loss")
+
+
+def signal_counts(alerts: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """A3: counts of each signal by symbol and interval (or also by date), all touches as ``touches``, and as ``w`` the
+    interval's place among all those of the alerts."""
+    out = alerts.groupBy(*by).agg(*[F.count_if(F.col("signal") == n).alias(n) for n in _NAMES])
+    out = out.withColumn("touches", F.col("support") + F.col("resistance") + F.col("neutral"))
     places = alerts.select("interval").distinct().withColumn("w", F.dense_rank().over(Window.orderBy("interval")))  # a handful of intervals
     return out.join(places, "interval")
 
@@ -99,70 +105,96 @@ def _on_last_date(alerts: DataFrame) -> DataFrame:
     return _since(alerts, alerts.groupBy("interval").agg(F.max("date").alias("from")))
 
 
-def _micro(alerts: DataFrame) -> DataFrame:
-    return signal_counts(alerts.where("interval <= 5"))
+def on_last_days(alerts: DataFrame, days: int) -> DataFrame:
+    """The alerts of the last days of each interval."""
+    return _since(alerts, alerts.groupBy("interval").agg(F.date_sub(F.max("date"), days).alias("from")))
 
 
-def candidates_micro(alerts: DataFrame) -> DataFrame:
-    """Symbols by category, from the alerts of short intervals."""
-    c, w, n = _micro(alerts), F.col("w"), F.col("interval")
-    rules = {
-        "accelerating": (w * F.col("accelerated") > 1) & (w * F.col("decelerated") < 1) & (n <= 3),
-        "long_accelerating": (w * F.col("accelerated") > 1) & (w * F.col("decelerated") < 1) & (n == 5),
-        "long_accumulating": (w * F.col("support") > 1) & (w * F.col("resistance") < 1) & (F.col("support") >= 1) & (n == 5),
-    }
-    return _lists(c, rules)
+def _rules() -> dict[str, Column]:
+    """The categories over ``signal_counts``: of short intervals (5 days at most), and of long ones (8 at least)."""
+    w, n = F.col("w"), F.col("interval")
+    faster = (w * F.col("accelerated") > 1) & (w * F.col("decelerated") < 1)
+    held = (w * F.col("support") > 1) & (w * F.col("resistance") < 1)
+    kept = (w * F.col("velocity_maintained") > 0) & (F.col("velocity_weak") == 0) & (F.col("velocity_loss") == 0)
+    return {
+        "accelerating": faster & (n <= 3), "long_accelerating": faster & (n == 5), "long_accumulating": held & (F.col("touches") >= 1) & (n == 5),
+        "velocity_maintained": kept & (n >= 8), "accumulating": held & (F.col("touches") >= 2) & (n <= 3),
+    }
 
 
-def _lists(counts: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    named = counts.withColumn("category", F.explode(F.array_compact(F.array(*[F.when(cond, k) for k, cond in rules.items()]))))
+#: Categories of L5, of L6 and of each date in L7.
+MICRO, MACRO = ("accelerating", "long_accelerating", "long_accumulating"), ("velocity_maintained",)
+CATEGORIES = MICRO + MACRO
+
+
+def _lists(alerts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    rules = _rules()
+    named = signal_counts(alerts).withColumn("category", F.explode(F.array_compact(F.array(*[F.when(rules[k], k) for k in names]))))
     return named.groupBy("category").agg(F.sort_array(F.collect_set("symbol")).alias("symbols"))
 
 
+def candidates_micro(alerts: DataFrame) -> DataFrame:
+    """Symbols by category, from the alerts of short intervals."""
+    return _lists(alerts, MICRO)
+
+
 def candidates_macro(alerts: DataFrame) -> DataFrame:
-    """L6"""
-    c = signal_counts(alerts.where("interval >= 8"))
-    return _lists(c, {"velocity_maintained": (F.col("w") * F.col("velocity_maintained") > 0) & (F.col("velocity_weak") == 0) & (F.col("velocity_loss") == 0)})
+    """Symbols whose long intervals keep their velocity."""
+    return _lists(alerts, MACRO)
 
 
 def candidates_accumulating(alerts: DataFrame) -> DataFrame:
-    """L8"""
-    w = F.col("w")
-    return _lists(_micro(alerts), {"accumulating": (w * F.col("support") > 1) & (w * F.col("resistance") < 1) & (F.col("support") >= 2) & (F.col("interval") <= 3)})
+    """Symbols that the short intervals touched twice or more, supported and never resisted."""
+    return _lists(alerts, ("accumulating",))
 
 
 def candidates_by_date(alerts: DataFrame) -> DataFrame:
-    """Symbols by date and signal, the latest first."""
-    return alerts.groupBy("date", F.col("signal").alias("category")).agg(F.sort_array(F.collect_set("symbol")).alias("symbols")).orderBy(F.desc("date"), "category")
+    """A row for each date, the latest first, with a list of symbols for each category; a list may be empty.
+
+    All dates are judged in one pass: counts by date, symbol and interval, weighed by the interval's place among all
+    intervals of the alerts, and the categories' symbols collected by date.
+    """
+    rules = _rules()
+    counts = signal_counts(alerts, ("date", *BY))
+    lists = [F.sort_array(F.collect_set(F.when(rules[k], F.col("symbol")))).alias(k) for k in CATEGORIES]
+    return counts.groupBy("date").agg(*lists).orderBy(F.desc("date"))
 
 
 def latest_candidates(cands: DataFrame) -> DataFrame:
-    """L10"""
-    return cands.crossJoin(F.broadcast(cands.agg(F.max("date").alias("_last")))).where(F.col("date") == F.col("_last")).drop("_last")
+    """The lists of the last date, a row for each category."""
+    last = cands.agg(F.max(F.struct("date", *CATEGORIES)).alias("last")).where("last IS NOT NULL").select("last.*")
+    pairs = F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("symbols")) for k in CATEGORIES])
+    return last.select("date", F.inline(pairs))
+
+
+def spaced(at: np.ndarray, gap: int) -> np.ndarray:
+    """Which of rising places are shown: the first, and then each that lies more than ``gap`` past the last shown one."""
+    shown, i = np.zeros(len(at), bool), 0
+    while i < len(at):
+        shown[i] = True
+        i = int(np.searchsorted(at, at[i] + gap, side="right"))
+    return shown
 
 
 def touch_alert_suppressed(df: DataFrame, quiet: int = 3, memory: int = 50) -> DataFrame:
     """Touches that no shown touch of the same kind precedes within ``quiet`` bars, with the touches shown in the last ``memory`` bars.
 
-    Whether a touch is shown depends on those shown before, so each series is walked in its group.
+    Whether a touch is shown depends on those shown before, so each series is walked in its group, from shown touch to
+    shown touch. Bars are numbered before; the group gets the touches alone.
     """
-    touches = ema_touch_alert(df).select(*BY, "date", F.col("signal").alias("touch"))
-    bars = df.select(*BY, "date").join(touches, [*BY, "date"], "left")
-    schema = T.StructType([*bars.schema.fields, T.StructField("touch_count", T.LongType())])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("date", kind="stable").reset_index(drop=True)
-        shown: dict[str, int] = {}
-        places, keep, counts = [], [], []
-        for i, kind in enumerate(frame["touch"]):
-            ok = isinstance(kind, str) and i - shown.get(kind, -quiet - 1) > quiet
-            if ok:
-                shown[kind] = i
-                places.append(i)
-            places = [x for x in places if x > i - memory]
-            keep.append(ok)
-            counts.append(len(places))
-        return frame.assign(touch_count=counts)[keep]
-
-    return bars.groupBy(*BY).applyInPandas(run, schema)
-
+    numbered = ema(df, (8, 13, 144, 169), by=BY).withColumns({"touch": _touch(), "_at": F.row_number().over(over(BY)).cast("long")})
+    touches = numbered.where("touch IS NOT NULL").select(*BY, "date", "touch", "_at")
+    schema = T.StructType([*touches.drop("_at").schema.fields, T.StructField("touch_count", T.LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("_at", "ascending")]))
+        at, kinds = table["_at"].to_numpy(), table["touch"].to_numpy()
+        shown = np.zeros(len(at), bool)
+        for kind in set(kinds):
+            own = np.flatnonzero(kinds == kind)
+            shown[own[spaced(at[own], quiet)]] = True
+        places = at[shown]
+        counts = np.arange(1, len(places) + 1) - np.searchsorted(places, places - memory, side="right")
+        return table.filter(pa.array(shown)).drop_columns(["_at"]).append_column("touch_count", pa.array(counts, pa.int64()))
+
+    return touches.groupBy(*BY).applyInArrow(run, schema)

@@ -714,16 +714,20 @@ def periods_per_year(spark: SparkSession, d: str) -> DataFrame:
 INTERVALS = (1, 3, 5, 8, 13, 21, 34)
 
 
-def _silver(spark: SparkSession, d: str) -> DataFrame:
-    return resample.resample_all(t.bars(spark, d), INTERVALS).withColumnRenamed("n", "interval")
+def _silver(spark: SparkSession, d: str, by: str = "region") -> DataFrame:
+    return resample.resample_all(t.bars(spark, d, by), INTERVALS).withColumnRenamed("n", "interval")
 
 
-_SIL = f"""{sql.bars()}, sil AS ({" UNION ALL ".join(f"SELECT {n} AS interval, * FROM ({sql.resampled(n)})" for n in INTERVALS)}),
+def _sil(by: str) -> str:
+    return f"""{sql.bars(by)}, sil AS ({" UNION ALL ".join(f"SELECT {n} AS interval, * FROM ({sql.resampled(n)})" for n in INTERVALS)}),
 {sql.ema('sil', (8, 13, 144, 169), part='symbol, interval')}, v AS (SELECT *, least(ema_8, ema_13) AS smin, greatest(ema_8, ema_13) AS smax, least(ema_144, ema_169) AS lmin, greatest(ema_144, ema_169) AS lmax FROM e),
 vel AS (SELECT *, CASE WHEN close > open AND close > smax AND close > lmax AND smin > lmax THEN 'velocity_maintained' WHEN close < ema_13 AND close > ema_169 THEN 'velocity_weak' WHEN close < ema_13 AND close < ema_169 THEN 'velocity_loss' ELSE 'velocity_negotiating' END AS velocity FROM v),
 a1 AS (SELECT symbol, interval, date, 'velocity_alert' AS alert_type, velocity AS signal FROM vel)"""
 
 
+_SIL = _sil("region")
+
+
 def _cnt(test: str) -> str:
     arms = {1: 28, 3: 20, 5: 20, 8: 14, 13: 14}
     count = lambda n: sql.rolling("sum", f"({test})::INT", n, "symbol, interval")
@@ -751,38 +755,79 @@ def ema_touch_alert(spark: SparkSession, d: str) -> DataFrame:
     return alerts.ema_touch_alert(_silver(spark, d))
 
 
-_ALL = f"""{_SIL}, {_MA}, {_TA}, al AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 WHERE signal IS NOT NULL UNION ALL SELECT * FROM a3), la AS (SELECT *
+def _all(by: str) -> str:
+    return f"""{_sil(by)}, {_MA}, {_TA}, al AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 WHERE signal IS NOT NULL UNION ALL SELECT * FROM a3), la AS (SELECT *
 FROM al QUALIFY date >= max(date) OVER (PARTITION BY interval) - 1825)"""
 
 
+_ALL = _all("region")
+
+
 @query(f"WITH RECURSIVE {_ALL} SELECT * FROM la")
 def all_alerts(spark: SparkSession, d: str) -> DataFrame:
     return alerts.all_alerts(_silver(spark, d))
 
 
-_CNT = "cc AS (SELECT symbol, interval, " + ", ".join(f"count(*) FILTER (signal = '{x}') AS {y}" for x, y in (("accelerated", "acc"), ("decelerated", "dec"), ("support", "sup"), ("resistance", "res"), ("velocity_maintained", "mai"), ("velocity_weak", "wea"), ("velocity_loss", "los"))) + " FROM last GROUP BY ALL), cw AS (SELECT cc.*, w FROM cc JOIN (SELECT interval, dense_rank() OVER (ORDER BY interval) AS w FROM (SELECT DISTINCT interval FROM last)) USING (interval))"
-_LAST = "last AS (SELECT * FROM al WHERE {0} QUALIFY date = max(date) OVER (PARTITION BY interval))"
+_NAMED = {"acc": "accelerated", "dec": "decelerated", "sup": "support", "res": "resistance", "mai": "velocity_maintained", "wea": "velocity_weak", "los": "velocity_loss"}
+
+
+def _weighed(source: str, by: str = "symbol, interval") -> str:
+    """Counts of signals and touches, and the interval's place among all of the source."""
+    counts = ", ".join(f"count(*) FILTER (signal = '{name}') AS {short}" for short, name in _NAMED.items())
+    return f"""cw AS (SELECT cc.*, w FROM (SELECT {by}, {counts}, count(*) FILTER (alert_type = 'ema_touch') AS tou FROM {source} GROUP BY {by}) cc
+JOIN (SELECT interval, row_number() OVER (ORDER BY interval) AS w FROM (SELECT DISTINCT interval FROM {source})) USING (interval))"""
+
+
+_LASTS = f"""WITH RECURSIVE {_all("supplier")}, last AS (SELECT * FROM la QUALIFY date >= max(date) OVER (PARTITION BY interval) - 30), {_weighed("last")}"""
 
 
 def _last_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return alerts._on_last_date(alerts.all_alerts(_silver(spark, d)))
+    return alerts.on_last_days(alerts.all_alerts(_silver(spark, d, "supplier")), 30)
+
+
+def _a_row_each(found: DataFrame) -> DataFrame:
+    return found.select("category", F.explode("symbols").alias("symbol"))
 
 
-@query(f"""WITH RECURSIVE {_ALL}, {_LAST.format("interval <= 5")}, {_CNT}, cat AS (SELECT 'accelerating' AS category, symbol FROM cw WHERE w * acc > 1 AND w * dec < 1 AND interval <= 3 UNION SELECT 'long_accelerating', symbol FROM cw WHERE w * acc > 1 AND w * dec < 1 AND interval = 5
-UNION SELECT 'long_accumulating', symbol FROM cw WHERE w * sup > 1 AND w * res < 1 AND sup >= 1 AND interval = 5) SELECT category, list(symbol ORDER BY symbol) AS symbols FROM cat GROUP BY category""".replace("list(symbol ORDER BY symbol) AS symbols", "string_agg(symbol, ',' ORDER BY symbol) AS symbols"))
+@query(f"""{_LASTS} SELECT DISTINCT 'accelerating' AS category, symbol FROM cw WHERE w * acc > 1 AND w * dec < 1 AND interval <= 3
+UNION ALL SELECT 'long_accelerating', symbol FROM cw WHERE w * acc > 1 AND w * dec < 1 AND interval = 5
+UNION ALL SELECT 'long_accumulating', symbol FROM cw WHERE w * sup > 1 AND w * res < 1 AND tou >= 1 AND interval = 5""")
 def candidates_micro(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.candidates_micro(_last_alerts(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
+    return _a_row_each(alerts.candidates_micro(_last_alerts(spark, d)))
 
 
-@query(f"""WITH RECURSIVE {_ALL}, {_LAST.format('interval >= 8')}, {_CNT} SELECT 'velocity_maintained' AS category, string_agg(symbol,
-',' ORDER BY symbol) AS symbols FROM cw WHERE w * mai > 0 AND wea = 0 AND los = 0 HAVING count(*) > 0""")
+@query(f"{_LASTS} SELECT DISTINCT 'velocity_maintained' AS category, symbol FROM cw WHERE interval >= 8 AND w * mai > 0 AND wea = 0 AND los = 0")
 def candidates_macro(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.candidates_macro(_last_alerts(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
+    return _a_row_each(alerts.candidates_macro(_last_alerts(spark, d)))
 
 
-@query(f"WITH RECURSIVE {_ALL} SELECT date, signal AS category, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM la GROUP BY ALL")
+@query(f"{_LASTS} SELECT DISTINCT 'accumulating' AS category, symbol FROM cw WHERE w * sup > 1 AND w * res < 1 AND tou >= 2 AND interval <= 3")
+def candidates_accumulating(spark: SparkSession, d: str) -> DataFrame:
+    return _a_row_each(alerts.candidates_accumulating(_last_alerts(spark, d)))
+
+
+def _symbols_where(test: str, name: str) -> str:
+    return f"coalesce(string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER ({test}), '') AS {name}"
+
+
+_BY_DATE = f"""WITH RECURSIVE {_all("supplier")}, {_weighed("la", "date, symbol, interval")}, ca AS (SELECT date,
+{_symbols_where("w * acc > 1 AND w * dec < 1 AND interval <= 3", "accelerating")}, {_symbols_where("w * acc > 1 AND w * dec < 1 AND interval = 5", "long_accelerating")},
+{_symbols_where("w * sup > 1 AND w * res < 1 AND tou >= 1 AND interval = 5", "long_accumulating")},
+{_symbols_where("interval >= 8 AND w * mai > 0 AND wea = 0 AND los = 0", "velocity_maintained")} FROM cw GROUP BY date)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.candidates_by_date(alerts.all_alerts(_silver(spark, d, "supplier")))
+
+
+@query(f"{_BY_DATE} SELECT * FROM ca")
 def candidates_by_date(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.candidates_by_date(alerts.all_alerts(_silver(spark, d))).withColumn("symbols", F.concat_ws(",", "symbols"))
+    return _candidates(spark, d).withColumns({k: F.concat_ws(",", k) for k in alerts.CATEGORIES})
+
+
+@query(f"{_BY_DATE} SELECT date, category, symbols FROM (UNPIVOT ca ON accelerating, long_accelerating, long_accumulating, velocity_maintained INTO NAME category VALUE symbols) WHERE date = (SELECT max(date) FROM ca)")
+def latest_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return alerts.latest_candidates(_candidates(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
 
 
 _SUP = f"""{_SIL}, {_TA}, tb AS (SELECT sil.symbol, sil.interval, sil.date, a3.signal AS touch, row_number() OVER (PARTITION BY sil.symbol, sil.interval ORDER BY sil.date) AS rn FROM sil LEFT JOIN a3 ON a3.symbol = sil.symbol AND a3.interval = sil.interval AND a3.date = sil.date),

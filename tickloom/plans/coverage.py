@@ -372,20 +372,6 @@ def collected_symbols(spark: SparkSession, d: str) -> DataFrame:
 # alerts and candles
 
 
-@query(f"""WITH RECURSIVE {catalog._ALL}, {catalog._LAST.format('interval <= 5')}, {catalog._CNT} SELECT 'accumulating' AS category, string_agg(symbol,
-',' ORDER BY symbol) AS symbols FROM (SELECT DISTINCT symbol FROM cw
-WHERE w * sup > 1 AND w * res < 1 AND sup >= 2 AND interval <= 3) HAVING count(*) > 0""")
-def candidates_accumulating(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.candidates_accumulating(catalog._last_alerts(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
-
-
-@query(f"""WITH RECURSIVE {catalog._ALL}, c AS (SELECT date, signal AS category, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM la
-GROUP BY ALL) SELECT * FROM c WHERE date = (SELECT max(date) FROM c)""")
-def latest_candidates(spark: SparkSession, d: str) -> DataFrame:
-    found = alerts.candidates_by_date(alerts.all_alerts(catalog._silver(spark, d)))
-    return alerts.latest_candidates(found).withColumn("symbols", F.concat_ws(",", "symbols"))
-
-
 @query(f"""WITH {catalog._level_sql('15m')} SELECT symbol, epoch_ms(ws) // 1000 AS start, CASE WHEN v > 20 THEN 'high' WHEN v > 15 THEN 'above_avg'
 WHEN v < 5 THEN 'low' ELSE 'normal' END AS volume_class, round(100 * (c - vw) / nullif(vw, 0) + 1e-9, 6) AS price_vs_vwap,
 round(100 * abs(c - o) / nullif(o, 0) + 1e-9, 6) AS channel_width FROM c_15m""")

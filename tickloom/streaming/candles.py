@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.serving import vwap_agg
 from ..sources.readers import valid_bars
 from ..sources.sinks import upsert_table, with_ttl
+from . import state
 
 #: Levels of the cascade: window, the level below, and how late rows may be.
 LEVELS = {"1m": ("1 minute", None, "30 seconds"), "5m": ("5 minutes", "1m", "30 seconds"), "15m": ("15 minutes", "5m", "1 minute"), "30m": ("30 minutes", "15m", "1 minute"), "1h": ("1 hour", "15m", "2 minutes"), "2h": ("2 hours", "1h", "5 minutes"), "4h": ("4 hours", "2h", "10 minutes")}
@@ -133,12 +134,9 @@ def price_change_alerts(candles: DataFrame, percent: float = 5.0) -> DataFrame:
     return candles.withColumn("change_pct", move).where(F.abs("change_pct") >= percent)
 
 
-def dedupe_alerts(alerts: DataFrame, within: str = "5 minutes", time: str = "window_start", keys: tuple[str, ...] = ("alert_id", "symbol")) -> DataFrame:
-    """On a stream one alert for each key within the time; on a table the first of each run of such gaps."""
-    if alerts.isStreaming:
-        return alerts.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
-    w = Window.partitionBy(*keys).orderBy(time)
-    return alerts.withColumn("_p", F.lag(time).over(w)).where(F.col("_p").isNull() | (F.col(time) > F.col("_p") + F.expr(f"INTERVAL {within}"))).drop("_p")
+def dedupe_alerts(alerts: DataFrame, within: str = "5 minutes", time: str = "window_start", keys: tuple[str, ...] = ("alert_id", "symbol"), delay: str = "1 minute") -> DataFrame:
+    """An alert is shown if none of its key was shown within the time before it; the same on a stream and on a table."""
+    return state.dedupe(alerts, within, time, keys, delay)
 
 
 def route_candles(stream: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
@@ -172,21 +170,21 @@ def stream_upsert(stream: DataFrame, path: str, keys: list[str], checkpoint: str
 BUCKETS = 64
 
 
-def stream_rule(stream: DataFrame, rule: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, back: str = "36 hours", keys: tuple[str, ...] = ("symbol", "window_start")) -> DataStreamWriter:
-    """A rule that looks back over earlier candles, on a stream of finished candles.
+def stream_rule(stream: DataFrame, rule: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, back: str = "36 hours", by: tuple[str, ...] = ("symbol",), time: str = "window_start") -> DataStreamWriter:
+    """A rule that looks back over earlier candles of a series, on a stream of finished candles.
 
-    Each micro-batch is written to ``root/candles``; the rule sees the candles from ``back`` before the batch's first on,
-    and what it finds for the batch's own candles goes to ``root/found``. Both are written by batch number, so a batch
-    that is tried again replaces its own rows.
+    State keeps each series' look-back (``state.with_history``), so a micro-batch reads its own candles and the state of
+    their series, never the history. Both are written to ``root/seen``, as the rule reads them more than once; what it
+    finds for the batch's own candles goes to ``root/found`` by batch number, so a batch that is tried again replaces
+    its own rows.
     """
+    keys = [*by, time]
 
     def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{root}/candles/batch={epoch}")
-        mine = spark.read.schema(batch.schema).parquet(f"{root}/candles/batch={epoch}")
-        first = F.broadcast(mine.agg(F.min("window_start").alias("_first")))
-        seen = spark.read.schema(f"{batch.schema.toDDL()}, batch INT").parquet(f"{root}/candles").where(F.col("batch") <= epoch)
-        seen = seen.crossJoin(first).where(F.col("window_start") >= F.col("_first") - F.expr(f"INTERVAL {back}")).drop("_first", "batch")
-        rule(seen).join(mine.select(*keys), list(keys), "left_semi").write.mode("overwrite").parquet(f"{root}/found/batch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{root}/seen")
+        seen = batch.sparkSession.read.schema(batch.schema).parquet(f"{root}/seen")
+        found = rule(seen.drop("fresh"))
+        found.join(seen.where("fresh").select(*keys).distinct(), keys, "left_semi").write.mode("overwrite").parquet(f"{root}/found/batch={epoch}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    rows = state.with_history(stream, back, by, time)
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
