@@ -33,7 +33,7 @@ def test_resample_one_day_passes_through(spark):
 def test_no_signal_gives_empty_score(spark):
     b = linear(spark, ("AAA", 50), ("BBB", 60), days=120)
     out = strategies.score_multi_timeframe(b, strategies.golden_cross, str(DAY + dt.timedelta(119)))
-    assert out.count() == 0 and len(out.columns) == 7
+    assert out.count() == 0 and len(out.columns) == 8
 
 
 SIGNALS = "symbol string, date string, signal string, price double, confidence double, strategy_name string"
@@ -134,11 +134,178 @@ def test_costs_and_reentry(spark):
 
 
 def test_metrics_of_a_ledger(spark):
-    rows = [("r", p, 10.0) for p in (2.0, -1.0, 0.0, 4.0)]
-    m = backtest.trade_metrics(spark.createDataFrame(rows, "run_id string, pnl double, shares double")).first()
+    rows = [("trade", "r", "A", None, p, None) for p in (2.0, -1.0, 0.0, 4.0)] + [("equity", "r", "A", DAY + dt.timedelta(i), None, e) for i, e in enumerate((10000.0, 9000.0, 10050.0))]
+    rows += [("equity", "idle", "A", DAY, None, 10000.0), ("equity", "won", "A", DAY, None, 10001.0), ("trade", "won", "A", None, 1.0, None)]
+    found = {m.run_id: m for m in backtest.trade_metrics(spark.createDataFrame(rows, "kind string, run_id string, symbol string, date date, pnl double, equity double")).collect()}
+    m = found["r"]
     assert (m.trades, m.wins, m.losses, m.win_rate, m.avg_win, m.avg_loss, m.profit_factor, m.total_return) == (4, 2, 1, 0.5, 3.0, -1.0, 6.0, 50.0)
-    m = backtest.trade_metrics(spark.createDataFrame([("r", 1.0, 1.0)], "run_id string, pnl double, shares double")).first()
-    assert m.profit_factor == math.inf
+    assert found["won"].profit_factor == math.inf
+    m = found["idle"]
+    assert (m.trades, m.wins, m.losses, m.win_rate, m.avg_win, m.avg_loss, m.profit_factor, m.total_return) == (0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_commission_is_part_of_the_return(spark):
+    rows = [("A", DAY + dt.timedelta(i), *[float(c)] * 4, "BUY" if i == 0 else "HOLD", None) for i, c in enumerate((100, 105, 110))]
+    df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, signal string, exit_signal string")
+    grid = spark.createDataFrame([("r", None, None, None, None, None, None)], backtest.PARAMETERS)
+    m = backtest.trade_metrics(backtest.walk(df, grid, commission=50.0)).first()
+    assert m.total_return == pytest.approx((10000 - 50) / 100 * 110 - 50 - 10000) and m.trades == 1
+
+
+def walk_bar_by_bar(bars, p, capital, commission, slippage):
+    """The ledger by its rules, one bar after the other."""
+    cash, shares, held, trades, equity = capital, 0.0, None, [], []
+    for date, close, low, buy, sell in bars:
+        if held:
+            held["peak"] = max(held["peak"], close)
+            tests = {
+                "stop_loss": p["stop_loss"] and close <= held["price"] * (1 - p["stop_loss"]), "stop_loss_anchor": p["anchor"] and close <= held["low"] * (1 - p["anchor_offset"]),
+                "take_profit": p["take_profit"] and close >= held["price"] * (1 + p["take_profit"]), "trailing_stop": p["trailing_stop"] and close <= held["peak"] * (1 - p["trailing_stop"]),
+                "time_based": p["max_days"] and (date - held["date"]).days >= p["max_days"], "signal": sell,
+            }
+            why = next((k for k, v in tests.items() if v), None)
+            if why:
+                cash += shares * close * (1 - slippage) - commission
+                trades.append((held["date"], date, why))
+                shares, held = 0.0, None
+        if not held and buy:
+            price = close * (1 + slippage)
+            shares = (cash - commission) / price
+            cash -= shares * price + commission
+            held = {"date": date, "price": price, "peak": close, "low": low}
+        equity.append(cash + shares * close)
+    if held:
+        cash += shares * bars[-1][1] * (1 - slippage) - commission
+        trades.append((held["date"], bars[-1][0], "end_of_data"))
+        equity[-1] = cash
+    return trades, equity
+
+
+def test_ledger_by_search_is_the_ledger_bar_by_bar(spark):
+    import random
+
+    rng, close, rows = random.Random(8), 100.0, []
+    for i in range(700):
+        close = round(max(5.0, close * (1 + rng.gauss(0, 0.02))), 1)
+        rows.append(("A", DAY + dt.timedelta(i + i // 5 * 2), close, close, close - rng.choice((0.0, 1.0)), close, "BUY" if rng.random() < 0.2 else "HOLD", "SELL" if rng.random() < 0.01 else None))
+    df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, signal string, exit_signal string")
+    names = [c.split()[0] for c in backtest.PARAMETERS.split(", ")]
+    grid = [("stop", 0.05, 0.1, None, None, None, 0.0), ("trail", None, None, 0.07, None, None, 0.0), ("all", 0.04, 0.3, 0.06, 30, "ENTRY_LOW", 0.02), ("time", None, None, None, 3, None, 0.0), ("none", None, None, None, None, None, 0.0)]
+    trades, equity = backtest.backtest(df, spark.createDataFrame(grid, backtest.PARAMETERS), commission=3.0, slippage=0.001)
+    trades, equity = trades.orderBy("trade_no").collect(), equity.orderBy("date").collect()
+    for row in grid:
+        expected = walk_bar_by_bar([(r[1], r[5], r[4], r[6] == "BUY", r[7] == "SELL") for r in rows], dict(zip(names, row, strict=True)), 10000.0, 3.0, 0.001)
+        assert [(r.entry_date, r.exit_date, r.reason) for r in trades if r.run_id == row[0]] == expected[0]
+        assert [r.equity for r in equity if r.run_id == row[0]] == pytest.approx(expected[1], rel=1e-9)
+
+
+def test_search_looks_at_few_bars():
+    """Every first place is right, and the way there is a logarithm: 2**16 bars have 17 levels."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    price = rng.integers(0, 1000, 3000).astype(float)
+    start, threshold = rng.integers(0, 3001, 800), rng.integers(-5, 60, 800).astype(float)
+    expected = [next((j for j in range(s, 3000) if price[j] <= t), 3000) for s, t in zip(start.tolist(), threshold.tolist(), strict=True)]
+    assert backtest.Search(price).first_at_most(start, threshold).tolist() == expected
+    for n in range(1, 20):
+        s = backtest.Search(price[:n])
+        for a in range(n + 1):
+            assert s.first_at_most(np.array([a]), np.array([400.0]))[0] == next((j for j in range(a, n) if price[j] <= 400), n)
+    assert len(backtest.Search(np.zeros(1 << 16)).levels) == 17
+
+
+def test_ledger_over_times(spark):
+    """Bars of hours: dates are times, and days of holding are whole days."""
+    at = dt.datetime(2026, 1, 5, 10)
+    rows = [("A", at + dt.timedelta(hours=h), 100.0 + h, 100.0 + h, 100.0 + h, 100.0 + h, "BUY" if h == 0 else "HOLD", None) for h in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, date timestamp, open double, high double, low double, close double, signal string, exit_signal string")
+    (trade,) = backtest.backtest(df, spark.createDataFrame([("r", None, None, None, 2, None, None)], backtest.PARAMETERS))[0].collect()
+    assert (trade.entry_date, trade.exit_date, trade.reason, trade.holding_days) == (at, at + dt.timedelta(hours=48), "time_based", 2)
+
+
+def test_nested_exits_and_kinds_without_effect(spark):
+    leaf = lambda kind, value: {"type": kind, "value": value}
+    nested = {"type": "CONDITIONAL_OR_FIXED", "conditions": [leaf("TAKE_PROFIT_PCT", 0.2), {"type": "CONDITIONAL_OR_FIXED", "conditions": [leaf("STOP_LOSS_PCT", 0.05), leaf("STOP_LOSS_ATR", 2), {"type": "CONDITIONAL_OR_FIXED", "conditions": [leaf("TRAILING_STOP_PCT", 0.1)]}]}]}
+    found = conditions.exit_parameters(nested)
+    assert (found["take_profit"], found["stop_loss"], found["trailing_stop"]) == (0.2, 0.05, 0.1)
+    b = linear(spark, ("A", 10), days=5)
+    for kind in ("INDICATOR_SIGNAL", "COMBINED", "STOP_LOSS_ATR", "TAKE_PROFIT_ATR"):
+        assert {r.exit_signal for r in conditions.apply_exit(b, {"type": kind, "value": 2}).collect()} == {None}
+        assert set(conditions.exit_parameters({"type": kind, "value": 2}).values()) == {None, 0.0}
+    with pytest.raises(ValueError, match="unknown exit"):
+        conditions.exit_parameters({"type": "CONDITIONAL_OR_FIXED", "conditions": [{"type": "CONDITIONAL_OR_FIXED", "conditions": [leaf("STOP_LOS", 1)]}]})
+
+
+def test_documents_over_hours(spark):
+    """A setup of four hours, a trigger of one hour, on bars of 15 minutes."""
+    at = dt.datetime(2026, 1, 5)
+    rows = [("A", at + dt.timedelta(minutes=15 * i), c, c + 1, c - 1, c + (0.5 if i % 3 else -0.5), 10.0) for i, c in enumerate(50.0 + (i * 7) % 11 for i in range(160))]
+    b = spark.createDataFrame(rows, BARS.replace("date date", "date timestamp"))
+    green = lambda t: {"type": "CANDLE_PATTERN", "pattern": "GREEN_CANDLE", "timeframe": t}
+    config = {"timeframe": "15m", "components": {"setup": {"type": "INDICATOR_THRESHOLD", "indicator": "SMA", "params": {"period": 3}, "operator": ">", "value": 0, "timeframe": "4h"}, "trigger": green("1h"), "exit": {}}}
+    out = conditions.run_document(b, config)
+    hours = {r.date: r for r in resample.resample_time(b, 3600).collect()}
+    assert len(hours) == 40 and out.count() == 160
+    for r in out.collect():
+        setup = r.date >= at + dt.timedelta(hours=8)  # from the third bar of four hours on
+        assert r.setup_valid == setup
+        assert r.signal == ("BUY" if setup and r.date in hours and hours[r.date].close > hours[r.date].open else "HOLD")
+    with pytest.raises(ValueError, match="needs bars with times"):
+        conditions.run_document(linear(spark, ("A", 10)), {"timeframe": "1d", "components": {"trigger": green("1h")}})
+    with pytest.raises(ValueError, match="unknown timeframe"):
+        conditions.run_document(b, {"timeframe": "15m", "components": {"trigger": green("0h")}})
+
+
+def test_walk_forward_is_a_scan_of_each_date(spark):
+    """Scores of all dates against the rule, date by date, for a strategy that sells too."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(s, DAY + dt.timedelta(i), 1.0, 1.0, 1.0, float(rng.randrange(6)), 1.0) for s in ("A", "B") for i in range(120) if rng.random() < 0.9]
+
+    def strategy(df):
+        kind = F.when(F.col("close") >= 4, "BUY").when(F.col("close") <= 2, "SELL").otherwise("HOLD")
+        return df.withColumns({"signal": kind, "setup_valid": F.col("close") == 5, "exit_signal": F.lit(None).cast("string")})
+
+    b = spark.createDataFrame(rows, BARS)
+    frames = {n: sorted((r.symbol, r.date, r.close) for r in resample.resample_calendar(b, n).collect()) for n in (1, 3, 5)}
+    expected = {}
+    for s, d, c in frames[1]:
+        if c < 4:
+            continue
+        score, setup = 1, c == 5
+        for weight, n in ((2, 3), (3, 5)):
+            last = [x for x in frames[n] if x[0] == s and x[1] <= d and (x[2] >= 4 or x[2] <= 2)][-5:]
+            buys = [x for x in last if x[2] >= 4]
+            score += weight * bool(buys)
+            setup |= bool(buys) and buys[-1][2] == 5
+        expected[s, d] = (c, pytest.approx(score / 6), setup, True)
+    got = strategies.score_all_dates(b, strategy)
+    assert {(r.symbol, r.date): (r.price, r.confidence, r.setup_valid, r.trigger_met) for r in got.collect()} == expected and len(expected) > 40
+    last = max(d for _, d in expected)
+    assert {r.symbol for r in strategies.on_last_date(got).collect()} == {s for s, d in expected if d == last}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_candidates_of_hand_made_alerts(spark):
+    """Weights are places among all intervals of the alerts; touches of all kinds count."""
+    from tickloom.operators import alerts
+
+    day = lambda k: DAY + dt.timedelta(k)
+    rows = [("A", 3, day(0), "ema_touch", "support"), ("A", 3, day(1), "ema_touch", "neutral"), ("B", 3, day(0), "ema_touch", "support"), ("C", 1, day(0), "momentum_alert", "accelerated"),
+            ("D", 3, day(0), "momentum_alert", "accelerated"), ("E", 5, day(0), "momentum_alert", "accelerated"), ("E", 5, day(0), "ema_touch", "support"), ("F", 8, day(0), "velocity_alert", "velocity_maintained"),
+            ("F", 13, day(0), "velocity_alert", "velocity_maintained"), ("G", 8, day(1), "velocity_alert", "velocity_weak"), ("H", 3, day(1), "momentum_alert", "decelerated"), ("H", 3, day(1), "momentum_alert", "accelerated")]
+    table = spark.createDataFrame(rows, "symbol string, interval int, date date, alert_type string, signal string")
+    lists = lambda df: {r.category: r.symbols for r in df.collect()}
+    assert lists(alerts.candidates_accumulating(table)) == {"accumulating": ["A"]}
+    assert lists(alerts.candidates_micro(table)) == {"accelerating": ["D"], "long_accelerating": ["E"], "long_accumulating": ["E"]}
+    assert lists(alerts.candidates_macro(table)) == {"velocity_maintained": ["F"]}
+    by_date = alerts.candidates_by_date(table).collect()
+    assert [(r.date, r.accelerating, r.long_accelerating, r.long_accumulating, r.velocity_maintained) for r in by_date] == [(day(1), [], [], [], []), (day(0), ["D"], ["E"], ["E"], ["F"])]
+    assert lists(alerts.latest_candidates(alerts.candidates_by_date(table))) == {k: [] for k in alerts.CATEGORIES}
+    assert alerts.latest_candidates(alerts.candidates_by_date(table.limit(0))).count() == 0
 
 
 def test_asof_before_first_is_null(spark):

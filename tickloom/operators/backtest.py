@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -11,58 +12,121 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 TRADE = "run_id string, symbol string, trade_no long, entry_date date, entry_price double, exit_date date, exit_price double, shares double, reason string, pnl double, pnl_pct double, holding_days long"
 EQUITY = "run_id string, symbol string, date date, equity double"
-_LEDGER = ("trade_no", "entry_date", "entry_price", "exit_date", "exit_price", "shares", "reason", "pnl", "pnl_pct", "holding_days")
 PARAMETERS = "run_id string, stop_loss double, take_profit double, trailing_stop double, max_days long, anchor string, anchor_offset double"
 
 
-def anchor_price(bar: dict, anchor: str | None, offset: float | None) -> float | None:
-    """B2: the stop below a price of the entry's bar."""
+def anchor_price(bars: dict[str, np.ndarray], at: np.ndarray, anchor: str | None, offset: float | None) -> np.ndarray | None:
+    """B2: the stops below a price of the entries' bars."""
     if not anchor:
         return None
-    return bar[anchor.rsplit("_", 1)[-1].lower()] * (1 - (offset or 0.0))
-
-
-def _walk(bars: list[dict], p: dict, capital: float, commission: float, slippage: float) -> tuple[list[tuple], list[float]]:
-    """B1: one symbol under one parameter row, bar by bar in date order: exit first, then entry, then the equity."""
-    cash, shares, open_ = capital, 0.0, None
-    trades: list[tuple] = []
-    equity: list[float] = []
-
-    def close(bar: dict, price: float, reason: str) -> None:
-        nonlocal cash, shares, open_
-        cash += shares * price - commission
-        pnl = price - open_["price"]
-        trades.append((len(trades) + 1, open_["date"], open_["price"], bar["date"], price, shares, reason, pnl, pnl / open_["price"] if open_["price"] else 0.0, (bar["date"] - open_["date"]).days))
-        shares, open_ = 0.0, None
-
-    for bar in bars:
-        c = bar["close"]
-        if open_:
-            open_["peak"] = max(open_["peak"], c)
-            reason = None
-            if p["stop_loss"] and c <= open_["price"] * (1 - p["stop_loss"]):
-                reason = "stop_loss"
-            elif open_["anchor"] is not None and c <= open_["anchor"]:
-                reason = "stop_loss_anchor"
-            elif p["take_profit"] and c >= open_["price"] * (1 + p["take_profit"]):
-                reason = "take_profit"
-            elif p["trailing_stop"] and c <= open_["peak"] * (1 - p["trailing_stop"]):
-                reason = "trailing_stop"
-            elif p["max_days"] and (bar["date"] - open_["date"]).days >= p["max_days"]:
-                reason = "time_based"
-            elif bar["exit_signal"] == "SELL":
-                reason = "signal"
-            if reason:
-                close(bar, c * (1 - slippage), reason)
-        if open_ is None and bar["signal"] == "BUY":
-            price = c * (1 + slippage)
-            shares = (cash - commission) / price
-            cash -= shares * price + commission
-            open_ = {"date": bar["date"], "price": price, "peak": c, "anchor": anchor_price(bar, p["anchor"], p["anchor_offset"])}
-        equity.append(cash + shares * c)
-    if open_:
-        close(bars[-1], bars[-1]["close"] * (1 - slippage), "end_of_data")
-        equity[-1] = cash
+    return bars[anchor.rsplit("_", 1)[-1].lower()][at] * (1 - (offset or 0.0))
+
+
+class Search:
+    """First bar from a start on whose price is at most, or at least, a threshold: a pyramid of least prices over aligned
+    blocks of 1, 2, 4, ... bars. A search climbs until a block holds such a price and comes down to it: time grows with
+    the logarithm of the bars passed. All starts are searched at once."""
+
+    def __init__(self, price: np.ndarray) -> None:
+        self.n = len(price)
+        level = np.append(price, np.inf) if self.n % 2 else price.copy()
+        self.levels = [np.where(np.isnan(level), np.inf, level)]
+        while len(self.levels[-1]) > 1:
+            low = self.levels[-1].reshape(-1, 2).min(axis=1)
+            self.levels.append(np.append(low, np.inf) if len(low) > 1 and len(low) % 2 else low)
+
+    def first_at_most(self, start: np.ndarray, threshold: np.ndarray, strict: bool = False) -> np.ndarray:
+        """The place, or n where there is none."""
+        fits = np.less if strict else np.less_equal
+        place, found = start.astype(np.int64), np.full(len(start), -1)
+        for k, level in enumerate(self.levels):
+            # An odd block isn't the beginning of its parent, so it is looked at itself; the root stands for all.
+            look = np.flatnonzero((found < 0) & (place < len(level)) & ((place & 1 == 1) | (len(level) == 1)))
+            hit = fits(level[place[look]], threshold[look])
+            found[look[hit]] = k
+            miss = look[~hit]
+            place[miss] += 1
+            open_ = found < 0
+            place[open_] = (place[open_] + 1) >> 1 if len(level) == 1 else place[open_] >> 1
+        for k in range(len(self.levels) - 1, 0, -1):
+            at = np.flatnonzero(found >= k)
+            left = place[at] * 2
+            place[at] = np.where(fits(self.levels[k - 1][left], threshold[at]), left, left + 1)
+        return np.where(found < 0, self.n, place)
+
+
+def next_in(flags: np.ndarray) -> np.ndarray:
+    """For each place and one past the end: the first place from there on whose flag is set, or the length."""
+    n = len(flags)
+    at = np.where(flags, np.arange(n), n)
+    return np.append(np.minimum.accumulate(at[::-1])[::-1], n) if n else np.array([0])
+
+
+def trailing_exits(close: np.ndarray, below: Search, above: Search, share: float) -> np.ndarray:
+    """For each entry bar the first later bar that has fallen by ``share`` from the highest close since.
+
+    Up to the next higher close the entry's own is the highest, so either the fall comes before that, or the exit is
+    that of the higher bar: pointers, which are followed by doubling.
+    """
+    n = len(close)
+    after = np.arange(1, n + 1)
+    fall = below.first_at_most(after, close * (1 - share))
+    higher = above.first_at_most(after, -close, strict=True)
+    out = np.append(np.where(fall < higher, fall, n), n)
+    to = np.append(np.where(fall < higher, np.arange(n), higher), n)
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return out[to][:n]
+        to = further
+
+
+#: Reasons in the order in which they are tested on a bar.
+REASONS = ("stop_loss", "stop_loss_anchor", "take_profit", "trailing_stop", "time_based", "signal")
+
+
+def _exits(bars: dict[str, np.ndarray], entries: np.ndarray, p: dict, price: np.ndarray, below: Search, above: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Of each possible entry the bar of its exit (n: none) and the reason's number. A position's exit depends on its entry alone."""
+    n, close, days = len(bars["close"]), bars["close"], bars["days"]
+    none = np.full(len(entries), n)
+    anchor = anchor_price(bars, entries, p["anchor"], p["anchor_offset"])
+    firsts = [
+        below.first_at_most(entries + 1, price * (1 - p["stop_loss"])) if p["stop_loss"] else none,
+        below.first_at_most(entries + 1, anchor) if anchor is not None else none,
+        above.first_at_most(entries + 1, -(price * (1 + p["take_profit"]))) if p["take_profit"] else none,
+        trailing_exits(close, below, above, p["trailing_stop"])[entries] if p["trailing_stop"] else none,
+        np.maximum(np.searchsorted(days, days[entries] + p["max_days"], side="left"), entries + 1) if p["max_days"] else none,
+        next_in(bars["leave"])[entries + 1],
+    ]
+    table = np.stack(firsts)
+    return table.min(axis=0), table.argmin(axis=0)
+
+
+def _walk(bars: dict[str, np.ndarray], p: dict, capital: float, commission: float, slippage: float, below: Search, above: Search) -> tuple[list[tuple], np.ndarray]:
+    """B1: one symbol under one parameter row, from trade to trade: exit first, then entry, then the equity."""
+    close = bars["close"]
+    n, entries = len(close), np.flatnonzero(bars["buy"])
+    prices = close[entries] * (1 + slippage)
+    exits, why = _exits(bars, entries, p, prices, below, above)
+    cash, equity, trades, at, k = capital, np.empty(n), [], 0, 0
+    while k < len(entries):
+        entry, leave = int(entries[k]), int(exits[k])
+        equity[at:entry] = cash
+        price = float(prices[k])
+        shares = (cash - commission) / price
+        cash -= shares * price + commission
+        last = min(leave, n - 1)
+        equity[entry:leave] = cash + shares * close[entry:leave]
+        out = float(close[last]) * (1 - slippage)
+        cash += shares * out - commission
+        pnl = out - price
+        trades.append((entry, price, last, out, shares, REASONS[why[k]] if leave < n else "end_of_data", pnl, pnl / price if price else 0.0))
+        at = leave
+        if leave >= n:
+            equity[n - 1] = cash
+            return trades, equity
+        k = int(np.searchsorted(entries, leave, side="left"))
+    equity[at:] = cash
     return trades, equity
 
 
@@ -74,26 +138,44 @@ def walk(signals: DataFrame, params: DataFrame, capital: float = 10000.0, commis
     """B1: trades (``kind`` trade) and equity (``kind`` equity) of every symbol under every parameter row, in one pass.
 
     The path of a position depends on itself, so each symbol is walked in one group, once for each parameter row; a
-    group holds the bars of one symbol, which cross the network once whatever the grid. ``params`` is the grid that
-    the user lists, so it travels with the code.
+    group holds the bars of one symbol, which cross the network once whatever the grid. The exit of every possible entry
+    is searched over all bars at once (``Search``), so a trade costs the same however long it is held. ``params`` is the
+    grid that the user lists, so it travels with the code. Bars without a close are passed over. Dates may be times.
     """
     grid = [r.asDict() for r in params.collect()]  # listed by the user: a row a run
-    schema = T.StructType([T.StructField("kind", T.StringType()), *T.StructType.fromDDL(TRADE).fields, *T.StructType.fromDDL(EQUITY).fields[2:]])
+    date = signals.schema["date"].dataType
+    fields = [*T.StructType.fromDDL(TRADE).fields, *T.StructType.fromDDL(EQUITY).fields[2:]]
+    schema = T.StructType([T.StructField("kind", T.StringType()), *[T.StructField(f.name, date if isinstance(f.dataType, T.DateType) else f.dataType) for f in fields]])
     arrow = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.filter(pc.is_valid(table["close"]))
+        if not table.num_rows:
+            return arrow.empty_table()
         table = table.take(pc.sort_indices(table, sort_keys=[("date", "ascending")]))
-        bars, symbol = table.to_pylist(), table["symbol"][0].as_py()
-        dates, parts = table["date"].cast(pa.date32()), []
-        for p in grid:
-            trades, equity = _walk(bars, p, capital, commission, slippage)
-            n = len(equity)
-            columns = {"kind": pa.array(["equity"] * n), "run_id": pa.array([p["run_id"]] * n, pa.string()), "symbol": pa.array([symbol] * n, pa.string()), "date": dates, "equity": pa.array(equity, pa.float64())}
-            parts.append(pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow}, schema=arrow))
-            n, of = len(trades), list(zip(*trades, strict=True)) or [()] * len(_LEDGER)
-            columns = {"kind": pa.array(["trade"] * n, pa.string()), "run_id": pa.array([p["run_id"]] * n, pa.string()), "symbol": pa.array([symbol] * n, pa.string())}
-            columns |= {name: pa.array(values, arrow.field(name).type) for name, values in zip(_LEDGER, of, strict=True)}
+        symbol, dates = table["symbol"][0], table["date"].combine_chunks().cast(arrow.field("date").type)
+        bars = {c: table[c].to_numpy().astype(float) for c in ("open", "high", "low", "close")}
+        # A day is the unit of holding, also where dates are times.
+        bars["days"] = dates.cast(pa.timestamp("us", getattr(dates.type, "tz", None))).cast(pa.int64()).to_numpy() / 86_400_000_000
+        for name, column, value in (("buy", "signal", "BUY"), ("leave", "exit_signal", "SELL")):
+            bars[name] = pc.fill_null(pc.equal(table[column].cast(pa.string()), value), False).to_numpy()
+        below, above = Search(bars["close"]), Search(-bars["close"])
+        parts = []
+
+        def part(kind: str, run_id: str, n: int, columns: dict) -> None:
+            columns |= {"kind": pa.array([kind] * n, pa.string()), "run_id": pa.array([run_id] * n, pa.string()), "symbol": pa.array([symbol.as_py()] * n, pa.string())}
             parts.append(pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow}, schema=arrow))
+
+        for p in grid:
+            trades, equity = _walk(bars, p, capital, commission, slippage, below, above)
+            part("equity", p["run_id"], len(equity), {"date": dates, "equity": pa.array(equity)})
+            entry, price, leave, out, shares, reason, pnl, pct = (list(x) for x in zip(*trades, strict=True)) if trades else [[] for _ in range(8)]
+            first, last = (dates.take(pa.array(x, pa.int64())) for x in (entry, leave))
+            days = np.floor(bars["days"])
+            columns = {"trade_no": pa.array(range(1, len(trades) + 1), pa.int64()), "entry_date": first, "exit_date": last, "entry_price": pa.array(price, pa.float64()), "exit_price": pa.array(out, pa.float64())}
+            columns |= {"shares": pa.array(shares, pa.float64()), "reason": pa.array(reason, pa.string()), "pnl": pa.array(pnl, pa.float64()), "pnl_pct": pa.array(pct, pa.float64())}
+            columns |= {"holding_days": pa.array((days[leave] - days[entry]).astype(np.int64) if trades else [], pa.int64())}
+            part("trade", p["run_id"], len(trades), columns)
         return pa.concat_tables(parts) if parts else arrow.empty_table()
 
     return signals.select(*_BARS).groupBy("symbol").applyInArrow(run, schema)
@@ -120,15 +202,20 @@ def periods_per_year(bars: DataFrame) -> DataFrame:
     return mid.select("symbol", F.when(F.col("_s") > 0, F.greatest(F.lit(1), per.cast("int"))).otherwise(252).alias("periods"))
 
 
-def trade_metrics(ledger: DataFrame, by=("run_id",)) -> DataFrame:
-    """Counts, means and factor of trades by profit a share; ``total_return`` is what all shares made together."""
-    win, loss = F.col("pnl") > 0, F.col("pnl") < 0
-    out = ledger.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("trades"), F.count_if(win).alias("wins"), F.count_if(loss).alias("losses"), F.avg(F.when(win, F.col("pnl"))).alias("avg_win"), F.avg(F.when(loss, F.col("pnl"))).alias("avg_loss"),
-        F.sum(F.col("pnl") * F.col("shares")).alias("total_return"), F.coalesce(F.sum(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("_w"), F.coalesce(-F.sum(F.when(loss, F.col("pnl"))), F.lit(0.0)).alias("_l"),
-    )
+def trade_metrics(walked: DataFrame, capital: float = 10000.0, by=("run_id",)) -> DataFrame:
+    """Counts, means and factor of trades by profit a share, and ``total_return``: what all accounts end with beyond
+    their capital, so with all costs. walked: both kinds of rows of ``walk``, read once; a run without trades has zeros."""
+    trade = F.col("kind") == "trade"
+    gain = lambda x: F.when(trade & (F.sign("pnl") == x), F.col("pnl"))
+    sums = {"wins": F.count(gain(1)), "losses": F.count(gain(-1)), "trades": F.count_if(trade), "_w": F.sum(gain(1)), "_l": -F.sum(gain(-1))}
+    last = F.max_by(F.col("equity"), F.when(F.col("kind") == "equity", F.col("date")))
+    account = walked.groupBy(*by, *[c for c in ("symbol",) if c not in by]).agg(*[v.alias(k) for k, v in sums.items()], last.alias("_last"))
+    out = account.groupBy(*by).agg(
+        *[F.coalesce(F.sum(k), F.lit(0 if k in ("wins", "losses", "trades") else 0.0)).alias(k) for k in sums], F.sum(F.col("_last") - capital).alias("total_return")
+    )
+    mean = lambda total, n: F.coalesce(F.try_divide(total, n), F.lit(0.0))
     factor = F.when(F.col("_l") > 0, F.col("_w") / F.when(F.col("_l") > 0, F.col("_l"))).when(F.col("_w") > 0, F.lit(float("inf"))).otherwise(0.0)
-    return out.withColumns({"win_rate": F.try_divide("wins", "trades"), "avg_win": F.coalesce("avg_win", F.lit(0.0)), "avg_loss": F.coalesce("avg_loss", F.lit(0.0)), "profit_factor": factor}).drop("_w", "_l")
+    return out.withColumns({"win_rate": mean("wins", "trades"), "avg_win": mean("_w", "wins"), "avg_loss": mean(-F.col("_l"), "losses"), "profit_factor": factor}).drop("_w", "_l")
 
 
 def drawdown_sharpe(equity: DataFrame, periods: int | Column = 252, capital: float = 10000.0, by=("run_id", "symbol")) -> DataFrame:

@@ -24,7 +24,7 @@ from .indicators import fresh, full, indicator, over, prior_volume_mean, rolling
 from .joins import asof_event, asof_state
 from .patterns import ALIASES as PATTERN_ALIASES
 from .patterns import DIRECTION, NAMES, pattern
-from .resample import resample_calendar
+from .resample import resample_calendar, resample_time
 
 Step = Callable[[DataFrame], DataFrame]
 COMPARE = {
@@ -275,16 +275,19 @@ POSITION = {
     "TRAILING_STOP_PCT": "trailing_stop", "TRAILING_STOP": "trailing_stop", "TIME_BASED": "max_days", "STOP_LOSS_ANCHOR": "anchor",
 }
 ANCHORS = ("ENTRY_OPEN", "ENTRY_HIGH", "ENTRY_LOW", "ENTRY_CLOSE")
+#: Kinds that documents may hold and that change nothing.
+WITHOUT_EFFECT = ("NONE", "INDICATOR_SIGNAL", "COMBINED", "STOP_LOSS_ATR", "TAKE_PROFIT_ATR")
 
 
 def _leaves(component: dict) -> list[dict]:
-    """The rules of an exit: those of CONDITIONAL_OR_FIXED, or the component itself. An unknown one is an error."""
-    found = component.get("conditions") or component.get("leaves") or [component]
-    for leaf in found:
-        kind = (leaf.get("type") or "NONE").upper()
-        if kind not in POSITION and kind not in ("NONE", "INDICATOR_CROSS", "EXPRESSION", "CONDITIONAL_OR_FIXED"):
-            raise ValueError(f"unknown exit {kind}")
-    return found
+    """The rules of an exit: the component itself, or those of a CONDITIONAL_OR_FIXED, however deep these are nested. An unknown one is an error."""
+    kind = (component.get("type") or "NONE").upper()
+    inside = component.get("conditions") or component.get("leaves")
+    if kind == "CONDITIONAL_OR_FIXED" or (kind == "NONE" and inside):
+        return [leaf for part in inside or [] for leaf in _leaves(part)]
+    if kind not in POSITION and kind not in WITHOUT_EFFECT and kind not in ("INDICATOR_CROSS", "EXPRESSION"):
+        raise ValueError(f"unknown exit {kind}")
+    return [component]
 
 
 def apply_exit(df: DataFrame, component: dict, by=None) -> DataFrame:
@@ -349,23 +352,41 @@ def compile_strategy(config: dict, by=None) -> Step:
     return run
 
 
-def days_of(timeframe: str) -> int:
-    """Days of a timeframe such as 3d."""
-    if not re.fullmatch(r"[1-9]\d*d", timeframe):
+_UNITS = {"m": 60, "h": 3600, "d": 86400}
+
+
+def seconds_of(timeframe: str) -> int:
+    """Seconds of a timeframe such as 15m, 1h or 3d."""
+    found = re.fullmatch(r"([1-9]\d*)([mhd])", timeframe)
+    if not found:
         raise ValueError(f"unknown timeframe {timeframe}")
-    return int(timeframe[:-1])
+    return int(found[1]) * _UNITS[found[2]]
+
+
+def in_timeframe(bars: DataFrame, timeframe: str, base: str) -> DataFrame:
+    """Bars of a timeframe from those of the base. Bars of minutes or hours have times as their ``date``."""
+    seconds = seconds_of(timeframe)
+    timed = dict(bars.dtypes)["date"].startswith("timestamp")
+    if not timed:
+        if seconds % 86400:
+            raise ValueError(f"{timeframe} needs bars with times")
+        return resample_calendar(bars, seconds // 86400)
+    if seconds < seconds_of(base):
+        raise ValueError(f"{timeframe} is shorter than the base {base}")
+    return bars if timeframe == base else resample_time(bars, seconds)
 
 
 def run_document(bars: DataFrame, config: dict) -> DataFrame:
     """A strategy whose components name their own timeframes, on bars of the smallest: bars of the base timeframe with
-    ``setup_valid``, ``signal`` and ``exit_signal``.
+    ``setup_valid``, ``signal`` and ``exit_signal``. Timeframes are of days, or of minutes and hours where the bars'
+    ``date`` is a time.
 
     A setup is a state: it holds from its bar on until the next (J1). Signals and exits are events: they hold on the
     date of their bar only (J2). A setup reaches a trigger of another timeframe the same way.
     """
     parts, base = config["components"], config.get("timeframe") or "1d"
     times = {name: (parts.get(name) or {}).get("timeframe") or base for name in ("setup", "trigger", "exit")}
-    frames = {t: resample_calendar(bars, days_of(t)) for t in {base, *times.values()}}
+    frames = {t: in_timeframe(bars, t, base) for t in {base, *times.values()}}
 
     def with_setup(timeframe: str) -> DataFrame:
         own = apply_setup(frames[times["setup"]], parts.get("setup") or {})

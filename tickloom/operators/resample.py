@@ -27,6 +27,13 @@ def resample_calendar(bars: DataFrame, n: int) -> DataFrame:
     return bars.groupBy("symbol", bucket_start("date", n).alias("bucket")).agg(*ohlcv_agg()).withColumnRenamed("bucket", "date")
 
 
+def resample_time(bars: DataFrame, seconds: int) -> DataFrame:
+    """R1 for bars whose ``date`` is a time: buckets of so many seconds from 1970-01-01 on, labelled by their first moment."""
+    micros = F.unix_micros("date")
+    start = F.timestamp_micros(micros - F.pmod(micros, F.lit(seconds * 1_000_000)))
+    return bars.groupBy("symbol", start.alias("bucket")).agg(*ohlcv_agg()).withColumnRenamed("bucket", "date")
+
+
 def resample_all(bars: DataFrame, ns: Iterable[int], also: tuple[str, ...] = ()) -> DataFrame:
     """Several widths at once, with a column ``n``: one explode, one shuffle. also: further columns that tell series apart."""
     spread = bars.withColumn("n", F.explode(F.array(*[F.lit(n) for n in ns])))

@@ -12,7 +12,7 @@ from .indicators import ema, fresh, over, running, series_of, sma
 from .resample import resample_all
 
 Strategy = Callable[[DataFrame], DataFrame]
-SCORED = "symbol string, date date, signal string, price double, confidence double, setup_valid boolean, strategy_name string"
+SCORED = "symbol string, date date, signal string, price double, confidence double, setup_valid boolean, trigger_met boolean, strategy_name string"
 
 
 def run_strategy(df: DataFrame, strategy: Strategy) -> DataFrame:
@@ -166,10 +166,42 @@ def score_multi_timeframe(bars: DataFrame, strategy: Strategy, scan_date: str |
     most = sum(range(1, len(ns) + 1))
     confidence = F.least(F.greatest(F.col("score") / most, F.lit(0.0)), F.lit(1.0))
     return scored.where(F.col("price").isNotNull()).select(
-        "symbol", d.alias("date"), F.lit("BUY").alias("signal"), "price", confidence.alias("confidence"), (F.col("setup") > 0).alias("setup_valid"), F.lit(name).alias("strategy_name")
+        "symbol", d.alias("date"), F.lit("BUY").alias("signal"), "price", confidence.alias("confidence"), (F.col("setup") > 0).alias("setup_valid"), F.lit(True).alias("trigger_met"), F.lit(name).alias("strategy_name")
     )
 
 
+def score_all_dates(bars: DataFrame, strategy: Strategy, timeframes: Iterable[int] = (1, 3, 5), name: str = "golden_cross", memory: int = 5) -> DataFrame:
+    """Y10 for every scan date at once: each BUY of the first timeframe, scored by what the others said by then.
+
+    A walk forward. Each signal of a longer timeframe carries whether a BUY is among the last ``memory`` signals up to
+    it, and the setup of the latest such BUY. These states and the BUYs to be scored are put in one order by date, and
+    each BUY takes the last state of each timeframe. A bar of several days counts from its first day on, which is its
+    date, as in a scan of one date over the same bars. Bars cross the network once, by symbol; only signals come after.
+    """
+    ns = list(timeframes)
+    stacked = resample_all(bars.repartition("symbol"), ns).withColumn("timeframe", F.concat(F.col("n").cast("string"), F.lit("d")))
+    signals = run_universe(strategy, stacked).where(F.col("signal").isin("BUY", "SELL")).select("symbol", "n", "date", "signal", F.coalesce("setup_valid", F.lit(False)).alias("setup_valid"), "close")
+    latest = Window.partitionBy("symbol", "n").orderBy("date").rowsBetween(1 - memory, 0)
+    setup = F.last(F.when(F.col("signal") == "BUY", F.col("setup_valid")), ignorenulls=True).over(latest)
+    # Null where no BUY is among the last signals: kept in a struct, so that a later state replaces an earlier one.
+    states = signals.withColumn("state", F.struct(setup.alias("setup")))
+    by_then = Window.partitionBy("symbol").orderBy("date", F.col("n") == ns[0]).rowsBetween(Window.unboundedPreceding, 0)
+    carried = {f"s{n}": F.last(F.when(F.col("n") == n, F.col("state")), ignorenulls=True).over(by_then).setup for n in ns[1:]}
+    buys = states.withColumns(carried).where((F.col("n") == ns[0]) & (F.col("signal") == "BUY"))
+    setups = [F.col("setup_valid"), *[F.col(f"s{n}") for n in ns[1:]]]
+    score = sum((F.when(x.isNotNull(), i + 1).otherwise(0) for i, x in enumerate(setups)), F.lit(0))
+    confidence = F.least(F.greatest(score / sum(range(1, len(ns) + 1)), F.lit(0.0)), F.lit(1.0))
+    return buys.select(
+        "symbol", "date", "signal", F.col("close").alias("price"), confidence.alias("confidence"), F.array_contains(F.array_compact(F.array(*setups)), True).alias("setup_valid"), F.lit(True).alias("trigger_met"), F.lit(name).alias("strategy_name")
+    )
+
+
+def on_last_date(scored: DataFrame) -> DataFrame:
+    """The rows of the last date. Every task passes on those of its own last date, so few rows meet."""
+    (k,) = fresh(scored, "_k")
+    return scored.withColumn(k, F.rank().over(Window.orderBy(F.desc("date")))).where(F.col(k) == 1).drop(k)
+
+
 def last_signal_date(bars: DataFrame, strategy: Strategy) -> DataFrame:
     """The last date with a BUY on daily bars, as one row ``scan_date``."""
     return run_universe(strategy, bars).where("signal = 'BUY'").agg(F.max("date").alias("scan_date"))
@@ -194,21 +226,19 @@ def to_staging(scored: DataFrame, scan_date: str | None = None) -> DataFrame:
     return scored.select(d.alias("scan_date"), "symbol", "strategy_name", "signal", F.col("price").cast("decimal(12,4)").alias("price"), F.col("confidence").cast("decimal(5,4)").alias("confidence"), meta.alias("metadata"))
 
 
-def rank_picks(signals: DataFrame, top_k: int = 10, by_strategy: bool = True, unique_symbol: bool = True) -> DataFrame:
+def rank_picks(signals: DataFrame, top_k: int = 10, by_strategy: bool = True, unique_symbol: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
     """Dense rank by confidence, the first ``top_k`` ranks, each symbol once, then places 1..n; ties by symbol.
 
-    A strategy's signals aren't sorted as a whole: its distinct confidences are ranked (few, after partial sums), and
-    only rows of the first ``top_k`` of them are placed.
+    A group is a strategy (and ``also``: the scan date, where there are several), so it holds the picks of one day's
+    scan, one row a symbol or few; it is sorted in one task. One exchange serves all windows.
     """
-    group, g, c = fresh(signals, "_group", "_g", "_c")
-    out = signals.withColumn(group, F.col("strategy_name") if by_strategy else F.lit(""))
-    values = out.select(group, "confidence").distinct()
-    values = values.withColumn("dense_rank", F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc("confidence")))).where(F.col("dense_rank") <= top_k)
-    values = values.select(F.col(group).alias(g), F.col("confidence").alias(c), "dense_rank")
-    out = out.join(values, out[group].eqNullSafe(values[g]) & out["confidence"].eqNullSafe(values[c])).drop(g, c)
+    (group,) = fresh(signals, "_group")
+    by = [group, *also]
+    out = signals.withColumn(group, F.col("strategy_name") if by_strategy else F.lit("")).repartition(*by)
+    out = out.withColumn("dense_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("confidence")))).where(F.col("dense_rank") <= top_k)
     if unique_symbol:
         (k,) = fresh(out, "_k")
-        again = Window.partitionBy(group, "symbol").orderBy(F.desc("confidence"), "strategy_name")
+        again = Window.partitionBy(*by, "symbol").orderBy(F.desc("confidence"), "strategy_name")
         out = out.withColumn(k, F.row_number().over(again)).where(F.col(k) == 1).drop(k)
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("confidence"), "symbol", "strategy_name"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("confidence"), "symbol", "strategy_name"))
     return out.withColumn("rank", place).withColumn("ranking_score", F.col("confidence")).drop(group)

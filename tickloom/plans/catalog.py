@@ -453,30 +453,35 @@ def channel_strategy(spark: SparkSession, d: str) -> DataFrame:
     return strategies.channel_strategy(t.bars(spark, d)).select("symbol", "date", "setup_valid", "signal", "exit_signal")
 
 
-def _scored(spark: SparkSession, d: str, by: str = "region") -> DataFrame:
-    b = t.bars(spark, d, by)
-    return strategies.score_multi_timeframe(b, strategies.golden_cross, strategies.last_signal_date(b, strategies.golden_cross))
-
-
 def _score_sql(by: str) -> str:
     part = lambda n, src: f"""g{n}_s AS (SELECT symbol, date, close, {sql.rolling('avg', 'close', 50)} AS f, {sql.rolling('avg', 'close', 200)} AS g, count(*) OVER (PARTITION BY symbol) AS n FROM {src}),
 g{n}_x AS (SELECT *, lag(f) OVER w AS f1, lag(g) OVER w AS g1 FROM g{n}_s WHERE n >= 200 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
-g{n} AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM g{n}_x WHERE f > g AND f1 <= g1)"""
-    return f"""WITH {sql.bars(by)}, {part(0, "bars")}, sd AS (SELECT max(date) AS d FROM g0), cut AS (SELECT * FROM bars WHERE date <= (SELECT d FROM sd)),
-{part(1, "cut")}, b3 AS ({sql.resampled(3, "cut")}), {part(3, "b3")}, b5 AS ({sql.resampled(5, "cut")}), {part(5, "b5")},
-sc AS (SELECT a.symbol, (SELECT d FROM sd) AS date, 'BUY' AS signal, a.close AS price, (1 + 2 * (a.symbol IN (SELECT symbol FROM g3 WHERE k <= 5))::INT + 3 * (a.symbol IN (SELECT symbol FROM g5 WHERE k <= 5))::INT) / 6.0 AS confidence, true AS setup_valid, 'golden_cross' AS strategy_name FROM g1 a WHERE a.date = (SELECT d FROM sd) AND k <= 5)"""
+g{n} AS (SELECT symbol, date, close FROM g{n}_x WHERE f > g AND f1 <= g1)"""
+    return f"""WITH {sql.bars(by)}, {part(1, "bars")}, b3 AS ({sql.resampled(3)}), {part(3, "b3")}, b5 AS ({sql.resampled(5)}), {part(5, "b5")},
+f3 AS (SELECT symbol, min(date) AS d3 FROM g3 GROUP BY symbol), f5 AS (SELECT symbol, min(date) AS d5 FROM g5 GROUP BY symbol),
+sc AS (SELECT symbol, date, 'BUY' AS signal, close AS price, (1 + 2 * coalesce(d3 <= date, false)::INT + 3 * coalesce(d5 <= date, false)::INT) / 6.0 AS confidence, true AS setup_valid, true AS trigger_met,
+'golden_cross' AS strategy_name FROM g1 LEFT JOIN f3 USING (symbol) LEFT JOIN f5 USING (symbol))"""
+
+
+_SCORED = "symbol, date, signal, price, round(confidence::DOUBLE, 6) AS confidence, setup_valid, trigger_met, strategy_name"
 
 
-@query(f"{_score_sql('supplier')} SELECT symbol, date, signal, price, round(confidence::DOUBLE, 6) AS confidence, setup_valid, strategy_name FROM sc")
+@query(f"{_score_sql('nation')} SELECT {_SCORED} FROM sc")
+def score_all_dates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(strategies.score_all_dates(t.bars(spark, d, "nation"), strategies.golden_cross))
+
+
+@query(f"{_score_sql('supplier')} SELECT {_SCORED} FROM sc WHERE date = (SELECT max(date) FROM sc)")
 def score_multi_tf(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_scored(spark, d, "supplier"))
+    return rounded(strategies.on_last_date(strategies.score_all_dates(t.bars(spark, d, "supplier"), strategies.golden_cross)))
 
 
-@query(f"""{_score_sql('region')}, r AS (SELECT *, dense_rank() OVER (ORDER BY confidence DESC) AS dense_rank FROM sc) SELECT symbol, date, signal, price,
-round(confidence::DOUBLE, 6) AS confidence, setup_valid, strategy_name, dense_rank::INT AS dense_rank, (row_number() OVER (ORDER BY confidence DESC,
-symbol))::INT AS rank FROM r WHERE dense_rank <= 10""")
+@query(f"""{_score_sql('nation')}, r AS (SELECT *, dense_rank() OVER (PARTITION BY date ORDER BY confidence DESC) AS dense_rank FROM sc) SELECT {_SCORED}, dense_rank::INT AS dense_rank,
+(row_number() OVER (PARTITION BY date ORDER BY confidence DESC, symbol))::INT AS rank FROM r WHERE dense_rank <= 10""")
 def rank_picks(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(strategies.rank_picks(_scored(spark, d)).drop("ranking_score"))
+    """The picks of every scan date."""
+    scored = strategies.score_all_dates(t.bars(spark, d, "nation"), strategies.golden_cross)
+    return rounded(strategies.rank_picks(scored, also=("date",)).drop("ranking_score"))
 
 
 # joins along time
@@ -593,9 +598,12 @@ def return_correlation(spark: SparkSession, d: str) -> DataFrame:
 GRID = [("tight", 0.03, 0.06, None, None, None, None), ("trail", None, None, 0.05, None, None, None), ("time", None, None, None, 20, None, None), ("anchor", None, 0.2, None, None, "ENTRY_LOW", 0.02)]
 
 
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    return conditions.compile_strategy(CONFIG)(t.bars(spark, d, "nation"))
+
+
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    signals = conditions.compile_strategy(CONFIG)(t.bars(spark, d, "nation"))
-    return backtest.backtest(signals, spark.createDataFrame(GRID, backtest.PARAMETERS))
+    return backtest.backtest(_signals(spark, d), spark.createDataFrame(GRID, backtest.PARAMETERS))
 
 
 def _value(x: object) -> str:
@@ -603,26 +611,30 @@ def _value(x: object) -> str:
 
 
 _GRID = ", ".join("(" + ", ".join(_value(x) for x in row) + ")" for row in GRID)
-#: The ledger as a recursion over the bars: led has the state after each bar and the trade that it closed.
-_LED = f"""{sql.bars("nation")}, {_RSI}, sg AS (SELECT *, {sql.rolling("avg", "close", 20)} AS a, {sql.rolling("avg", "close", 50)} AS b FROM rsi),
+def _led(grid: str = _GRID, fee: float = 0, slip: float = 0) -> str:
+    """The ledger as a recursion over the bars: led has the state after each bar and the trade that it closed."""
+    return f"""{sql.bars("nation")}, {_RSI}, sg AS (SELECT *, {sql.rolling("avg", "close", 20)} AS a, {sql.rolling("avg", "close", 50)} AS b FROM rsi),
 sx AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM sg),
 bar AS (SELECT symbol, date, open, high, low, close, coalesce(a > b, false) AND close > open AS buy, coalesce(rsi_14 < 70 AND r1 >= 70, false) AS leave, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn,
 count(*) OVER (PARTITION BY symbol) AS n FROM sx),
-grid(run_id, sl, tp, ts, md, anchor, off) AS (VALUES {_GRID}),
+grid(run_id, sl, tp, ts, md, anchor, off) AS (VALUES {grid}),
 led AS (SELECT grid.*, symbol, 0::BIGINT AS rn, 0::BIGINT AS n, NULL::DATE AS date, NULL::DOUBLE AS close, 10000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, false AS held, NULL::DOUBLE AS ep, NULL::DATE AS ed, NULL::DOUBLE AS peak, NULL::DOUBLE AS anc,
 NULL::VARCHAR AS reason, NULL::DOUBLE AS x_ep, NULL::DATE AS x_ed, NULL::DOUBLE AS x_shares FROM grid, (SELECT DISTINCT symbol FROM bar)
-UNION ALL SELECT run_id, sl, tp, ts, md, anchor, off, symbol, rn, n, date, close, CASE WHEN enter THEN 0.0 ELSE cash1 END, CASE WHEN enter THEN cash1 / close WHEN held1 THEN shares ELSE 0.0 END, enter OR held1,
-CASE WHEN enter THEN close ELSE ep END, CASE WHEN enter THEN date ELSE ed END, CASE WHEN enter THEN close ELSE top END,
+UNION ALL SELECT run_id, sl, tp, ts, md, anchor, off, symbol, rn, n, date, close, CASE WHEN enter THEN 0.0 ELSE cash1 END, CASE WHEN enter THEN (cash1 - {fee}) / (close * (1 + {slip})) WHEN held1 THEN shares ELSE 0.0 END, enter OR held1,
+CASE WHEN enter THEN close * (1 + {slip}) ELSE ep END, CASE WHEN enter THEN date ELSE ed END, CASE WHEN enter THEN close ELSE top END,
 CASE WHEN enter THEN CASE anchor WHEN 'ENTRY_LOW' THEN low * (1 - off) WHEN 'ENTRY_HIGH' THEN high * (1 - off) WHEN 'ENTRY_OPEN' THEN open * (1 - off) WHEN 'ENTRY_CLOSE' THEN close * (1 - off) END ELSE anc END, why, ep, ed, shares FROM (
-SELECT *, held AND why IS NULL AS held1, NOT (held AND why IS NULL) AND buy AS enter, CASE WHEN why IS NULL THEN cash ELSE cash + shares * close END AS cash1 FROM (
+SELECT *, held AND why IS NULL AS held1, NOT (held AND why IS NULL) AND buy AS enter, CASE WHEN why IS NULL THEN cash ELSE cash + shares * (close * (1 - {slip})) - {fee} END AS cash1 FROM (
 SELECT r.run_id, r.sl, r.tp, r.ts, r.md, r.anchor, r.off, bar.*, r.cash, r.shares, r.held, r.ep, r.ed, r.anc, greatest(r.peak, bar.close) AS top,
 CASE WHEN NOT r.held THEN NULL WHEN bar.close <= r.ep * (1 - r.sl) THEN 'stop_loss' WHEN bar.close <= r.anc THEN 'stop_loss_anchor' WHEN bar.close >= r.ep * (1 + r.tp) THEN 'take_profit'
 WHEN bar.close <= greatest(r.peak, bar.close) * (1 - r.ts) THEN 'trailing_stop' WHEN bar.date - r.ed >= r.md THEN 'time_based' WHEN bar.leave THEN 'signal' END AS why FROM led r JOIN bar ON bar.symbol = r.symbol AND bar.rn = r.rn + 1))),
-shut AS (SELECT run_id, symbol, x_ed AS entry_date, x_ep AS entry_price, date AS exit_date, close AS exit_price, x_shares AS shares, reason FROM led WHERE reason IS NOT NULL
-UNION ALL SELECT run_id, symbol, ed, ep, date, close, shares, 'end_of_data' FROM led WHERE held AND rn = n),
+shut AS (SELECT run_id, symbol, x_ed AS entry_date, x_ep AS entry_price, date AS exit_date, close * (1 - {slip}) AS exit_price, x_shares AS shares, reason FROM led WHERE reason IS NOT NULL
+UNION ALL SELECT run_id, symbol, ed, ep, date, close * (1 - {slip}), shares, 'end_of_data' FROM led WHERE held AND rn = n),
 ledger AS (SELECT run_id, symbol, row_number() OVER (PARTITION BY run_id, symbol ORDER BY exit_date, entry_date) AS trade_no, entry_date, entry_price, exit_date, exit_price, shares, reason, exit_price - entry_price AS pnl,
 (exit_price - entry_price) / entry_price AS pnl_pct, exit_date - entry_date AS holding_days FROM shut),
-eq AS (SELECT run_id, symbol, date, cash + shares * close AS equity FROM led WHERE rn > 0)"""
+eq AS (SELECT run_id, symbol, date, CASE WHEN held AND rn = n THEN cash + shares * (close * (1 - {slip})) - {fee} ELSE cash + shares * close END AS equity FROM led WHERE rn > 0)"""
+
+
+_LED = _led()
 
 
 @query(f"""WITH RECURSIVE {_LED} SELECT run_id, symbol, trade_no, entry_date, round(entry_price, 4) AS entry_price, exit_date, round(exit_price,
@@ -636,12 +648,29 @@ def backtest_equity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_ledger(spark, d)[1], 4)
 
 
-@query(f"""WITH RECURSIVE {_LED}, a AS (SELECT run_id, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, avg(pnl) FILTER (pnl > 0) AS w, avg(pnl) FILTER (pnl < 0) AS l,
-coalesce(sum(pnl) FILTER (pnl > 0), 0) AS sw, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS sl, sum(pnl * shares) AS total FROM ledger GROUP BY run_id)
-SELECT run_id, trades, wins, losses, round(coalesce(w, 0), 4) AS avg_win, round(coalesce(l, 0), 4) AS avg_loss, round(total, 4) AS total_return, round(wins / trades, 4) AS win_rate,
-round(CASE WHEN sl > 0 THEN sw / sl WHEN sw > 0 THEN 'Infinity'::DOUBLE ELSE 0 END, 4) AS profit_factor FROM a""")
+_METRICS = """a AS (SELECT run_id, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, avg(pnl) FILTER (pnl > 0) AS w, avg(pnl) FILTER (pnl < 0) AS l,
+coalesce(sum(pnl) FILTER (pnl > 0), 0) AS sw, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS sl FROM ledger GROUP BY run_id),
+fin AS (SELECT run_id, sum(e - 10000) AS total FROM (SELECT run_id, symbol, arg_max(equity, date) AS e FROM eq GROUP BY ALL) GROUP BY run_id)
+SELECT run_id, coalesce(trades, 0) AS trades, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, round(coalesce(w, 0), 4) AS avg_win, round(coalesce(l, 0), 4) AS avg_loss, round(total, 4) AS total_return,
+round(coalesce(wins / trades, 0), 4) AS win_rate, round(CASE WHEN sl > 0 THEN sw / sl WHEN sw > 0 THEN 'Infinity'::DOUBLE ELSE 0 END, 4) AS profit_factor FROM fin LEFT JOIN a USING (run_id)"""
+
+
+@query(f"WITH RECURSIVE {_LED}, {_METRICS}")
 def trade_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.trade_metrics(_ledger(spark, d)[0]), 4)
+    return rounded(backtest.trade_metrics(backtest.walk(_signals(spark, d), spark.createDataFrame(GRID, backtest.PARAMETERS))), 4)
+
+
+@query(f"WITH RECURSIVE {_led(fee=50, slip=0.002)}, {_METRICS}")
+def trade_metrics_with_costs(spark: SparkSession, d: str) -> DataFrame:
+    walked = backtest.walk(_signals(spark, d), spark.createDataFrame(GRID, backtest.PARAMETERS), commission=50.0, slippage=0.002)
+    return rounded(backtest.trade_metrics(walked), 4)
+
+
+@query(f"""WITH RECURSIVE {_led(fee=50, slip=0.002)} SELECT run_id, symbol, trade_no, entry_date, round(entry_price, 4) AS entry_price, exit_date,
+round(exit_price, 4) AS exit_price, round(shares, 4) AS shares, reason, round(pnl, 4) AS pnl FROM ledger""")
+def backtest_ledger_with_costs(spark: SparkSession, d: str) -> DataFrame:
+    trades, _ = backtest.backtest(_signals(spark, d), spark.createDataFrame(GRID, backtest.PARAMETERS), commission=50.0, slippage=0.002)
+    return rounded(trades.select("run_id", "symbol", "trade_no", "entry_date", "entry_price", "exit_date", "exit_price", "shares", "reason", "pnl"), 4)
 
 
 @query(f"""WITH {sql.bars('nation')}, p AS (SELECT symbol, date, close AS equity, max(close) OVER w - close AS f, close / lag(close) OVER w - 1 AS r

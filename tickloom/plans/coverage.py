@@ -384,8 +384,10 @@ def signal_metadata(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("price_vs_vwap", "channel_width")}))
 
 
-@query(f"""WITH {catalog._level_sql('1h')}, p AS (SELECT symbol, epoch_ms(ws) // 1000 AS start, lag(ws) OVER (PARTITION BY symbol ORDER BY ws) AS before, ws
-FROM c_1h) SELECT symbol, start FROM p WHERE before IS NULL OR ws > before + INTERVAL 90 MINUTES""")
+@query(f"""WITH RECURSIVE {catalog._level_sql('1h')}, p AS (SELECT symbol, epoch_ms(ws) // 1000 AS start, row_number() OVER (PARTITION BY symbol ORDER BY ws) AS rn FROM c_1h),
+w AS (SELECT symbol, rn, start, start AS last, true AS shown FROM p WHERE rn = 1 UNION ALL SELECT p.symbol, p.rn, p.start,
+CASE WHEN p.start > w.last + 5400 THEN p.start ELSE w.last END, p.start > w.last + 5400 FROM w JOIN p ON p.symbol = w.symbol AND p.rn = w.rn + 1)
+SELECT symbol, start FROM w WHERE shown""")
 def alerts_deduped(spark: SparkSession, d: str) -> DataFrame:
     q = candles.cascade(t.stream_events(spark, d), "1h")
     return candles.dedupe_alerts(q, "90 minutes", keys=("symbol",)).select("symbol", F.unix_timestamp("window_start").alias("start"))
