@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .joins import bars_in_trade
+
 TRADE = "run_id string, symbol string, trade_no long, entry_date date, entry_price double, exit_date date, exit_price double, shares double, reason string, pnl double, pnl_pct double, holding_days long"
 EQUITY = "run_id string, symbol string, date date, equity double"
 PARAMETERS = "run_id string, stop_loss double, take_profit double, trailing_stop double, max_days long, anchor string, anchor_offset double"
@@ -231,8 +233,7 @@ def drawdown_sharpe(equity: DataFrame, periods: int | Column = 252, capital: flo
 
 def position_history(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Each trade on each day that it was open."""
-    b = bars.select(F.col("symbol").alias("_s"), "date", "close")
-    days = trades.join(b, (F.col("symbol") == F.col("_s")) & (F.col("date") > F.col("entry_date")) & (F.col("date") <= F.col("exit_date"))).drop("_s")
+    days = bars_in_trade(trades, bars.select("symbol", "date", "close"))
     gain = F.col("close") - F.col("entry_price")
     return days.withColumns({"unrealised": gain * F.col("shares"), "unrealised_pct": F.try_divide(gain, "entry_price"), "value": F.col("shares") * F.col("close"), "days_held": F.datediff("date", "entry_date")})
 

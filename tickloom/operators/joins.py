@@ -49,10 +49,23 @@ def nth_bar_after(picks: DataFrame, bars: DataFrame, ns: Iterable[int], date: st
     return out.drop("next", "firsts", *({"date"} - {date}))
 
 
-def bars_in_trade(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """The bars after a trade's entry up to its exit; the equi key is the symbol."""
-    b = bars.withColumnRenamed("symbol", "_symbol")
-    return trades.join(b, (F.col("symbol") == F.col("_symbol")) & (F.col("date") > F.col("entry_date")) & (F.col("date") <= F.col("exit_date"))).drop("_symbol")
+#: Days in a bucket of the interval join.
+BUCKET_DAYS = 32
+
+
+def bars_in_trade(trades: DataFrame, bars: DataFrame, days: int = BUCKET_DAYS) -> DataFrame:
+    """The bars after a trade's entry up to its exit.
+
+    An interval join over buckets of time: a trade is listed in each bucket that it touches, and a bar lies in one, so
+    both meet by symbol and bucket. A trade meets its own bars and at most those of two buckets' edges, however long the
+    symbol's history is, and a symbol with many bars is spread by time.
+    """
+    (bucket,) = [c for c in ("_bucket", "__bucket", "___bucket") if c not in (*trades.columns, *bars.columns)][:1]
+    of = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / days)
+    t = trades.withColumn(bucket, F.explode(F.sequence(of("entry_date"), F.greatest(of("entry_date"), of("exit_date")))))
+    b = bars.withColumnRenamed("symbol", "_symbol").withColumn("_at", of("date"))
+    met = t.join(b, (F.col("symbol") == F.col("_symbol")) & (F.col(bucket) == F.col("_at")) & (F.col("date") > F.col("entry_date")) & (F.col("date") <= F.col("exit_date")))
+    return met.drop("_symbol", "_at", bucket)
 
 
 def full_counts(left: DataFrame, right: DataFrame, keys: list[str], fill: int = 0) -> DataFrame:

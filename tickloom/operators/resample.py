@@ -68,3 +68,32 @@ def resume_from(checkpoints: DataFrame, bars: DataFrame, interval: str, force_fu
         return bars
     last = checkpoints.where((F.col("interval") == interval) & (F.col("status") == "completed")).agg(F.max("last_processed_date").alias("last"))
     return bars.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.col("date") > F.col("last"))).drop("last")
+
+
+#: What a series' resampling carries from run to run: the last date read, the bars counted, and the bucket that isn't full.
+STATE = "symbol string, interval string, last_date date, bars long, start date, open double, high double, low double, close double, volume double"
+
+
+def resample_step(state: DataFrame, bars: DataFrame, n: int, interval: str) -> tuple[DataFrame, DataFrame]:
+    """Full buckets of n bars from those past each symbol's last date, and the state after them.
+
+    Bars are counted on from the state, and the bucket that was open is put in front as if it were a bar. So a run
+    costs its new bars, and runs one after the other give what one run over all bars gives.
+    """
+    old = state.where(F.col("interval") == interval)
+    known = old.select(F.col("symbol").alias("_s"), "last_date", F.col("bars").alias("before"))
+    new = bars.join(known, bars["symbol"].eqNullSafe(F.col("_s")), "left").where(F.col("last_date").isNull() | (F.col("date") > F.col("last_date")))
+    at = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
+    prices = ["open", "high", "low", "close", "volume"]
+    rows = new.select("symbol", "date", *prices, at.alias("at"), F.col("date").alias("seen"))
+    opened = old.where("start IS NOT NULL").select("symbol", F.col("start").alias("date"), *prices, F.col("bars").alias("at"), F.col("last_date").alias("seen"))
+    idle = old.where("start IS NULL").select("symbol", F.lit(None).cast("date").alias("date"), *[F.lit(None).cast("double").alias(p) for p in prices], F.col("bars").alias("at"), F.col("last_date").alias("seen"))
+    full = rows.unionByName(opened).withColumn("bucket", F.floor((F.col("at") - 1) / n))
+    buckets = full.groupBy("symbol", "bucket").agg(F.min("date").alias("date"), *ohlcv_agg("at"), F.max("at").alias("last"), F.max("seen").alias("seen"))
+    closed = buckets.where(F.col("last") == (F.col("bucket") + 1) * n)
+    last = buckets.select("symbol", "last", "seen", F.when(F.col("last") != (F.col("bucket") + 1) * n, F.struct("date", *prices)).alias("left"))
+    last = last.unionByName(idle.select("symbol", F.col("at").alias("last"), "seen", F.lit(None).cast(last.schema["left"].dataType).alias("left")))
+    # The series' last place tells its last bucket; of an idle state and new bars the new bars have it.
+    ends = last.groupBy("symbol").agg(F.max("seen").alias("last_date"), F.max("last").alias("bars"), F.max_by("left", "last").alias("left"))
+    after = ends.select("symbol", F.lit(interval).alias("interval"), "last_date", "bars", F.col("left.date").alias("start"), *[F.col(f"left.{p}").alias(p) for p in prices])
+    return closed.select("symbol", "date", *prices), after

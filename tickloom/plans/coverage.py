@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, backtest, bookkeeping, conditions, indicators, joins, resample, serving, strategies
+from ..operators import backtest, bookkeeping, conditions, indicators, joins, resample, serving, strategies
+from ..schemas import CANDLE_EVENT
 from ..sources import driver_tables as t
-from ..sources import readers, sinks
+from ..sources import readers, resampled, sinks, versions
 from ..streaming import candles
 from . import catalog, sql
 from .registry import _r, query, rounded
@@ -400,3 +401,97 @@ def sma_of_volume(spark: SparkSession, d: str) -> DataFrame:
     """An average of another price has a name of its own."""
     out = indicators.sma(indicators.sma(t.bars(spark, d, "nation"), 5), 5, price="volume")
     return rounded(out.where("sma_5_volume IS NOT NULL").select("symbol", "date", "close", F.col("sma_5_volume").alias("v")), 4)
+
+
+# tables on disk and streams that are read to their end
+
+
+@query(f"WITH {sql.bars('nation')} SELECT {OHLCV} FROM bars")
+def published_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot over an older one; the reader follows the manifest."""
+    root, b = versions.scratch(spark, "snapshot"), t.bars(spark, d, "nation")
+    sinks.publish_snapshot(b.where("date < '1995-01-01'"), root, "1995-01-01")
+    sinks.publish_snapshot(b, root, "1999-01-01")
+    return sinks.read_snapshot(spark, root).select(*OHLCV.split(", "))
+
+
+@query(f"WITH {sql.bars('nation')} SELECT {OHLCV} FROM bars")
+def compacted_table(spark: SparkSession, d: str) -> DataFrame:
+    """Compaction on disk, half of the days first; symbols of the second half alone are written again."""
+    path, b = versions.scratch(spark, "consolidated"), t.bars(spark, d, "nation")
+    for part in (b.where("date < '1995-01-01'"), b):
+        sinks.compact_table(part, path, part.groupBy("symbol").agg(F.max("date").alias("latest_date")).withColumn("is_current", F.lit(True)))
+    return spark.read.parquet(path).select(*OHLCV.split(", "))
+
+
+@query(f"""WITH {sql.bars()}, r AS ({" UNION ALL ".join(f"SELECT '{n}d' AS interval, * FROM ({sql.resampled(n)})" for n in (3, 5))})
+SELECT interval, {OHLCV}, year(date)::INT AS year, month(date)::INT AS month FROM r""")
+def resampled_files(spark: SparkSession, d: str) -> DataFrame:
+    path = versions.scratch(spark, "resampled")
+    out = resample.resample_all(t.bars(spark, d), (3, 5)).withColumn("interval", F.concat(F.col("n").cast("string"), F.lit("d"))).drop("n")
+    sinks.write_resampled(out, path)
+    return sinks.read_resampled(spark, path).select("interval", *OHLCV.split(", "), "year", "month")
+
+
+def _row_buckets(n: int) -> str:
+    return f"""SELECT '{n}d' AS interval, symbol, min(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume, count(*) AS bars
+FROM (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1) // {n} AS k FROM bars) GROUP BY symbol, k"""
+
+
+_RUNS = f"WITH {sql.bars('nation')}, r AS ({_row_buckets(3)} UNION ALL {_row_buckets(5)})"
+
+
+def _two_runs(spark: SparkSession, d: str) -> str:
+    root, b = versions.scratch(spark, "resampling"), t.bars(spark, d, "nation")
+    for part in (b.where("date < '1996-07-01'"), b):
+        resampled.run(part, root, (3, 5))
+    return root
+
+
+@query(f"{_RUNS} SELECT interval, {OHLCV} FROM r")
+def resumed_resampling(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs, the second from where the first stopped, give what one run gives."""
+    return resampled.read_buckets(spark, _two_runs(spark, d))
+
+
+@query(f"{_RUNS} SELECT interval, (SELECT max(date) FROM bars) AS last_processed_date, count(*) FILTER (bars = CASE interval WHEN '3d' THEN 3 ELSE 5 END) AS record_count, 'completed' AS status FROM r GROUP BY interval")
+def resampling_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    return resampled.read_checkpoint(spark, _two_runs(spark, d))
+
+
+def _finished(writer) -> None:
+    writer.start().awaitTermination()
+
+
+@query(f"WITH {catalog._level_sql('15m')} SELECT symbol, epoch_ms(ws) // 1000 AS start, epoch_ms(ws) // 1000 + 30 * 86400 AS expire_at, c AS close_price FROM c_15m")
+def routed_candles(spark: SparkSession, d: str) -> DataFrame:
+    """Candles through the router: every one has a table and an expiry."""
+    root = versions.scratch(spark, "routed")
+    candles.cascade(t.stream_events(spark, d), "15m").write.parquet(f"{root}/in")
+    source = spark.read.parquet(f"{root}/in").schema
+    _finished(candles.route_candles(spark.readStream.schema(source).parquet(f"{root}/in"), root, f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/candles").select("symbol", F.unix_timestamp("window_start").alias("start"), "expire_at", "close_price")
+
+
+@query(f"WITH {catalog._level_sql('15m')} SELECT symbol, epoch_ms(max(ws)) // 1000 AS start, arg_max(c, ws) AS close_price, arg_max(n, ws) AS trade_count FROM c_15m GROUP BY symbol")
+def upserted_candles(spark: SparkSession, d: str) -> DataFrame:
+    """A streamed upsert keeps the last candle of each symbol."""
+    root = versions.scratch(spark, "upserted")
+    candles.cascade(t.stream_events(spark, d), "15m").write.parquet(f"{root}/in")
+    source = spark.read.parquet(f"{root}/in").schema
+    _finished(candles.stream_upsert(spark.readStream.schema(source).parquet(f"{root}/in"), f"{root}/table", ["symbol"], f"{root}/checkpoint", "window_start"))
+    return spark.read.parquet(f"{root}/table").select("symbol", F.unix_timestamp("window_start").alias("start"), "close_price", "trade_count")
+
+
+@query(f"WITH {catalog._level_sql('1m')} SELECT symbol, epoch_ms(ws) // 1000 AS start, o AS open_price, h AS high_price, l AS low_price, c AS close_price, v AS volume, n AS trade_count FROM c_1m")
+def candles_of_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON messages, with some that aren't JSON among them, through the stream source."""
+    root = versions.scratch(spark, "messages")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    events = t.stream_events(spark, d)
+    lines = events.select(F.to_json(F.struct(*events.columns), exact).alias("value"))
+    lines.unionByName(lines.select(F.concat(F.lit("{broken "), "value").alias("value")).where(F.xxhash64("value") % 50 == 0)).write.text(f"{root}/in")
+    stream = readers.read_candle_stream(spark, f"{root}/in", "text", f"{CANDLE_EVENT}, event_id long")
+    _finished(stream.writeStream.format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True))
+    out = candles.candles_1m(spark.read.schema(stream.schema).parquet(f"{root}/events"))
+    return out.select("symbol", F.unix_timestamp("window_start").alias("start"), *candles.PRICE, "volume", "trade_count")

@@ -78,11 +78,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     return reader.load()
 
 
+def candle_messages(raw: DataFrame, schema: str = CANDLE_EVENT) -> DataFrame:
+    """Candle events from messages: JSON in ``value``, bytes or text. A message that isn't JSON of an object gives a row of nulls, which ``valid_bars`` drops."""
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).select("e.*")
+
+
 def read_candle_stream(spark: SparkSession, source: str, fmt: str = "parquet", schema: str = CANDLE_EVENT, **options: str) -> DataFrame:
-    """A stream of candle events from files, or from the JSON values of a Kafka topic."""
+    """A stream of candle events: from files, or from JSON messages of a Kafka topic (``kafka``) or of text files, one a line (``text``)."""
     if fmt == "kafka":
-        raw = spark.readStream.format("kafka").option("subscribe", source).options(**options).load()
-        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).select("e.*")
+        return candle_messages(spark.readStream.format("kafka").option("subscribe", source).options(**options).load(), schema)
+    if fmt == "text":
+        return candle_messages(spark.readStream.format("text").options(**options).load(source), schema)
     return spark.readStream.format(fmt).schema(struct(schema)).options(**options).load(source)
 
 

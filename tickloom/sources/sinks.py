@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import top_n
+from . import versions
 
 
 def _date(d: str | Column) -> Column:
@@ -31,10 +31,7 @@ def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: list[
     """
     spark = new.sparkSession
     new = top_n(new, keys, [F.desc(order) if order else F.lit(1)], 1)
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:  # there is no table yet
-        old = new.limit(0)
+    old = spark.read.parquet(path) if versions.exists(spark, path) else new.limit(0)
     touched = old.join(new.select(*partition_by).distinct(), partition_by, "left_semi")
     out = upsert(touched, new, keys, order).select(*new.columns)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
@@ -108,21 +105,66 @@ def retain_years(df: DataFrame, years: int, today: str | Column) -> DataFrame:
 
 
 def publish_snapshot(df: DataFrame, root: str, date: str) -> None:
-    """K8: the same rows as history of the date and as the latest; sorted so that files can be skipped."""
-    df = df.repartitionByRange("symbol").sortWithinPartitions("symbol", "date")
-    df.write.mode("overwrite").parquet(f"{root}/history/{date}")
-    df.sparkSession.read.parquet(f"{root}/history/{date}").write.mode("overwrite").parquet(f"{root}/latest")
+    """K8: the rows as history of the date and as the latest; sorted so that files can be skipped.
+
+    The rows are written once, to a folder of their own; then the manifest names that folder for the date and as the
+    latest. A reader during the publication gets the old snapshot or the new one. Of several publishers the last wins.
+    """
+    spark = df.sparkSession
+    folder = versions.write_version(df.repartitionByRange("symbol").sortWithinPartitions("symbol", "date"), root, date)
+    known = versions.read_manifest(spark, root)
+    versions.swap_manifest(spark, root, {"latest": folder, "history": known.get("history", {}) | {date: folder}})
+
+
+def read_snapshot(spark: SparkSession, root: str, date: str | None = None) -> DataFrame:
+    """The latest snapshot, or that of a date."""
+    known = versions.read_manifest(spark, root)
+    folder = known.get("history", {}).get(date) if date else known.get("latest")
+    if folder is None:
+        raise ValueError(f"no snapshot {date or 'yet'} in {root}")
+    return spark.read.parquet(f"{root}/{folder}")
+
+
+def compaction_plan(watermark: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(symbol, mode, consolidated_to): a symbol without a consolidated date is built in full, one whose watermark is newer by
+    its newer days, and the others are skipped."""
+    plan = watermark.where("is_current").groupBy("symbol").agg(F.max("latest_date").alias("latest")).join(manifest, "symbol", "left")
+    mode = F.when(F.col("consolidated_to").isNull(), "full").when(F.col("latest") > F.col("consolidated_to"), "incremental").otherwise("skip")
+    return plan.select("symbol", mode.alias("mode"), "consolidated_to")
+
+
+def _to_add(bronze: DataFrame, plan: DataFrame) -> DataFrame:
+    todo = bronze.join(plan.where("mode <> 'skip'"), "symbol").where("mode = 'full' OR date > consolidated_to")
+    return todo.drop("mode", "consolidated_to")
 
 
 def compact(bronze: DataFrame, consolidated: DataFrame, watermark: DataFrame, manifest: DataFrame) -> DataFrame:
-    """K9: for each symbol its consolidated rows and the newer daily rows, each row once.
+    """K9: for each symbol its consolidated rows and the newer daily rows, each row once. Only symbols that get rows are looked through for copies.
 
-    ``manifest`` has (symbol, consolidated_to): a symbol without one is built in full; one whose watermark isn't newer is left.
+    ``manifest`` has (symbol, consolidated_to).
     """
-    plan = watermark.where("is_current").groupBy("symbol").agg(F.max("latest_date").alias("latest")).join(manifest, "symbol", "left")
-    plan = plan.withColumn("mode", F.when(F.col("consolidated_to").isNull(), "full").when(F.col("latest") > F.col("consolidated_to"), "incremental").otherwise("skip"))
-    todo = bronze.join(plan.select("symbol", "mode", "consolidated_to"), "symbol").where("mode = 'full' OR (mode = 'incremental' AND date > consolidated_to)")
-    return consolidated.unionByName(todo.drop("mode", "consolidated_to")).dropDuplicates()
+    plan = compaction_plan(watermark, manifest)
+    todo = _to_add(bronze, plan)
+    open_ = plan.where("mode <> 'skip'").select("symbol")
+    touched = consolidated.join(open_, "symbol", "left_semi").unionByName(todo).dropDuplicates()
+    return consolidated.join(open_, "symbol", "left_anti").unionByName(touched)
+
+
+def compact_table(bronze: DataFrame, path: str, watermark: DataFrame) -> None:
+    """K9 on disk: ``path`` has a folder for each symbol; only the folders of symbols that get rows are read and written again.
+
+    What is consolidated is read from the table itself, dates and symbols alone. Files of other symbols stay as they are.
+    """
+    spark = bronze.sparkSession
+    if versions.exists(spark, path):
+        old = spark.read.parquet(path)
+        manifest = old.groupBy("symbol").agg(F.max("date").alias("consolidated_to"))
+    else:
+        old, manifest = bronze.limit(0), bronze.limit(0).select("symbol", F.col("date").alias("consolidated_to"))
+    todo = _to_add(bronze, compaction_plan(watermark, manifest))
+    touched = old.join(todo.select("symbol").distinct(), "symbol", "left_semi")
+    out = touched.select(*bronze.columns).unionByName(todo.select(*bronze.columns)).dropDuplicates()
+    out.repartition("symbol").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
 
 
 def vacuum_plan(files: DataFrame, consolidated: DataFrame, days: int, today: str | Column) -> DataFrame:
@@ -161,6 +203,11 @@ def write_resampled(df: DataFrame, path: str) -> None:
     df.withColumns({"year": F.year("date"), "month": F.month("date")}).repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
+def read_resampled(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_resampled`` wrote. The schema is given, as an interval such as 3d in a folder's name would be read as a number."""
+    return spark.read.schema("symbol string, interval string, date date, open double, high double, low double, close double, volume double, year int, month int").parquet(path)
+
+
 def clear_staging(df: DataFrame, date: str | Column) -> DataFrame:
     """K14"""
     return df.where(F.col("scan_date") != _date(date))
