@@ -410,7 +410,7 @@ def sma_of_volume(spark: SparkSession, d: str) -> DataFrame:
 def published_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot over an older one; the reader follows the manifest."""
     root, b = versions.scratch(spark, "snapshot"), t.bars(spark, d, "nation")
-    sinks.publish_snapshot(b.where("date < '1995-01-01'"), root, "1995-01-01")
+    sinks.publish_snapshot(b.where("date < '1997-01-01'"), root, "1997-01-01")
     sinks.publish_snapshot(b, root, "1999-01-01")
     return sinks.read_snapshot(spark, root).select(*OHLCV.split(", "))
 
@@ -419,7 +419,7 @@ def published_snapshot(spark: SparkSession, d: str) -> DataFrame:
 def compacted_table(spark: SparkSession, d: str) -> DataFrame:
     """Compaction on disk, half of the days first; symbols of the second half alone are written again."""
     path, b = versions.scratch(spark, "consolidated"), t.bars(spark, d, "nation")
-    for part in (b.where("date < '1995-01-01'"), b):
+    for part in (b.where("date < '1997-01-01'"), b):
         sinks.compact_table(part, path, part.groupBy("symbol").agg(F.max("date").alias("latest_date")).withColumn("is_current", F.lit(True)))
     return spark.read.parquet(path).select(*OHLCV.split(", "))
 
@@ -443,7 +443,7 @@ _RUNS = f"WITH {sql.bars('nation')}, r AS ({_row_buckets(3)} UNION ALL {_row_buc
 
 def _two_runs(spark: SparkSession, d: str) -> str:
     root, b = versions.scratch(spark, "resampling"), t.bars(spark, d, "nation")
-    for part in (b.where("date < '1996-07-01'"), b):
+    for part in (b.where("date < '1997-07-01'"), b):
         resampled.run(part, root, (3, 5))
     return root
 

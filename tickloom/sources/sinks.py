@@ -31,7 +31,7 @@ def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: list[
     """
     spark = new.sparkSession
     new = top_n(new, keys, [F.desc(order) if order else F.lit(1)], 1)
-    old = spark.read.parquet(path) if versions.exists(spark, path) else new.limit(0)
+    old = spark.read.schema(new.schema).parquet(path) if versions.exists(spark, path) else new.limit(0)
     touched = old.join(new.select(*partition_by).distinct(), partition_by, "left_semi")
     out = upsert(touched, new, keys, order).select(*new.columns)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
@@ -157,7 +157,7 @@ def compact_table(bronze: DataFrame, path: str, watermark: DataFrame) -> None:
     """
     spark = bronze.sparkSession
     if versions.exists(spark, path):
-        old = spark.read.parquet(path)
+        old = spark.read.schema(bronze.schema).parquet(path)
         manifest = old.groupBy("symbol").agg(F.max("date").alias("consolidated_to"))
     else:
         old, manifest = bronze.limit(0), bronze.limit(0).select("symbol", F.col("date").alias("consolidated_to"))
