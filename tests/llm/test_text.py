@@ -216,25 +216,73 @@ def test_bpe_random_words():
 # 4
 
 
-def brute_license(text):
-    """By the definition: every window of every template."""
-    words_ = licenses.words_in(text or "")
-    grams = licenses.bigrams(words_)
+def brute_license(text, templates=licenses.TEMPLATES):
+    """By the definition: every passage that begins with a bigram of the template, until it holds too many others."""
+    grams = licenses.bigrams(licenses.words_in(text or ""))
     found = {}
-    for name, body in licenses.TEMPLATES.items():
-        own = licenses.bigrams(licenses.words_in(body))
+    for name, body in templates.items():
+        own = set(licenses.bigrams(licenses.words_in(body)))
         for i, g in enumerate(grams):
-            if g in set(own):
-                inside = set(grams[i : i + len(own)])
-                dice = 2 * len(inside & set(own)) / (len(inside) + len(set(own)))
-                if dice >= licenses.MATCH and dice > found.get(name, (0, 0))[0]:
-                    found[name] = (dice, i)
+            if g in own:
+                inside = set()
+                for g2 in grams[i:]:
+                    inside.add(g2)
+                    if len(inside) * licenses.MATCH > len(own) * (2 - licenses.MATCH):
+                        break
+                    dice = 2 * len(inside & own) / (len(inside) + len(own))
+                    if dice >= licenses.MATCH and dice > found.get(name, (0, 0))[0]:
+                        found[name] = (dice, i)
     if not found:
         return None, 0.0, None, 0
     name = min(found, key=lambda n: (-found[n][0], n))
     return name, round(found[name][0], 6), found[name][1], len(found)
 
 
+def test_licenses_over_all_passages_of_random_texts(spark):
+    """Few different words, so that all repeats; here each pair of places is a passage, without any bound."""
+    rng = random.Random(9)
+    templates = {"a": "x y z w v", "b": "p q p r s t u", "c": "x x y y z", "d": "one"}
+    texts = [" ".join(rng.choice("x y z w v p q r s t u o".split()[: rng.choice((3, 6, 12))]) for _ in range(rng.randrange(40))) for _ in range(400)]
+
+    def all_passages(text):
+        grams, found = licenses.bigrams(text.split()), {}
+        for name, body in templates.items():
+            own = set(licenses.bigrams(body.split()))
+            for i in range(len(grams)):
+                for j in range(i + 1, len(grams) + 1):
+                    inside = set(grams[i:j])
+                    dice = 2 * len(inside & own) / (len(inside) + len(own))
+                    if dice >= licenses.MATCH and dice > found.get(name, (0, 0))[0]:
+                        found[name] = (dice, i)
+        return found
+
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()}
+    some = 0
+    for k, text in enumerate(texts):
+        found = all_passages(text)
+        some += bool(found)
+        name = min(found, key=lambda n: (-found[n][0], n)) if found else None
+        assert (out[k].license, out[k].n_licenses) == (name, len(found)), text
+        if name:
+            assert out[k].dice == round(found[name][0], 6) and grams_from(text, out[k].first_word, templates[name], found[name][0])
+    assert some > 40
+
+
+def grams_from(text, first, body, dice):
+    """Whether a passage from this word on has the coefficient."""
+    grams, own = licenses.bigrams(text.split()), set(licenses.bigrams(body.split()))
+    return any(2 * len(set(grams[first:j]) & own) / (len(set(grams[first:j])) + len(own)) == dice for j in range(first + 1, len(grams) + 1))
+
+
+def test_licenses_with_words_put_in_and_very_long(spark):
+    body = licenses.TEMPLATES["mit-body"]
+    texts = ["Licensed under the CC BY-NC 4.0 and more words follow here", "Licensed under the Apache License, as of Version 2.0. and more", f"{body} " * 3, "the of and " * 20_000 + "released under the mit license " * 3]
+    out = sorted(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    for r, text in zip(out, texts, strict=True):
+        assert (r.license, r.dice, r.first_word, r.n_licenses) == brute_license(text)
+    assert [r.license for r in out] == ["cc-by-nc-4.0", "apache-2.0", "mit-body", "mit"]
+
+
 def test_licenses(docs, rows, empty):
     out = licenses.scan(docs).collect()
     assert len(out) == len(rows)

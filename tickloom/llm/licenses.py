@@ -1,17 +1,22 @@
 """Licence scan: Dice coefficient over word bigrams between normalised text and licence templates.
 
-A passage is a window of a text: as many words as a template has, from any word on that begins one of its bigrams (fewer
-at the end of the text). So a notice is found on a line of its own, inside a line, wrapped over lines, or as the body of
-a whole licence. Its coefficient with the template is 2 c / (a + b), for a and b distinct bigrams and c common ones.
-
-Size bounds prune templates before any window is built: a coefficient of t needs t / (2 - t) <= a / b <= (2 - t) / t,
-and therefore c >= b t / (2 - t), so a text that holds fewer of the template's distinct bigrams has no such window.
+A passage is any run of words of a text. Its coefficient with a template is 2 c / (a + b), for a and b distinct bigrams
+and c common ones, and a text's coefficient is that of its best passage. So a notice is found on a line of its own,
+inside a line, wrapped over lines, with words put in or left out, or as the body of a whole licence.
+
+All passages count, few are looked at. A coefficient of t needs b t / (2 - t) <= a <= b (2 - t) / t and therefore
+c >= b t / (2 - t), so a text that holds fewer of the template's distinct bigrams has no such passage, whatever its
+length. A best passage begins and ends with a bigram of the template that it holds just once, as it could be shortened
+otherwise. So from each such bigram on, up to its next occurrence, a passage grows only by bigrams that are new to it:
+a is how many there were, c how many of the template's, both running counts along one filtered array. It stops where the
+text's own first occurrences alone are more than b (2 - t) / t. Summed up over the starts this is at most the template's
+bigrams times the text's words.
 
 Only DataFrame functions are used, without a shuffle: templates are a literal of the plan (their number is that
 of the list given), and the best passage of a document is found inside its row.
 
 Defined results: null and empty texts match nothing; of equal coefficients the template with the smaller name wins, and
-inside one template the earliest window; very long texts are read whole; repeated rows are scanned each; an empty table
+inside one template the earliest passage; very long texts are read whole; repeated rows are scanned each; an empty table
 gives an empty one; columns besides id and text are not read, whatever their names.
 """
 
@@ -81,6 +86,37 @@ def bigrams(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def marked(words: Column) -> Column:
+    """Bigrams of a text by place: (i, prev, next, g), with the places of the same bigram before (-1: none) and after (null: none)."""
+    grams = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    in_order = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    nothing = F.array(F.lit(None).cast("struct<g:string,i:int>"))
+    n = F.size(words) - 1
+
+    def neighbours(s: Column) -> Column:
+        before, after = F.concat(nothing, F.slice(s, 1, n - 1)), F.concat(F.slice(s, 2, n - 1), nothing)
+        with_before = F.zip_with(s, before, lambda x, y: F.struct(x.i.alias("i"), F.when(y.g == x.g, y.i).otherwise(-1).alias("prev"), x.g.alias("g")))
+        return F.zip_with(with_before, after, lambda x, y: F.struct(x.i.alias("i"), x.prev.alias("prev"), F.when(y.g == x.g, y.i).alias("next"), x.g.alias("g")))
+
+    # A lambda around the sorted array, so that it is sorted once.
+    return F.when(n > 0, F.array_sort(F.transform(F.array(in_order), neighbours)[0]))
+
+
+def best_passage(marks: Column, firsts: Column, grams: list[str], most: int) -> Column:
+    """(dice, before): the greatest coefficient of a template over all passages, and minus the place where the first such one begins."""
+    own, size = sorted(set(grams)), len(set(grams))
+
+    def from_start(p: Column) -> Column:
+        # Where p's bigram is the first of its kind, so many first occurrences further no passage is short enough.
+        rank = F.array_position(firsts, p.i)
+        end = F.least(F.coalesce(p.next, F.size(marks)), F.when(rank > 0, F.get(firsts, (rank + most - 1).cast("int"))), F.size(marks))
+        new = F.filter(F.slice(marks, p.i + 1, end - p.i), lambda x: x.prev < p.i)
+        counted = F.filter(F.transform(new, lambda x, k: F.struct(x.g.isin(own).alias("own"), (k + 1).alias("a"))), lambda x: x.own)
+        return F.struct(F.array_max(F.transform(counted, lambda x, c: 2.0 * (c + 1) / (x.a + size))).alias("dice"), (-p.i).alias("before"))
+
+    return F.array_max(F.transform(F.filter(marks, lambda x: x.g.isin(own)), from_start))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, match: float = MATCH) -> DataFrame:
     """One row per document: the best licence (null if none reaches ``match``), its coefficient, the first word of its passage, and how many licences match."""
     known = {name: bigrams(words_in(body)) for name, body in sorted((templates or TEMPLATES).items())}
@@ -89,34 +125,30 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     first_words = sorted({g.split(" ")[0] for g in all_grams})
     least = match / (2 - match)
     out = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    # Places of the templates' bigrams: first those of their first words, so that few bigrams are put together.
+    # Bigrams of templates that the text holds: first places of their first words, so that few bigrams are put together.
     at = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s.w.isin(first_words))
-    out = out.select("doc_id", "words", at.alias("at"))
-    pairs = F.transform("at", lambda s: F.struct(s.i.alias("i"), F.concat_ws(" ", s.w, F.get("words", s.i + 1)).alias("g")))
-    out = out.select("doc_id", "words", F.filter(pairs, lambda p: p.g.isin(all_grams)).alias("places"))
+    pairs = F.transform(at, lambda s: F.concat_ws(" ", s.w, F.get("words", s.i + 1)))
+    out = out.select("doc_id", "words", F.array_distinct(F.filter(pairs, lambda g: g.isin(all_grams))).alias("held"))
 
-    def window(own: Column, grams: list[str]) -> Column:
-        """The greatest coefficient of the windows from the places ``own`` on, and where the first such window begins."""
-        reach, size = len(grams), len(set(grams))
+    def enough(grams: list[str]) -> Column:
+        own = sorted(set(grams))
+        return F.size(F.filter("held", lambda g: g.isin(own))) >= least * len(own)
 
-        def passage(s: Column, k: Column) -> Column:
-            common = F.size(F.array_distinct(F.transform(F.filter(F.slice(own, k + 1, F.lit(reach)), lambda e: e.i < s.i + reach), lambda e: e.g)))
-            n = F.least(F.lit(reach), F.size("words") - 1 - s.i)
-            inside = F.zip_with(F.slice("words", s.i + 1, n), F.slice("words", s.i + 2, n), lambda a, b: F.concat_ws(" ", a, b))
-            return F.struct((2.0 * common / (F.size(F.array_distinct(inside)) + size)).alias("dice"), (-s.i).alias("before"))
-
-        return F.array_max(F.transform(own, passage))
+    # Templates that the text may match by the bounds; without one nothing else is computed.
+    names = F.array_compact(F.array(*[F.when(enough(grams), F.lit(name)) for name, grams in known.items()])) if known else F.array().cast("array<string>")
+    fewest = min((least * len(set(g)) for g in known.values()), default=1)
+    out = out.select("doc_id", "words", F.when(F.size("held") >= fewest, names).alias("names"))
+    out = out.select("doc_id", "names", F.when(F.size("names") > 0, marked(F.col("words"))).alias("marks"))
+    firsts = F.transform(F.filter("marks", lambda x: x.prev < 0), lambda x: x.i)
+    out = out.select("doc_id", "names", "marks", F.when(F.size("names") > 0, firsts).alias("firsts"))
 
     def best(name: str, grams: list[str]) -> Column:
-        own = F.filter("places", lambda p: p.g.isin(sorted(set(grams))))
-        enough = F.size(F.array_distinct(F.transform(own, lambda p: p.g))) >= least * len(set(grams))
-        found = F.when(enough, F.transform(F.array(own), lambda q: window(q, grams))[0])
+        most = int(len(set(grams)) * (2 - match) / match)
+        found = F.when(F.array_contains("names", name), F.transform(F.array(F.col("marks")), lambda m: best_passage(m, F.col("firsts"), grams, most))[0])
         return F.struct(found.dice.alias("dice"), (-found.before).alias("first_word"), F.lit(name).alias("license"))
 
     hits = F.filter(F.array(*[best(*k) for k in known.items()]), lambda h: h.dice >= match) if known else F.array().cast("array<struct<dice:double,first_word:int,license:string>>")
-    # Without as many places as the smallest template needs there is nothing to compare.
-    fewest = min((least * len(set(g)) for g in known.values()), default=1)
-    out = out.select("doc_id", F.when(F.size("places") >= fewest, hits).alias("hits"))
+    out = out.select("doc_id", F.when(F.size("names") > 0, hits).alias("hits"))
     top = F.reduce("hits", F.element_at("hits", 1), lambda a, x: F.when(x.dice > a.dice, x).otherwise(a))
     top = F.when(F.size("hits") > 0, top)
     out = out.select("doc_id", top.alias("top"), F.greatest(F.size("hits"), F.lit(0)).cast("long").alias("n_licenses"))
@@ -124,21 +156,24 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{name}', {len(grams)}, {sorted(set(grams))!r})" for name, grams in ((n, bigrams(words_in(b))) for n, b in sorted(TEMPLATES.items())))
+    """Every passage from a bigram of the template on, to the end of the text; of texts that hold enough of its bigrams."""
+    values = ", ".join(f"('{name}', {sorted(set(grams))!r})" for name, grams in ((n, bigrams(words_in(b))) for n, b in sorted(TEMPLATES.items())))
     return f"""
-WITH t(name, reach, own) AS (VALUES {values}),
-og AS (SELECT name, reach, len(own) AS b, unnest(own) AS g FROM t),
-w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-g AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
-p AS (SELECT doc_id, i, og.g, name, reach, b FROM g JOIN og USING (g)),
--- counts of all bigrams and of the template's in each window
-n AS (SELECT p.doc_id, p.name, p.i, any_value(p.b) AS b, count(DISTINCT x.g) AS a FROM p JOIN g x ON x.doc_id = p.doc_id AND x.i >= p.i AND x.i < p.i + p.reach GROUP BY ALL),
-c AS (SELECT p.doc_id, p.name, p.i, count(DISTINCT x.g) AS c FROM p JOIN p x ON x.doc_id = p.doc_id AND x.name = p.name AND x.i >= p.i AND x.i < p.i + p.reach GROUP BY ALL),
-s AS (SELECT doc_id, name, i, 2.0::DOUBLE * c / (a + b) AS dice FROM n JOIN c USING (doc_id, name, i)),
-m AS (SELECT doc_id, name, max(dice) AS dice FROM s GROUP BY ALL HAVING max(dice) >= {MATCH}),
-f AS (SELECT doc_id, name, m.dice, min(i) AS first_word FROM m JOIN s USING (doc_id, name) WHERE s.dice = m.dice GROUP BY ALL),
-h AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_licenses FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1)
-SELECT d.doc_id, name AS license, round(coalesce(dice, 0), 6) AS dice, first_word, coalesce(n_licenses, 0)::BIGINT AS n_licenses FROM documents d LEFT JOIN h USING (doc_id)
+WITH t(name, own) AS (VALUES {values}),
+og AS (SELECT name, len(own) AS b, unnest(own) AS g FROM t),
+w AS (SELECT row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+g AS (SELECT r, i - 1 AS i, w[i] || ' ' || w[i + 1] AS g FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM w)),
+e AS (SELECT r, name, b FROM g JOIN og USING (g) GROUP BY ALL HAVING 2.0 * count(DISTINCT g) / (count(DISTINCT g) + b) >= {MATCH}),
+m AS (SELECT g.*, coalesce(lag(i) OVER (PARTITION BY r, g ORDER BY i), -1) AS prev FROM g SEMI JOIN e USING (r)),
+p AS (SELECT m.r, m.i, e.name, e.b FROM m JOIN e USING (r) JOIN og ON og.g = m.g AND og.name = e.name),
+-- bigrams that are new to the passage from p on, with running counts of all and of the template's
+x AS (SELECT p.r, p.name, p.b, p.i, count(*) OVER w AS a, count(og.g) OVER w AS c FROM p JOIN m ON m.r = p.r AND m.i >= p.i AND m.prev < p.i
+  LEFT JOIN og ON og.g = m.g AND og.name = p.name WINDOW w AS (PARTITION BY p.r, p.name, p.i ORDER BY m.i)),
+s AS (SELECT r, name, i, max(2.0::DOUBLE * c / (a + b)) AS dice FROM x GROUP BY ALL),
+f AS (SELECT r, name, max(dice) AS dice, arg_min(i, (-dice, i)) AS first_word FROM s GROUP BY ALL HAVING max(dice) >= {MATCH}),
+h AS (SELECT *, count(*) OVER (PARTITION BY r) AS n_licenses FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, name) = 1)
+SELECT d.doc_id, name AS license, round(coalesce(dice, 0), 6) AS dice, first_word, coalesce(n_licenses, 0)::BIGINT AS n_licenses
+FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) d LEFT JOIN h USING (r)
 """
 
 
