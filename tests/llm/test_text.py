@@ -222,6 +222,8 @@ def brute_license(text, templates=licenses.TEMPLATES):
     found = {}
     for name, body in templates.items():
         own = set(licenses.bigrams(licenses.words_in(body)))
+        if 2 * len(own & set(grams)) < licenses.MATCH * (len(own & set(grams)) + len(own)):
+            continue  # not even a passage of these alone would do
         for i, g in enumerate(grams):
             if g in own:
                 inside = set()
