@@ -535,3 +535,32 @@ def test_holidays_have_no_session(spark):
     holidays = spark.createDataFrame([(dt.date(2026, 1, 5),)], "date date")
     out = bookkeeping.with_session(spark.createDataFrame(rows, "t string").select(F.col("t").cast("timestamp").alias("t")), "t", holidays).collect()
     assert sorted((str(r.t), r.in_session) for r in out) == [("2026-01-05 15:00:00", False), ("2026-01-06 15:00:00", True), ("None", False)]
+
+
+@pytest.mark.parametrize("days", [1, 3, 17, 1000])
+def test_averages_in_spans_are_the_averages(spark, days):
+    """Whatever the spans, with gaps in the prices: at the start, over whole spans, and where spans meet."""
+    import random
+
+    rng = random.Random(days)
+    price = lambda s, i: None if (s == "B" and (i < 9 or 40 < i < 80 or i % 7 == 3)) or s == "C" else 50 + rng.random() * 9
+    rows = [(s, DAY + dt.timedelta(i), 1.0, 1.0, 1.0, price(s, i), 1.0) for s in ("A", "B", "C", None) for i in range(150) if rng.random() < 0.9]
+    b = spark.createDataFrame(rows, BARS)
+    one, many = indicators.ema(b, (3, 20, 169)), indicators.ema(b, (3, 20, 169), days=days)
+    assert one.schema == many.schema
+    of = lambda df: {(r.symbol, r.date): (r.close, r.ema_3, r.ema_20, r.ema_169) for r in df.collect()}
+    left, right = of(one), of(many)
+    assert left.keys() == right.keys() and len(left) == len(rows)
+    for k, values in left.items():
+        for x, y in zip(values, right[k], strict=True):
+            assert (x is None and y is None) or x == pytest.approx(y, rel=1e-11), k
+    assert indicators.ema(many, (3,), days=days).columns == many.columns
+
+
+def test_forward_returns_read_the_bars_once(spark):
+    b = linear(spark, ("A", 10), ("B", 20), days=8)
+    picks = spark.createDataFrame([("A", DAY - dt.timedelta(3), 1.0), ("A", DAY + dt.timedelta(2), 12.0), ("B", DAY + dt.timedelta(7), 5.0), ("Z", DAY, 5.0), ("A", DAY + dt.timedelta(2), 12.0)], "symbol string, scan_date date, price double")
+    out = joins.nth_bar_after(picks, b, (1, 3), last="last")
+    got = sorted((r.symbol, r.scan_date, r.close_1, r.close_3, r["last"]) for r in out.collect())
+    assert got == [("A", DAY - dt.timedelta(3), 10.0, 12.0, 17.0), ("A", DAY + dt.timedelta(2), 13.0, 15.0, 17.0), ("A", DAY + dt.timedelta(2), 13.0, 15.0, 17.0), ("B", DAY + dt.timedelta(7), None, None, 27.0), ("Z", DAY, None, None, None)]
+    assert out.columns == ["symbol", "scan_date", "price", "close_1", "close_3", "last"]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -95,11 +96,110 @@ def _ema_of(p: int, adjust: bool = False) -> Callable[[pd.Series], pd.Series]:
     return lambda price: price.ewm(span=p, adjust=adjust).mean()
 
 
-def ema(df: DataFrame, periods: Iterable[int] = (20,), price: str = "close", by=None) -> DataFrame:
-    """Alpha 2/(p+1), from the first bar on."""
+def ema(df: DataFrame, periods: Iterable[int] = (20,), price: str = "close", by=None, days: int | None = None) -> DataFrame:
+    """Alpha 2/(p+1), from the first bar on. With ``days``, series are split over tasks by spans of so many days (``ema_in_spans``)."""
+    if days is not None:
+        return ema_in_spans(df, periods, days, price, by)
     return recurrences(df, {named(f"ema_{p}", price): (price, _ema_of(p)) for p in periods}, by)
 
 
+def _decay(x: np.ndarray, alpha: float) -> np.ndarray:
+    """What is left of the first valid value's part at each row of a span: from value to value the older part keeps
+    (1 - alpha) ** gap, relative to that plus alpha."""
+    valid = np.flatnonzero(~np.isnan(x))
+    kept = (1 - alpha) ** np.diff(valid).astype(float)
+    out = np.zeros(len(x))
+    if len(valid):
+        steps = np.concatenate([[1.0], np.cumprod(kept / (kept + alpha))])
+        out[valid[0] :] = steps[np.searchsorted(valid, np.arange(valid[0], len(x)), side="right") - 1]
+    return out
+
+
+def _entered(value: float, weight: float, lead: int, first: float, alpha: float) -> float:
+    """The average at a span's first valid value, from what came before the span."""
+    if np.isnan(value):
+        return first
+    weight *= (1 - alpha) ** (lead + 1)
+    return (weight * value + alpha * first) / (weight + alpha)
+
+
+def ema_in_spans(df: DataFrame, periods: Iterable[int], days: int, price: str = "close", by=None) -> DataFrame:
+    """The averages of ``ema`` for series too long for one task.
+
+    A step of the average is an affine map of the value before, and such maps compose. So each span of days is averaged
+    on its own and summed up in five numbers for each period; the summaries of a series, a row a span, are put together
+    in order, which gives the value that enters each span; and each span adds what that leaves of it. Bars are grouped
+    by series and span, so no task holds a whole series.
+    """
+    by = tuple(by or series_of(df))
+    periods = [p for p in periods if named(f"ema_{p}", price) not in df.columns]
+    if not periods:
+        return df
+    alphas = [2 / (p + 1) for p in periods]
+    (span,) = fresh(df, "_span")
+    spread = df.withColumn(span, F.floor(F.unix_date(F.col("date").cast("date")) / days))
+    keys = [spread.schema[c] for c in (*by, span)]
+    array = T.ArrayType(T.DoubleType())
+
+    def in_order(table: pa.Table) -> pa.Table:
+        return table.take(pc.sort_indices(table, sort_keys=[("date", "ascending")]))
+
+    def averages(x: np.ndarray) -> list[np.ndarray]:
+        return [pd.Series(x).ewm(alpha=a, adjust=False).mean().to_numpy() for a in alphas]
+
+    def prices(table: pa.Table) -> np.ndarray:
+        return table[price].cast(pa.float64()).to_pandas().to_numpy()
+
+    def key_of(table: pa.Table) -> dict[str, pa.Array]:
+        return {c: table[c].combine_chunks().slice(0, 1) for c in (*by, span)}
+
+    def summary(table: pa.Table) -> pa.Table:
+        x = prices(in_order(table))
+        valid = np.flatnonzero(~np.isnan(x))
+        some = len(valid) > 0
+        row = {"rows": len(x), "lead": int(valid[0]) if some else -1, "tail": int(len(x) - 1 - valid[-1]) if some else len(x), "head": float(x[valid[0]]) if some else None}
+        row |= {"ends": [float(y[-1]) for y in averages(x)], "left": [float(_decay(x, a)[-1]) for a in alphas]}
+        kinds = {"rows": pa.int64(), "lead": pa.int64(), "tail": pa.int64(), "head": pa.float64(), "ends": pa.list_(pa.float64()), "left": pa.list_(pa.float64())}
+        return pa.table(key_of(table) | {k: pa.array([v], kinds[k]) for k, v in row.items()})
+
+    shape = T.StructType([*keys, *[T.StructField(c, T.LongType()) for c in ("rows", "lead", "tail")], T.StructField("head", T.DoubleType()), T.StructField("ends", array), T.StructField("left", array)])
+    sums = spread.select(*by, span, "date", price).groupBy(*by, span).applyInArrow(summary, shape)
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(span, "ascending")]))
+        values, weights = [], []
+        value, weight = [float("nan")] * len(alphas), [1.0] * len(alphas)
+        for r in table.select(["rows", "lead", "tail", "head", "ends", "left"]).to_pylist():
+            values.append(value)
+            weights.append(weight)
+            if r["lead"] < 0:
+                weight = [w * (1 - a) ** r["rows"] for w, a in zip(weight, alphas, strict=True)]
+            else:
+                value = [e + k * (_entered(v, w, r["lead"], r["head"], a) - r["head"]) for v, w, a, e, k in zip(value, weight, alphas, r["ends"], r["left"], strict=True)]
+                weight = [(1 - a) ** r["tail"] for a in alphas]
+        kept = table.select([*by, span])
+        return kept.append_column("value", pa.array(values, pa.list_(pa.float64()))).append_column("weight", pa.array(weights, pa.list_(pa.float64())))
+
+    entering = sums.groupBy(*by).applyInArrow(fold, T.StructType([*keys, T.StructField("value", array), T.StructField("weight", array)]))
+    names = [named(f"ema_{p}", price) for p in periods]
+
+    def finish(table: pa.Table, before: pa.Table) -> pa.Table:
+        table = in_order(table)
+        x, (value,), (weight,) = prices(table), before["value"].to_pylist(), before["weight"].to_pylist()
+        valid = np.flatnonzero(~np.isnan(x))
+        for name, a, own, v, w in zip(names, alphas, averages(x), value, weight, strict=True):
+            if len(valid):
+                own = own + _decay(x, a) * (_entered(v, w, int(valid[0]), float(x[valid[0]]), a) - x[valid[0]])
+                own[: valid[0]] = v
+            else:
+                own = np.full(len(x), v)
+            table = table.append_column(name, pa.array(own, pa.float64(), from_pandas=True))
+        return table.drop_columns([span])
+
+    out = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return spread.groupBy(*by, span).cogroup(entering.groupBy(*by, span)).applyInArrow(finish, out)
+
+
 def ema_adjusted(df: DataFrame, spans: Iterable[int] = EMAS, by=None) -> DataFrame:
     """Normalised weights; with the fast and slow differences of the 13/21 and 55/89 pairs."""
     out = recurrences(df, {f"ema_adj_{p}": ("close", _ema_of(p, adjust=True)) for p in spans}, by)

@@ -33,20 +33,26 @@ def asof_event(base: DataFrame, higher: DataFrame, col: str, default: str | None
     return base.join(events, [*by, "date"], "left").withColumn(col, F.coalesce(col, F.lit(default)) if default is not None else F.col(col))
 
 
-def nth_bar_after(picks: DataFrame, bars: DataFrame, ns: Iterable[int], date: str = "scan_date") -> DataFrame:
-    """For each pick the close of its n-th bar after ``date``, as columns close_n.
+def nth_bar_after(picks: DataFrame, bars: DataFrame, ns: Iterable[int], date: str = "scan_date", last: str | None = None) -> DataFrame:
+    """For each pick the close of its n-th bar after ``date``, as columns close_n, and as ``last`` the symbol's last close.
 
-    The bars of a symbol are numbered once and carry their next closes along, so that a pick needs one row: the
-    last bar at or before its date. No join over a range of dates.
+    Each bar carries its next closes along; bars and picks are put in one order by date, and a pick takes those of the
+    last bar at or before its date, or counts from the first bar on if there is none. Bars are read once, and there is
+    no join over a range of dates.
     """
     ns = sorted(ns)
     w = Window.partitionBy("symbol").orderBy("date")
-    ahead = bars.select("symbol", "date", F.struct(*[F.lead("close", n).over(w).alias(f"close_{n}") for n in ns]).alias("next"), F.row_number().over(w).alias("k"))
-    firsts = bars.withColumn("k", F.row_number().over(w)).where(F.col("k") <= ns[-1]).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("k", "close"))).alias("firsts"))
-    at = asof_state(picks.withColumn("date", F.col(date)), ahead.drop("k"), ["next"]).join(firsts, "symbol", "left")
-    # A pick before the first bar counts from the first bar on.
-    out = at.withColumns({f"close_{n}": F.when(F.col("next").isNotNull(), F.col(f"next.close_{n}")).otherwise(F.get("firsts", F.lit(n - 1)).close) for n in ns})
-    return out.drop("next", "firsts", *({"date"} - {date}))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.struct(*[F.lead("close", n).over(w).alias(f"close_{n}") for n in ns])
+    ends = F.struct(*[F.nth_value("close", n).over(whole).alias(f"close_{n}") for n in ns], F.last("close").over(whole).alias("last"))
+    right = bars.select("symbol", "date", following.alias("next"), ends.alias("ends"))
+    left = picks.select("symbol", F.col(date).alias("date"), F.struct(*picks.columns).alias("pick"))
+    empty = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = right.select("*", empty(left, "pick"), F.lit(0).alias("side")).unionByName(left.select("*", empty(right, "next"), empty(right, "ends"), F.lit(1).alias("side")))
+    by_then = Window.partitionBy("symbol").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"next": F.last("next", ignorenulls=True).over(by_then), "ends": F.first("ends", ignorenulls=True).over(Window.partitionBy("symbol"))}).where("side = 1")
+    closes = [F.when(F.col("next").isNotNull(), F.col(f"next.close_{n}")).otherwise(F.col(f"ends.close_{n}")).alias(f"close_{n}") for n in ns]
+    return both.select("pick.*", *closes, *([F.col("ends.last").alias(last)] if last else []))
 
 
 #: Days in a bucket of the interval join.

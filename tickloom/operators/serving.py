@@ -69,7 +69,7 @@ def _return(now: Column, base: Column) -> Column:
 def pick_forward_returns(picks: DataFrame, meta: DataFrame, bars: DataFrame, horizons: Iterable[int] = (1, 5, 21)) -> DataFrame:
     """Return after each horizon, and up to the latest close."""
     hs = sorted(horizons)
-    out = nth_bar_after(picks, bars, hs).join(bars.groupBy("symbol").agg(F.max_by("close", "date").alias("last_close")), "symbol", "left")
+    out = nth_bar_after(picks, bars, hs, last="last_close")
     out = out.withColumns({f"return_{h}": _return(F.col(f"close_{h}"), F.col("price")) for h in hs} | {"return_to_date": _return(F.col("last_close"), F.col("price"))})
     return out.drop(*[f"close_{h}" for h in hs], "last_close").join(meta.select("symbol", "name", "industry"), "symbol", "left")
 

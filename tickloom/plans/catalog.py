@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, backtest, bookkeeping, conditions, indicators, joins, patterns, resample, serving, strategies
 from ..sources import driver_tables as t
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 from ..streaming import candles
 from . import sql
 from .registry import ORACLES, QUERIES, _r, query, rounded
@@ -541,12 +541,14 @@ def pick_detail(spark: SparkSession, d: str) -> DataFrame:
     return serving.pick_detail(p, t.symbol_metadata(spark, d), " 1 ", F.lit(p.where("symbol = '1'").agg(F.max("scan_date")).first()[0]))
 
 
-@query(f"""WITH {_PICKS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars), p AS (SELECT picks.*, coalesce(z.k, 0) AS pos
-FROM picks ASOF LEFT JOIN k z ON z.symbol = picks.symbol AND picks.scan_date >= z.date), lc AS (SELECT symbol, arg_max(close, date) AS c FROM sbars
-GROUP BY symbol) SELECT p.symbol, scan_date, round((a.close - price) / price, 6) AS return_1, round((b.close - price) / price, 6) AS return_5,
+@query(f"""WITH {_PICKS}, k AS MATERIALIZED (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars),
+u AS (SELECT symbol, date, 0 AS side, close, NULL AS price FROM k UNION ALL SELECT symbol, scan_date, 1, NULL, price FROM picks),
+p AS (SELECT symbol, date AS scan_date, price, pos FROM (SELECT *, count(close) OVER (PARTITION BY symbol ORDER BY date, side ROWS UNBOUNDED PRECEDING) AS pos FROM u) WHERE side = 1),
+lc AS (SELECT symbol, arg_max(close, date) AS c FROM k GROUP BY symbol)
+SELECT p.symbol, scan_date, round((a.close - price) / price, 6) AS return_1, round((b.close - price) / price, 6) AS return_5,
 round((c.close - price) / price, 6) AS return_21, round((lc.c - price) / price, 6) AS return_to_date, name, industry FROM p LEFT
 JOIN k a ON a.symbol = p.symbol AND a.k = pos + 1 LEFT JOIN k b ON b.symbol = p.symbol AND b.k = pos + 5 LEFT
-JOIN k c ON c.symbol = p.symbol AND c.k = pos + 21 JOIN lc ON lc.symbol = p.symbol LEFT JOIN meta ON meta.symbol = p.symbol""")
+JOIN k c ON c.symbol = p.symbol AND c.k = pos + 21 LEFT JOIN lc ON lc.symbol = p.symbol LEFT JOIN meta ON meta.symbol = p.symbol""")
 def pick_forward_returns(spark: SparkSession, d: str) -> DataFrame:
     out = serving.pick_forward_returns(_picks(spark, d).select("symbol", "scan_date", "price"), t.symbol_metadata(spark, d), t.bars(spark, d, "supplier"))
     return rounded(out.drop("price"))
@@ -602,6 +604,13 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
     return conditions.compile_strategy(CONFIG)(t.bars(spark, d, "nation"))
 
 
+def _trades_once(spark: SparkSession, d: str) -> DataFrame:
+    """The trades as a written table, for queries that read them more than once."""
+    path = versions.scratch(spark, "ledger")
+    _ledger(spark, d)[0].write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return backtest.backtest(_signals(spark, d), spark.createDataFrame(GRID, backtest.PARAMETERS))
 
@@ -694,7 +703,7 @@ f AS (SELECT *, 1 - c / greatest(10000, max(c) OVER (PARTITION BY run_id ORDER B
 rm AS (SELECT run_id, count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0) AS win_rate, max(fall) AS dd, avg(pnl_pct) AS m, stddev_samp(pnl_pct) AS s, exp(sum(ln(1 + greatest(pnl_pct, -0.999999)))) AS x, max(exit_date) - min(entry_date) AS span FROM f GROUP BY run_id)
 SELECT run_id, round(win_rate, 4) AS win_rate, round(dd, 4) AS max_drawdown_pct, round(10000 * x, 2) AS final, round(CASE WHEN span > 0 THEN pow(x, 252.0 / span) - 1 END, 4) AS yearly_return, round(CASE WHEN s > 0 THEN (m - 0.03 / 365) / s * sqrt(365) ELSE 0 END, 4) AS sharpe FROM rm""")
 def report_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.report_metrics(_ledger(spark, d)[0]), 4).withColumn("final", F.round("final", 2))
+    return rounded(backtest.report_metrics(_trades_once(spark, d)), 4).withColumn("final", F.round("final", 2))
 
 
 @query(f"WITH RECURSIVE {_LED} SELECT run_id, year(exit_date)::INT AS year, round(exp(sum(ln(1 + greatest(pnl_pct, -0.999999)))) - 1, 4) AS compounded, count(*) AS trades FROM ledger GROUP BY ALL")
@@ -711,7 +720,7 @@ def return_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(backtest.bootstrap_ci(_ledger(spark, d)[0]), 6)
+    return rounded(backtest.bootstrap_ci(_trades_once(spark, d)), 6)
 
 
 @query(f"""WITH {sql.bars('supplier')}, p AS (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS f FROM bars) SELECT symbol,
