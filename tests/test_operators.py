@@ -564,3 +564,20 @@ def test_forward_returns_read_the_bars_once(spark):
     got = sorted((r.symbol, r.scan_date, r.close_1, r.close_3, r["last"]) for r in out.collect())
     assert got == [("A", DAY - dt.timedelta(3), 10.0, 12.0, 17.0), ("A", DAY + dt.timedelta(2), 13.0, 15.0, 17.0), ("A", DAY + dt.timedelta(2), 13.0, 15.0, 17.0), ("B", DAY + dt.timedelta(7), None, None, 27.0), ("Z", DAY, None, None, None)]
     assert out.columns == ["symbol", "scan_date", "price", "close_1", "close_3", "last"]
+
+
+def test_means_by_running_totals_are_the_means(spark):
+    """Nulls, strange values, tiny and large prices; equal windows have equal means."""
+    import random
+
+    rng = random.Random(6)
+    value = {"A": lambda i: round(rng.random() * 100, 2), "B": lambda i: None if i % 11 == 0 else rng.random() * 1e-7, "C": lambda i: float("nan") if i == 30 else 1e12 * rng.random(), "D": lambda i: 0.1}
+    b = spark.createDataFrame([(s, DAY + dt.timedelta(i), 1.0, 1.0, 1.0, f(i), 1.0) for s, f in value.items() for i in range(120)], BARS)
+    out = indicators.smas(b, (1, 5, 40)).withColumns({f"d_{p}": indicators.full(F.avg, "close", p) for p in (1, 5, 40)}).collect()
+    for r in out:
+        for p in (1, 5, 40):
+            x, y = r[f"sma_{p}"], r[f"d_{p}"]
+            assert (x is None) == (y is None) and (x is None or (math.isnan(x) and math.isnan(y)) or x == pytest.approx(y, rel=1e-9)), (r, p)
+    assert {r.sma_5 for r in out if r.symbol == "D" and r.sma_5 is not None} == {0.1}
+    plan = indicators.smas(b, (50, 200))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

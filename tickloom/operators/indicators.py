@@ -72,7 +72,33 @@ def named(name: str, price: str) -> str:
 
 
 def sma(df: DataFrame, p: int = 20, price: str = "close", by=None) -> DataFrame:
-    return _add(df, {named(f"sma_{p}", price): full(F.avg, price, p, by or series_of(df))})
+    return smas(df, (p,), price, by)
+
+
+def smas(df: DataFrame, periods: Iterable[int], price: str = "close", by=None) -> DataFrame:
+    """Means of the last p values, null until there are p, in constant time for each row, for any p and any number of periods.
+
+    A mean is the difference of two running totals. These are decimals of 18 places, so nothing is lost however long the
+    series is, and equal windows have equal means. Values that aren't finite, or beyond 1e20, give NaN.
+    """
+    periods = [p for p in periods if named(f"sma_{p}", price) not in df.columns]
+    if not periods:
+        return df
+    w = over(by or series_of(df))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact, total, there, odd = fresh(df, "_exact", "_sum", "_there", "_odd")
+    out = df.withColumn(exact, F.col(price).try_cast("decimal(38,18)"))
+    strange = F.when(F.col(price).isNotNull() & F.col(exact).isNull(), 1).otherwise(0)
+    out = out.withColumns({total: F.sum(F.coalesce(exact, F.lit(0).cast("decimal(38,18)"))).over(whole), there: F.count(price).over(whole), odd: F.sum(strange).over(whole)})
+
+    def last(c: str, p: int) -> Column:
+        before = F.lag(c, p).over(w)
+        return F.when(before.isNull(), F.col(c)).otherwise(F.col(c) - before)
+
+    def mean(p: int) -> Column:
+        return F.when(last(there, p) == p, F.when(last(odd, p) > 0, F.lit(float("nan"))).otherwise(last(total, p).cast("double") / p))
+
+    return out.withColumns({named(f"sma_{p}", price): mean(p) for p in periods}).drop(exact, total, there, odd)
 
 
 def recurrences(df: DataFrame, wanted: dict[str, tuple[str, Callable[[pd.Series], pd.Series]]], by=None) -> DataFrame:
@@ -310,9 +336,7 @@ def all_indicators(df: DataFrame, by=None) -> DataFrame:
     """The whole bundle. The windows come first, because groups keep to their partitioning but not the other way: one exchange."""
     f, s, g = 12, 26, 9
     by = by or series_of(df)
-    for p in (20, 50, 200):
-        df = sma(df, p, by=by)
-    out = stochastic(atr(bollinger(rsi(df, by=by), by=by), by=by), by=by)
+    out = stochastic(atr(bollinger(rsi(smas(df, (20, 50, 200), by=by), by=by), by=by), by=by), by=by)
     out = recurrences(out, {f"ema_{p}": ("close", _ema_of(p)) for p in EMAS} | _macd_lines(f, s, g), by)
     return _macd_hist(out, f, s, g)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .conditions import crosses
-from .indicators import ema, fresh, over, running, series_of, sma
+from .indicators import ema, fresh, over, running, series_of, smas
 from .resample import resample_all
 
 Strategy = Callable[[DataFrame], DataFrame]
@@ -32,7 +32,7 @@ def run_universe(strategy: Strategy, df: DataFrame, timeframe: str = "1d") -> Da
 def golden_cross(df: DataFrame, fast: int = 50, slow: int = 200, min_dates: int = 200) -> DataFrame:
     """Y2: symbols with too few dates go after the averages are made."""
     by = series_of(df)
-    out = sma(sma(df, fast, by=by), slow, by=by)
+    out = smas(df, (fast, slow), by=by)
     dates, up, down = fresh(out, "_dates", "_up", "_down")
     f, s = F.col(f"sma_{fast}"), F.col(f"sma_{slow}")
     out = out.withColumn(dates, F.count("date").over(Window.partitionBy(*by))).where(F.col(dates) >= min_dates).drop(dates)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_ORD = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+_ORD = "l_orderkey, l_linenumber, price"
 _FROM = {
     "region": ("r_name", "lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "nation": ("n_name", "lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"),
@@ -12,7 +12,7 @@ _FROM = {
 
 def bars(by: str = "region", name: str = "bars") -> str:
     symbol, tables = _FROM[by]
-    return f"""t_{name} AS (SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS date, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, l_quantity AS qty, {_ORD} FROM {tables}),
+    return f"""t_{name} AS (SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS date, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, l_quantity AS qty, l_orderkey, l_linenumber FROM {tables}),
 {name} AS (SELECT symbol, date, first(price ORDER BY {_ORD}) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY {_ORD}) AS close, sum(qty) AS volume FROM t_{name} GROUP BY symbol, date)"""
 
 
