@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import as_bytes, discard, fold, give_back, materialise, steps, words_of
+from .common import STEP_BYTES, as_bytes, discard, fold, give_back, materialise, steps, words_of
 
 #: Positives that a fit takes at most, and unlabelled rows.
 FIT_DOCS = 20_000
@@ -64,7 +64,11 @@ def _runs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def describe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Features of texts laid end to end, a row each."""
     n, size = len(offsets) - 1, np.diff(offsets)
-    kinds = np.bincount(np.repeat(np.arange(n), size) * _CLASSES + _CLASS[data], minlength=n * _CLASSES).reshape(n, _CLASSES).astype(np.float64)
+    kinds = np.zeros(n * _CLASSES)
+    for at in range(0, len(data), STEP_BYTES):  # a very long text in pieces, so that the counts' memory stays small
+        doc = np.repeat(np.arange(n), np.diff(np.clip(offsets, at, at + STEP_BYTES)))
+        kinds += np.bincount(doc * _CLASSES + _CLASS[data[at : at + STEP_BYTES]], minlength=n * _CLASSES)
+    kinds = kinds.reshape(n, _CLASSES)
     w = words_of(data, offsets)
     words = np.diff(w.first).astype(np.float64)
     some, bytes_ = np.maximum(words, 1), np.maximum(size, 1)
