@@ -93,6 +93,33 @@ def test_route_and_upsert(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2
 
 
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    """A row inside the delay still counts, one beyond it doesn't and changes no candle that is out."""
+    src, at = str(tmp_path / "in"), lambda s: START + dt.timedelta(seconds=s)
+    batches = [[(10, 1.0), (50, 2.0), (140, 3.0)], [(115, 9.0), (20, 77.0), (300, 4.0)], [(900, 5.0)]]
+    for rows in batches:
+        events = [("ohlcv", "A", p, p, p, p, 1, at(s)) for s, p in rows]
+        spark.createDataFrame(events, CANDLE_EVENT).coalesce(1).write.mode("append").parquet(src)
+        stream = readers.read_candle_stream(spark, src)
+        candles.run_level(candles.candles_1m(stream), str(tmp_path / "out"), str(tmp_path / "k")).start().awaitTermination()
+    got = {r.window_start: (r.open_price, r.high_price, r.close_price, r.trade_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[at(0)] == (1.0, 2.0, 2.0, 2) and got[at(60)] == (9.0, 9.0, 9.0, 1) and got[at(120)] == (3.0, 3.0, 3.0, 1)
+
+
+def test_messages_that_are_no_json_are_dropped(spark, tmp_path):
+    """JSON values, as a topic has them, from text files."""
+    good = '{"record_type": "ohlcv", "symbol": "A", "open_price": 1, "high_price": 2, "low_price": 1, "close_price": 1.5, "volume": 7, "event_time": "2026-01-05T10:00:30.250001Z", "more": 1}'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([good, "{broken", "[1, 2]", "", good.replace("10:00:30", "10:05:00")]))
+    stream = readers.read_candle_stream(spark, str(tmp_path / "in"), "text")
+    candles.run_level(candles.candles_1m(stream), str(tmp_path / "out"), str(tmp_path / "k")).start().awaitTermination()
+    (row,) = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert (row.symbol, row.close_price, row.volume, row.window_start) == ("A", 1.5, 7, START)
+    raw = spark.createDataFrame([(bytearray(good.encode()),), (None,)], "value binary")
+    events = readers.candle_messages(raw).collect()
+    assert events[0].event_time == dt.datetime(2026, 1, 5, 10, 0, 30, 250001) and events[1].symbol is None
+
+
 ALERT = "alert_id string, symbol string, window_start timestamp, price double, note string"
 
 

@@ -226,7 +226,8 @@ def ema(spark: SparkSession, d: str) -> DataFrame:
 
 _ADJ = f"""WITH RECURSIVE {sql.bars()}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM bars),
 e AS (SELECT symbol, date, rn, {", ".join(f"close AS n{p}, 1.0::DOUBLE AS w{p}" for p in (13, 21))} FROM o WHERE rn = 1 UNION ALL
-SELECT o.symbol, o.date, o.rn, {", ".join(f"o.close + (1 - 2.0 / {p + 1}) * e.n{p}, 1 + (1 - 2.0 / {p + 1}) * e.w{p}" for p in (13, 21))} FROM e JOIN o ON o.symbol = e.symbol AND o.rn = e.rn + 1)
+SELECT o.symbol, o.date, o.rn, {", ".join(f"o.close + (1 - 2.0 / {p + 1}) * e.n{p}, 1 + (1 - 2.0 / {p + 1}) * e.w{p}" for p in (13, 21))} FROM e JOIN o ON o.symbol = e.symbol
+AND o.rn = e.rn + 1)
 SELECT symbol, date, round(n13 / w13, 4) AS ema_adj_13, round(n21 / w21, 4) AS ema_adj_21, round(n13 / w13 - n21 / w21, 4) AS macd_fast FROM e"""
 
 
@@ -278,15 +279,19 @@ def volume_trend(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.rolling_high_close(out).select("symbol", "date", "volume_mean_20", "close_max_20", "setup_valid"))
 
 
-_AREA = f"""WITH {sql.bars()}, c AS (SELECT {KEY}, list(close) OVER w AS cs, count(*) OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, CASE WHEN list_max(cs) = list_min(cs) THEN list_min(cs) - 0.5 ELSE list_min(cs) END AS lo, CASE WHEN list_max(cs) = list_min(cs) THEN list_max(cs) + 0.5 ELSE list_max(cs) END AS hi FROM c WHERE n = 30),
+_AREA = f"""WITH {sql.bars()}, c AS (SELECT {KEY}, list(close) OVER w AS cs, count(*) OVER w AS n FROM bars WINDOW w AS
+(PARTITION BY symbol ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, CASE WHEN list_max(cs) = list_min(cs) THEN list_min(cs) - 0.5 ELSE list_min(cs) END AS lo, CASE
+WHEN list_max(cs) = list_min(cs) THEN list_max(cs) + 0.5 ELSE list_max(cs) END AS hi FROM c WHERE n = 30),
 b AS (SELECT *, (hi - lo) / 20 AS w FROM l), u AS (SELECT symbol, date, lo, w, least(19, CAST(floor((x - lo) / w) AS INTEGER)) AS bin FROM (SELECT *, unnest(cs) AS x FROM b)),
 k AS (SELECT symbol, date, lo, w, bin, count(*) AS n FROM u GROUP BY ALL),
-m AS (SELECT symbol, date, any_value(lo) AS lo, any_value(w) AS w, min(bin) FILTER (n = mx) AS main FROM (SELECT *, max(n) OVER (PARTITION BY symbol, date) AS mx FROM k) GROUP BY symbol, date),
+m AS (SELECT symbol, date, any_value(lo) AS lo, any_value(w) AS w, min(bin) FILTER (n = mx) AS main FROM (SELECT *, max(n) OVER (PARTITION BY symbol, date) AS mx FROM k)
+GROUP BY symbol, date),
 f AS (SELECT m.symbol, m.date, i, coalesce(k.n, 0) AS n FROM m CROSS JOIN range(20) r(i) LEFT JOIN k ON k.symbol = m.symbol AND k.date = m.date AND k.bin = i WHERE i > main),
 s AS (SELECT symbol, date, min(i) FILTER (n = mx) AS second FROM (SELECT *, max(n) OVER (PARTITION BY symbol, date) AS mx FROM f) GROUP BY symbol, date),
 a AS (SELECT symbol, date, lo, w, main, coalesce(second, main) AS second FROM m LEFT JOIN s USING (symbol, date))
-SELECT symbol, date, round(lo + w * main, 6) AS area_main_low, round(lo + w * (main + 1), 6) AS area_main_high, round(lo + w * second, 6) AS area_second_low, round(lo + w * (second + 1), 6) AS area_second_high FROM bars LEFT JOIN a USING (symbol, date)"""
+SELECT symbol, date, round(lo + w * main, 6) AS area_main_low, round(lo + w * (main + 1), 6) AS area_main_high, round(lo + w * second, 6) AS area_second_low, round(lo + w *
+(second + 1), 6) AS area_second_high FROM bars LEFT JOIN a USING (symbol, date)"""
 
 
 @query(_AREA)
@@ -316,9 +321,12 @@ w1 AS (SELECT *, CASE WHEN hi - lo > 0 THEN 100 * (close - lo) / (hi - lo) WHEN
 roll AS (SELECT symbol, date, {", ".join(f"{sql.rolling('avg', 'close', n)} AS sma_{n}" for n in (20, 50, 200))}, {sql.rolling("stddev_samp", "close", 20)} AS sd, {sql.rolling("avg", "tr", 14)} AS atr_14, k AS stoch_k_14_3, {sql.rolling("avg", "k", 3)} AS stoch_d_14_3 FROM w1),
 {sql.ema("bars", (*indicators.EMAS, 12, 26))}, m AS (SELECT symbol, date, ema_12 - ema_26 AS line FROM e),
 {sql.ema("m", (9,), "s", "line")}
-SELECT symbol, date, {_r("open", "high", "low", "close", "volume", digits=4)}, {_r("sma_20", "sma_50", "rsi_14", digits=4)}, round(sma_200 + 1e-7, 4) AS sma_200, round(sma_20, 4) AS bb_middle_20_2, round(sma_20 + 2 * sd, 4) AS bb_upper_20_2,
-round(sma_20 - 2 * sd, 4) AS bb_lower_20_2, {_r("atr_14", "stoch_k_14_3", "stoch_d_14_3", *[f"ema_{p}" for p in indicators.EMAS], digits=4)}, round(s.line, 4) AS macd_12_26, round(s.ema_9, 4) AS macd_signal_12_26_9,
-round(s.line - s.ema_9, 4) AS macd_hist_12_26_9 FROM e JOIN roll USING (symbol, date) JOIN (SELECT symbol, date, rsi_14 FROM rsi) USING (symbol, date) JOIN s USING (symbol, date)"""
+SELECT symbol, date, {_r("open", "high", "low", "close", "volume", digits=4)}, {_r("sma_20", "sma_50", "rsi_14", digits=4)}, round(sma_200 + 1e-7, 4) AS sma_200, round(sma_20,
+4) AS bb_middle_20_2, round(sma_20 + 2 * sd, 4) AS bb_upper_20_2,
+round(sma_20 - 2 * sd, 4) AS bb_lower_20_2, {_r("atr_14", "stoch_k_14_3", "stoch_d_14_3", *[f"ema_{p}" for p in indicators.EMAS], digits=4)}, round(s.line, 4) AS macd_12_26,
+round(s.ema_9, 4) AS macd_signal_12_26_9,
+round(s.line - s.ema_9, 4) AS macd_hist_12_26_9 FROM e JOIN roll USING (symbol, date) JOIN (SELECT symbol, date, rsi_14 FROM rsi) USING (symbol, date) JOIN s USING (symbol,
+date)"""
 
 
 @query(_BUNDLE)
@@ -330,13 +338,17 @@ def all_indicators(spark: SparkSession, d: str) -> DataFrame:
 
 # patterns and conditions
 
-_PAT = f"""{sql.bars()}, l AS (SELECT *, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(open, 2) OVER w AS o2, lag(close, 2) OVER w AS c2 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
-q AS (SELECT *, abs(close - open) AS body, high - low AS span, high - greatest(open, close) AS up, least(open, close) - low AS dn, abs(c1 - o1) AS b1, avg(abs(c1 - o1)) OVER (PARTITION BY symbol) AS mb FROM l)"""
+_PAT = f"""{sql.bars()}, l AS (SELECT *, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(open, 2) OVER w AS o2, lag(close, 2) OVER w AS c2 FROM bars WINDOW w AS
+(PARTITION BY symbol ORDER BY date)),
+q AS (SELECT *, abs(close - open) AS body, high - low AS span, high - greatest(open, close) AS up, least(open, close) - low AS dn, abs(c1 - o1) AS b1, avg(abs(c1 - o1)) OVER
+(PARTITION BY symbol) AS mb FROM l)"""
 
 
-@query(f"""WITH {_PAT} SELECT {KEY}, c1 < o1 AND close > open AND open < c1 AND close > o1 AS engulfing_bullish, c1 > o1 AND close < open AND open > c1 AND close < o1 AS engulfing_bearish,
+@query(f"""WITH {_PAT} SELECT {KEY}, c1 < o1 AND close > open AND open < c1 AND close > o1 AS engulfing_bullish, c1 > o1 AND close < open AND open > c1
+AND close < o1 AS engulfing_bearish,
 body <= 0.3 * span AND dn >= 2 * body AND up <= 0.5 * body AS hammer, body <= 0.3 * span AND up >= 2 * body AND dn <= 0.5 * body AS shooting_star, body <= 0.1 * span AS doji,
-c2 < o2 AND o1 < c2 AND b1 <= 0.5 * mb AND close > open AND close > (o2 + c2) / 2 AS morning_star, c2 > o2 AND o1 > c2 AND b1 <= 0.5 * mb AND close < open AND close < (o2 + c2) / 2 AS evening_star,
+c2 < o2 AND o1 < c2 AND b1 <= 0.5 * mb AND close > open AND close > (o2 + c2) / 2 AS morning_star, c2 > o2 AND o1 > c2 AND b1 <= 0.5 * mb AND close < open AND close <
+(o2 + c2) / 2 AS evening_star,
 close > open AS green_candle, close < open AS red_candle, close > open AND open < c1 AND close > o1 AS engulfing_legacy_bullish FROM q""", name="patterns")
 def all_patterns(spark: SparkSession, d: str) -> DataFrame:
     out = patterns.engulfing_legacy(patterns.all_patterns(t.bars(spark, d)), "bullish")
@@ -422,8 +434,10 @@ def golden_cross(spark: SparkSession, d: str) -> DataFrame:
     return strategies.golden_cross(t.bars(spark, d, "supplier")).select("symbol", "date", "setup_valid", "signal", "exit_signal")
 
 
-_VEL = f"""{sql.bars()}, {sql.ema('bars', (8, 13, 144, 169))}, v AS (SELECT *, least(ema_8, ema_13) AS smin, greatest(ema_8, ema_13) AS smax, least(ema_144, ema_169) AS lmin, greatest(ema_144, ema_169) AS lmax FROM e),
-vel AS (SELECT *, CASE WHEN close > open AND close > smax AND close > lmax AND smin > lmax THEN 'velocity_maintained' WHEN close < ema_13 AND close > ema_169 THEN 'velocity_weak' WHEN close < ema_13 AND close < ema_169 THEN 'velocity_loss' ELSE 'velocity_negotiating' END AS velocity FROM v)"""
+_VEL = f"""{sql.bars()}, {sql.ema('bars', (8, 13, 144, 169))}, v AS (SELECT *, least(ema_8, ema_13) AS smin, greatest(ema_8, ema_13) AS smax, least(ema_144, ema_169) AS lmin,
+greatest(ema_144, ema_169) AS lmax FROM e),
+vel AS (SELECT *, CASE WHEN close > open AND close > smax AND close > lmax AND smin > lmax THEN 'velocity_maintained' WHEN close < ema_13
+AND close > ema_169 THEN 'velocity_weak' WHEN close < ema_13 AND close < ema_169 THEN 'velocity_loss' ELSE 'velocity_negotiating' END AS velocity FROM v)"""
 
 
 @query(f"WITH RECURSIVE {_VEL} SELECT {KEY}, velocity FROM vel")
@@ -436,8 +450,10 @@ def _mom(kind: str, n: int) -> str:
 
 
 _MOM = f"""{_VEL}, cnt AS (SELECT *, {sql.rolling('sum', "(velocity <> 'velocity_maintained')::INT", 28)} AS nb, {sql.rolling('sum', "(velocity = 'velocity_maintained')::INT", 28)} AS ng FROM vel),
-rawm AS (SELECT *, CASE WHEN nb > ng AND lmax <= smax AND smax < open AND open < close THEN 'accelerated' WHEN nb > ng AND close < smin AND smin <= lmin THEN 'decelerated' END AS raw FROM cnt),
-mom AS (SELECT *, CASE WHEN raw = 'accelerated' AND {_mom('accelerated', 30)} = 0 THEN raw WHEN raw = 'decelerated' AND {_mom('decelerated', 30)} = 0 THEN raw END AS momentum FROM rawm)"""
+rawm AS (SELECT *, CASE WHEN nb > ng AND lmax <= smax AND smax < open AND open < close THEN 'accelerated' WHEN nb > ng AND close < smin AND smin <= lmin THEN 'decelerated'
+END AS raw FROM cnt),
+mom AS (SELECT *, CASE WHEN raw = 'accelerated' AND {_mom('accelerated', 30)} = 0 THEN raw WHEN raw = 'decelerated' AND {_mom('decelerated', 30)} = 0 THEN raw END AS momentum
+FROM rawm)"""
 
 
 @query(f"WITH RECURSIVE {_MOM} SELECT {KEY}, raw AS raw_momentum, momentum FROM mom")
@@ -454,12 +470,14 @@ def channel_strategy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _score_sql(by: str) -> str:
-    part = lambda n, src: f"""g{n}_s AS (SELECT symbol, date, close, {sql.rolling('avg', 'close', 50)} AS f, {sql.rolling('avg', 'close', 200)} AS g, count(*) OVER (PARTITION BY symbol) AS n FROM {src}),
+    part = lambda n, src: f"""g{n}_s AS (SELECT symbol, date, close, {sql.rolling('avg', 'close', 50)} AS f, {sql.rolling('avg', 'close', 200)} AS g, count(*) OVER
+(PARTITION BY symbol) AS n FROM {src}),
 g{n}_x AS (SELECT *, lag(f) OVER w AS f1, lag(g) OVER w AS g1 FROM g{n}_s WHERE n >= 200 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 g{n} AS (SELECT symbol, date, close FROM g{n}_x WHERE f > g AND f1 <= g1)"""
     return f"""WITH {sql.bars(by)}, {part(1, "bars")}, b3 AS ({sql.resampled(3)}), {part(3, "b3")}, b5 AS ({sql.resampled(5)}), {part(5, "b5")},
 f3 AS (SELECT symbol, min(date) AS d3 FROM g3 GROUP BY symbol), f5 AS (SELECT symbol, min(date) AS d5 FROM g5 GROUP BY symbol),
-sc AS (SELECT symbol, date, 'BUY' AS signal, close AS price, (1 + 2 * coalesce(d3 <= date, false)::INT + 3 * coalesce(d5 <= date, false)::INT) / 6.0 AS confidence, true AS setup_valid, true AS trigger_met,
+sc AS (SELECT symbol, date, 'BUY' AS signal, close AS price, (1 + 2 * coalesce(d3 <= date, false)::INT + 3 * coalesce(d5 <= date, false)::INT) / 6.0 AS confidence,
+true AS setup_valid, true AS trigger_met,
 'golden_cross' AS strategy_name FROM g1 LEFT JOIN f3 USING (symbol) LEFT JOIN f5 USING (symbol))"""
 
 
@@ -476,7 +494,8 @@ def score_multi_tf(spark: SparkSession, d: str) -> DataFrame:
     return rounded(strategies.on_last_date(strategies.score_all_dates(t.bars(spark, d, "supplier"), strategies.golden_cross)))
 
 
-@query(f"""{_score_sql('nation')}, r AS (SELECT *, dense_rank() OVER (PARTITION BY date ORDER BY confidence DESC) AS dense_rank FROM sc) SELECT {_SCORED}, dense_rank::INT AS dense_rank,
+@query(f"""{_score_sql('nation')}, r AS (SELECT *, dense_rank() OVER (PARTITION BY date ORDER BY confidence DESC) AS dense_rank FROM sc) SELECT {_SCORED},
+dense_rank::INT AS dense_rank,
 (row_number() OVER (PARTITION BY date ORDER BY confidence DESC, symbol))::INT AS rank FROM r WHERE dense_rank <= 10""")
 def rank_picks(spark: SparkSession, d: str) -> DataFrame:
     """The picks of every scan date."""
@@ -514,7 +533,9 @@ def _picks(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PICKS = f"""{sql.bars('supplier', 'sbars')}, {sql.META},
-picks AS (SELECT symbol, scan_date, price, 'golden_cross' AS strategy_name, dense_rank() OVER (PARTITION BY m ORDER BY price DESC) AS rank, '{{"symbol":"' || symbol || '"}}' AS metadata FROM (SELECT symbol, date_trunc('month', date) AS m, min(date) AS scan_date, arg_min(close, date) AS price FROM sbars GROUP BY ALL))"""
+picks AS (SELECT symbol, scan_date, price, 'golden_cross' AS strategy_name, dense_rank() OVER (PARTITION BY m ORDER BY price DESC) AS rank,
+'{{"symbol":"' || symbol || '"}}' AS metadata FROM (SELECT symbol, date_trunc('month', date) AS m, min(date) AS scan_date, arg_min(close, date) AS price FROM sbars
+GROUP BY ALL))"""
 
 
 @query(f"""WITH {sql.META}, {sql.WM} SELECT b.*, name, market, industry, type, active, marketcap FROM sbars b JOIN meta USING (symbol)
@@ -543,7 +564,8 @@ def pick_detail(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PICKS}, k AS MATERIALIZED (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars),
 u AS (SELECT symbol, date, 0 AS side, close, NULL AS price FROM k UNION ALL SELECT symbol, scan_date, 1, NULL, price FROM picks),
-p AS (SELECT symbol, date AS scan_date, price, pos FROM (SELECT *, count(close) OVER (PARTITION BY symbol ORDER BY date, side ROWS UNBOUNDED PRECEDING) AS pos FROM u) WHERE side = 1),
+p AS (SELECT symbol, date AS scan_date, price, pos FROM (SELECT *, count(close) OVER (PARTITION BY symbol ORDER BY date, side ROWS UNBOUNDED PRECEDING) AS pos FROM u)
+WHERE side = 1),
 lc AS (SELECT symbol, arg_max(close, date) AS c FROM k GROUP BY symbol)
 SELECT p.symbol, scan_date, round((a.close - price) / price, 6) AS return_1, round((b.close - price) / price, 6) AS return_5,
 round((c.close - price) / price, 6) AS return_21, round((lc.c - price) / price, 6) AS return_to_date, name, industry FROM p LEFT
@@ -624,21 +646,30 @@ def _led(grid: str = _GRID, fee: float = 0, slip: float = 0) -> str:
     """The ledger as a recursion over the bars: led has the state after each bar and the trade that it closed."""
     return f"""{sql.bars("nation")}, {_RSI}, sg AS (SELECT *, {sql.rolling("avg", "close", 20)} AS a, {sql.rolling("avg", "close", 50)} AS b FROM rsi),
 sx AS (SELECT *, lag(rsi_14) OVER (PARTITION BY symbol ORDER BY date) AS r1 FROM sg),
-bar AS (SELECT symbol, date, open, high, low, close, coalesce(a > b, false) AND close > open AS buy, coalesce(rsi_14 < 70 AND r1 >= 70, false) AS leave, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn,
+bar AS (SELECT symbol, date, open, high, low, close, coalesce(a > b, false) AND close > open AS buy, coalesce(rsi_14 < 70 AND r1 >= 70, false) AS leave, row_number() OVER
+(PARTITION BY symbol ORDER BY date) AS rn,
 count(*) OVER (PARTITION BY symbol) AS n FROM sx),
 grid(run_id, sl, tp, ts, md, anchor, off) AS (VALUES {grid}),
-led AS (SELECT grid.*, symbol, 0::BIGINT AS rn, 0::BIGINT AS n, NULL::DATE AS date, NULL::DOUBLE AS close, 10000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, false AS held, NULL::DOUBLE AS ep, NULL::DATE AS ed, NULL::DOUBLE AS peak, NULL::DOUBLE AS anc,
+led AS (SELECT grid.*, symbol, 0::BIGINT AS rn, 0::BIGINT AS n, NULL::DATE AS date, NULL::DOUBLE AS close, 10000.0::DOUBLE AS cash, 0.0::DOUBLE AS shares, false AS held,
+NULL::DOUBLE AS ep, NULL::DATE AS ed, NULL::DOUBLE AS peak, NULL::DOUBLE AS anc,
 NULL::VARCHAR AS reason, NULL::DOUBLE AS x_ep, NULL::DATE AS x_ed, NULL::DOUBLE AS x_shares FROM grid, (SELECT DISTINCT symbol FROM bar)
-UNION ALL SELECT run_id, sl, tp, ts, md, anchor, off, symbol, rn, n, date, close, CASE WHEN enter THEN 0.0 ELSE cash1 END, CASE WHEN enter THEN (cash1 - {fee}) / (close * (1 + {slip})) WHEN held1 THEN shares ELSE 0.0 END, enter OR held1,
+UNION ALL SELECT run_id, sl, tp, ts, md, anchor, off, symbol, rn, n, date, close, CASE WHEN enter THEN 0.0 ELSE cash1 END, CASE WHEN enter THEN (cash1 - {fee}) / (close *
+(1 + {slip})) WHEN held1 THEN shares ELSE 0.0 END, enter OR held1,
 CASE WHEN enter THEN close * (1 + {slip}) ELSE ep END, CASE WHEN enter THEN date ELSE ed END, CASE WHEN enter THEN close ELSE top END,
-CASE WHEN enter THEN CASE anchor WHEN 'ENTRY_LOW' THEN low * (1 - off) WHEN 'ENTRY_HIGH' THEN high * (1 - off) WHEN 'ENTRY_OPEN' THEN open * (1 - off) WHEN 'ENTRY_CLOSE' THEN close * (1 - off) END ELSE anc END, why, ep, ed, shares FROM (
-SELECT *, held AND why IS NULL AS held1, NOT (held AND why IS NULL) AND buy AS enter, CASE WHEN why IS NULL THEN cash ELSE cash + shares * (close * (1 - {slip})) - {fee} END AS cash1 FROM (
+CASE WHEN enter THEN CASE anchor WHEN 'ENTRY_LOW' THEN low * (1 - off) WHEN 'ENTRY_HIGH' THEN high * (1 - off) WHEN 'ENTRY_OPEN' THEN open * (1 - off)
+WHEN 'ENTRY_CLOSE' THEN close * (1 - off) END ELSE anc END, why, ep, ed, shares FROM (
+SELECT *, held AND why IS NULL AS held1, NOT (held AND why IS NULL) AND buy AS enter, CASE WHEN why IS NULL THEN cash ELSE cash + shares * (close *
+(1 - {slip})) - {fee} END AS cash1 FROM (
 SELECT r.run_id, r.sl, r.tp, r.ts, r.md, r.anchor, r.off, bar.*, r.cash, r.shares, r.held, r.ep, r.ed, r.anc, greatest(r.peak, bar.close) AS top,
-CASE WHEN NOT r.held THEN NULL WHEN bar.close <= r.ep * (1 - r.sl) THEN 'stop_loss' WHEN bar.close <= r.anc THEN 'stop_loss_anchor' WHEN bar.close >= r.ep * (1 + r.tp) THEN 'take_profit'
-WHEN bar.close <= greatest(r.peak, bar.close) * (1 - r.ts) THEN 'trailing_stop' WHEN bar.date - r.ed >= r.md THEN 'time_based' WHEN bar.leave THEN 'signal' END AS why FROM led r JOIN bar ON bar.symbol = r.symbol AND bar.rn = r.rn + 1))),
-shut AS (SELECT run_id, symbol, x_ed AS entry_date, x_ep AS entry_price, date AS exit_date, close * (1 - {slip}) AS exit_price, x_shares AS shares, reason FROM led WHERE reason IS NOT NULL
+CASE WHEN NOT r.held THEN NULL WHEN bar.close <= r.ep * (1 - r.sl) THEN 'stop_loss' WHEN bar.close <= r.anc THEN 'stop_loss_anchor' WHEN bar.close >= r.ep *
+(1 + r.tp) THEN 'take_profit'
+WHEN bar.close <= greatest(r.peak, bar.close) * (1 - r.ts) THEN 'trailing_stop' WHEN bar.date - r.ed >= r.md THEN 'time_based' WHEN bar.leave THEN 'signal' END AS why
+FROM led r JOIN bar ON bar.symbol = r.symbol AND bar.rn = r.rn + 1))),
+shut AS (SELECT run_id, symbol, x_ed AS entry_date, x_ep AS entry_price, date AS exit_date, close * (1 - {slip}) AS exit_price, x_shares AS shares, reason FROM led
+WHERE reason IS NOT NULL
 UNION ALL SELECT run_id, symbol, ed, ep, date, close * (1 - {slip}), shares, 'end_of_data' FROM led WHERE held AND rn = n),
-ledger AS (SELECT run_id, symbol, row_number() OVER (PARTITION BY run_id, symbol ORDER BY exit_date, entry_date) AS trade_no, entry_date, entry_price, exit_date, exit_price, shares, reason, exit_price - entry_price AS pnl,
+ledger AS (SELECT run_id, symbol, row_number() OVER (PARTITION BY run_id, symbol ORDER BY exit_date, entry_date) AS trade_no, entry_date, entry_price, exit_date, exit_price,
+shares, reason, exit_price - entry_price AS pnl,
 (exit_price - entry_price) / entry_price AS pnl_pct, exit_date - entry_date AS holding_days FROM shut),
 eq AS (SELECT run_id, symbol, date, CASE WHEN held AND rn = n THEN cash + shares * (close * (1 - {slip})) - {fee} ELSE cash + shares * close END AS equity FROM led WHERE rn > 0)"""
 
@@ -690,18 +721,23 @@ def drawdown_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.drawdown_sharpe(t.bars(spark, d, "nation").select("symbol", "date", F.col("close").alias("equity")), by=("symbol",)), 4)
 
 
-@query(f"""WITH RECURSIVE {_LED}, tot AS (SELECT run_id, date, sum(equity) AS equity FROM eq GROUP BY ALL), p AS (SELECT run_id, date, equity, max(equity) OVER w - equity AS f, equity / lag(equity) OVER w - 1 AS r FROM tot WINDOW w AS (PARTITION BY run_id ORDER BY date)),
+@query(f"""WITH RECURSIVE {_LED}, tot AS (SELECT run_id, date, sum(equity) AS equity FROM eq GROUP BY ALL), p AS (SELECT run_id, date, equity, max(equity)
+OVER w - equity AS f, equity / lag(equity) OVER w - 1 AS r FROM tot WINDOW w AS (PARTITION BY run_id ORDER BY date)),
 m AS (SELECT run_id, max(f) AS dd, CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) ELSE 0 END AS sharpe, arg_max(equity, date) AS fin FROM p GROUP BY run_id)
-SELECT (SELECT run_id FROM m ORDER BY sharpe DESC, run_id DESC LIMIT 1) AS best_sharpe, (SELECT run_id FROM m ORDER BY fin DESC, run_id DESC LIMIT 1) AS best_return, (SELECT run_id FROM m ORDER BY dd, run_id LIMIT 1) AS least_drawdown""")
+SELECT (SELECT run_id FROM m ORDER BY sharpe DESC, run_id DESC LIMIT 1) AS best_sharpe, (SELECT run_id FROM m ORDER BY fin DESC, run_id DESC LIMIT 1) AS best_return,
+(SELECT run_id FROM m ORDER BY dd, run_id LIMIT 1) AS least_drawdown""")
 def grid_best(spark: SparkSession, d: str) -> DataFrame:
     equity = _ledger(spark, d)[1].groupBy("run_id", "date").agg(F.sum("equity").alias("equity"))
     return backtest.grid_best(backtest.drawdown_sharpe(equity, by=("run_id",)))
 
 
-@query(f"""WITH RECURSIVE {_LED}, c AS (SELECT *, 10000 * exp(sum(ln(1 + greatest(pnl_pct, -0.999999))) OVER w) AS c FROM ledger WINDOW w AS (PARTITION BY run_id ORDER BY exit_date, symbol, trade_no)),
+@query(f"""WITH RECURSIVE {_LED}, c AS (SELECT *, 10000 * exp(sum(ln(1 + greatest(pnl_pct, -0.999999))) OVER w) AS c FROM ledger WINDOW w AS
+(PARTITION BY run_id ORDER BY exit_date, symbol, trade_no)),
 f AS (SELECT *, 1 - c / greatest(10000, max(c) OVER (PARTITION BY run_id ORDER BY exit_date, symbol, trade_no)) AS fall FROM c),
-rm AS (SELECT run_id, count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0) AS win_rate, max(fall) AS dd, avg(pnl_pct) AS m, stddev_samp(pnl_pct) AS s, exp(sum(ln(1 + greatest(pnl_pct, -0.999999)))) AS x, max(exit_date) - min(entry_date) AS span FROM f GROUP BY run_id)
-SELECT run_id, round(win_rate, 4) AS win_rate, round(dd, 4) AS max_drawdown_pct, round(10000 * x, 2) AS final, round(CASE WHEN span > 0 THEN pow(x, 252.0 / span) - 1 END, 4) AS yearly_return, round(CASE WHEN s > 0 THEN (m - 0.03 / 365) / s * sqrt(365) ELSE 0 END, 4) AS sharpe FROM rm""")
+rm AS (SELECT run_id, count(*) FILTER (pnl > 0) / nullif(count(*) FILTER (pnl <> 0), 0) AS win_rate, max(fall) AS dd, avg(pnl_pct) AS m, stddev_samp(pnl_pct) AS s,
+exp(sum(ln(1 + greatest(pnl_pct, -0.999999)))) AS x, max(exit_date) - min(entry_date) AS span FROM f GROUP BY run_id)
+SELECT run_id, round(win_rate, 4) AS win_rate, round(dd, 4) AS max_drawdown_pct, round(10000 * x, 2) AS final, round(CASE WHEN span > 0 THEN pow(x, 252.0 / span) - 1 END,
+4) AS yearly_return, round(CASE WHEN s > 0 THEN (m - 0.03 / 365) / s * sqrt(365) ELSE 0 END, 4) AS sharpe FROM rm""")
 def report_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(backtest.report_metrics(_trades_once(spark, d)), 4).withColumn("final", F.round("final", 2))
 
@@ -758,8 +794,10 @@ def _silver(spark: SparkSession, d: str, by: str = "region") -> DataFrame:
 
 def _sil(by: str) -> str:
     return f"""{sql.bars(by)}, sil AS ({" UNION ALL ".join(f"SELECT {n} AS interval, * FROM ({sql.resampled(n)})" for n in INTERVALS)}),
-{sql.ema('sil', (8, 13, 144, 169), part='symbol, interval')}, v AS (SELECT *, least(ema_8, ema_13) AS smin, greatest(ema_8, ema_13) AS smax, least(ema_144, ema_169) AS lmin, greatest(ema_144, ema_169) AS lmax FROM e),
-vel AS (SELECT *, CASE WHEN close > open AND close > smax AND close > lmax AND smin > lmax THEN 'velocity_maintained' WHEN close < ema_13 AND close > ema_169 THEN 'velocity_weak' WHEN close < ema_13 AND close < ema_169 THEN 'velocity_loss' ELSE 'velocity_negotiating' END AS velocity FROM v),
+{sql.ema('sil', (8, 13, 144, 169), part='symbol, interval')}, v AS (SELECT *, least(ema_8, ema_13) AS smin, greatest(ema_8, ema_13) AS smax, least(ema_144, ema_169) AS lmin,
+greatest(ema_144, ema_169) AS lmax FROM e),
+vel AS (SELECT *, CASE WHEN close > open AND close > smax AND close > lmax AND smin > lmax THEN 'velocity_maintained' WHEN close < ema_13
+AND close > ema_169 THEN 'velocity_weak' WHEN close < ema_13 AND close < ema_169 THEN 'velocity_loss' ELSE 'velocity_negotiating' END AS velocity FROM v),
 a1 AS (SELECT symbol, interval, date, 'velocity_alert' AS alert_type, velocity AS signal FROM vel)"""
 
 
@@ -773,7 +811,8 @@ def _cnt(test: str) -> str:
 
 
 _MA = f"""cn AS (SELECT *, {_cnt("velocity <> 'velocity_maintained'")} AS nb, {_cnt("velocity = 'velocity_maintained'")} AS ng FROM vel),
-a2 AS (SELECT symbol, interval, date, 'momentum_alert' AS alert_type, CASE WHEN lmax <= smax AND open < close AND nb > ng THEN 'accelerated' WHEN close < smin AND ng < nb THEN 'decelerated' END AS signal FROM cn)"""
+a2 AS (SELECT symbol, interval, date, 'momentum_alert' AS alert_type, CASE WHEN lmax <= smax AND open < close AND nb > ng THEN 'accelerated' WHEN close < smin
+AND ng < nb THEN 'decelerated' END AS signal FROM cn)"""
 _TA = """tl AS (SELECT *, lmin * (1 - tol) AS b0, lmax * (1 + tol) AS b1 FROM (SELECT *, CASE interval WHEN 1 THEN 0.002::DOUBLE WHEN 3 THEN 0.02::DOUBLE WHEN 5 THEN 0.05::DOUBLE WHEN 8 THEN 0.07::DOUBLE WHEN 13 THEN 0.1::DOUBLE ELSE 0.02::DOUBLE END AS tol FROM vel)),
 a3 AS (SELECT symbol, interval, date, 'ema_touch' AS alert_type, CASE WHEN smin > lmax AND least(close, open) > lmin THEN 'support' WHEN smax < lmax AND close < lmax THEN 'resistance' ELSE 'neutral' END AS signal FROM tl WHERE low BETWEEN b0 AND b1 OR ema_13 BETWEEN b0 AND b1 OR ema_8 BETWEEN b0 AND b1)"""
 
@@ -816,32 +855,33 @@ def _weighed(source: str, by: str = "symbol, interval") -> str:
 JOIN (SELECT interval, row_number() OVER (ORDER BY interval) AS w FROM (SELECT DISTINCT interval FROM {source})) USING (interval))"""
 
 
-_LASTS = f"""WITH RECURSIVE {_all("supplier")}, last AS (SELECT * FROM la QUALIFY date >= max(date) OVER (PARTITION BY interval) - 30), {_weighed("last")}"""
+def _lasts(days: int) -> str:
+    return f"""WITH RECURSIVE {_all("supplier")}, last AS (SELECT * FROM la QUALIFY date >= max(date) OVER (PARTITION BY interval) - {days}), {_weighed("last")}"""
 
 
-def _last_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return alerts.on_last_days(alerts.all_alerts(_silver(spark, d, "supplier")), 30)
+def _last_alerts(spark: SparkSession, d: str, days: int = 14) -> DataFrame:
+    return alerts.on_last_days(alerts.all_alerts(_silver(spark, d, "supplier")), days)
 
 
 def _a_row_each(found: DataFrame) -> DataFrame:
     return found.select("category", F.explode("symbols").alias("symbol"))
 
 
-@query(f"""{_LASTS} SELECT DISTINCT 'accelerating' AS category, symbol FROM cw WHERE w * acc > 1 AND w * dec < 1 AND interval <= 3
+@query(f"""{_lasts(14)} SELECT DISTINCT 'accelerating' AS category, symbol FROM cw WHERE w * acc > 1 AND w * dec < 1 AND interval <= 3
 UNION ALL SELECT 'long_accelerating', symbol FROM cw WHERE w * acc > 1 AND w * dec < 1 AND interval = 5
 UNION ALL SELECT 'long_accumulating', symbol FROM cw WHERE w * sup > 1 AND w * res < 1 AND tou >= 1 AND interval = 5""")
 def candidates_micro(spark: SparkSession, d: str) -> DataFrame:
     return _a_row_each(alerts.candidates_micro(_last_alerts(spark, d)))
 
 
-@query(f"{_LASTS} SELECT DISTINCT 'velocity_maintained' AS category, symbol FROM cw WHERE interval >= 8 AND w * mai > 0 AND wea = 0 AND los = 0")
+@query(f"{_lasts(14)} SELECT DISTINCT 'velocity_maintained' AS category, symbol FROM cw WHERE interval >= 8 AND w * mai > 0 AND wea = 0 AND los = 0")
 def candidates_macro(spark: SparkSession, d: str) -> DataFrame:
     return _a_row_each(alerts.candidates_macro(_last_alerts(spark, d)))
 
 
-@query(f"{_LASTS} SELECT DISTINCT 'accumulating' AS category, symbol FROM cw WHERE w * sup > 1 AND w * res < 1 AND tou >= 2 AND interval <= 3")
+@query(f"{_lasts(180)} SELECT DISTINCT 'accumulating' AS category, symbol FROM cw WHERE w * sup > 1 AND w * res < 1 AND tou >= 2 AND interval <= 3")
 def candidates_accumulating(spark: SparkSession, d: str) -> DataFrame:
-    return _a_row_each(alerts.candidates_accumulating(_last_alerts(spark, d)))
+    return _a_row_each(alerts.candidates_accumulating(_last_alerts(spark, d, 180)))
 
 
 def _symbols_where(test: str, name: str) -> str:
@@ -868,10 +908,14 @@ def latest_candidates(spark: SparkSession, d: str) -> DataFrame:
     return alerts.latest_candidates(_candidates(spark, d)).withColumn("symbols", F.concat_ws(",", "symbols"))
 
 
-_SUP = f"""{_SIL}, {_TA}, tb AS (SELECT sil.symbol, sil.interval, sil.date, a3.signal AS touch, row_number() OVER (PARTITION BY sil.symbol, sil.interval ORDER BY sil.date) AS rn FROM sil LEFT JOIN a3 ON a3.symbol = sil.symbol AND a3.interval = sil.interval AND a3.date = sil.date),
-sup AS (SELECT symbol, interval, NULL::DATE AS date, NULL::VARCHAR AS touch, 0::BIGINT AS rn, false AS shown, -9::BIGINT AS s, -9::BIGINT AS r, -9::BIGINT AS n FROM (SELECT DISTINCT symbol, interval FROM tb)
-UNION ALL SELECT symbol, interval, date, touch, rn, shown, CASE WHEN shown AND touch = 'support' THEN rn ELSE s END, CASE WHEN shown AND touch = 'resistance' THEN rn ELSE r END, CASE WHEN shown AND touch = 'neutral' THEN rn ELSE n END FROM (
-SELECT tb.*, coalesce(tb.rn - CASE tb.touch WHEN 'support' THEN x.s WHEN 'resistance' THEN x.r WHEN 'neutral' THEN x.n END > 3, false) AS shown, x.s, x.r, x.n FROM sup x JOIN tb ON tb.symbol = x.symbol AND tb.interval = x.interval AND tb.rn = x.rn + 1)),
+_SUP = f"""{_SIL}, {_TA}, tb AS (SELECT sil.symbol, sil.interval, sil.date, a3.signal AS touch, row_number() OVER (PARTITION BY sil.symbol,
+sil.interval ORDER BY sil.date) AS rn FROM sil LEFT JOIN a3 ON a3.symbol = sil.symbol AND a3.interval = sil.interval AND a3.date = sil.date),
+sup AS (SELECT symbol, interval, NULL::DATE AS date, NULL::VARCHAR AS touch, 0::BIGINT AS rn, false AS shown, -9::BIGINT AS s, -9::BIGINT AS r, -9::BIGINT AS n FROM
+(SELECT DISTINCT symbol, interval FROM tb)
+UNION ALL SELECT symbol, interval, date, touch, rn, shown, CASE WHEN shown AND touch = 'support' THEN rn ELSE s END, CASE WHEN shown
+AND touch = 'resistance' THEN rn ELSE r END, CASE WHEN shown AND touch = 'neutral' THEN rn ELSE n END FROM (
+SELECT tb.*, coalesce(tb.rn - CASE tb.touch WHEN 'support' THEN x.s WHEN 'resistance' THEN x.r WHEN 'neutral' THEN x.n END > 3, false) AS shown, x.s, x.r, x.n FROM sup x
+JOIN tb ON tb.symbol = x.symbol AND tb.interval = x.interval AND tb.rn = x.rn + 1)),
 cnt3 AS (SELECT *, count(*) FILTER (shown) OVER (PARTITION BY symbol, interval ORDER BY rn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS touch_count FROM sup WHERE rn > 0)"""
 
 
@@ -886,8 +930,12 @@ def touch_alert_suppressed(spark: SparkSession, d: str) -> DataFrame:
 def _level_sql(name: str) -> str:
     width, below, _ = candles.LEVELS[name]
     if below is None:
-        return f"""{sql.EVENTS}, c_1m AS (SELECT symbol, time_bucket(INTERVAL '1 minute', event_time) AS ws, arg_min(p, (event_time, event_id)) AS o, max(p) AS h, min(p) AS l, arg_max(p, (event_time, event_id)) AS c, sum(volume)::BIGINT AS v, count(*) AS n, CASE WHEN sum(volume) > 0 THEN sum(p * volume) / sum(volume) ELSE avg(p) END AS vw FROM ok GROUP BY 1, 2)"""
-    return f"""{_level_sql(below)}, c_{name} AS (SELECT symbol, time_bucket(INTERVAL '{width}', ws, TIMESTAMP '1970-01-01') AS ws, arg_min(o, ws) AS o, max(h) AS h, min(l) AS l, arg_max(c, ws) AS c, sum(v)::BIGINT AS v, sum(n)::BIGINT AS n, CASE WHEN sum(v) > 0 THEN sum(vw * v) / sum(v) ELSE avg(vw) END AS vw FROM c_{below} GROUP BY 1, time_bucket(INTERVAL '{width}', ws, TIMESTAMP '1970-01-01'))"""
+        return f"""{sql.EVENTS}, c_1m AS (SELECT symbol, time_bucket(INTERVAL '1 minute', event_time) AS ws, arg_min(p, (event_time, event_id)) AS o, max(p) AS h, min(p) AS l,
+arg_max(p, (event_time, event_id)) AS c, sum(volume)::BIGINT AS v, count(*) AS n, CASE WHEN sum(volume) > 0 THEN sum(p * volume) / sum(volume) ELSE avg(p) END AS vw FROM ok
+GROUP BY 1, 2)"""
+    return f"""{_level_sql(below)}, c_{name} AS (SELECT symbol, time_bucket(INTERVAL '{width}', ws, TIMESTAMP '1970-01-01') AS ws, arg_min(o, ws) AS o, max(h) AS h,
+min(l) AS l, arg_max(c, ws) AS c, sum(v)::BIGINT AS v, sum(n)::BIGINT AS n, CASE WHEN sum(v) > 0 THEN sum(vw * v) / sum(v) ELSE avg(vw) END AS vw FROM c_{below} GROUP BY 1,
+time_bucket(INTERVAL '{width}', ws, TIMESTAMP '1970-01-01'))"""
 
 
 def _level(name: str) -> None:
@@ -907,11 +955,14 @@ def _avg(c: str, minutes: int) -> str:
     return f"round(avg({c}) OVER (PARTITION BY symbol ORDER BY s RANGE BETWEEN {60 * minutes} PRECEDING AND CURRENT ROW), 8)"
 
 
-@query(f"""WITH {_level_sql("15m")}, q AS (SELECT *, epoch_ms(ws) // 1000 AS s FROM c_15m), m AS (SELECT *, {_avg("c", 180)} AS e12, {_avg("c", 2160)} AS e144, {_avg("v", 300)} AS av FROM q),
+@query(f"""WITH {_level_sql("15m")}, q AS (SELECT *, epoch_ms(ws) // 1000 AS s FROM c_15m), m AS
+(SELECT *, {_avg("c", 180)} AS e12, {_avg("c", 2160)} AS e144, {_avg("v", 300)} AS av FROM q),
 x AS (SELECT *, v / nullif(av, 0) AS ratio, lag(c) OVER w AS c1, lag(e12) OVER w AS p12 FROM m WINDOW w AS (PARTITION BY symbol ORDER BY s)),
-y AS (SELECT *, CASE WHEN c > e12 AND e12 > e144 AND c1 <= p12 THEN 'breakout_long' WHEN c < e12 AND e12 < e144 AND c1 >= p12 THEN 'breakout_short' WHEN abs(c - e144) <= 0.001 * e144 AND e12 > e144 THEN 'support' WHEN abs(c - e12) <= 0.001 * e12 AND e12 < e144 THEN 'resistance' END AS signal,
+y AS (SELECT *, CASE WHEN c > e12 AND e12 > e144 AND c1 <= p12 THEN 'breakout_long' WHEN c < e12 AND e12 < e144 AND c1 >= p12 THEN 'breakout_short'
+WHEN abs(c - e144) <= 0.001 * e144 AND e12 > e144 THEN 'support' WHEN abs(c - e12) <= 0.001 * e12 AND e12 < e144 THEN 'resistance' END AS signal,
 least(1, greatest(0, 200 * abs(c - e12) / nullif(e12, 0) + least(0.3, 0.1 * coalesce(ratio, 0)) + least(0.2, 10 * abs(e12 - e144) / nullif(e144, 0)))) AS strength FROM x)
-SELECT symbol, s AS start, signal, round(strength + 1e-9, 6) AS strength, round(e12 + 1e-9, 6) AS avg_180m, round(e144 + 1e-9, 6) AS avg_2160m FROM y WHERE signal IS NOT NULL AND strength > 0.3""")
+SELECT symbol, s AS start, signal, round(strength + 1e-9, 6) AS strength, round(e12 + 1e-9, 6) AS avg_180m, round(e144 + 1e-9, 6) AS avg_2160m FROM y WHERE signal IS NOT NULL
+AND strength > 0.3""")
 def channel_signals_range(spark: SparkSession, d: str) -> DataFrame:
     out = candles.channel_signals(candles.cascade(t.stream_events(spark, d), "15m"))
     nudged = [(F.col(c) + 1e-9).alias(c) for c in ("strength", "avg_180m", "avg_2160m")]

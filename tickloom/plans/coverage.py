@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,11 +150,21 @@ def archive_stats(spark: SparkSession, d: str) -> DataFrame:
     return bookkeeping.archive_stats(t.bars(spark, d, "supplier").where("date < '1996-01-01'"))
 
 
-@query(f"""WITH {sql.RAW} SELECT count(*) AS old_rows, count(*) AS archived, count(*) AS deleted, 'success' AS status, true AS consistent FROM raw
-WHERE CAST(timestamp AS DATE) < DATE '1998-12-31' - INTERVAL 37 MONTHS""")
+_RUN = """SELECT '{0}' AS run, count(*) FILTER (old) AS old_rows, {1} AS archived, {2} AS deleted, CASE WHEN {1} = count(*) FILTER (old) THEN 'success' WHEN {1} > 0 THEN 'partial_success' ELSE 'failed' END AS status,
+{1} = {2} AS consistent, count(*) - {2} AS kept FROM o"""
+_ODD_DAYS = "count(*) FILTER (old AND day(timestamp) % 2 = 1)"
+
+
+@query(f"""WITH {sql.RAW}, o AS (SELECT *, CAST(timestamp AS DATE) < DATE '1998-12-31' - INTERVAL 37 MONTHS AS old FROM raw)
+{_RUN.format("empty", "count(*) FILTER (old)", "count(*) FILTER (old)")} UNION ALL {_RUN.format("half", _ODD_DAYS, f"CASE WHEN {_ODD_DAYS} > 0 THEN count(*) FILTER (old) ELSE 0 END")} UNION ALL {_RUN.format("full", "0", "0")}""")
 def retention_report(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs, into an archive that is empty, holds the even days, and holds all, with what they leave."""
     raw = t.raw_ohlcv(spark, d).withColumn("date", F.to_date("timestamp"))
-    return bookkeeping.retention_report(sinks.archive_split(raw, raw.limit(0), "1998-12-31")[2])
+    runs = []
+    for name, archive in (("empty", raw.limit(0)), ("half", raw.where("day(date) % 2 = 0")), ("full", raw)):
+        kept, _, log = sinks.archive_split(raw, archive, "1998-12-31")
+        runs.append(bookkeeping.retention_report(log).select(F.lit(name).alias("run"), "*").crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("kept")))))
+    return reduce(DataFrame.unionByName, runs)
 
 
 @query(f"""WITH {sql.bars('supplier')}, l AS (SELECT symbol, max(date) AS start FROM bars GROUP BY symbol), c AS (SELECT CAST(g AS DATE) AS date
@@ -273,11 +285,15 @@ MULTI = {
 }
 
 
-@query(f"""WITH {sql.bars()}, b5 AS ({sql.resampled(5)}), b3 AS ({sql.resampled(3)}), s5 AS (SELECT *, coalesce(close > {sql.rolling("avg", "close", 20)}, false) AS setup_valid FROM b5), m3 AS (SELECT *, {sql.rolling("avg", "close", 10)} AS m FROM b3),
-c3 AS (SELECT *, close > m AND lag(close) OVER w <= lag(m) OVER w AS up FROM m3 WINDOW w AS (PARTITION BY symbol ORDER BY date)), t3 AS (SELECT c3.symbol, c3.date, CASE WHEN up AND coalesce(s5.setup_valid, false) THEN 'BUY' ELSE 'HOLD' END AS signal FROM c3 ASOF LEFT JOIN s5 ON s5.symbol = c3.symbol AND c3.date >= s5.date),
-b1 AS (SELECT *, {sql.rolling("avg", "close", 50)} AS m FROM bars), x1 AS (SELECT *, close < m AND lag(close) OVER w >= lag(m) OVER w AS down FROM b1 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+@query(f"""WITH {sql.bars()}, b5 AS ({sql.resampled(5)}), b3 AS ({sql.resampled(3)}), s5 AS (SELECT *, coalesce(close > {sql.rolling("avg", "close", 20)},
+false) AS setup_valid FROM b5), m3 AS (SELECT *, {sql.rolling("avg", "close", 10)} AS m FROM b3),
+c3 AS (SELECT *, close > m AND lag(close) OVER w <= lag(m) OVER w AS up FROM m3 WINDOW w AS (PARTITION BY symbol ORDER BY date)), t3 AS (SELECT c3.symbol, c3.date, CASE
+WHEN up AND coalesce(s5.setup_valid, false) THEN 'BUY' ELSE 'HOLD' END AS signal FROM c3 ASOF LEFT JOIN s5 ON s5.symbol = c3.symbol AND c3.date >= s5.date),
+b1 AS (SELECT *, {sql.rolling("avg", "close", 50)} AS m FROM bars), x1 AS (SELECT *, close < m AND lag(close) OVER w >= lag(m) OVER w AS down FROM b1 WINDOW w AS
+(PARTITION BY symbol ORDER BY date)),
 a AS (SELECT x1.symbol, x1.date, x1.down, coalesce(s5.setup_valid, false) AS setup_valid FROM x1 ASOF LEFT JOIN s5 ON s5.symbol = x1.symbol AND x1.date >= s5.date)
-SELECT a.symbol, a.date, a.setup_valid, coalesce(t3.signal, 'HOLD') AS signal, CASE WHEN a.down THEN 'SELL' END AS exit_signal FROM a LEFT JOIN t3 ON t3.symbol = a.symbol AND t3.date = a.date""")
+SELECT a.symbol, a.date, a.setup_valid, coalesce(t3.signal, 'HOLD') AS signal, CASE WHEN a.down THEN 'SELL' END AS exit_signal FROM a LEFT JOIN t3 ON t3.symbol = a.symbol
+AND t3.date = a.date""")
 def multi_timeframe_strategy(spark: SparkSession, d: str) -> DataFrame:
     return conditions.run_document(t.bars(spark, d), MULTI).select("symbol", "date", "setup_valid", "signal", "exit_signal")
 
@@ -336,8 +352,10 @@ def staging_rows(spark: SparkSession, d: str) -> DataFrame:
     return strategies.to_staging(_buys(spark, d).withColumn("setup_valid", F.lit(True)))
 
 
-@query(f"""{_BUYS}, m AS (SELECT symbol, strategy_name, max(confidence) AS confidence FROM b GROUP BY ALL), r AS (SELECT *, dense_rank() OVER (PARTITION BY strategy_name ORDER BY confidence DESC) AS dense_rank FROM (SELECT DISTINCT symbol, strategy_name, confidence FROM b)),
-k AS (SELECT r.* FROM r JOIN m USING (symbol, strategy_name, confidence) WHERE dense_rank <= 2) SELECT symbol, strategy_name, round(confidence::DOUBLE, 6) AS confidence, dense_rank::INT AS dense_rank, (row_number() OVER (PARTITION BY strategy_name ORDER BY confidence DESC, symbol))::INT AS rank FROM k""")
+@query(f"""{_BUYS}, m AS (SELECT symbol, strategy_name, max(confidence) AS confidence FROM b GROUP BY ALL), r AS (SELECT *, dense_rank() OVER
+(PARTITION BY strategy_name ORDER BY confidence DESC) AS dense_rank FROM (SELECT DISTINCT symbol, strategy_name, confidence FROM b)),
+k AS (SELECT r.* FROM r JOIN m USING (symbol, strategy_name, confidence) WHERE dense_rank <= 2) SELECT symbol, strategy_name, round(confidence::DOUBLE, 6) AS confidence,
+dense_rank::INT AS dense_rank, (row_number() OVER (PARTITION BY strategy_name ORDER BY confidence DESC, symbol))::INT AS rank FROM k""")
 def rank_picks_ties(spark: SparkSession, d: str) -> DataFrame:
     """Many rows, ties, symbols more than once, two ranks."""
     out = strategies.rank_picks(_buys(spark, d), top_k=2)
@@ -434,7 +452,8 @@ def resampled_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _row_buckets(n: int) -> str:
-    return f"""SELECT '{n}d' AS interval, symbol, min(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume, count(*) AS bars
+    return f"""SELECT '{n}d' AS interval, symbol, min(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close,
+sum(volume) AS volume, count(*) AS bars
 FROM (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1) // {n} AS k FROM bars) GROUP BY symbol, k"""
 
 
@@ -495,3 +514,28 @@ def candles_of_messages(spark: SparkSession, d: str) -> DataFrame:
     _finished(stream.writeStream.format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True))
     out = candles.candles_1m(spark.read.schema(stream.schema).parquet(f"{root}/events"))
     return out.select("symbol", F.unix_timestamp("window_start").alias("start"), *candles.PRICE, "volume", "trade_count")
+
+
+#: A document over candles: the state of four hours, the event of one hour, on bars of a quarter.
+HOURS = {
+    "timeframe": "15m",
+    "components": {
+        "setup": {"type": "INDICATOR_THRESHOLD", "column": "close", "operator": ">", "value": 50, "timeframe": "4h"},
+        "trigger": {"type": "CANDLE_PATTERN", "pattern": "GREEN_CANDLE", "timeframe": "1h"},
+        "exit": {"type": "CONDITIONAL_OR_FIXED", "conditions": [{"type": "CONDITIONAL_OR_FIXED", "conditions": [{"type": "INDICATOR_CROSS", "column": "close", "direction": "DOWN", "value": 20}, {"type": "STOP_LOSS_ATR", "value": 2}]}]},
+    },
+}
+
+
+@query(f"""WITH {catalog._level_sql('15m')}, q AS (SELECT *, time_bucket(INTERVAL '1 hour', ws) AS h1, time_bucket(INTERVAL '4 hours', ws, TIMESTAMP '1970-01-01') AS h4
+FROM c_15m),
+s AS (SELECT *, last_value(c) OVER four > 50 AS setup_valid, first_value(o) OVER one AS o1, last_value(c) OVER one AS c1, lag(c) OVER
+(PARTITION BY symbol ORDER BY ws) AS before FROM q
+  WINDOW one AS (PARTITION BY symbol, h1 ORDER BY ws ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), four AS (PARTITION BY symbol,
+h4 ORDER BY ws ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT symbol, epoch_ms(ws) // 1000 AS start, setup_valid, CASE WHEN ws = h1 AND c1 > o1 AND setup_valid THEN 'BUY' ELSE 'HOLD' END AS signal, CASE WHEN c < 20
+AND before >= 20 THEN 'SELL' END AS exit_signal FROM s""")
+def document_over_hours(spark: SparkSession, d: str) -> DataFrame:
+    q = candles.cascade(t.stream_events(spark, d), "15m")
+    b = q.select("symbol", F.col("window_start").alias("date"), *[F.col(f"{p}_price").alias(p) for p in ("open", "high", "low", "close")], F.col("volume").cast("double").alias("volume"))
+    return conditions.run_document(b, HOURS).select("symbol", F.unix_timestamp("date").alias("start"), "setup_valid", "signal", "exit_signal")

@@ -12,8 +12,10 @@ _FROM = {
 
 def bars(by: str = "region", name: str = "bars") -> str:
     symbol, tables = _FROM[by]
-    return f"""t_{name} AS (SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS date, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, l_quantity AS qty, l_orderkey, l_linenumber FROM {tables}),
-{name} AS (SELECT symbol, date, first(price ORDER BY {_ORD}) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY {_ORD}) AS close, sum(qty) AS volume FROM t_{name} GROUP BY symbol, date)"""
+    return f"""t_{name} AS (SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS date, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, l_quantity AS qty,
+l_orderkey, l_linenumber FROM {tables}),
+{name} AS (SELECT symbol, date, first(price ORDER BY {_ORD}) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY {_ORD}) AS close, sum(qty) AS volume
+FROM t_{name} GROUP BY symbol, date)"""
 
 
 RAW = f"""{bars()},
@@ -44,7 +46,8 @@ def ema(source: str, periods, name: str = "e", value: str = "close", part: str =
     first = ", ".join(f"{value} AS ema_{p}" for p in periods)
     then = ", ".join(f"2.0 / {p + 1} * o.{value} + (1 - 2.0 / {p + 1}) * r.ema_{p}" for p in periods)
     return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY date) AS rn FROM {source}),
-{name} AS (SELECT {name}_o.*, {first} FROM {name}_o WHERE rn = 1 UNION ALL SELECT o.*, {then} FROM {name} r JOIN {name}_o o ON {" AND ".join(f"o.{c.strip()} = r.{c.strip()}" for c in part.split(","))} AND o.rn = r.rn + 1)"""
+{name} AS (SELECT {name}_o.*, {first} FROM {name}_o WHERE rn = 1 UNION ALL SELECT o.*, {then} FROM {name} r
+JOIN {name}_o o ON {" AND ".join(f"o.{c.strip()} = r.{c.strip()}" for c in part.split(","))} AND o.rn = r.rn + 1)"""
 
 
 def rolling(agg: str, value: str, n: int, part: str = "symbol", shift: int = 0, last: int | None = None) -> str:
