@@ -8,8 +8,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import backtest, joins, resample
-from tickloom.sources import resampled, sinks, versions
+from tickloom.operators import backtest, bookkeeping, joins, resample
+from tickloom.sources import readers, resampled, sinks, versions
 
 DAY = dt.date(2026, 1, 1)
 BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
@@ -142,3 +142,42 @@ def test_position_history_columns(spark):
     trades = spark.createDataFrame([("A", DAY, 10.0, DAY + dt.timedelta(3), 2.0)], "symbol string, entry_date date, entry_price double, exit_date date, shares double")
     out = backtest.position_history(trades, bars(spark, "A", days=10))
     assert all(r.unrealised == pytest.approx((r.close - 10) * 2) and 0 < r.days_held <= 3 for r in out.collect()) and out.count() > 0
+
+
+def test_manifest_names_every_part(spark, tmp_path):
+    rows = [(str(i), None if i % 3 == 0 else f"name, \"{i}\"\nof two lines", i) for i in range(100)]
+    meta = spark.createDataFrame(rows, "symbol string, name string, marketcap long")
+    root = f"file://{tmp_path}/m"
+    found = readers.read_metadata_manifest(spark, sinks.write_metadata_manifest(meta, root, rows=10), root)
+    assert same(meta, found)
+    assert len(list((tmp_path / "m" / "parts").glob("part=*"))) == 10
+
+
+def test_sessions_prune_folders(spark, tmp_path):
+    path = f"file://{tmp_path}/bronze"
+    b = bars(spark, days=20).withColumns({"timestamp": F.col("date").cast("timestamp"), "interval": F.lit("1d")})
+    sinks.write_bronze(b, path)
+    sinks.write_bronze(b.where("date = '2026-01-05'"), path)  # appended: a second file for the day
+    got = readers.read_bronze(spark, path, dates=["2026-01-05", "2026-01-06", "2027-01-01"], columns=["symbol", "close", "timestamp"])
+    expected = b.where("date = '2026-01-05'").unionByName(b.where("date IN ('2026-01-05', '2026-01-06')")).select("symbol", "close", "timestamp")
+    assert same(expected, got)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    count = {d: b.where(F.col("date") == d).count() for d in ("2026-01-05", "2026-01-06")}  # one bar of a symbol a day
+    assert len({r.f for r in got.select(F.col("_metadata.file_path").alias("f")).collect()}) == 2 * count["2026-01-05"] + count["2026-01-06"]
+
+
+@pytest.mark.parametrize("kind", ["text", "column", "table", "empty"])
+def test_a_day_is_a_date_a_column_or_a_table(spark, kind):
+    snap = bars(spark, days=10)
+    last = snap.agg(F.max("date").alias("last"))
+    day = {"text": "2026-01-10", "column": F.lit("2026-01-10").cast("date"), "table": spark.sql("SELECT date'2026-01-10' AS d"), "empty": last.where("last < '2000-01-01'").agg(F.max("last"))}[kind]
+    raw = snap.withColumns({"timestamp": F.col("date").cast("timestamp"), "interval": F.lit("1d"), "close": F.col("close") + 1}).drop("date")
+    out = sinks.snapshot_incremental(snap, raw, day)
+    if kind == "empty":  # no day: nothing is replaced
+        assert same(out, snap)
+    else:
+        assert same(out, snap.withColumn("close", F.when(F.col("date") == "2026-01-10", F.col("close") + 1).otherwise(F.col("close"))))
+    meta = spark.createDataFrame([("A", "True"), ("B", None), ("C", "False"), ("Z", "True")], "symbol string, active string")
+    live = {r.symbol for r in bookkeeping.scannable(meta, snap, day).collect()}
+    assert live == (set() if kind == "empty" else {r.symbol for r in snap.where("date = '2026-01-10'").collect()} & {"A", "B"})

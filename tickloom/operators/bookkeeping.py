@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .joins import with_day
+
 
 def _date(d: str | Column) -> Column:
     return F.lit(d).cast("date") if isinstance(d, str) else d
@@ -20,11 +22,11 @@ def update_watermark(wm: DataFrame, batch: DataFrame, date: str | Column) -> Dat
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def missing_dates(wm: DataFrame, today: str | Column, hour_et: int | Column = 16, n: int = 30) -> DataFrame:
+def missing_dates(wm: DataFrame, today: str | Column | DataFrame, hour_et: int | Column = 16, n: int = 30) -> DataFrame:
     """Weekdays after the watermark up to the last day there can be data for, the latest n of them."""
-    day, hour = _date(today), F.lit(hour_et) if isinstance(hour_et, int) else hour_et
+    day, hour = F.col("_day"), F.lit(hour_et) if isinstance(hour_et, int) else hour_et
     last = F.when((hour >= 16) & F.dayofweek(day).between(2, 6), day).otherwise(F.date_sub(day, 1))
-    at = wm.where("is_current").agg(F.max("latest_date").alias("done")).select(last.alias("last"), F.coalesce(F.date_add("done", 1), F.date_sub(day, n)).alias("start"))
+    at = with_day(wm.where("is_current").agg(F.max("latest_date").alias("done")), today).select(last.alias("last"), F.coalesce(F.date_add("done", 1), F.date_sub(day, n)).alias("start"))
     days = at.where("start <= last").select(F.explode(F.sequence("start", "last")).alias("date")).where(F.dayofweek("date").between(2, 6))
     return days.orderBy(F.desc("date")).limit(n)
 
@@ -62,10 +64,10 @@ def active_symbols(meta: DataFrame, types: Iterable[str] | None = None, min_mark
     return out
 
 
-def scannable(meta: DataFrame, bars: DataFrame, date: str | Column) -> DataFrame:
+def scannable(meta: DataFrame, bars: DataFrame, date: str | Column | DataFrame) -> DataFrame:
     """Active symbols (unknown counts as active) that have a bar on the date."""
     live = meta.where(F.coalesce(F.lower(F.col("active")), F.lit("true")) == "true").select("symbol")
-    return live.join(bars.where(F.col("date") == _date(date)).select("symbol"), "symbol", "left_semi")
+    return live.join(with_day(bars, date).where(F.col("date") == F.col("_day")).select("symbol"), "symbol", "left_semi")
 
 
 def freshness(snap: DataFrame, date: str | Column) -> DataFrame:

@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_day(df: DataFrame, day: str | Column | DataFrame, name: str = "_day") -> DataFrame:
+    """``df`` with a day as column ``name``: a date, a column, or the first column of a table of one row, which is sent to the tasks.
+
+    A day that a table computes is never fetched by the driver, so it is part of the plan.
+    """
+    if isinstance(day, DataFrame):
+        return df.crossJoin(F.broadcast(day.select(F.col(day.columns[0]).cast("date").alias(name))))
+    return df.withColumn(name, F.lit(day).cast("date"))
+
+
 def asof_state(base: DataFrame, higher: DataFrame, cols: Iterable[str], by=("symbol",)) -> DataFrame:
     """The latest state at or before each base bar. Both sides are stacked and the last value is carried on, so no range join grows.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.readers import optional_filter
-from .joins import nth_bar_after, pivot_by_rank, top_n
+from .joins import nth_bar_after, pivot_by_rank, top_n, with_day
 
 SORTABLE = ("symbol", "name", "industry", "marketcap", "close", "volume", "rank", "confidence")
 
@@ -53,10 +53,10 @@ def picks_today_metadata(picks: DataFrame, meta: DataFrame, **filters) -> DataFr
     return picks_today(picks, meta, **filters).select("symbol", "rank", "metadata")
 
 
-def pick_detail(picks: DataFrame, meta: DataFrame, symbol: str, scan_date: str | Column, strategy: str | None = None) -> DataFrame:
+def pick_detail(picks: DataFrame, meta: DataFrame, symbol: str, scan_date: str | Column | DataFrame, strategy: str | None = None) -> DataFrame:
     """Z4"""
-    d = F.lit(scan_date).cast("date") if isinstance(scan_date, str) else scan_date
-    out = picks.where((F.col("symbol") == F.upper(F.trim(F.lit(symbol)))) & (F.col("scan_date") == d))
+    own = picks.where(F.col("symbol") == F.upper(F.trim(F.lit(symbol))))
+    out = with_day(own, scan_date).where(F.col("scan_date") == F.col("_day")).drop("_day")
     if strategy:
         out = out.where(F.col("strategy_name") == strategy)
     return out.join(meta, "symbol", "left")

@@ -30,11 +30,9 @@ def snapshot_incremental(spark: SparkSession, d: str) -> DataFrame:
     """A stale snapshot with one wrong day, mended from that day's bars, equals a fresh one."""
     raw = t.raw_ohlcv(spark, d)
     full = sinks.snapshot_bootstrap(raw)
-    last = full.agg(F.max("date")).first()[0]
-    if last is None:
-        return full
-    stale = full.withColumn("close", F.when(F.col("date") == F.lit(last), -1.0).otherwise(F.col("close")))
-    return sinks.snapshot_incremental(stale, raw, F.lit(last))
+    last = full.agg(F.max("date").alias("last"))
+    stale = joins.with_day(full, last).withColumn("close", F.when(F.col("date") == F.col("_day"), -1.0).otherwise(F.col("close"))).drop("_day")
+    return sinks.snapshot_incremental(stale, raw, last)
 
 
 @query(f"WITH {sql.bars()} SELECT {OHLCV} FROM bars WHERE date >= (SELECT max(date) FROM bars) - 365")
@@ -99,8 +97,7 @@ def watermark_scd2(spark: SparkSession, d: str) -> DataFrame:
 CAST(x + 61 AS TIMESTAMP), INTERVAL 1 DAY) r(g) WHERE dayofweek(g) BETWEEN 1 AND 5 ORDER BY 1 DESC LIMIT 30""")
 def missing_dates(spark: SparkSession, d: str) -> DataFrame:
     wm = t.watermark(spark, d)
-    last = wm.where("is_current").agg(F.max("latest_date")).first()[0]
-    return bookkeeping.missing_dates(wm, F.date_add(F.lit(last), 60), 17 if last else 16).where(F.col("date") <= F.date_add(F.lit(last), 60))
+    return bookkeeping.missing_dates(wm, wm.where("is_current").agg(F.date_add(F.max("latest_date"), 60).alias("today")), 17)
 
 
 @query(f"""WITH {sql.META}, {sql.WM}, a AS (SELECT symbol FROM meta WHERE lower(active) = 'true') SELECT symbol, 'NO_WATERMARK' AS reason FROM a
@@ -125,7 +122,7 @@ def active_symbols(spark: SparkSession, d: str) -> DataFrame:
 FROM sbars WHERE date = (SELECT max(date) FROM sbars))""")
 def scannable_symbols(spark: SparkSession, d: str) -> DataFrame:
     b = t.bars(spark, d, "supplier")
-    return bookkeeping.scannable(t.symbol_metadata(spark, d), b, F.lit(b.agg(F.max("date")).first()[0]))
+    return bookkeeping.scannable(t.symbol_metadata(spark, d), b, b.agg(F.max("date").alias("last")))
 
 
 @query(f"""WITH {sql.bars()} SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS rows, count(DISTINCT symbol) AS symbols,
@@ -559,7 +556,7 @@ def picks_today_metadata(spark: SparkSession, d: str) -> DataFrame:
 JOIN meta USING (symbol) WHERE symbol = '1' AND scan_date = (SELECT max(scan_date) FROM picks WHERE symbol = '1')""")
 def pick_detail(spark: SparkSession, d: str) -> DataFrame:
     p = _picks(spark, d)
-    return serving.pick_detail(p, t.symbol_metadata(spark, d), " 1 ", F.lit(p.where("symbol = '1'").agg(F.max("scan_date")).first()[0]))
+    return serving.pick_detail(p, t.symbol_metadata(spark, d), " 1 ", p.where("symbol = '1'").agg(F.max("scan_date").alias("last")))
 
 
 @query(f"""WITH {_PICKS}, k AS MATERIALIZED (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM sbars),

@@ -424,6 +424,51 @@ def sma_of_volume(spark: SparkSession, d: str) -> DataFrame:
 # tables on disk and streams that are read to their end
 
 
+def _bronze(spark: SparkSession, d: str) -> str:
+    """A gap of six weeks is recovered as bronze: a file for each symbol and day."""
+    path, raw = versions.scratch(spark, "bronze"), t.raw_ohlcv(spark, d)
+    sinks.write_bronze(sinks.recover_gap(raw.withColumn("date", F.to_date("timestamp")), *GAP), path)
+    return path
+
+
+#: Days of the gap, and the sessions that are read back of it.
+GAP, SESSIONS = ("1997-03-01", "1997-04-15"), ("1997-03-07", "1997-03-21", "1997-04-04")
+_IN_GAP = f"CAST(timestamp AS DATE) BETWEEN DATE '{GAP[0]}' AND DATE '{GAP[1]}'"
+
+
+@query(f"WITH {sql.RAW} SELECT symbol, CAST(timestamp AS DATE) AS date, 1 AS files, count(*) AS bars FROM raw WHERE {_IN_GAP} GROUP BY 1, 2")
+def bronze_files(spark: SparkSession, d: str) -> DataFrame:
+    """The layout: every symbol and day is one file."""
+    found = spark.read.schema(BRONZE).parquet(_bronze(spark, d))
+    return found.groupBy("symbol", "date").agg(F.countDistinct("_metadata.file_path").alias("files"), F.count(F.lit(1)).alias("bars"))
+
+
+#: Types of bronze bars and of their folders.
+BRONZE = "symbol string, open double, high double, low double, close double, volume double, timestamp timestamp, interval string, date date"
+
+
+@query(f"WITH {sql.RAW} SELECT symbol, CAST(timestamp AS DATE) AS date, hour(timestamp)::INT AS hour, close, volume FROM raw WHERE {_IN_GAP}")
+def bronze_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All of bronze, two of its price columns."""
+    out = readers.read_bronze(spark, _bronze(spark, d), columns=("symbol", "timestamp", "close", "volume"))
+    return out.select("symbol", F.to_date("timestamp").alias("date"), F.hour("timestamp").alias("hour"), "close", "volume")
+
+
+@query(f"""WITH {sql.RAW} SELECT symbol, CAST(timestamp AS DATE) AS date, hour(timestamp)::INT AS hour, open, high, low, close, volume, interval FROM raw
+WHERE CAST(timestamp AS DATE) IN ({", ".join(f"DATE '{s}'" for s in SESSIONS)})""")
+def bronze_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Three sessions of bronze, whose folders alone are listed in the scan."""
+    out = readers.read_bronze(spark, _bronze(spark, d), dates=SESSIONS, schema=BRONZE)
+    return out.select("symbol", F.to_date("timestamp").alias("date"), F.hour("timestamp").alias("hour"), "open", "high", "low", "close", "volume", "interval")
+
+
+@query(f"WITH {sql.META} SELECT * FROM meta")
+def metadata_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata in parts that a manifest names."""
+    meta, root = t.symbol_metadata(spark, d), versions.scratch(spark, "metadata")
+    return readers.read_metadata_manifest(spark, sinks.write_metadata_manifest(meta, root, 40), root).select(*meta.columns)
+
+
 @query(f"WITH {sql.bars('nation')} SELECT {OHLCV} FROM bars")
 def published_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot over an older one; the reader follows the manifest."""

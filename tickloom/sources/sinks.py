@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import top_n
+from ..operators.joins import top_n, with_day
 from . import versions
 
 
@@ -18,6 +18,17 @@ def write_bronze(df: DataFrame, path: str, mode: str = "append") -> None:
     df.withColumn("date", F.to_date("timestamp")).repartition("symbol", "date").write.mode(mode).option("compression", "snappy").partitionBy("symbol", "date").parquet(path)
 
 
+def write_metadata_manifest(meta: DataFrame, root: str, rows: int = 1000) -> str:
+    """What S3 reads: parts of about ``rows`` symbols, each one JSON list, and a manifest that names them. Returns the manifest's path."""
+    parts = max(1, -(-meta.count() // rows))
+    part = F.pmod(F.xxhash64("symbol"), F.lit(parts)).cast("int").alias("part")
+    lists = meta.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*meta.columns))).alias("value"))
+    lists.write.partitionBy("part").text(f"{root}/parts")
+    names = lists.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.concat(F.lit("parts/part="), F.col("part").cast("string")))).alias("part_keys"))).alias("value"))
+    names.coalesce(1).write.text(f"{root}/manifest")
+    return f"{root}/manifest"
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """K2: the new rows (one for each key, the last by ``order``) and the old rows of other keys."""
     new = top_n(new, keys, [F.desc(order) if order else F.lit(1)], 1)
@@ -80,11 +91,11 @@ def snapshot_bootstrap(raw: DataFrame, end: str | Column | None = None, days: in
     return trim_retention(latest.select(*columns), days)
 
 
-def snapshot_incremental(snap: DataFrame, raw: DataFrame, scan_date: str | Column, days: int = 1825) -> DataFrame:
+def snapshot_incremental(snap: DataFrame, raw: DataFrame, scan_date: str | Column | DataFrame, days: int = 1825) -> DataFrame:
     """K5: the day's rows are replaced; a day without bars leaves the snapshot as it is."""
-    new = snapshot_bootstrap(raw.where(F.to_date("timestamp") == _date(scan_date)), None, days)
+    new = snapshot_bootstrap(with_day(raw, scan_date).where(F.to_date("timestamp") == F.col("_day")).drop("_day"), None, days)
     has_new = F.broadcast(new.agg((F.count(F.lit(1)) > 0).alias("_new")))
-    kept = snap.crossJoin(has_new).where(~F.col("_new") | (F.col("date") != _date(scan_date))).drop("_new")
+    kept = with_day(snap, scan_date).crossJoin(has_new).where(~F.col("_new") | (F.col("date") != F.col("_day"))).drop("_new", "_day")
     return trim_retention(kept.unionByName(new), days)
 
 
