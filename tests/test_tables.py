@@ -181,3 +181,13 @@ def test_a_day_is_a_date_a_column_or_a_table(spark, kind):
     meta = spark.createDataFrame([("A", "True"), ("B", None), ("C", "False"), ("Z", "True")], "symbol string, active string")
     live = {r.symbol for r in bookkeeping.scannable(meta, snap, day).collect()}
     assert live == (set() if kind == "empty" else {r.symbol for r in snap.where("date = '2026-01-10'").collect()} & {"A", "B"})
+
+
+@pytest.mark.parametrize("schema", [None, "symbol string, close double, timestamp timestamp, date date"])
+def test_symbols_that_look_like_numbers_stay_text(spark, tmp_path, schema):
+    rows = [(s, dt.datetime(2026, 1, d), float(d)) for s in ("0700", "7203", "3D") for d in (5, 6)]
+    sinks.write_bronze(spark.createDataFrame(rows, "symbol string, timestamp timestamp, close double"), f"file://{tmp_path}/b")
+    for dates, n in ((None, 6), (["2026-01-06"], 3)):
+        got = readers.read_bronze(spark, f"file://{tmp_path}/b", dates, ["symbol", "timestamp", "close"], schema)
+        assert dict(got.dtypes)["symbol"] == "string"
+        assert {r.symbol for r in got.collect()} == {"0700", "7203", "3D"} and got.count() == n

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.resample import resample_all
 from ..schemas import BAR_COLUMNS, CANDLE_EVENT, PRICES, struct
@@ -23,10 +24,13 @@ SOURCES = ("polygon", "websocket", "rest", "replay")
 def read_bronze(spark: SparkSession, path: str, dates: Iterable[str] | None = None, columns: Iterable[str] = STANDARD, schema: str | None = None) -> DataFrame:
     """Bars under symbol=/date= folders, only the named columns, optionally only some session dates (pruned folders).
 
-    With a ``schema`` (DDL) no file is opened to find one, and a file of other types fails the read.
+    With a ``schema`` (DDL) no file is opened to find one, and a file of other types fails the read. Without one a symbol is
+    text too, also where all folders' names look like numbers, such as 0700 or 3D.
     """
     columns = list(columns)
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    if not schema and dict(df.dtypes).get("symbol", "string") != "string":
+        df = spark.read.schema(T.StructType([T.StructField("symbol", T.StringType()) if f.name == "symbol" else f for f in df.schema])).parquet(path)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
