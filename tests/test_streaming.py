@@ -91,6 +91,16 @@ def test_route_and_upsert(spark, tmp_path):
     assert routed.count() + bad.count() == good.count() and bad.count() > 0 and routed.where("expire_at IS NULL").count() == 0
     candles.stream_upsert(stream, str(tmp_path / "t"), ["symbol"], str(tmp_path / "k2"), "window_start").start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    # Batches whose commit was lost are tried again: routed rows and the upserted table stay as they are.
+    for k in ("k1", "k2"):
+        for f in (tmp_path / k / "commits").glob("*"):
+            f.unlink()
+    before = (routed.drop("batch").count(), bad.count(), sorted(map(str, spark.read.parquet(f"{tmp_path}/t").collect())))
+    candles.route_candles(stream, str(tmp_path / "out"), str(tmp_path / "k1")).start().awaitTermination()
+    candles.stream_upsert(stream, str(tmp_path / "t"), ["symbol"], str(tmp_path / "k2"), "window_start").start().awaitTermination()
+    routed, bad = spark.read.parquet(f"{tmp_path}/out/candles"), spark.read.parquet(f"{tmp_path}/out/quarantine")
+    assert before == (routed.count(), bad.count(), sorted(map(str, spark.read.parquet(f"{tmp_path}/t").collect())))
+    assert routed.where("batch IS NULL").count() == 0 and set(routed.select("interval_type").distinct().toPandas()["interval_type"]) == {"1m"}
 
 
 def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):

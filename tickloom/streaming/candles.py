@@ -140,12 +140,15 @@ def dedupe_alerts(alerts: DataFrame, within: str = "5 minutes", time: str = "win
 
 
 def route_candles(stream: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
-    """Candles to a table by interval, with expiry; rows that don't fit go to quarantine and stop nothing."""
+    """Candles to a table by interval, with expiry; rows that don't fit go to quarantine and stop nothing.
+
+    Both tables have a folder for each batch number, so a batch that is tried again replaces its own rows.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         ok = F.coalesce(F.col("symbol").isNotNull() & F.col("interval_type").isin(*LEVELS) & (F.col("close_price") >= 0), F.lit(False))
-        with_ttl(batch.where(ok)).write.mode("append").partitionBy("interval_type").parquet(f"{root}/candles")
-        batch.where(~ok).write.mode("append").parquet(f"{root}/quarantine")
+        with_ttl(batch.where(ok)).write.mode("overwrite").partitionBy("interval_type").parquet(f"{root}/candles/batch={epoch}")
+        batch.where(~ok).write.mode("overwrite").parquet(f"{root}/quarantine/batch={epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
