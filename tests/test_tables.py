@@ -191,3 +191,22 @@ def test_symbols_that_look_like_numbers_stay_text(spark, tmp_path, schema):
         got = readers.read_bronze(spark, f"file://{tmp_path}/b", dates, ["symbol", "timestamp", "close"], schema)
         assert dict(got.dtypes)["symbol"] == "string"
         assert {r.symbol for r in got.collect()} == {"0700", "7203", "3D"} and got.count() == n
+
+
+def test_a_manifest_is_there_while_it_is_swapped(spark, tmp_path):
+    root, seen, stop = f"file://{tmp_path}/m", [], threading.Event()
+    versions.swap_manifest(spark, root, {"latest": 0})
+
+    def read():
+        while not stop.is_set():
+            seen.append(versions.read_manifest(spark, root).get("latest"))
+
+    readers_ = [threading.Thread(target=read) for _ in range(3)]
+    for r in readers_:
+        r.start()
+    for k in range(1, 101):
+        versions.swap_manifest(spark, root, {"latest": k})
+    stop.set()
+    for r in readers_:
+        r.join()
+    assert seen and None not in seen and versions.read_manifest(spark, root) == {"latest": 100}

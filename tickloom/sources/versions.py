@@ -7,6 +7,7 @@ reader sees the old version or the new one, whole, and never a folder that is be
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
 
@@ -55,7 +56,7 @@ def read_manifest(spark: SparkSession, root: str) -> dict:
 
 
 def swap_manifest(spark: SparkSession, root: str, content: dict) -> None:
-    """One rename over the old manifest."""
+    """One rename over the old manifest. Hadoop's own for local paths deletes the old file first, so there the system's rename is taken."""
     jvm = spark._jvm
     new, fs = _plain(spark, f"{root}/.{MANIFEST}-{uuid.uuid4().hex}")
     try:
@@ -65,6 +66,9 @@ def swap_manifest(spark: SparkSession, root: str, content: dict) -> None:
         source, target = fs.makeQualified(new), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{root}/{MANIFEST}"))
     finally:
         fs.close()
+    if target.toUri().getScheme() == "file":
+        os.replace(source.toUri().getPath(), target.toUri().getPath())
+        return
     how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(source, target, how)
