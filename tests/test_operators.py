@@ -581,3 +581,21 @@ def test_means_by_running_totals_are_the_means(spark):
     assert {r.sma_5 for r in out if r.symbol == "D" and r.sma_5 is not None} == {0.1}
     plan = indicators.smas(b, (50, 200))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_grid_best_tells_accounts_apart_that_are_nearly_empty(spark):
+    """A return of -10,000 and next to nothing left: the final equities differ, the returns don't."""
+    left = {"a": 1e-37, "b": 1e-183, "c": 1e-205}
+    rows = [(run, s, DAY + dt.timedelta(i), x) for run, end in left.items() for s in ("A", "B", "C") for i, x in enumerate((10000.0, 9000.0, 11000.0, end))]
+    equity = backtest.portfolio(spark.createDataFrame(rows, backtest.EQUITY))
+    metrics = backtest.drawdown_sharpe(equity, by=("run_id",))
+    assert {r.total_return for r in metrics.collect()} == {-10000.0}
+    best = backtest.grid_best(metrics).collect()[0]
+    assert (best.best_return, best.least_drawdown) == ("a", "a")
+
+
+def test_portfolio_adds_symbols_in_their_order(spark):
+    values = {"A": 0.1, "B": 0.2, "C": 0.3, "D": 1e16, "E": -1e16}
+    rows = [("x", s, DAY, v) for s, v in values.items()] + [("y", s, DAY, v) for s, v in reversed(values.items())]
+    got = {r.run_id: r.equity for r in backtest.portfolio(spark.createDataFrame(rows, backtest.EQUITY).repartition(3)).collect()}
+    assert got["x"] == got["y"] == 0.1 + 0.2 + 0.3 + 1e16 - 1e16

@@ -335,8 +335,19 @@ def bootstrap_ci(trades: DataFrame, draws: int = 200, seed: int = 7, by: str = "
     return ends.groupBy(by).agg(F.avg("final").alias("mean_final"), F.least(F.lit(0.0), F.min("fall")).alias("worst_fall"), F.percentile("final", F.lit(0.05)).alias("p5"), F.percentile("final", F.lit(0.95)).alias("p95"))
 
 
+def portfolio(equity: DataFrame) -> DataFrame:
+    """Each run's equity over all symbols, by date. A date's symbols are added in their order, so runs with equal accounts have equal sums."""
+    accounts = F.array_sort(F.collect_list(F.struct("symbol", "equity")))
+    return equity.groupBy("run_id", "date").agg(F.aggregate(accounts, F.lit(0.0), lambda total, x: total + x["equity"]).alias("equity"))
+
+
 def grid_best(metrics: DataFrame) -> DataFrame:
-    """The best run by Sharpe ratio, by total return and by fall; ties by name."""
+    """The best run by Sharpe ratio, by total return and by fall; ties by name.
+
+    Returns are compared as final equities where there are such: what is left of an account may be so little that the
+    return, which lies a whole capital below it, is the same number for several runs.
+    """
+    most = "final_equity" if "final_equity" in metrics.columns else "total_return"
     return metrics.agg(
-        F.max(F.struct("sharpe", "run_id")).run_id.alias("best_sharpe"), F.max(F.struct("total_return", "run_id")).run_id.alias("best_return"), F.min(F.struct("max_drawdown", "run_id")).run_id.alias("least_drawdown")
+        F.max(F.struct("sharpe", "run_id")).run_id.alias("best_sharpe"), F.max(F.struct(most, "run_id")).run_id.alias("best_return"), F.min(F.struct("max_drawdown", "run_id")).run_id.alias("least_drawdown")
     )
