@@ -599,3 +599,27 @@ def test_portfolio_adds_symbols_in_their_order(spark):
     rows = [("x", s, DAY, v) for s, v in values.items()] + [("y", s, DAY, v) for s, v in reversed(values.items())]
     got = {r.run_id: r.equity for r in backtest.portfolio(spark.createDataFrame(rows, backtest.EQUITY).repartition(3)).collect()}
     assert got["x"] == got["y"] == 0.1 + 0.2 + 0.3 + 1e16 - 1e16
+
+
+def test_candidates_read_the_alerts_once(spark):
+    from tickloom.operators import alerts
+
+    rows = [(s, DAY + dt.timedelta(i), *[50 + 20 * math.sin(i / (7 + 3 * k)) + j for j in (0, 1, -1, 0.5)], 1.0) for k, s in enumerate("ABCDE") for i in range(300)]
+    widths = resample.resample_all(spark.createDataFrame(rows, BARS), (1, 3, 5, 8)).withColumnRenamed("n", "interval")
+    weighed = alerts.weighed_alerts(widths, 40)
+    for find in (alerts.candidates_micro, alerts.candidates_macro, alerts.candidates_accumulating):
+        plan = find(weighed)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FlatMapGroupsInArrow") == 1 and "SortMergeJoin" not in plan
+        # Over a plain table of alerts the places are found anew.
+        assert sorted(find(weighed).collect()) == sorted(find(alerts.on_last_days(alerts.all_alerts(widths), 40)).collect())
+    assert alerts.candidates_by_date(weighed).collect() == alerts.candidates_by_date(weighed.drop("w")).collect()
+    ends = resample.last_buckets(spark.createDataFrame(rows, BARS).agg(F.max("date").alias("date")), (1, 3, 5, 8))
+    assert sorted(ends.collect()) == sorted(widths.groupBy("interval").agg(F.max("date")).collect())
+
+
+def test_averages_of_series_in_one_group_are_those_of_each_alone(spark):
+    rows = [(s, DAY + dt.timedelta(i), 1.0, 1.0, 1.0, None if i % (k + 4) == k else math.cos(i * (k + 1)), 1.0, f"{k}d") for s in "AB" for k in range(3) for i in range(30 + k)]
+    b = spark.createDataFrame(rows, BARS + ", timeframe string")
+    for step in (lambda x: indicators.ema(x, (3, 8)), lambda x: indicators.macd(x)):
+        alone = [r for k in range(3) for r in step(b.where(F.col("timeframe") == f"{k}d").drop("timeframe")).withColumn("timeframe", F.lit(f"{k}d")).select(step(b).columns).collect()]
+        assert sorted(map(str, step(b).collect())) == sorted(map(str, alone))

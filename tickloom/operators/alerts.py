@@ -75,17 +75,28 @@ def ema_touch_alert(df: DataFrame) -> DataFrame:
 
 def all_alerts(df: DataFrame, days: int = 5 * 365) -> DataFrame:
     """L4: the three kinds, for the last ``days`` of each interval. One pass over each series finds all three."""
+    return weighed_alerts(df, days).drop("w")
+
+
+def weighed_alerts(df: DataFrame, days: int = 5 * 365, ends: DataFrame | None = None) -> DataFrame:
+    """``all_alerts`` with the interval's place among all intervals as ``w``, so that nothing reads the alerts twice.
+
+    Every bar has a velocity, so the alerts have the bars' intervals and last dates. ends: (interval, date), each
+    interval's last date, for who knows it without reading the bars.
+    """
     out, momentum = _momentum(_velocity(df))
+    ends = df.groupBy("interval").agg(F.max("date").alias("date")) if ends is None else ends
+    start = ends.select("interval", F.date_sub("date", days).alias("from"), F.dense_rank().over(Window.orderBy("interval")).alias("w"))  # a handful of intervals
     kinds = {"velocity_alert": F.col("velocity"), "momentum_alert": momentum, "ema_touch": _touch()}
-    found = F.filter(F.array(*[F.struct(F.lit(k).alias("alert_type"), signal.alias("signal")) for k, signal in kinds.items()]), lambda x: x["signal"].isNotNull())
-    rows = out.select(*BY, "date", F.inline(found))
-    # Every bar has a velocity, so the last date of the alerts is that of the bars: no second pass.
-    return _since(rows, df.groupBy("interval").agg(F.date_sub(F.max("date"), days).alias("from")))
+    # Days come first, so kinds are told of the rows that stay.
+    pairs = F.array(*[F.struct(F.lit(k).alias("alert_type"), kind.alias("signal")) for k, kind in kinds.items()])
+    return _since(out, start).select(*BY, "date", F.inline(pairs), "w").where("signal IS NOT NULL")
 
 
 def _since(rows: DataFrame, start: DataFrame) -> DataFrame:
-    """Rows from each interval's date on. start: (interval, from), one row for each interval; Spark sends it to the tasks if it is small."""
-    start = start.select(F.col("interval").alias("_interval"), F.col("from").alias("_from"))
+    """Rows from each interval's date on. start: (interval, from), one row for each interval. It is sent to the tasks: a
+    join that deals rows by interval would put all of them into as many tasks as there are intervals."""
+    start = F.broadcast(start.withColumnsRenamed({"interval": "_interval", "from": "_from"}))
     return rows.join(start, (rows["interval"] == F.col("_interval")) & (rows["date"] >= F.col("_from"))).drop("_interval", "_from")
 
 
@@ -94,11 +105,14 @@ _NAMES = ("accelerated", "decelerated", "support", "resistance", "neutral", "vel
 
 def signal_counts(alerts: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """A3: counts of each signal by symbol and interval (or also by date), all touches as ``touches``, and as ``w`` the
-    interval's place among all those of the alerts."""
-    out = alerts.groupBy(*by).agg(*[F.count_if(F.col("signal") == n).alias(n) for n in _NAMES])
+    interval's place among all those of the alerts, which weighed alerts have already."""
+    known = "w" in alerts.columns
+    out = alerts.groupBy(*by).agg(*[F.count_if(F.col("signal") == n).alias(n) for n in _NAMES], *([F.max("w").alias("w")] if known else []))
     out = out.withColumn("touches", F.col("support") + F.col("resistance") + F.col("neutral"))
+    if known:
+        return out
     places = alerts.select("interval").distinct().withColumn("w", F.dense_rank().over(Window.orderBy("interval")))  # a handful of intervals
-    return out.join(places, "interval")
+    return out.join(F.broadcast(places), "interval")
 
 
 def _on_last_date(alerts: DataFrame) -> DataFrame:
@@ -152,12 +166,16 @@ def candidates_by_date(alerts: DataFrame) -> DataFrame:
     """A row for each date, the latest first, with a list of symbols for each category; a list may be empty.
 
     All dates are judged in one pass: counts by date, symbol and interval, weighed by the interval's place among all
-    intervals of the alerts, and the categories' symbols collected by date.
+    intervals of the alerts, and the categories' symbols collected by date. What fits no category is one row a date
+    before dates are put together.
     """
     rules = _rules()
     counts = signal_counts(alerts, ("date", *BY))
-    lists = [F.sort_array(F.collect_set(F.when(rules[k], F.col("symbol")))).alias(k) for k in CATEGORIES]
-    return counts.groupBy("date").agg(*lists).orderBy(F.desc("date"))
+    found = F.array_compact(F.array(*[F.when(rules[k], k) for k in CATEGORIES]))
+    named = counts.select("date", "symbol", F.explode_outer(found).alias("category"))
+    named = named.select("date", "category", F.when(F.col("category").isNotNull(), F.col("symbol")).alias("symbol")).distinct()
+    lists = [F.sort_array(F.collect_list(F.when(F.col("category") == k, F.col("symbol")))).alias(k) for k in CATEGORIES]
+    return named.groupBy("date").agg(*lists).orderBy(F.desc("date"))
 
 
 def latest_candidates(cands: DataFrame) -> DataFrame:
