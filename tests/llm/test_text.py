@@ -4,14 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import blockdedup, bpe, langid, licenses, lm, packing, quality, queries, sigtree, toxicity, urlfilter
+from tickloom.llm.common import mix
 from tickloom.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -413,6 +416,80 @@ def test_signature_trees_with_hot_shingles(spark, monkeypatch):
     assert Counter(map(tuple, sigtree.link_components(table).collect())) == brute_components(rows)
 
 
+def test_a_passage_of_many_texts_does_not_chain_families(spark, monkeypatch, tmp_path):
+    """Pairs below the threshold that all quote a passage: each set travels about once, and not to all tiles of one large family."""
+    real = sigtree._links_of
+
+    def noted(keys, sets, labels, percent):
+        if labels is not None:
+            (tmp_path / f"{keys[0]}-{random.random()}").write_text(str(len(keys)))
+        return real(keys, sets, labels, percent)
+
+    monkeypatch.setattr(sigtree, "_links_of", noted)
+    monkeypatch.setattr(sigtree, "TILE", 8)
+    hot = [f"hot{i}" for i in range(20)]
+    rows = []
+    for family in range(40):
+        base = [f"f{family}w{i}" for i in range(60)]
+        edited = [f"e{family}n{i}" if i in (10, 30, 50) else w for i, w in enumerate(base)]
+        rows += [(2 * family, " ".join(hot + base)), (2 * family + 1, " ".join(hot + edited))]
+    rows.append((1000, " ".join(hot)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, sigtree.link_components(table).collect())) == brute_components(rows)
+    assert 80 <= sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 160
+
+
+def test_signature_trees_with_marks_that_collide(spark, monkeypatch):
+    """Marks of eight values: no link is lost, whatever hashes look alike in a bucket."""
+    places = sigtree._places
+    weak = vars(sigtree) | {"_places": lambda hashes, buckets: (places(hashes, buckets)[0], places(hashes, buckets)[1] & np.uint32(7))}
+    for name in ("_pack", "_twins", "_prefixes"):
+        f = getattr(sigtree, name)
+        monkeypatch.setattr(sigtree, name, type(f)(f.__code__, weak, name, f.__defaults__))
+    rng = random.Random(10)
+    rows = []
+    for family in range(8):
+        base = [f"f{family}w{rng.randrange(999)}" for _ in range(60)]
+        for k in range(8):
+            ws = list(base)
+            for _ in range(rng.randrange(5)):
+                ws[rng.randrange(60)] = f"e{rng.randrange(9999)}"
+            rows.append((family * 100 + k, " ".join(ws)))
+    table = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")
+    assert Counter(map(tuple, sigtree.link_components(table).collect())) == brute_components(rows + rows[:9])
+
+
+def test_postings_are_packed_whole(spark):
+    rng = np.random.default_rng(4)
+    keys, doc = mix(np.arange(5000, dtype=np.uint64)), rng.integers(0, 3, 5000)
+    table = np.array([[7, 70], [8, 80], [9, 90]])
+    found = Counter()
+    for row in sigtree._pack(keys, doc, table, 4).to_pylist():
+        marks, docs = sigtree._unpack(pa.Table.from_pylist([row], schema=sigtree._POSTING), 2)
+        found.update((row["bucket"], int(m), *d) for m, d in zip(marks, docs.tolist(), strict=True))
+    bucket, marks = sigtree._places(keys, 4)
+    assert found == Counter((int(b), int(m), *table[d].tolist()) for b, m, d in zip(bucket, marks, doc, strict=True))
+    assert sigtree._pack(keys[:0], doc[:0], table, 4).num_rows == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from tickloom.llm.common import materialise
+
+    def shuffled():
+        return {f.name for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files = spark.conf.get(name), shuffled()
+    assert len(materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).collect()) == 7
+    end = time.time() + 10
+    while shuffled() - files and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled() - files
+    assert spark.conf.get(name) == before
+
+
 def test_tree_links_all_that_links(spark):
     rng = np.random.default_rng(2)
     sets = []

@@ -12,14 +12,17 @@ What meets in a task is found in three exact steps, so that work follows the lin
 1. Documents with the same set become one class (two 64-bit sums over the set and its size).
 2. Linked sets share at least k of their smallest hashes, so a class without k shared ones links with nothing.
    Postings for this are packed per bucket of the hash; a hash with a million documents is one run of numbers.
+   Inside a bucket 32 bits stand for a hash: two that look alike may add a count, but none is ever lost.
 3. What is left meets twice. First by min-hash, in tiles of bounded size: this joins nearly all near copies
    into components. Then, for completeness, sets that lie to three quarters in sets of other components meet in
-   families: sets that share a hash of their prefix, over two components, are of one family. A family is one
-   tile, or all pairs of tiles if it is larger, so each set travels once for each tile and not for each hash.
-   Pairs inside one component are never compared, so a group of copies costs about one comparison a member.
+   families: sets of two components and of near enough sizes that share a hash of their prefix are of one family.
+   The prefix takes hashes that many sets hold last, so a passage that many texts quote chains only those that hold
+   little else. A family is one tile, or all pairs of tiles if it is larger, so each set travels once for each tile
+   and not for each hash. Pairs inside one component are never compared, so a group of copies costs about one
+   comparison a member.
 
 Python memory is bounded by a bucket of postings, of which there are the more the more hashes there are, or by two tiles
-of sets. Nothing but a fixed bitmap of 8 MB, sums and emptiness tests reaches the driver.
+of sets. Nothing but two fixed bitmaps of 8 MB, sums and emptiness tests reaches the driver.
 
 Defined results: without words or text the set is empty, linked with nothing, and the component is the own id;
 repeated rows are equal sets, hence one component; an empty table gives an empty one; other columns are not read.
@@ -45,8 +48,10 @@ PERCENT = 75
 EXTRA_PERCENT = 15
 #: Documents in one tile, and children of a tree node.
 TILE, FANOUT = 1024, 8
-#: Bits of the bitmap that keeps sets without a chance from being shuffled.
+#: Bits of the bitmaps: that which keeps sets without a chance from being shuffled, and that of hashes with many sets.
 SIEVE_BITS = 1 << 26
+#: A hash with more sets comes last in their prefixes.
+HOT = 16
 #: Rows of 16 bytes that may be broadcast.
 FEW = 1 << 20
 
@@ -106,37 +111,61 @@ def _take(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first[:-1], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-_POSTING = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+_POSTING = pa.schema([("bucket", pa.int32()), ("counted", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()), ("marks", pa.binary())])
+_POSTED = "bucket int, counted boolean, docs binary, counts binary, marks binary"
 
 
-def _pack(hashes: np.ndarray, doc: np.ndarray, table: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row per bucket: the rows of ``table`` of its documents, how many hashes each has there, and these."""
-    bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int32)
+def _places(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each hash, and its mark: 32 bits that stand for it there."""
+    spread = mix(hashes)
+    return (spread % np.uint64(buckets)).astype(np.int32), (spread >> np.uint64(32)).astype(np.uint32)
+
+
+def _pack(hashes: np.ndarray, doc: np.ndarray, table: np.ndarray, buckets: int, counted: bool = False) -> pa.RecordBatch:
+    """A row per bucket: the rows of ``table`` of its documents, how many hashes each has there, and their marks.
+
+    A count is a byte, so a document with more hashes in a bucket is there more than once.
+    """
+    bucket, marks = _places(hashes, buckets)
     order = np.lexsort((doc, bucket))
-    hashes, doc, bucket = hashes[order], doc[order], bucket[order]
-    edge = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)] if len(bucket) else []
-    rows: list[tuple] = []
-    for a, b in zip(edge, edge[1:], strict=False):
-        own, counts = np.unique(doc[a:b], return_counts=True)
-        rows.append((int(bucket[a]), table[own].tobytes(), counts.astype(np.int32).tobytes(), hashes[a:b].tobytes()))
-    columns = list(zip(*rows, strict=True)) or [()] * 4
+    marks, doc, bucket = marks[order], doc[order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])])) if len(bucket) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(bucket)))
+    pieces = -(-size // 255)
+    own, which = table[np.repeat(doc[first], pieces)], np.repeat(bucket[first], pieces)
+    counts = np.full(len(own), 255, np.uint8)
+    counts[np.cumsum(pieces) - 1] = size - 255 * (pieces - 1)
+    found, at = np.unique(which, return_index=True)
+    ends, edge = [*at[1:].tolist(), len(which)], np.searchsorted(bucket, found, side="right").tolist()
+    rows = list(zip(at.tolist(), ends, [0, *edge[:-1]], edge, strict=True)) if len(found) else []
+    columns = [found, [counted] * len(rows), [own[a:b].tobytes() for a, b, _, _ in rows], [counts[a:b].tobytes() for a, b, _, _ in rows], [marks[a:b].tobytes() for _, _, a, b in rows]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _POSTING.types, strict=True)], schema=_POSTING)
 
 
 def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and, for each, its document's row."""
+    """Marks and, for each, its document's row."""
     docs = np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64).reshape(-1, width)
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
-    return np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64), np.repeat(docs, counts, axis=0)
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8)
+    return np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint32), np.repeat(docs, counts, axis=0)
+
+
+def _twins(hashes: np.ndarray, doc: np.ndarray, buckets: int) -> np.ndarray:
+    """Which hashes look like an earlier one of the same document in their bucket."""
+    bucket, marks = _places(hashes, buckets)
+    order = np.lexsort((bucket, marks, doc))
+    doc, marks, bucket = doc[order], marks[order], bucket[order]
+    twin = np.zeros(len(order), dtype=bool)
+    twin[order[1:]] = (doc[1:] == doc[:-1]) & (marks[1:] == marks[:-1]) & (bucket[1:] == bucket[:-1])
+    return twin
 
 
 #: Hashes in a bucket of postings, about.
 BUCKET_HASHES = 1 << 20
 
 
-def _buckets(sizes: DataFrame) -> int:
-    """So many buckets that each holds about ``BUCKET_HASHES``, and one for each shuffle partition at least. sizes: column n."""
-    hashes = sizes.agg(F.sum("n")).first()[0] or 0
+def _buckets(sizes: DataFrame, share: int = 100) -> int:
+    """So many buckets that each holds about ``BUCKET_HASHES``, and one for each shuffle partition at least. sizes: column n; share: hundredths posted."""
+    hashes = (sizes.agg(F.sum("n")).first()[0] or 0) * share // 100
     return max(1, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(hashes) // BUCKET_HASHES))
 
 
@@ -177,7 +206,7 @@ def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     that very many texts hold is one posting a step, and not one a text. A class that copies spread over steps may be
     counted once a step, so counts may be too high but never too low.
     """
-    buckets = _buckets(sizes)
+    buckets = _buckets(sizes, 100 - percent + EXTRA_PERCENT)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,14 +224,19 @@ def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
                 begin = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, bool)
                 here = np.diff(np.append(np.flatnonzero(begin), len(hashes)))
                 shared = np.repeat(here > 1, here)
-                table = np.stack([k1.view(np.int64), np.zeros(len(k1), np.int64)], axis=1)
-                table = np.concatenate([table, table + np.array([0, 1])])  # second half: counted already
                 keep = ~shared | begin
-                yield _pack(hashes[keep], doc[keep] + len(n) * shared[keep], table, buckets)
-                own, c = np.unique(k1.view(np.int64)[doc[shared]], return_counts=True)
+                # Of hashes of a text that look alike in their bucket one is posted, and the others are counted here.
+                twin = np.zeros(len(hashes), dtype=bool)
+                twin[keep] = _twins(hashes[keep], doc[keep], buckets)
+                keep &= ~twin
+                for counted in (False, True):
+                    at = keep & (shared == counted)
+                    yield _pack(hashes[at], doc[at], k1.view(np.int64)[:, None], buckets, counted)
+                own, c = np.unique(k1.view(np.int64)[doc[shared | twin]], return_counts=True)
                 if len(own):
                     dealt = _dealt(own, c, buckets)
-                    columns = [pa.array(-1 - dealt["target"].to_numpy(), pa.int32()), dealt["keys"].combine_chunks(), dealt["counts"].combine_chunks(), pa.array([b""] * dealt.num_rows, pa.binary())]
+                    none = pa.array([b""] * dealt.num_rows, pa.binary())
+                    columns = [pa.array(-1 - dealt["target"].to_numpy(), pa.int32()), pa.array([True] * dealt.num_rows), dealt["keys"].combine_chunks(), dealt["counts"].combine_chunks(), none]
                     yield pa.RecordBatch.from_arrays(columns, schema=_POSTING)
 
     def count(table: pa.Table) -> pa.Table:
@@ -210,8 +244,8 @@ def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
         if bucket < 0:  # counts that tasks made themselves, by their target
             target, c = pa.array([-1 - bucket], pa.int32()), _added(table["docs"], table["counts"])
             return pa.table({"target": target, "keys": pa.array([c[0].tobytes()], pa.binary()), "counts": pa.array([c[1].tobytes()], pa.binary())})
-        hashes, doc = _unpack(table, 2)
-        counted, doc = doc[:, 1] == 1, doc[:, 0]
+        hashes, doc = _unpack(table, 1)
+        doc, counted = doc[:, 0], np.repeat(table["counted"].to_numpy(), [len(x) // 4 for x in table["marks"].to_pylist()])
         # Of a hash and class the posting that is counted already comes first, and stands for the others.
         order = np.lexsort((~counted, doc, hashes))
         hashes, doc, counted = hashes[order], doc[order], counted[order]
@@ -228,7 +262,7 @@ def _survivors(texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
         give_back()
         return _dealt(k, c, buckets)
 
-    found = _summed(texts.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, _DEALT))
+    found = _summed(texts.mapInArrow(post, _POSTED).groupBy("bucket").applyInArrow(count, _DEALT))
     kept = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     enough = F.greatest(F.lit(1).cast("long"), F.floor(kept * EXTRA_PERCENT / F.lit(100)))
     found = found.join(sizes.groupBy("k1").agg(F.max("n").alias("n")), "k1")
@@ -409,28 +443,58 @@ def _near(sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartitionByRange(n, "low", "k1").sortWithinPartitions("low", "k1").mapInArrow(run, "a long, b long")
 
 
-def _covered(named: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Keys of sets of which so much lies in sets of other components that they can link with one of these."""
+def _covered(named: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Keys of sets of which so much lies in sets of other components that they can link with one of these; marks of hashes that many sets hold."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(1).to_numpy()
             if len(n):
-                table = np.stack([batch.column(0).to_numpy(), n, batch.column(3).to_numpy()], axis=1)
+                table = np.stack([batch.column(0).to_numpy(), batch.column(3).to_numpy()], axis=1)
                 yield _pack(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n), table, buckets)
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, doc = _unpack(table, 3)
-        order = np.argsort(hashes, kind="stable")
-        hashes, doc = hashes[order], doc[order]
-        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        mixed = np.minimum.reduceat(doc[:, 2], begin) != np.maximum.reduceat(doc[:, 2], begin)
-        keep = np.repeat(mixed, np.diff([*begin, len(hashes)]))
-        k, c = np.unique(doc[keep, 0], return_counts=True)
-        return _dealt(k, c, buckets)
+        marks, doc = _unpack(table, 2)
+        order = np.argsort(marks, kind="stable")
+        marks, doc = marks[order], doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
+        size = np.diff([*begin, len(marks)])
+        mixed = np.minimum.reduceat(doc[:, 1], begin) != np.maximum.reduceat(doc[:, 1], begin)
+        k, c = np.unique(doc[np.repeat(mixed, size), 0], return_counts=True)
+        hot = pa.table({"target": pa.array([-1], pa.int32()), "keys": pa.array([marks[begin[mixed & (size > HOT)]].tobytes()], pa.binary()), "counts": pa.array([b""], pa.binary())})
+        return pa.concat_tables([_dealt(k, c, buckets), hot])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).astype(np.int64))], names=["k1"])
 
-    found = _summed(named.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(count, _DEALT))
-    return materialise(found.join(named.select("k1", "n"), "k1").where(100 * F.col("c") >= percent * F.col("n")).select("k1"))
+    found = materialise(named.mapInArrow(post, _POSTED).groupBy("bucket").applyInArrow(count, _DEALT))
+    counts = _summed(found.where("target >= 0"))
+    covered = materialise(counts.join(named.select("k1", "n"), "k1").where(100 * F.col("c") >= percent * F.col("n")).select("k1"))
+    return covered, found.where("target < 0").select("keys").mapInArrow(unpacked, "k1 long")
+
+
+def _prefixes(keys: np.ndarray, n: np.ndarray, size: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first ``size`` hashes of each set, end to end, by an order in which those marked in the bitmap ``hot`` come last."""
+    place = (_places(keys, 1)[1] % np.uint32(SIEVE_BITS)).astype(np.int64)
+    late = (hot[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+    order = np.lexsort((late, np.repeat(np.arange(len(n)), n)))  # stable: else the sets' own order, which is that of the hashes
+    return keys[order[_take(np.append(0, np.cumsum(n)), size)]]
+
+
+def _chains(marks: np.ndarray, doc: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect, for each mark, the documents (key, n, component) that a link could join by it.
+
+    Along rising sizes neighbours are chained while the sizes fit. If two sizes fit, so do all between, so both are in one
+    chain. A chain of one component needs no edges.
+    """
+    order = np.lexsort((doc[:, 1], marks))
+    marks, doc = marks[order], doc[order]
+    begin = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (100 * doc[:-1, 1] < percent * doc[1:, 1])]))
+    size = np.diff([*begin, len(marks)])
+    mixed = np.repeat(np.minimum.reduceat(doc[:, 2], begin) != np.maximum.reduceat(doc[:, 2], begin), size)
+    edges = np.unique(np.stack([doc[mixed, 0], np.repeat(np.minimum.reduceat(doc[:, 0], begin), size)[mixed]], axis=1), axis=0)
+    return edges[:, 0], edges[:, 1]
 
 
 def _rest(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
@@ -439,29 +503,24 @@ def _rest(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
     # Names are a few bytes a set. While they are few they go to the sets; beyond that Spark shuffles both.
     names = few(names, FEW)
     named = sets.join(names, sets["k1"] == names["node"], "left").select("k1", "n", "shingles", F.coalesce("component", "k1").alias("component"))
-    named = named.join(few(_covered(named, percent, buckets), FEW), "k1", "left_semi")
+    covered, hot = _covered(named, percent, buckets)
+    hot = named.sparkSession.sparkContext.broadcast(_sieve(hot).tobytes())
+    named = named.join(few(covered, FEW), "k1", "left_semi")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = np.frombuffer(hot.value, np.uint8)
         for batch in batches:
             n = batch.column(1).to_numpy()
             size = n - _least_kept(n, percent) + 1
-            prefix = [np.frombuffer(s, np.uint64)[:k] for s, k in zip(batch.column(2).to_pylist(), size.tolist(), strict=True)]
-            if prefix:
-                yield _pack(np.concatenate(prefix), np.repeat(np.arange(len(n)), size), np.stack([batch.column(0).to_numpy(), n, batch.column(3).to_numpy()], axis=1), buckets)
+            if len(n):
+                prefix = _prefixes(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), n, size, late)
+                yield _pack(prefix, np.repeat(np.arange(len(n)), size), np.stack([batch.column(0).to_numpy(), n, batch.column(3).to_numpy()], axis=1), buckets)
 
     def blocks(table: pa.Table) -> pa.Table:
-        hashes, doc = _unpack(table, 3)
-        order = np.lexsort((doc[:, 2], hashes))
-        hashes, doc = hashes[order], doc[order]
-        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        size = np.diff([*begin, len(hashes)])
-        mixed = (np.minimum.reduceat(doc[:, 2], begin) != np.maximum.reduceat(doc[:, 2], begin)) if len(hashes) else np.empty(0, bool)
-        least = np.minimum.reduceat(doc[:, 0], begin) if len(hashes) else np.empty(0, np.int64)
-        keep = np.repeat(mixed, size)
-        rows = np.unique(np.stack([doc[keep, 0], np.repeat(least, size)[keep]], axis=1), axis=0)
-        return pa.table({"a": rows[:, 0], "b": rows[:, 1]})
-
-    stars = named.mapInArrow(post, "bucket int, docs binary, counts binary, hashes binary").groupBy("bucket").applyInArrow(blocks, "a long, b long").distinct()
+        a, b = _chains(*_unpack(table, 3), percent)
+        return pa.table({"a": a, "b": b})
+
+    stars = named.mapInArrow(post, _POSTED).groupBy("bucket").applyInArrow(blocks, "a long, b long").distinct()
     families = components(stars)
     sizes = materialise(families.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     members = families.join(few(sizes, FEW), "component").select(F.col("component").alias("block"), F.col("node").alias("k1"), "size")
