@@ -416,8 +416,9 @@ def test_signature_trees_with_hot_shingles(spark, monkeypatch):
     assert Counter(map(tuple, sigtree.link_components(table).collect())) == brute_components(rows)
 
 
-def test_a_passage_of_many_texts_does_not_chain_families(spark, monkeypatch, tmp_path):
-    """Pairs below the threshold that all quote a passage: each set travels about once, and not to all tiles of one large family."""
+@pytest.fixture
+def quoting(spark, monkeypatch, tmp_path):
+    """Pairs below the threshold that all quote a passage, small tiles, and how many sets went to tiles of families."""
     real = sigtree._links_of
 
     def noted(keys, sets, labels, percent):
@@ -434,9 +435,24 @@ def test_a_passage_of_many_texts_does_not_chain_families(spark, monkeypatch, tmp
         edited = [f"e{family}n{i}" if i in (10, 30, 50) else w for i, w in enumerate(base)]
         rows += [(2 * family, " ".join(hot + base)), (2 * family + 1, " ".join(hot + edited))]
     rows.append((1000, " ".join(hot)))
-    table = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows, spark.createDataFrame(rows, "doc_id long, text string"), lambda: sum(int(f.read_text()) for f in tmp_path.iterdir())
+
+
+def test_a_passage_of_many_texts_does_not_chain_families(quoting):
+    """Each set travels about once, and not to all tiles of one large family."""
+    rows, table, sent = quoting
     assert Counter(map(tuple, sigtree.link_components(table).collect())) == brute_components(rows)
-    assert 80 <= sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 160
+    assert 80 <= sent() <= 160
+
+
+def test_near_copies_of_the_pipeline_travel_once(spark, quoting, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "_small_batches", lambda spark: None)  # the session is shared
+    rows, table, sent = quoting
+    kept = corpus_pipeline.drop_near_copies(spark, table, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(c for _, _, c in brute_components(rows))
+    assert 80 <= sent() <= 160
 
 
 def test_signature_trees_with_marks_that_collide(spark, monkeypatch):
